@@ -1,13 +1,31 @@
 """Operators of a training-data pipeline. Nothing else in the package imports this one."""
 
-from clauseriver.llm import chat_format, quality_rules, source_mix, url_filter
+from clauseriver.llm import (
+    chat_format,
+    html_extract,
+    near_dedup,
+    packing,
+    pii,
+    quality_rules,
+    source_mix,
+    substring_dedup,
+    url_filter,
+    vp_search,
+)
 
 QUERIES = {
+    "op1_vp_search": vp_search.op1_vp_search,
+    "op2_html_extract": html_extract.op2_html_extract,
     "op3_source_mix": source_mix.op3_source_mix,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_pii": pii.op6_pii,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_packing": packing.op9_packing,
     "op10_url_filter": url_filter.op10_url_filter,
 }
+#: The others are beyond SQL; tests/llm holds them against brute force.
 ORACLES = {
     "op3_source_mix": source_mix.OP3_SQL,
     "op4_chat_format": chat_format.OP4_SQL,

@@ -16,17 +16,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage, in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only a session without that
-    setting (a test on one machine) gets a temporary one.
+    Only a session without that setting (a test on one machine) gets a temporary one.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute df once and cut its lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
