@@ -13,13 +13,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseriver.llm.common import WORD, read
+from clauseriver.llm.common import WORD, cut, read
 
 WINDOW = 50
 #: Words in the grams among which a window's minimiser is sought.
 GRAM = 5
 #: Distinct packed strings of one bucket that are sorted in one task; larger buckets are split.
 MOST = 20_000
+#: Stands for a null doc_id in keys.
+NO_ID = -(2**63)
 _word = re.compile(WORD)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -57,37 +59,46 @@ def super_kmers(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray,
     return least[starts].view(np.int64), starts, np.diff(np.append(starts, n))
 
 
-KMERS = "bucket long, doc_id long, a long, b long, start int, n int"
+SEEN = "bucket long, doc_id long"
+KMERS = "bucket long, k long, a long, start int, n int, digest_a long, digest_b long"
 
 
-def find_kmers(batches: Iterator[pd.DataFrame], window: int, gram: int) -> Iterator[pd.DataFrame]:
+def find_kmers(batches: Iterator[pd.DataFrame], window: int, gram: int, whole: bool) -> Iterator[pd.DataFrame]:
+    """The super-k-mers of each document: their buckets alone, or with place and digest of the words."""
     hashes = WordHashes()
-    names = [x.split()[0] for x in KMERS.split(", ")]
+    names = [x.split()[0] for x in (KMERS if whole else SEEN).split(", ")]
     for batch in batches:
         parts = []
-        for doc_id, a, b, text in batch.itertuples(index=False):
-            words = _word.findall(text)
-            if len(words) >= window:
-                h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                buckets, starts, n = super_kmers(h, window, gram)
-                ids = np.broadcast_to(np.array([[doc_id], [a], [b]], np.int64), (3, len(n)))
-                parts.append(np.vstack([buckets, ids, starts, n]))
+        for doc_id, text, k, a in batch.itertuples(index=False):
+            words = _word.findall(text or "")
+            if len(words) < window or k == NO_ID:
+                continue
+            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            buckets, starts, n = super_kmers(h, window, gram)
+            if whole:
+                raw = memoryview(h).cast("B")
+                ends = starts + n + window - 1
+                digests = b"".join(xxhash.xxh3_128_digest(raw[8 * x : 8 * y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True))
+                same = np.broadcast_to(np.array([[k], [a]], np.int64), (2, len(n)))
+                parts.append(np.vstack([buckets, same, starts, n, np.frombuffer(digests, "<i8").reshape(-1, 2).T]))
+            else:
+                parts.append(np.vstack([buckets, np.broadcast_to(np.int64(k), len(n))]))
         if parts:
             yield pd.DataFrame(np.hstack(parts).T, columns=names)
 
 
-PACKED = "bucket long, doc_id long, a long, b long, start int, n int, packed string"
+PACKED = "bucket long, digest_a long, digest_b long, salts int, first long, packed string"
 
 
 def pack_kmers(batches: Iterator[pd.DataFrame], window: int, at_once: int = 20_000) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in PACKED.split(", ")]
     rows = []
     for batch in batches:
-        for doc_id, a, b, text, needed in batch.itertuples(index=False):
+        for doc_id, text, needed in batch.itertuples(index=False):
             words = _word.findall(text)
-            for kmer in needed:
-                start, n = kmer["start"], kmer["n"]
-                rows.append((kmer["bucket"], doc_id, a, b, start, n, " ".join(words[start : start + n + window - 1])))
+            for x in needed:
+                piece = words[x["start"] : x["start"] + x["n"] + window - 1]
+                rows.append((x["bucket"], x["digest_a"], x["digest_b"], x["salts"], int(doc_id), " ".join(piece)))
             if len(rows) >= at_once:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
@@ -110,7 +121,7 @@ def sort_buckets(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.Da
     out = []
     for _, group in groupby(rows(), key=lambda r: (r.bucket, r.salt)):
         group = list(group)
-        if len(group) < 2 or all(r.first == group[0].first for r in group):
+        if all(r.first == group[0].first for r in group):
             continue
         windows = []  # text, first document, string, place
         for k, r in enumerate(group):
@@ -155,45 +166,37 @@ def keep_words(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """Per row of docs (doc_id, a, b, text; a and b a key of the row): spans of words to remove.
+    """k, a, spans: the words to remove in rows of docs (doc_id, text, k, a; k and a a key of the row).
 
     1. Each document's windows are cut into super-k-mers: runs of windows that share their minimiser,
        the least hash of their grams. Equal windows share it, so a bucket (a minimiser) that occurs in
-       one document only holds no repeat and its text stays where it is.
-    2. The other super-k-mers travel as packed strings. Equal strings are first folded into one with
-       their smallest document, before and after the shuffle; a document that holds a string whose
-       smallest document is another one loses all of it.
-    3. In each bucket the windows of the distinct strings are sorted, so that equal windows meet, and
-       those of a string's first document go if a smaller one holds them too. Buckets of more than
-       `most` distinct strings are dealt out over more tasks by a hash of the window itself.
+       one document only holds no repeat, and neither place nor text of it travels.
+    2. Equal super-k-mers (by a 128-bit digest) fold into the one in the smallest document; any other
+       document that holds it loses all of it.
+    3. Where a bucket has several different super-k-mers, one of each travels as a packed string to its
+       bucket. There their windows are sorted, so that equal windows meet, and those that a smaller
+       document holds too go from the string's own document. Buckets with more than `most` strings are
+       dealt out over more tasks by a hash of the window itself.
     """
-    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "a", "b", "text")
-    kmers = docs.mapInPandas(partial(find_kmers, window=window, gram=gram), KMERS)
-    shared = kmers.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    needed = kmers.join(shared.select("bucket"), "bucket").groupBy("a", "b").agg(
-        F.collect_set(F.struct("start", "n", "bucket")).alias("needed")
-    )
-    packed = docs.join(needed, ["a", "b"]).select("doc_id", "a", "b", "text", "needed")
-    packed = packed.mapInPandas(partial(pack_kmers, window=window), PACKED)
+    find = lambda whole: docs.mapInPandas(partial(find_kmers, window=window, gram=gram, whole=whole), KMERS if whole else SEEN)
+    shared = find(False).groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    places = cut(find(True).join(shared.select("bucket"), "bucket"))
 
-    strings = packed.groupBy("bucket", "packed").agg(F.min("doc_id").alias("first"))
-    digests = [F.xxhash64("packed").alias("digest_a"), F.xxhash64(F.lit(71), "packed").alias("digest_b")]
-    places = packed.select("bucket", *digests, "doc_id", "a", "b", "start", "n")
     same = ["bucket", "digest_a", "digest_b"]
-    whole = places.join(strings.select("bucket", *digests, "first"), same).where("doc_id > first")
-
-    large = strings.groupBy("bucket").count().where(F.col("count") > most)
-    dealt = strings.join(large, "bucket", "left").withColumn("salts", F.coalesce(F.ceil(F.col("count") / most), F.lit(1)))
-    dealt = dealt.select("bucket", "packed", "first", *digests, F.col("salts").cast("int").alias("salts"))
-    dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    dealt = dealt.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
-    runs = dealt.mapInPandas(partial(sort_buckets, window=window), RUNS)
-    part = places.join(runs, same).where("doc_id = first")
-
-    spans = whole.select("a", "b", F.col("start").alias("lo"), (F.col("start") + F.col("n") + window - 1).alias("hi")).union(
-        part.select("a", "b", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    firsts = places.groupBy(*same).agg(F.min(F.struct("k", "a", "start", "n")).alias("f")).select(*same, "f.*")
+    several = firsts.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / most).cast("int").alias("salts"))
+    needed = firsts.join(several, "bucket").groupBy("k", "a").agg(F.collect_list(F.struct("start", "n", *same, "salts")).alias("needed"))
+    packed = docs.join(needed, ["k", "a"]).select("doc_id", "text", "needed").mapInPandas(partial(pack_kmers, window=window), PACKED)
+    packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    packed = packed.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
+    runs = packed.mapInPandas(partial(sort_buckets, window=window), RUNS)
+
+    whole = places.join(firsts.select(*same, F.col("k").alias("first")), same).where("k > first")
+    part = places.join(runs, same).where("k = first")
+    spans = whole.select("k", "a", F.col("start").alias("lo"), (F.col("start") + F.col("n") + window - 1).alias("hi")).union(
+        part.select("k", "a", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
     )
-    return spans.groupBy("a", "b").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    return spans.groupBy("k", "a").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
@@ -205,13 +208,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
     Rows with a null doc_id lose nothing and take nothing from others; rows of the same doc_id don't
     take from each other. Rows that repeat each keep their row. An empty table gives an empty result.
     """
+    doc_id = F.col("doc_id").cast("long")
     keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text",
-        F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(71), "doc_id", "text").alias("b"),
+        doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(doc_id, F.lit(NO_ID)).alias("k"), F.xxhash64("doc_id", "text").alias("a"),
     )
     spans = repeated_spans(keyed, window, gram, most)
-    kept = F.pandas_udf(keep_words, "kept string, n_words long, n_removed long")(F.coalesce("text", F.lit("")), F.col("spans"))
-    return keyed.join(spans, ["a", "b"], "left").select("doc_id", kept.alias("_k")).select("doc_id", "_k.*")
+    kept = F.pandas_udf(keep_words, "kept string, n_words long, n_removed long")("text", "spans")
+    return keyed.join(spans, ["k", "a"], "left").select("doc_id", kept.alias("_k")).select("doc_id", "_k.*")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
