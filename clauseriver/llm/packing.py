@@ -20,7 +20,7 @@ LENGTH = 1024
 VOCABULARY = "byte_bpe_50k"
 #: Most slots that are broadcast; their number depends on the sequence length, not on the data.
 MOST_SLOTS = 500_000
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The vocabulary's own splitting never joins characters across these chunks: a run of white space but
 #: for its last character, or a run of other characters with at most one white space before it.
 _chunk = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+")
