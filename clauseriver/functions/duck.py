@@ -58,8 +58,6 @@ def cap_words(t: str, most: int = 60, more: str = "...") -> str:
 
 
 def quote_around(t: str, p: str, variant: str = "denial") -> str:
-    if variant == "evidence":
-        t = strip(collapse(t))
     head = f"regexp_extract({t}, {lit(rf'(?i)^([\s\S]*?)(?:{p})')}, 1)"
     if variant == "evidence":
         left = f"CASE WHEN regexp_matches({head}, '[.;]') THEN regexp_extract({head}, '[^.;]*$') ELSE substr({head}, greatest(1, length({head}) - 179), 180) END"

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clauseriver.functions import rules as R
 
-#: \b between ASCII letters, digits and _ only, as the rules mean it (the JVM's own is wider).
-_EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+#: \b between ASCII letters, digits and _ only, as the rules mean it (the JVM's own is wider). In the rules it
+#: stands before a word where a letter, digit, group or class follows, and after one elsewhere.
+_BEGIN = re.compile(r"\\b(?=[A-Za-z0-9(\[]|\\d)")
 
 
 def pattern(p: str, flags: str = "(?i)") -> str:
-    return flags + p.replace(r"\b", _EDGE)
+    return flags + _BEGIN.sub(r"(?<!\\w)", p).replace(r"\b", r"(?!\w)")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def matches(text: Column, p: str, flags: str = "(?i)") -> Column:
@@ -85,28 +92,32 @@ def quote_around(text: Column, p: str, variant: str = "denial") -> Column:
     """The sentence around the pattern's first match.
 
     denial: from the last full stop to the next one (200 characters from the match if there is none),
-    240 characters at most. clause: a line feed also begins it, 300 at most. evidence: white space is
-    collapsed first, semicolons end it too, else 180 before and 220 after; empty if under 24 characters.
+    240 characters at most. clause: a line feed also begins it, 300 at most. evidence: the text must be
+    stripped and its white space collapsed; semicolons end it too, else 180 before and 220 after; empty
+    if under 24 characters.
     """
     if variant == "evidence":
-        text = strip(collapse(text))
-    head = before_match(text, p)
-    at = F.length(head)
-    if variant == "evidence":
-        left = F.when(F.rlike(head, F.lit("[.;]")), F.regexp_extract(head, r"[^.;]*\z", 0)).otherwise(
-            F.substring(head, F.greatest(F.lit(1), at - 179), F.lit(180))
-        )
-        after = F.substring(text, at + 1, F.length(text))
-        right = F.when(F.rlike(after, F.lit("[.;]")), F.regexp_extract(after, r"^[^.;]*[.;]", 0)).otherwise(F.substring(after, 1, 220))
-        quote = strip(F.concat(left, right))
-        return F.when(F.length(quote) >= 24, F.substring(quote, 1, 300)).otherwise(F.lit(""))
-    left = F.regexp_extract(head, r"[^.]*\z" if variant == "denial" else r"[^.\n]*\z", 0)
-    hit = F.regexp_extract(text, pattern(p), 0)
-    after = F.substring(text, at + F.length(hit) + 1, F.length(text))
-    right = F.when(F.contains(after, F.lit(".")), F.concat(hit, F.regexp_extract(after, r"^[^.]*\.", 0))).otherwise(
-        F.substring(text, at + 1, F.lit(200))
-    )
-    return F.substring(collapse(strip(F.concat(left, right))), 1, 240 if variant == "denial" else 300)
+
+        def evidence(head: Column) -> Column:
+            at = F.length(head)
+            left = F.when(F.rlike(head, F.lit("[.;]")), F.regexp_extract(head, r"[^.;]*\z", 0)).otherwise(
+                F.substring(head, F.greatest(F.lit(1), at - 179), F.lit(180))
+            )
+            after = F.substring(text, at + 1, F.length(text))
+            right = let(after, lambda a: F.when(F.rlike(a, F.lit("[.;]")), F.regexp_extract(a, r"^[^.;]*[.;]", 0)).otherwise(F.substring(a, 1, 220)))
+            return let(strip(F.concat(left, right)), lambda q: F.when(F.length(q) >= 24, F.substring(q, 1, 300)).otherwise(F.lit("")))
+
+        return let(before_match(text, p), evidence)
+    begin, most = (r"[^.]*\z", 240) if variant == "denial" else (r"[^.\n]*\z", 300)
+
+    def sentence(m: Column) -> Column:
+        at, hit = F.length(m["head"]), m["hit"]
+        after = F.substring(text, at + F.length(hit) + 1, F.length(text))
+        right = let(after, lambda a: F.when(F.contains(a, F.lit(".")), F.concat(hit, F.regexp_extract(a, r"^[^.]*\.", 0))))
+        right = F.coalesce(right, F.substring(text, at + 1, F.lit(200)))
+        return F.substring(collapse(strip(F.concat(F.regexp_extract(m["head"], begin, 0), right))), 1, most)
+
+    return let(F.struct(before_match(text, p).alias("head"), F.regexp_extract(text, pattern(p), 0).alias("hit")), sentence)
 
 
 def strong_negation(sentence: Column) -> Column:

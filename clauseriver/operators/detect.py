@@ -188,12 +188,15 @@ crossed AS (
 
 def _quoted(text: Column, patterns: list[str], variant: str, least: int = 0) -> Column:
     """(pattern_ord, quote) of the first pattern that occurs with a quote of at least `least` characters."""
-    tries = []
-    for i, p in enumerate(patterns):
-        quote = T.quote_around(text, p, variant)
-        hit = T.matches(text, p)
-        tries.append(F.when(hit & (F.length(quote) >= least) if least else hit, F.struct(F.lit(i).alias("pattern_ord"), quote.alias("quote"))))
-    return F.coalesce(*tries)
+    return F.coalesce(*[F.when(T.matches(text, p), _hit(i, T.quote_around(text, p, variant), least)) for i, p in enumerate(patterns)])
+
+
+def _hit(i: int, quote: Column, least: int) -> Column:
+    def struct(q: Column) -> Column:
+        row = F.struct(F.lit(i).alias("pattern_ord"), q.alias("quote"))
+        return F.when(F.length(q) >= least, row) if least else row
+
+    return T.let(quote, struct)
 
 
 def denial_hits(docs: DataFrame) -> DataFrame:
@@ -269,12 +272,13 @@ CLAUSE_SQL = _quoted_sql("clause_rows", R.CLAUSES, "clause", 20)
 def evidence(docs: DataFrame, dark_patterns: bool = True) -> DataFrame:
     """doc_id, pillar, pillar_ord, violation, confidence, citation of a scan by patterns alone."""
     pillars = [p for p in R.PILLARS if dark_patterns or p != "dark_patterns"]
+    flat = F.col("_flat")
 
     def of(p: str) -> Column:
-        quotes = [F.when(T.matches(T.strip(T.collapse(F.col("text"))), x), F.nullif(T.quote_around(F.col("text"), x, "evidence"), F.lit(""))) for x in R.EVIDENCE[p]]
+        quotes = [F.when(T.matches(flat, x), T.let(T.quote_around(flat, x, "evidence"), lambda q: F.when(q != "", q))) for x in R.EVIDENCE[p]]
         return F.struct(F.lit(R.PILLARS.index(p) + 1).alias("pillar_ord"), F.coalesce(*quotes, F.lit(R.NOT_ADDRESSED)).alias("citation"))
 
-    rows = _by_pillar(docs, of, pillars)
+    rows = _by_pillar(docs.select("doc_id", T.strip(T.collapse(F.col("text"))).alias("_flat")), of, pillars)
     return rows.select("doc_id", "pillar", "pillar_ord", (F.col("citation") != R.NOT_ADDRESSED).alias("violation"), F.lit("LOW").alias("confidence"), "citation")
 
 

@@ -12,50 +12,48 @@ from clauseriver.operators.detect import BASE, _cross_sql, cross_check, with_tex
 from clauseriver.sources import corpus as C
 
 
-def _positions(source: Column, term: Column) -> Column:
-    """Where the term (letters and digits only) occurs, from 0; overlapping occurrences count."""
-    pieces = F.call_function("split", source, F.concat(F.lit("(?="), term, F.lit(")")))
+def _positions(pieces: Column, begins: Column) -> Column:
+    """Where the pieces start, from 0; the first one counts only if it begins with what was split on."""
     lengths = F.transform(pieces, lambda p: F.length(p))
     ends = F.aggregate(lengths, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
-    starts = F.slice(ends, F.lit(1), F.size(pieces))
-    begins = F.when(F.startswith(source, term), starts).otherwise(F.slice(starts, F.lit(2), F.size(starts)))
-    return F.when(F.contains(source, term), begins).otherwise(F.array().cast("array<int>"))
+    return T.let(ends, lambda e: F.slice(e, F.when(begins, 1).otherwise(2), F.greatest(F.lit(0), F.size(e) - F.when(begins, 1).otherwise(2))))
 
 
-def grounded(citation: Column, source: Column) -> Column:
-    """The citation if its beginning is in the source; else the part of the source where most of its first six
-    telling words stand within 150 characters of each other, from a sentence start, 60 words at most; else as it is.
+def with_grounded(df: DataFrame, citation: str = "citation", text: str = "text", out: str = "_grounded") -> DataFrame:
+    """df with the citation if its beginning is in the text; else the part of the text where most of the citation's
+    first six telling words stand within 150 characters of each other, from a sentence start, 60 words at most;
+    else as it is.
 
-    White space in the source is collapsed throughout (positions and excerpt refer to the same text).
+    White space in the text is collapsed throughout (positions and excerpt refer to the same text). Each step is a
+    column, so that none is computed twice.
     """
-    cit, src = T.normalize(citation), T.normalize(source)
-    prefix = F.substring(cit, 1, 50)
-    exact = (F.length(prefix) >= 20) & F.contains(src, prefix)
+    c = F.col(citation)
+    none = c.isNull() | c.isin("", R.NOT_FOUND, R.NOT_ADDRESSED)
     words = F.transform(F.split(F.lower(citation), r"\s+"), lambda w: F.regexp_replace(w, "[^a-z0-9]", ""))
     terms = F.slice(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(R.STOPWORDS)), 1, 6)
-    flat = T.collapse(source)
-    low = F.lower(flat)
-    places = F.transform(terms, lambda t: _positions(low, t))
-    every = F.flatten(places)
-    near = F.transform(every, lambda p: F.size(F.filter(places, lambda ps: F.exists(ps, lambda q: F.abs(q - p) <= 150))))
-    most = F.array_max(near)
-    anchor = F.get(every, (F.array_position(near, most) - 1).cast("int"))
-    start = F.greatest(F.lit(0), anchor - 100)
-    snippet = F.substring(flat, start + 1, anchor + 300 - start)
-    lead = F.regexp_extract(snippet, r'^([\s\S]*?[.!?;]\s{1,2})[A-Z"]', 1)
-    snippet = F.when(F.rlike(snippet, F.lit('^[A-Z"]')), snippet).otherwise(F.substring(snippet, F.length(lead) + 1, F.length(snippet)))
-    snippet = T.strip(T.cap_words(snippet, more=""))
-    use = (F.size(terms) >= 2) & (most >= 2) & (F.length(snippet) >= 30)
+    rows = df.withColumn("_prefix", F.substring(T.normalize(c), 1, 50)).withColumn("_src", T.normalize(F.col(text)))
+    rows = rows.withColumn("_exact", none | ((F.length("_prefix") >= 20) & F.contains("_src", "_prefix")))
+    rows = rows.withColumn("_terms", F.when(~F.col("_exact"), terms)).withColumn("_flat", F.when(~F.col("_exact"), T.collapse(F.col(text)))).withColumn("_low", F.lower("_flat"))
+    spot = lambda t: F.when(F.contains(F.col("_low"), t), _positions(F.call_function("split", F.col("_low"), F.concat(F.lit("(?="), t, F.lit(")"))), F.startswith(F.col("_low"), t))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_places", F.transform("_terms", spot)).withColumn("_every", F.flatten("_places"))
+    near = F.transform("_every", lambda p: F.size(F.filter("_places", lambda ps: F.exists(ps, lambda q: F.abs(q - p) <= 150))))
+    rows = rows.withColumn("_near", near).withColumn("_most", F.array_max("_near"))
+    rows = rows.withColumn("_anchor", F.get("_every", (F.array_position("_near", F.col("_most")) - 1).cast("int")))
+    start = F.greatest(F.lit(0), F.col("_anchor") - 100)
+    rows = rows.withColumn("_snippet", F.substring("_flat", start + 1, F.col("_anchor") + 300 - start))
+    lead = F.regexp_extract("_snippet", r'^([\s\S]*?[.!?;]\s{1,2})[A-Z"]', 1)
+    cut = F.when(F.rlike("_snippet", F.lit('^[A-Z"]')), F.col("_snippet")).otherwise(F.substring("_snippet", F.length(lead) + 1, F.length("_snippet")))
+    rows = rows.withColumn("_cut", cut).withColumn("_cut", T.strip(T.cap_words(F.col("_cut"), more="")))
+    use = (F.size("_terms") >= 2) & (F.col("_most") >= 2) & (F.length("_cut") >= 30)
     bare = T.strip(F.regexp_replace(citation, "^[\"'“‘]+|[\"'”’]+$", ""))
-    none = citation.isNull() | citation.isin("", R.NOT_FOUND, R.NOT_ADDRESSED)
-    return F.when(none, citation).when(exact, bare).when(F.coalesce(use, F.lit(False)), snippet).otherwise(citation)
+    best = F.when(none, c).when(F.col("_exact"), bare).when(F.coalesce(use, F.lit(False)), F.col("_cut")).otherwise(c)
+    return rows.withColumn(out, best)
 
 
 def ground_citation(findings: DataFrame, chunks: DataFrame) -> DataFrame:
     """Citations of violations, corrected to what the source says."""
-    rows = with_text(findings, chunks)
-    fixed = F.when(F.col("violation"), grounded(F.col("citation"), F.col("text"))).otherwise(F.col("citation"))
-    return rows.select(*[c for c in findings.columns if c != "citation"], fixed.alias("citation"))
+    rows = with_grounded(with_text(findings.where("violation"), chunks)).withColumn("citation", F.col("_grounded")).select(*findings.columns)
+    return rows.unionByName(findings.where("NOT violation"))
 
 
 def citation_confidence(findings: DataFrame, docs: DataFrame) -> DataFrame:
