@@ -125,7 +125,40 @@ def _battery_sql() -> str:
     SELECT doc_id, score, rating FROM scores_battery"""
 
 
+def _evaluate_sql() -> str:
+    from clauseriver.functions import duck as D
+
+    return f"""WITH {C.POLICIES_SQL}, {C.FINDINGS_SQL}, {detect._evidence_sql()}, {detect.DENIAL_SQL}, {detect.CLAUSE_SQL},
+    k AS (SELECT e.doc_id, e.pillar, e.pillar_ord, violation AND n.quote IS NULL OR (q.quote IS NOT NULL AND n.quote IS NULL AND NOT violation) AS violation,
+        CASE WHEN q.quote IS NOT NULL AND n.quote IS NULL AND NOT violation THEN 'HIGH' WHEN n.quote IS NULL THEN 'LOW' WHEN {D.rx("n.quote", R.CONDITIONAL)} THEN 'MEDIUM' ELSE 'HIGH' END AS confidence
+      FROM evidence e LEFT JOIN denials n ON n.doc_id = e.doc_id AND n.pillar = e.pillar LEFT JOIN clause_rows q ON q.doc_id = e.doc_id AND q.pillar = e.pillar), {merge._score_sql("prod", "k")},
+    c AS (SELECT k.doc_id AS id, k.pillar, CASE WHEN (k.doc_id + k.pillar_ord) % 9 <> 0 THEN (k.doc_id + k.pillar_ord) % 4 = 0 END AS expected, ['SAFE', 'OKAY', 'RISKY'][CAST(k.doc_id % 3 AS INT) + 1] AS er, violation, rating FROM k JOIN scores_prod USING (doc_id)),
+    g AS (SELECT id, count(*) FILTER (violation = expected) AS ok, count(expected) AS total, bool_or(rating = er) AS hit FROM c GROUP BY id)
+    SELECT round(100 * sum(ok) / sum(total), 6) AS pillars_pct, round(100 * count(*) FILTER (hit) / count(*), 6) AS rating_pct, 0 AS parse_fails FROM g"""
+
+
+def _server_sql() -> str:
+    """The derived answers quote a few characters only, which grounding, sanitizing and filling leave as they are."""
+    from clauseriver.functions import duck as D
+
+    return f"""WITH {merge.PARSED_SQL}, {detect._sentences_sql("strict")}, {detect._hard_sql()},
+    a AS (SELECT * FROM deep WHERE model = 'primary'), b AS (SELECT * FROM deep WHERE model = 'corroborator'),
+    e AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.chunk_no, b.chunk_no) AS chunk_no, coalesce(a.pillar, b.pillar) AS pillar,
+        coalesce(b.doc_id IS NOT NULL AND CASE WHEN a.doc_id IS NULL OR (b.violation AND NOT a.violation) THEN true ELSE a.violation AND b.violation AND {D.conf_rank("b.confidence")} > {D.conf_rank("a.confidence")} END, false) AS take,
+        a.violation AS av, a.confidence AS ac, a.citation AS aq, b.violation AS bv, b.confidence AS bc, b.citation AS bq
+      FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.chunk_no = b.chunk_no AND a.pillar = b.pillar),
+    g AS (SELECT doc_id, chunk_no, pillar, CASE WHEN take THEN bv ELSE av END AS violation, CASE WHEN take THEN bc ELSE ac END AS confidence, CASE WHEN take THEN bq ELSE aq END AS citation FROM e),
+    m AS (SELECT doc_id, pillar, pillar_ord, violation, confidence, citation FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pillar ORDER BY violation DESC, chunk_no) AS k FROM g) JOIN pillar_list USING (pillar) WHERE k = 1),
+    {detect._cross_sql("m")},
+    x AS (SELECT c.*, {D.citation_confidence("citation", "text")} AS cc FROM crossed c JOIN policies USING (doc_id)),
+    y AS (SELECT doc_id, pillar, pillar_ord, violation, CASE WHEN NOT violation THEN 'MEDIUM' WHEN cc = 'HIGH' THEN 'HIGH' WHEN confirmed OR cc = 'MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM x),
+    z AS (SELECT y.doc_id, y.pillar, pillar_ord, violation OR sentence IS NOT NULL AS violation, CASE WHEN sentence IS NOT NULL AND NOT (violation AND confidence <> 'LOW') THEN 'HIGH' ELSE confidence END AS confidence FROM y LEFT JOIN hard USING (doc_id, pillar)),
+    {merge._score_sql("prod", "z")} SELECT doc_id, score, rating FROM scores_prod"""
+
+
 ORACLES = {
+    "p1_scan_server": _server_sql(),
+    "p4_evaluate_rules": _evaluate_sql(),
     "p3_rating_counts": f"{_rules_sql()} SELECT rating, count(*) AS documents, round(avg(score), 6) AS avg_score FROM scores_prod GROUP BY rating",
     "p2_scan_battery": _battery_sql(),
     "p3_scan_rules_only": f"{_rules_sql()} SELECT doc_id, score, rating, violations FROM scores_prod JOIN names USING (doc_id)",
