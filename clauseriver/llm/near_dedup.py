@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseriver.llm.common import WORD, cut, read
@@ -82,29 +82,50 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sign_texts(batches: Iterator[pd.Series], shingle: int, bands: int, rows: int, at_once: int = 1000) -> Iterator[pd.Series]:
+SIGNED = "d1 long, d2 long, keys array<long>, sig array<long>, weight long"
+#: Components whose lowest byte is kept, eight to a number, to estimate similarities.
+KEPT = 120
+#: Most of these that may differ. At a similarity of 0.8, 24 do, and over 41 with a probability of 0.00005: that of
+#: sharing no band.
+MOST_DIFFERENT = 41
+
+
+def features(h: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of a text (given the hashes of its words), with their number."""
+    return np.unique(shingle_hashes(h, shingle), return_counts=True)
+
+
+def sign_texts(batches: Iterator[pd.Series], shingle: int, bands: int, rows: int, at_once: int = 1000) -> Iterator[pd.DataFrame]:
+    """Digest of the words, band keys, kept components and number of shingles of each text; every text has a word."""
     hashes = WordHashes()
     for batch in batches:
         out = []
         texts = batch.tolist()
         for at in range(0, len(texts), at_once):
-            docs, features, weights = [], [], []
-            part = texts[at : at + at_once]
-            for k, text in enumerate(part):
-                words = _word.findall(text)
-                if words:
-                    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                    feature, weight = np.unique(shingle_hashes(h, shingle), return_counts=True)
-                    docs.append(np.full(len(feature), k))
-                    features.append(feature)
-                    weights.append(weight)
-            if docs:
-                signatures = bag_minhash(
-                    np.concatenate(docs), np.concatenate(features), np.concatenate(weights).astype(float), len(part), bands * rows
-                )
-                keys = band_keys(signatures, bands, rows)
-            out += [keys[k] if _word.search(text) else np.empty(0, np.int64) for k, text in enumerate(part)]
-        yield pd.Series(out, dtype=object)
+            words = [hashes.of(_word.findall(t)) for t in texts[at : at + at_once]]
+            bags = [features(h, shingle) for h in words]
+            owner = np.repeat(np.arange(len(bags)), [len(f) for f, _ in bags])
+            feature, weight = (np.concatenate([b[k] for b in bags]) for k in (0, 1))
+            signatures = bag_minhash(owner, feature, weight.astype(float), len(bags), bands * rows)
+            low = np.ascontiguousarray(signatures[:, :KEPT].astype(np.uint8)).view("<i8")
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h) for h in words), "<i8").reshape(-1, 2)
+            sums = [int(w.sum()) for _, w in bags]
+            out += list(zip(*digests.T.tolist(), band_keys(signatures, bands, rows), low, sums, strict=True))
+        yield pd.DataFrame(out, columns=["d1", "d2", "keys", "sig", "weight"])
+
+
+def shingle_rows(batches: Iterator[pd.DataFrame], shingle: int) -> Iterator[pd.DataFrame]:
+    hashes = WordHashes()
+    for batch in batches:
+        for at in range(0, len(batch), 500):
+            part = batch.iloc[at : at + 500]
+            bags = [features(hashes.of(_word.findall(t)), shingle) for t in part["text"]]
+            if bags:
+                yield pd.DataFrame({
+                    "node": np.repeat(part["node"].to_numpy(), [len(f) for f, _ in bags]),
+                    "shingle": np.concatenate([f for f, _ in bags]).view(np.int64),
+                    "weight": np.concatenate([w for _, w in bags]),
+                })
 
 
 def bag_similarity(left: str, right: str, shingle: int = SHINGLE) -> float:
@@ -143,82 +164,136 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (x, y) of nodes whose texts are similar enough."""
+def scored(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (x, y) of nodes with the similarity of their texts."""
 
     def score(left: pd.Series, right: pd.Series) -> pd.Series:
         return similarities(left, right, shingle)
 
     left = texts.select(F.col("node").alias("x"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("y"), F.col("text").alias("right"))
-    scored = pairs.join(left, "x").join(right, "y").withColumn("similarity", F.pandas_udf(score, "double")("left", "right"))
-    return scored.where(F.col("similarity") >= similarity).select("x", "y")
+    rows = pairs.join(left, "x").join(right, "y")
+    return rows.select("x", "y", F.pandas_udf(score, "double")("left", "right").alias("similarity"))
+
+
+def own_weights(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, own: the weight of the shingles that no other of the texts has."""
+    rows = texts.select("node", "text").mapInPandas(lambda it: shingle_rows(it, shingle), "node long, shingle long, weight long")
+    once = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("high"), F.sum("weight").alias("weight"))
+    return once.where("node = high").groupBy("node").agg(F.sum("weight").alias("own"))
+
 
+def different(left: str, right: str) -> Column:
+    """How many of the kept components differ, by their lowest bytes."""
+    total = F.lit(0)
+    for i in range(KEPT // 8):
+        x = F.get(F.col(left), F.lit(i)).bitwiseXOR(F.get(F.col(right), F.lit(i)))
+        for step in (4, 2, 1):  # the lowest bit of each byte gathers all its bits
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
 
-def with_digests(docs: DataFrame) -> DataFrame:
-    """docs with _d1 and _d2, a digest of the text's words; null without a doc_id or a word."""
-    words = F.array_join(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), " ")
-    counts = F.col("doc_id").isNotNull() & F.col("text").rlike(WORD)
-    return docs.withColumn("_d1", F.when(counts, F.xxhash64(words))).withColumn("_d2", F.when(counts, F.xxhash64(F.lit(71), words)))
+
+def open_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (x, y) of nodes that share a band, are in different components and may be similar enough.
+
+    rows: band, node, label, away (distance to the band's first node), weight, own, keys, sig. Left out is
+    what cannot be similar: shingles of one's own bound the overlap; distances (a metric) to a third node
+    differ by no more than the distance of the two; and far too many components differ. A pair comes
+    from the least band that it shares.
+    """
+    both = F.least(F.col("l.weight") - F.col("l.own"), F.col("r.weight") - F.col("r.own"))
+    may = (
+        (F.col("l.node") < F.col("r.node"))
+        & (F.col("l.label") != F.col("r.label"))
+        & (both >= similarity * (F.col("l.weight") + F.col("r.weight") - both) - 1e-9)
+        & (F.abs(F.col("l.away") - F.col("r.away")) <= 1 - similarity + 1e-9)
+        & (different("l.sig", "r.sig") <= MOST_DIFFERENT)
+        & (F.array_min(F.array_intersect(F.col("l.keys"), F.col("r.keys"))) == F.col("l.band"))
+    )
+    joined = rows.alias("l").join(rows.alias("r"), (F.col("l.band") == F.col("r.band")) & may)
+    return joined.select(F.col("l.node").alias("x"), F.col("r.node").alias("y"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Classes of near-duplicates among docs (doc_id, text, _d1, _d2): _d1, _d2, class_id, first_d1, first_d2.
+    """Classes of near-duplicates among docs (doc_id, text, _t1, _t2), where _t1 and _t2 are a digest of the text and
+    every text has a word: _t1, _t2, class_id, first (doc_id, _t1, _t2), a row for each different text.
 
     Two texts are near-duplicates if the weighted Jaccard similarity of their multisets of shingles is
     at least `similarity`; classes are the connected components of that relation. class_id is the least
-    doc_id in the class, first_d1 and first_d2 tell the words of the document that has it.
+    doc_id in the class, and first is the document that has it.
 
     Texts of the same words fold into one node first. The nodes' band keys deal them into buckets. In
-    each, every node is compared with the bucket's least one; then, with components at hand, nodes of a
-    bucket that are in different components are compared with each other. So a comparison is left out
-    only where both nodes are in one component already, and a huge group of copies takes as many
-    comparisons as it has texts, not their square.
+    each, every node is compared with the bucket's oldest one; then, with components at hand, nodes of a
+    bucket that are in different components are compared with each other, but for pairs that can't be
+    similar enough (open_pairs). So a comparison is left out only where both nodes are in one component
+    already or where bounds rule it out.
     """
 
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from sign_texts(batches, shingle, bands, rows)
 
-    known = docs.where("_d1 IS NOT NULL").select("doc_id", "text", "_d1", "_d2")
-    signed = known.select("doc_id", "_d1", "_d2", F.pandas_udf(sign, "array<long>")("text").alias("keys"))
-    nodes = signed.groupBy("_d1", "_d2").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    banded = nodes.select("node", F.explode("keys").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("x"), F.max("node").alias("high")).where("x < high")
-    shared = cut(banded.join(buckets.select("band", "x"), "band"))
-
-    involved = nodes.join(shared.select("node").distinct(), "node").select("node", "doc_id", "_d1", "_d2")
-    texts = cut(known.join(involved, ["doc_id", "_d1", "_d2"]).select("node", "text").dropDuplicates(["node"]))
+    signed = docs.select("doc_id", "_t1", "_t2", F.pandas_udf(sign, SIGNED)("text").alias("s"))
+    signed = cut(signed.select("doc_id", "_t1", "_t2", "s.*"))
+    first = F.min(F.struct("doc_id", "_t1", "_t2")).alias("first")
+    nodes = signed.groupBy("d1", "d2").agg(first, F.any_value(F.struct("keys", "sig", "weight")).alias("s"))
+    nodes = cut(nodes.select("d1", "d2", "first", "s.*", F.monotonically_increasing_id().alias("node")))
+    banded = nodes.select("node", "first.doc_id", F.explode("keys").alias("band"))
+    oldest = F.min(F.struct("doc_id", "node"))["node"].alias("x")  # the likeliest original of a group of copies
+    buckets = banded.groupBy("band").agg(oldest, F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    shared = cut(banded.select("node", "band").join(buckets.select("band", "x"), "band"))
+
+    involved = nodes.join(shared.select("node").distinct(), "node").select("node", "first.*")
+    texts = cut(docs.join(involved, ["doc_id", "_t1", "_t2"]).select("node", "text").dropDuplicates(["node"]))
     stars = shared.where("node <> x").select("x", F.col("node").alias("y")).distinct()
-    links = cut(verified(stars, texts, similarity, shingle))
+    stars = cut(scored(stars, texts, shingle))
+    links = stars.where(F.col("similarity") >= similarity).select("x", "y")
     labels = components(links)
 
     named = shared.join(labels, "node", "left").select("band", "node", "x", F.coalesce("label", "node").alias("label"))
     several = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    apart = named.join(several.select("band"), "band")
-    other = apart.select("band", F.col("node").alias("y"), F.col("label").alias("label_y"))
-    rest = apart.where("node <> x").join(other, "band").where("node < y AND label <> label_y")
-    rest = cut(rest.select(F.col("node").alias("x"), "y").distinct())
+    away = stars.select("x", F.col("y").alias("node"), (1 - F.col("similarity")).alias("away"))
+    apart = cut(named.join(several.select("band"), "band").join(away, ["x", "node"], "left").select("band", "node", "label", F.coalesce("away", F.lit(0.0)).alias("away")))
+    lone = apart.select("node").distinct()
+    facts = nodes.join(lone, "node").select("node", "weight", "keys", "sig")
+    for _ in range(2):  # nodes that can have no partner go; without them more shingles have one owner
+        own = own_weights(texts.join(facts.select("node"), "node"), shingle)
+        facts = facts.drop("own").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        facts = cut(facts.where(F.col("own") <= (1 - similarity) * F.col("weight") + 1e-9))
+    rest = cut(open_pairs(apart.join(facts, "node"), similarity))
     if not rest.isEmpty():
-        more = cut(verified(rest, texts, similarity, shingle))
+        more = cut(scored(rest, texts, shingle).where(F.col("similarity") >= similarity).select("x", "y"))
         if not more.isEmpty():
-            labels = components(links.union(more))
+            labels = merged(labels, more)
 
-    found = nodes.join(labels, "node", "left").select("_d1", "_d2", "doc_id", F.coalesce("label", "node").alias("label"))
-    first = found.groupBy("label").agg(F.min(F.struct("doc_id", "_d1", "_d2")).alias("first"))
-    return found.join(first, "label").select(
-        "_d1", "_d2", F.col("first.doc_id").alias("class_id"), F.col("first._d1").alias("first_d1"), F.col("first._d2").alias("first_d2")
-    )
+    found = nodes.join(labels, "node", "left").select("d1", "d2", "first", F.coalesce("label", "node").alias("label"))
+    least = found.groupBy("label").agg(F.min("first").alias("least"))
+    found = found.join(least, "label").select("d1", "d2", F.col("least.doc_id").alias("class_id"), F.col("least").alias("first"))
+    return signed.select("_t1", "_t2", "d1", "d2").distinct().join(found, ["d1", "d2"]).drop("d1", "d2")
+
+
+def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """labels (node, label) after pairs (x, y) of nodes join components: only the components meet in rounds."""
+    named = pairs
+    for side in ("x", "y"):
+        own = labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+        named = named.join(own, side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
+    joined = components(named.select(F.col("label_x").alias("x"), F.col("label_y").alias("y")).where("x <> y").distinct())
+    joined = joined.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    renamed = labels.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    # components of one node have no row in labels yet
+    single = joined.join(labels.select(F.col("node").alias("label")), "label", "left_anti")
+    return cut(renamed.union(single.select(F.col("label").alias("node"), F.col("new").alias("label"))))
 
 
 def classified(docs: DataFrame, **settings) -> tuple[DataFrame, DataFrame]:
     """docs in two parts: those that may have copies, with digests, _class_id and _is_first; and the rest."""
-    rows = with_digests(docs)
-    found = near_duplicates(rows, **settings)
-    first = (F.col("doc_id") == F.col("class_id")) & (F.col("_d1") == F.col("first_d1")) & (F.col("_d2") == F.col("first_d2"))
-    joined = rows.where("_d1 IS NOT NULL").join(found, ["_d1", "_d2"])
-    joined = joined.withColumn("_class_id", F.col("class_id")).withColumn("_is_first", first)
-    return joined.select(*docs.columns, "_d1", "_d2", "_class_id", "_is_first"), rows.where("_d1 IS NULL").select(*docs.columns)
+    rows = docs.withColumn("_t1", F.xxhash64("text")).withColumn("_t2", F.xxhash64(F.lit(71), "text"))
+    known = F.coalesce(F.col("doc_id").isNotNull() & F.col("text").rlike(WORD), F.lit(False))
+    found = near_duplicates(rows.where(known).select("doc_id", "text", "_t1", "_t2"), **settings)
+    found = found.select("_t1", "_t2", F.col("class_id").alias("_class_id"), F.col("first").alias("_first"))
+    joined = rows.where(known).join(found, ["_t1", "_t2"]).withColumn("_is_first", F.struct("doc_id", "_t1", "_t2") == F.col("_first"))
+    return joined.select(*docs.columns, "_t1", "_t2", "_class_id", "_is_first"), rows.where(~known).select(*docs.columns)
 
 
 def classes(docs: DataFrame, **settings) -> DataFrame:
@@ -226,18 +301,18 @@ def classes(docs: DataFrame, **settings) -> DataFrame:
 
     _class_id is the least doc_id of the row's class of near-duplicates; _is_first marks the document of
     that doc_id, which is the one to keep. Texts that are null or have no word, and rows without a
-    doc_id, are no one's copy: they are a class of their own and stay. Rows that share doc_id and words
+    doc_id, are no one's copy: they are a class of their own and stay. Rows that share doc_id and text
     are one document and are marked alike.
     """
     joined, rest = classified(docs, **settings)
     rest = rest.withColumn("_class_id", F.col("doc_id")).withColumn("_is_first", F.lit(True))
-    return joined.drop("_d1", "_d2").unionByName(rest)
+    return joined.drop("_t1", "_t2").unionByName(rest)
 
 
 def deduplicate(docs: DataFrame, **settings) -> DataFrame:
     """docs with one row of each class of near-duplicates, and all rows that are no one's copy."""
     joined, rest = classified(docs, **settings)
-    kept = joined.where("_is_first").dropDuplicates(["doc_id", "_d1", "_d2"])
+    kept = joined.where("_is_first").dropDuplicates(["doc_id", "_t1", "_t2"])
     return kept.select(*docs.columns).unionByName(rest)
 
 

@@ -33,6 +33,9 @@ class WordHashes(dict):
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads them evenly."""
@@ -73,7 +76,7 @@ def find_kmers(batches: Iterator[pd.DataFrame], window: int, gram: int, whole: b
             words = _word.findall(text or "")
             if len(words) < window or k == NO_ID:
                 continue
-            h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            h = hashes.of(words)
             buckets, starts, n = super_kmers(h, window, gram)
             if whole:
                 raw = memoryview(h).cast("B")
