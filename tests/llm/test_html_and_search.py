@@ -27,7 +27,7 @@ def test_templates(spark, name):
 
 
 def test_hosts_vote(spark):
-    page = lambda main, side: f"<body><div class="alpha content"><p>{main}</p></div><div class="beta content"><p>{side}</p></div></body>"
+    page = lambda main, side: f"<body><div class='alpha content'><p>{main}</p></div><div class='beta content'><p>{side}</p></div></body>"
     rows = [(i, f"http://h.example/{i}", page("main text " * 30, "side " * 5)) for i in range(30)]
     rows.append((99, "http://h.example/99", page("short main", "an unusually long side bar text " * 9)))
     rows.append((100, "nowhere", page("short main", "an unusually long side bar text " * 9)))
