@@ -30,6 +30,8 @@ BREAKS = set("p h1 h2 h3 h4 h5 h6 pre hr html head thead tfoot caption option".s
 DROPPED = set("nav header footer aside form button select dialog menu canvas object embed audio video label".split())
 INLINE = set("span a small ins em i b strong".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Bytes of winning paths that are broadcast; above that, pages and paths meet by host and one of SALTS numbers.
+MOST_BROADCAST, SALTS = 32_000_000, 64
 #: Words in a class, id or role that mark what isn't the article.
 NOISE = set(
     "nav navbar navigation menu sidebar footer header masthead banner ad ads adv advert adverts advertisement "
@@ -38,6 +40,12 @@ NOISE = set(
     "sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget skip "
     "search complementary contentinfo dialog hidden".split()
 )
+#: Beginnings of such words, and of words that only look like them.
+NOISE_STEMS = tuple("cookie advert sidebar comment newsletter footer popup sponsor breadcrumb navig subscri".split())
+NOT_NOISE = ("commentary", "commented")
+#: "with-sidebar" and the like say what stands beside.
+_beside = re.compile(r"\b(?:has|with|without|no|hide|show)[-_][a-z]+", re.I)
+_hump = re.compile(r"([a-z])([A-Z])")
 #: Words in a class, id, role or itemprop that mark the article.
 ARTICLE = set("article articlebody content main post entry story body text page blog".split())
 
@@ -46,22 +54,31 @@ def _marks(attrs: str) -> tuple[set[str], str, bool]:
     """Words of the marking attributes, the generalised class (or id), and whether it is hidden."""
     words, label, ident, hidden = set(), "", "", False
     for name, value in _attr.findall(attrs):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name, value = name.lower(), value.strip("\"'")
         if name == "style":
-            hidden |= "display:none" in value.replace(" ", "")
+            hidden |= "display:none" in value.lower().replace(" ", "")
         elif name == "hidden":
             hidden = True
         elif name == "aria-hidden":
-            hidden |= value == "true"
+            hidden |= value.lower() == "true"
         else:
-            words.update(_name.findall(value))
-            if name == "class" and value:
-                label = "." + re.sub(r"\d+", "0", value.split()[0]) if value.split() else ""
+            words.update(_name.findall(_hump.sub(r"\1 \2", _beside.sub(" ", value)).lower()))
+            if name == "class" and value.split():
+                label = "." + re.sub(r"\d+", "0", value.split()[0])
             elif name == "id":
                 ident = "#" + re.sub(r"\d+", "0", value)
     return words, label or ident, hidden
 
 
+def is_noise(tag: str, words: set[str]) -> bool:
+    """Whether an element is boilerplate by its marks; main and article only if they hold a comment."""
+    if tag == "body" or not words:
+        return False
+    if tag in ("main", "article"):
+        return any(w.startswith("comment") and w not in NOT_NOISE for w in words)
+    return bool(words & NOISE) or any(w.startswith(NOISE_STEMS) and w not in NOT_NOISE for w in words)
+
+
 def parse(page: str) -> tuple[list[str], list[tuple[str, float, int, int, float]]]:
     """The page's text blocks without boilerplate, and its containers.
 
@@ -132,7 +149,7 @@ def parse(page: str) -> tuple[list[str], list[tuple[str, float, int, int, float]
             continue
         if dropped and tag not in DROPPED:
             stack.append([tag, None, "", 0.0])  # so that its end tag closes nothing else
-        elif tag in DROPPED or hidden or (tag != "body" and words & NOISE):
+        elif tag in DROPPED or hidden or is_noise(tag, words):
             dropped += 1
             stack.append([tag, None, None, 0.0])
         elif tag in CONTAINERS:
@@ -185,8 +202,8 @@ def extract_main(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
     Each page votes for the path of its best container. A host's winning paths are those with at least
     least_share of its votes, most votes first; each page is then extracted by the first winning path
     that it has. Pages without a host or without any winning path go by their own best container.
-    Votes are summed before the shuffle, so a hot host is a few rows there; how the winners reach the
-    pages is left to Spark, which broadcasts them only if they are small and splits a hot host otherwise.
+    Votes are summed before the shuffle, so a hot host is a few rows there. The winners are broadcast if
+    their measured size allows it, so that no page travels; else a hot host's pages are salted.
     Blocks are joined by one line feed in page order; white space within a block (br and no-break space
     included) becomes one space. Null or empty html gives an empty text. Repeated pages keep a row each.
     """
@@ -198,7 +215,14 @@ def extract_main(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
     winners = ranked.groupBy("_host").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "path"))).alias("ranked")
     )
-    joined = rows.join(winners.select("_host", F.col("ranked.path").alias("_paths")), "_host", "left")
+    winners = cut(winners.select("_host", F.col("ranked.path").alias("_paths")))
+    size = winners.agg(F.sum(F.length("_host") + F.length(F.array_join("_paths", " ")) + 100)).first()[0] or 0
+    if size <= MOST_BROADCAST:
+        joined = rows.join(F.broadcast(winners), "_host", "left")
+    else:  # each host's paths go to SALTS places, among which its pages are dealt
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        copies = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = salted.join(copies, ["_host", "_salt"], "left")
     text = F.pandas_udf(extract_text, "string")(F.coalesce("html", F.lit("")), F.col("_paths"))
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
