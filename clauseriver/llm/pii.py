@@ -141,8 +141,10 @@ def score_patterns(scanned: DataFrame, rounds: int = ROUNDS, least_score: float
         useful = patterns.where("p > 0").select("pattern", "p")
         reached = edges.where("candidate = 1 AND seed = 0").join(useful, "pattern")
         values = reached.groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("v"))
-        scored = cut(edges.join(values, "value", "left").select("pattern", "value", "seed", "candidate",
-            F.when(F.col("seed") == 1, 1.0).when(F.col("candidate") == 1, F.coalesce("v", F.lit(0.0))).otherwise(0.0).alias("score")))
+        is_open = (F.col("candidate") == 1) & (F.col("seed") == 0)
+        settled = edges.where(~is_open).withColumn("score", F.col("seed").cast("double"))  # common words stay out of the join
+        guessed = edges.where(is_open).join(values, "value", "left").withColumn("score", F.coalesce("v", F.lit(0.0))).drop("v")
+        scored = cut(settled.unionByName(guessed))
     trusted = patterns.where((F.col("p") >= least_score) & (F.col("support") >= least_support))
     return trusted.select("pattern", F.col("p").alias("score"))
 
