@@ -95,7 +95,7 @@ def features(h: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingle_hashes(h, shingle), return_counts=True)
 
 
-def sign_texts(batches: Iterator[pd.Series], shingle: int, bands: int, rows: int, at_once: int = 1000) -> Iterator[pd.DataFrame]:
+def sign_texts(batches: Iterator[pd.Series], shingle: int, bands: int, rows: int, at_once: int = 500) -> Iterator[pd.DataFrame]:
     """Digest of the words, band keys, kept components and number of shingles of each text; every text has a word."""
     hashes = WordHashes()
     for batch in batches:
