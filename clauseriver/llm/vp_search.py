@@ -18,6 +18,8 @@ SHARD_ROWS, BLOCK_QUERIES = 8192, 4096
 LEAF = 256
 #: 1 is exact; above it, a branch is passed over if its least distance times the factor is too far.
 FACTOR = 1.1
+#: What rounding may add to a distance between points of norm 1.
+SLACK = 1e-7
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -49,15 +51,24 @@ class Search:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float, leaf: int):
         self.ids, self.vectors, self.query_ids, self.queries, self.k, self.factor = ids, vectors, query_ids, queries, k, factor
-        # a further coordinate gives all points the same norm, so that a larger inner product is a smaller distance
-        square = (vectors**2).sum(axis=1)
-        self.most = square.max()
-        self.points = np.column_stack([vectors, np.sqrt(np.maximum(0, self.most - square))])
-        self.lifted = np.column_stack([queries, np.zeros(len(queries))])
-        self.query_square = (queries**2).sum(axis=1)
         self.scores = np.full((len(queries), k), -np.inf)
         self.rows = np.full((len(queries), k), -1)
-        self.visit(Node(self.points, np.argsort(ids, kind="stable"), leaf), np.arange(len(queries)))
+        norms, sizes = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
+        self.sizes = np.where(sizes > 0, sizes, 1)
+        self.lifted = np.column_stack([queries / self.sizes[:, None], np.zeros(len(queries))])
+        self.points = np.empty((len(vectors), vectors.shape[1] + 1))
+        # layers of norms within a factor of two, longest first, each with its own tree: there a further coordinate gives
+        # all points the norm 1, as the queries have, so that a larger inner product is a smaller distance. Neither a long
+        # vector nor a long query is then far from all others, where a relative bound would pass everything over.
+        left = np.argsort(ids, kind="stable")
+        while len(left):
+            self.reach = norms[left].max() or 1.0
+            inside = norms[left] >= min(norms[left].max(), self.reach / 2)
+            rows, left = left[inside], left[~inside]
+            unit = vectors[rows] / self.reach
+            self.points[rows] = np.column_stack([unit, np.sqrt(np.maximum(0, 1 - (unit**2).sum(axis=1)))])
+            asked = np.flatnonzero(self.worst(np.arange(len(queries))) >= -SLACK)
+            self.visit(Node(self.points, rows, leaf), asked)
 
     def visit(self, node: Node, asked: np.ndarray) -> None:
         if not len(asked):
@@ -76,8 +87,11 @@ class Search:
     def open(self, asked: np.ndarray, away: np.ndarray, span: tuple[float, float]) -> np.ndarray:
         """Whether a child may hold something nearer, by the triangle inequality."""
         least = np.maximum(np.maximum(away - span[1], span[0] - away), 0)
-        worst = self.query_square[asked] + self.most - 2 * self.scores[asked].min(axis=1)
-        return least * self.factor <= np.sqrt(np.maximum(worst, 0)) + 1e-9
+        return least * self.factor <= np.sqrt(np.maximum(self.worst(asked), 0)) + SLACK
+
+    def worst(self, asked: np.ndarray) -> np.ndarray:
+        """The squared distance in this layer of the k-th best inner product; below 0 if no row of it can reach that."""
+        return 2 - 2 * self.scores[asked].min(axis=1) / (self.sizes[asked] * self.reach)
 
     def scan(self, rows: np.ndarray, asked: np.ndarray) -> None:
         found = self.queries[asked] @ self.vectors[rows].T

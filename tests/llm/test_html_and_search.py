@@ -98,6 +98,21 @@ def test_recall_of_the_production_factor(spark):
     assert np.mean([len(set(got[q]) & set(expected[q])) / 20 for q in expected]) >= 0.9
 
 
+@pytest.mark.parametrize("times", [20, 50, 1000])
+def test_recall_beside_a_few_long_vectors(times):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[[7, 40, 1111]] *= times  # 40 is a query too
+    x[60] /= times
+    ids = list(range(3000))
+    expected = brute(ids, x, 20)
+    asked = np.array(sorted(expected))
+    done = vp_search.Search(np.arange(3000), x, asked, x[asked], 20, vp_search.FACTOR, vp_search.LEAF)
+    recall = [len(set(rows) & set(expected[q])) / 20 for q, rows in zip(asked.tolist(), done.rows.tolist(), strict=True)]
+    assert np.mean(recall) >= 0.9 and min(recall) >= 0.5
+
+
 def test_pruning_passes_branches_over():
     x = vectors(4000, 8, clusters=200)
     seen = []
