@@ -21,12 +21,15 @@ KINDS = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 CONTEXT = "context"
-#: A lexical pattern with what follows it: a word, a delimiter, a value.
-KEY_VALUE = r"(?<![\p{L}_-])\p{L}[\p{L}_-]{1,30}+ {0,2}+[:=#] {0,2}+[\"']?+[^\s\"']{1,64}+"
-KEY = r"^(\p{L}[\p{L}_-]*) *[:=#]"
-VALUE = r"^\p{L}[\p{L}_-]* *[:=#] *[\"']?(.*?)[.,;:)\]}>]*$"
-#: A value that could be an identifier: eight or more characters, a digit among them.
-IDENTIFIER = r"^(?=.*[0-9])[A-Za-z0-9][A-Za-z0-9_./+@-]{7,}$"
+#: A whole run of value characters, a digit among them; the ends are trimmed afterwards. Tried only where a run begins.
+RUN = r"(?<![\p{L}0-9_./+@-])(?=[\p{L}_./+@-]*+[0-9])[\p{L}0-9_./+@-]{8,}+(?:={1,2}+(?![\p{L}0-9=]))?+"
+LEADING, TRAILING = r"^[_./+@-]+", r"[_./+@-]+$"
+#: What the fixed patterns have judged and rejected is no candidate: numbers as long as a card's, four dotted numbers.
+REJECTED = r"^(?:[0-9](?:-?[0-9]){15,18}|[0-9]+(?:\.[0-9]+){3})$"
+#: Characters on either side of a value in which its words are sought (words cut off by that are none), and words a side.
+WIDE, WORDS = 96, 3
+#: First character of a pattern: words on the left, words on the right, shape of the value.
+LEFT, RIGHT, SHAPE = "<", ">", "s"
 #: Rounds of scoring, least score of a pattern, least number of different instances that support it.
 ROUNDS, LEAST_SCORE, LEAST_SUPPORT = 3, 0.5, 3
 
@@ -89,63 +92,99 @@ def base_spans(text: Column) -> dict[str, Column]:
     return out
 
 
+def _normal_words(window: Column) -> Column:
+    """Words in lower case with 0 for each digit, without what delimits them."""
+    plain = F.regexp_replace(F.lower(window), "[0-9]", "0")
+    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def _shape(value: Column) -> Column:
+    """Length and kinds of characters."""
+    kinds = [F.when(value.rlike(c), F.lit(n)).otherwise(F.lit("")) for n, c in (("a", r"\p{Ll}"), ("A", r"\p{Lu}"), ("0", "[0-9]"))]
+    return F.concat(F.lit(SHAPE + " "), F.length(value), F.lit(" "), *kinds, F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace(value, r"[\p{L}0-9]", ""), ""))), ""))
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, a key of the row, the base spans by kind, and its key-value pairs (start, end, pattern, value, role).
+    """doc_id, a key of the row, the base spans by kind, and its instances (start, end, value, seed, patterns).
 
-    role is seed where the value begins a base span, candidate where it looks like an identifier and
-    touches no base span, and plain otherwise.
+    Instances are the base spans, as seeds, and the candidates: runs of value characters of any length that
+    could be identifiers and touch no base span. Patterns of an instance are the one to three words before
+    it, the word before it with its delimiter, the one to three words after it, and the value's shape; a
+    mere number next to the value gives no pattern on that side.
     """
     rows = docs.select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"),
         F.xxhash64("doc_id", "text").alias("_a"), F.xxhash64(F.lit(71), "doc_id", "text").alias("_b"),
     )
-    found = rows.select("doc_id", "_a", "_b", *[c.alias(k) for k, c in base_spans(F.col("text")).items()], located(F.col("text"), KEY_VALUE).alias("pairs"))
+    found = rows.select("doc_id", "text", "_a", "_b", *[c.alias(k) for k, c in base_spans(F.col("text")).items()], located(F.col("text"), RUN).alias("runs"))
     every = F.concat(*KINDS)
 
-    def pair(m: Column) -> Column:
-        value = F.regexp_extract(m["value"], VALUE, 1)
-        rest = F.length(F.regexp_extract(m["value"], r"^\p{L}[\p{L}_-]* *[:=#] *[\"']?", 0))
-        start = m["start"] + rest
-        end = start + F.length(value)
-        seed = F.filter(every, lambda s: s["start"] == start)
-        touches = F.exists(every, lambda s: (s["start"] < end) & (s["end"] > start))
-        return F.struct(
-            start.alias("start"),
-            end.alias("end"),
-            F.lower(F.regexp_extract(m["value"], KEY, 1)).alias("pattern"),
-            F.when(F.size(seed) > 0, F.get(seed, F.lit(0))["value"]).otherwise(value).alias("value"),
-            F.when(F.size(seed) > 0, F.lit("seed")).when(~touches & value.rlike(IDENTIFIER), F.lit("candidate")).otherwise(F.lit("plain")).alias("role"),
-        )
+    def instance(start: Column, value: Column, seed: bool) -> Column:
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.lit(seed).alias("seed"))
+
+    def trimmed(r: Column) -> Column:
+        value = F.regexp_replace(r["value"], LEADING, "")
+        return instance(r["start"] + F.length(r["value"]) - F.length(value), F.regexp_replace(value, TRAILING, ""), False)
 
-    return found.withColumn("pairs", F.transform("pairs", pair))
+    def is_candidate(x: Column) -> Column:
+        touches = F.exists(every, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
+        return (F.length(x["value"]) >= 8) & x["value"].rlike("[0-9]") & ~x["value"].rlike(REJECTED) & ~touches
+
+    seeds = F.transform(every, lambda s: instance(s["start"], s["value"], True))
+    found = found.withColumn("instances", F.concat(seeds, F.filter(F.transform("runs", trimmed), is_candidate)))
+
+    def with_words(x: Column) -> Column:
+        text = F.col("text")
+        before = F.substring(text, F.greatest(x["start"] - WIDE, F.lit(0)) + 1, F.least(x["start"], F.lit(WIDE)))
+        before = F.when(x["start"] > WIDE, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
+        after = F.substring(text, x["end"] + 1, F.lit(WIDE))
+        after = F.when(F.length(after) == WIDE, F.regexp_replace(after, r"[\p{L}\p{N}]++$", "")).otherwise(after)
+        mark = F.regexp_extract(before, r"([:=#])[\s\"']*+$", 1)
+        return F.struct(x.alias("x"), F.reverse(_normal_words(before)).alias("before"), _normal_words(after).alias("after"), mark.alias("mark"))
+
+    def with_patterns(y: Column) -> Column:
+        of = lambda side, words, k: F.when((F.size(words) >= k) & F.get(words, F.lit(0)).rlike(r"\p{L}"), F.concat(F.lit(f"{side}{k} "), F.array_join(F.slice(words, 1, k), " ")))
+        marked = F.when((y["mark"] != "") & (F.size(y["before"]) > 0), F.concat(F.lit(LEFT), y["mark"], F.lit(" "), F.get(y["before"], F.lit(0))))
+        texts = [of(side, y[words], k) for side, words in ((LEFT, "before"), (RIGHT, "after")) for k in range(1, WORDS + 1)]
+        patterns = F.array_compact(F.array(*texts, marked, _shape(y["x"]["value"])))
+        return F.struct(*[y["x"][c].alias(c) for c in ("start", "end", "value", "seed")], patterns.alias("patterns"))
+
+    return found.select("doc_id", "_a", "_b", *KINDS, F.transform(F.transform("instances", with_words), with_patterns).alias("instances"))
 
 
 def score_patterns(scanned: DataFrame, rounds: int = ROUNDS, least_score: float = LEAST_SCORE, least_support: int = LEAST_SUPPORT) -> DataFrame:
     """pattern and score of the trusted patterns.
 
-    The graph links each pattern to the different values seen after it. Seeds score 1, plain values 0.
-    In each round a pattern scores the mean of its values (with one more worth 0, against chance), and a
-    candidate the chance that one of its patterns is right, patterns being taken as independent. Trusted
-    are patterns with the least score and enough values that score at least half. Edges are made
-    distinct before they meet, with a partial aggregation on each side.
+    The graph links each pattern to the different values seen with it. Seeds score 1. In each round a
+    pattern scores the mean of its values (with one more worth 0, against chance), and a candidate the
+    chance that its best pattern of one of the families (words on the left, words on the right, shape) is
+    right, families being taken as independent: so patterns that share values or shapes back each other.
+    Trusted are patterns of words with the least score and enough values that are seeds or that the other
+    families alone give at least half. Edges are made distinct before they meet, with a partial
+    aggregation on each side.
     """
-    edges = scanned.select(F.explode("pairs").alias("p")).select("p.pattern", "p.value", "p.role")
-    edges = cut(edges.groupBy("pattern", "value").agg(F.max((F.col("role") == "seed").cast("int")).alias("seed"), F.max((F.col("role") == "candidate").cast("int")).alias("candidate")))
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
+    edges = scanned.select(F.explode("instances").alias("x")).select(F.explode("x.patterns").alias("pattern"), "x.value", "x.seed")
+    edges = cut(edges.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("int")).alias("seed")))
+    family = F.substring("pattern", 1, 1)
+    scored = edges.withColumn("score", F.col("seed").cast("double")).withColumn("others", F.col("score"))
     for k in range(rounds):
         patterns = scored.groupBy("pattern").agg(
-            (F.sum("score") / (F.count("*") + 1)).alias("p"), F.sum(F.expr("IF(score >= 0.5, 1, 0)")).alias("support")
+            (F.sum("score") / (F.count("*") + 1)).alias("p"), F.sum(F.expr("IF(others >= 0.5, 1, 0)")).alias("support")
         )
         if k == rounds - 1:
             break
         useful = patterns.where("p > 0").select("pattern", "p")
-        reached = edges.where("candidate = 1 AND seed = 0").join(useful, "pattern")
-        values = reached.groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("v"))
-        is_open = (F.col("candidate") == 1) & (F.col("seed") == 0)
-        settled = edges.where(~is_open).withColumn("score", F.col("seed").cast("double"))  # common words stay out of the join
-        guessed = edges.where(is_open).join(values, "value", "left").withColumn("score", F.coalesce("v", F.lit(0.0))).drop("v")
+        reached = edges.where("seed = 0").join(useful, "pattern")
+        reached = reached.groupBy("value", family.alias("family")).agg(F.max("p").alias("p"))
+        values = reached.groupBy("value").agg(
+            (1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score"), F.map_from_entries(F.collect_list(F.struct("family", "p"))).alias("by")
+        )
+        settled = edges.where("seed = 1").withColumn("score", F.lit(1.0)).withColumn("others", F.lit(1.0))
+        guessed = edges.where("seed = 0").join(values, "value", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        own = F.coalesce(F.element_at("by", family), F.lit(0.0))
+        guessed = guessed.withColumn("others", 1 - (1 - F.col("score")) / (1 - own)).drop("by")
         scored = cut(settled.unionByName(guessed))
-    trusted = patterns.where((F.col("p") >= least_score) & (F.col("support") >= least_support))
+    trusted = patterns.where((F.col("p") >= least_score) & (F.col("support") >= least_support) & ~F.startswith("pattern", F.lit(SHAPE)))
     return trusted.select("pattern", F.col("p").alias("score"))
 
 
@@ -154,12 +193,13 @@ def find_personal_data(docs: DataFrame, **settings) -> DataFrame:
 
     docs needs doc_id and text; null texts count as empty. _a and _b are a key of (doc_id, text); rows
     that repeat have the same key and the same spans. Texts are read once and never shuffled: all that
-    is kept of them are spans and key-value pairs.
+    is kept of them are spans, candidates and the words around them.
     """
     scanned = cut(scan(docs))
     trusted = cut(score_patterns(scanned, **settings))
-    pairs = scanned.select("_a", "_b", F.explode("pairs").alias("p")).where("p.role = 'candidate'")
-    added = pairs.select("_a", "_b", "p.start", "p.end", "p.value", "p.pattern").join(trusted, "pattern")
+    found = scanned.select("_a", "_b", F.explode("instances").alias("x")).where("NOT x.seed")
+    found = found.select("_a", "_b", "x.start", "x.end", "x.value", F.explode("x.patterns").alias("pattern"))
+    added = found.join(trusted, "pattern", "left_semi")
     added = added.groupBy("_a", "_b").agg(F.array_sort(F.collect_set(F.struct("start", "end", "value"))).alias(CONTEXT))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     return scanned.join(added, ["_a", "_b"], "left").select("doc_id", "_a", "_b", *KINDS, F.coalesce(CONTEXT, none).alias(CONTEXT))

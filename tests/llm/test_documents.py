@@ -213,6 +213,28 @@ def test_patterns_find_identifiers_that_no_rule_knows(spark):
     assert all(len(out[i]["email"]) == 1 for i in range(12))
 
 
+def test_patterns_spread_from_prose_to_a_context_without_seeds(spark):
+    """Base entities stand in prose only, tokens partly too; then `key` is trusted through the tokens it shares."""
+    ends = ["over there", "again today", "behind us", "below this"]
+    rows = [(i, f"{prose(i, 9)} user{i}@mail{i}.example.com {ends[i % 4]} {prose(100 + i, 9)}", None) for i in range(60)]
+    token = {i: f"{i:02d}" + "9f3ac7d1" * (5 if i < 230 else 25) for i in range(200, 240)}
+    for i, t in token.items():
+        rows.append((i, f'{prose(i, 9)} key = "{t}" {ends[i % 4] if i % 2 else prose(300 + i, 4)}', None))
+    rows.append((500, f"{prose(1, 9)} year 2024-01-01x {prose(2, 9)}", None))
+    text = dict((i, t) for i, t, _ in rows)
+    out = {r["doc_id"]: [text[r["doc_id"]][s["start"] : s["end"]] for s in r["context"]] for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    assert {i: c for i, c in out.items() if c} == {i: [t] for i, t in token.items()}
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(docs(spark, rows)).collect()}
+    assert all('key = "[CONTEXT]" ' in redacted[i] and "9f3a" not in redacted[i] for i in token)
+
+
+def test_runs_of_value_characters(spark):
+    values = ["x" * 500 + "7", "--id_12345.a/b+c@", "YWJjZGVmZ2gxMg==", "a.b" * 30_000 + "1", "éà1234567"]
+    df = docs(spark, [(i, f"😀 say: '{v}', end", None) for i, v in enumerate(values)] + [(10, "no-digits-in-here 1234567 4111-1111-1111-1112 1.2.3.400 key12345=value", None)])
+    out = {r["doc_id"]: [(x["start"], x["value"]) for x in r["instances"] if not x["seed"]] for r in pii.scan(df).collect()}
+    assert out == {i: [(8 + 2 * (i == 1), v.strip("-@"))] for i, v in enumerate(values)} | {10: [(56, "key12345")]}
+
+
 def test_redaction_keeps_the_rest(spark):
     rows = bootstrap_docs() + [(60, "x a@b.cd y +1 (269) 555-3296 z", "s"), (61, None, "s"), (60, "x a@b.cd y +1 (269) 555-3296 z", "s")]
     out = defaultdict(list)
