@@ -18,7 +18,7 @@ from clauseriver.llm.common import WORD, cut, read
 WINDOW = 50
 #: Words in the grams among which a window's minimiser is sought.
 GRAM = 5
-#: Distinct packed strings of one bucket that are sorted in one task; larger buckets are split.
+#: Distinct packed strings of one bucket that are sorted in one task; windows of larger buckets meet one by one.
 MOST = 20_000
 #: Stands for a null doc_id in keys.
 NO_ID = -(2**63)
@@ -90,7 +90,7 @@ def find_kmers(batches: Iterator[pd.DataFrame], window: int, gram: int, whole: b
             yield pd.DataFrame(np.hstack(parts).T, columns=names)
 
 
-PACKED = "bucket long, digest_a long, digest_b long, salts int, first long, packed string"
+PACKED = "bucket long, digest_a long, digest_b long, first long, packed string"
 
 
 def pack_kmers(batches: Iterator[pd.DataFrame], window: int, at_once: int = 20_000) -> Iterator[pd.DataFrame]:
@@ -101,7 +101,7 @@ def pack_kmers(batches: Iterator[pd.DataFrame], window: int, at_once: int = 20_0
             words = _word.findall(text)
             for x in needed:
                 piece = words[x["start"] : x["start"] + x["n"] + window - 1]
-                rows.append((x["bucket"], x["digest_a"], x["digest_b"], x["salts"], int(doc_id), " ".join(piece)))
+                rows.append((x["bucket"], x["digest_a"], x["digest_b"], int(doc_id), " ".join(piece)))
             if len(rows) >= at_once:
                 yield pd.DataFrame(rows, columns=names)
                 rows = []
@@ -109,11 +109,33 @@ def pack_kmers(batches: Iterator[pd.DataFrame], window: int, at_once: int = 20_0
         yield pd.DataFrame(rows, columns=names)
 
 
+WINDOWS = "bucket long, digest_a long, digest_b long, first long, at int, window_a long, window_b long"
+
+
+def digest_windows(batches: Iterator[pd.DataFrame], window: int, at_once: int = 100_000) -> Iterator[pd.DataFrame]:
+    """Place and digest of each window of the super-k-mers in `needed`."""
+    names = [x.split()[0] for x in WINDOWS.split(", ")]
+    rows = []
+    for batch in batches:
+        for doc_id, text, needed in batch.itertuples(index=False):
+            words = _word.findall(text)
+            for x in needed:
+                for i in range(x["n"]):
+                    digest = xxhash.xxh3_128_digest(" ".join(words[x["start"] + i : x["start"] + i + window]))
+                    a, b = np.frombuffer(digest, "<i8").tolist()
+                    rows.append((x["bucket"], x["digest_a"], x["digest_b"], int(doc_id), i, a, b))
+                if len(rows) >= at_once:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=names)
+
+
 RUNS = "bucket long, digest_a long, digest_b long, first long, lo int, hi int"
 
 
 def sort_buckets(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by bucket and salt. Of each bucket's distinct strings: the runs of windows (words
+    """Rows come sorted by bucket. Of each bucket's distinct strings: the runs of windows (words
     lo to hi of the string) that also start in a document smaller than the string's first one."""
     names = [x.split()[0] for x in RUNS.split(", ")]
 
@@ -122,7 +144,7 @@ def sort_buckets(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.Da
             yield from batch.itertuples(index=False)
 
     out = []
-    for _, group in groupby(rows(), key=lambda r: (r.bucket, r.salt)):
+    for _, group in groupby(rows(), key=lambda r: r.bucket):
         group = list(group)
         if all(r.first == group[0].first for r in group):
             continue
@@ -130,9 +152,7 @@ def sort_buckets(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.Da
         for k, r in enumerate(group):
             words = r.packed.split(" ")
             for i in range(len(words) - window + 1):
-                text = " ".join(words[i : i + window])
-                if r.salts == 1 or xxhash.xxh3_64_intdigest(text) % r.salts == r.salt:
-                    windows.append((text, r.first, k, i))
+                windows.append((" ".join(words[i : i + window]), r.first, k, i))
         windows.sort()
         covered: dict[int, list[int]] = {}
         for _, same in groupby(windows, key=lambda w: w[0]):
@@ -178,8 +198,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
        document that holds it loses all of it.
     3. Where a bucket has several different super-k-mers, one of each travels as a packed string to its
        bucket. There their windows are sorted, so that equal windows meet, and those that a smaller
-       document holds too go from the string's own document. Buckets with more than `most` strings are
-       dealt out over more tasks by a hash of the window itself.
+       document holds too go from the string's own document. No string of a bucket with more than `most`
+       travels: there each window's 128-bit digest does, and the least document of each digest is found
+       by an aggregation, so that no task holds a bucket.
     """
     find = lambda whole: docs.mapInPandas(partial(find_kmers, window=window, gram=gram, whole=whole), KMERS if whole else SEEN)
     shared = find(False).groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
@@ -187,12 +208,22 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
 
     same = ["bucket", "digest_a", "digest_b"]
     firsts = places.groupBy(*same).agg(F.min(F.struct("k", "a", "start", "n")).alias("f")).select(*same, "f.*")
-    several = firsts.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / most).cast("int").alias("salts"))
-    needed = firsts.join(several, "bucket").groupBy("k", "a").agg(F.collect_list(F.struct("start", "n", *same, "salts")).alias("needed"))
-    packed = docs.join(needed, ["k", "a"]).select("doc_id", "text", "needed").mapInPandas(partial(pack_kmers, window=window), PACKED)
-    packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    packed = packed.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
+    several = cut(firsts.groupBy("bucket").count().where("count > 1"))
+
+    def needed_of(buckets: DataFrame) -> DataFrame:
+        needed = firsts.join(buckets.select("bucket"), "bucket").groupBy("k", "a").agg(F.collect_list(F.struct("start", "n", *same)).alias("needed"))
+        return docs.join(needed, ["k", "a"]).select("doc_id", "text", "needed")
+
+    packed = needed_of(several.where(F.col("count") <= most)).mapInPandas(partial(pack_kmers, window=window), PACKED)
+    packed = packed.repartition("bucket").sortWithinPartitions("bucket")
     runs = packed.mapInPandas(partial(sort_buckets, window=window), RUNS)
+    large = several.where(F.col("count") > most)
+    if not large.isEmpty():
+        windows = cut(needed_of(large).mapInPandas(partial(digest_windows, window=window), WINDOWS))
+        key = ["window_a", "window_b"]
+        least = windows.groupBy(*key).agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
+        later = windows.join(least, key).where("first > low")
+        runs = runs.unionByName(later.select(*same, "first", F.col("at").alias("lo"), (F.col("at") + window).alias("hi")))
 
     whole = places.join(firsts.select(*same, F.col("k").alias("first")), same).where("k > first")
     part = places.join(runs, same).where("k = first")

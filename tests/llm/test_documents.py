@@ -370,6 +370,28 @@ def test_passages_against_brute_force(spark, most):
     assert sorted(map(tuple, out), key=str) == brute_kept(rows)
 
 
+def test_no_task_holds_a_large_bucket(spark, monkeypatch):
+    hashes = substring_dedup.WordHashes()
+    least = lambda g: substring_dedup.super_kmers(hashes.of(g.split()), 5, 5)[0].view(np.uint64)[0]
+    gram = min((f"g{i} the same five words" for i in range(20_000)), key=least)  # the minimiser of all windows that hold it
+    rows = [(i, prose(700 + i, 60) + " " + (gram + " ") * 2 + prose(800 + i, 60), None) for i in range(60)] + [(100 + i, prose(700 + i, 60) + " " + (gram + " ") * 2 + prose(900 + i, 60), None) for i in range(60)]
+    sort, most = substring_dedup.sort_buckets, 10
+
+    def guarded(batches, window):
+        import pandas as pd
+
+        held = list(batches)
+        if held:
+            sizes = pd.concat(held).groupby([c for c in ("bucket", "salt") if c in held[0]]).size()
+            if len(sizes) and sizes.max() > most:
+                raise ValueError(f"{sizes.max()} strings of one bucket in a task")
+        yield from sort(iter(held), window)
+
+    monkeypatch.setattr(substring_dedup, "sort_buckets", guarded)
+    out = substring_dedup.remove_repeats(docs(spark, rows), most=most).collect()
+    assert sorted(map(tuple, out), key=str) == brute_kept(rows)
+
+
 def test_passages_of_nothing(spark):
     assert substring_dedup.remove_repeats(docs(spark, [])).collect() == []
 
