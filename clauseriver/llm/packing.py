@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import base64
 import heapq
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseriver.llm.common import cut, read, sums_before
+from clauseriver.llm.common import cut, hex_slot, read, sums_before
 
 LENGTH = 1024
 VOCABULARY = "byte_bpe_50k"
@@ -26,57 +26,70 @@ _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _chunk = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+")
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Little-endian 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Encoder(dict):
     """Chunk of text -> its ids as little-endian bytes; holds at most `most` chunks.
 
-    tiktoken reads the same vocabulary (its ids are tested to agree) and is faster on short chunks;
-    the tokenizers library takes the long ones.
+    A text is cut at the vocabulary's added tokens (such as <|endoftext|>), whose ids stand for them, and then
+    into chunks. The ids of chunks are those of the tokenizers library.
     """
 
-    def __init__(self, vocabulary: str, most: int = 400_000, short: int = 400):
+    def __init__(self, vocabulary: str, most: int = 400_000, long: int = 400):
         import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
-        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.small = tiktoken.Encoding(
-            vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
-        self.large = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-        self.large.encode_special_tokens = True
-        self.most, self.short = most, short
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {t: as_bytes([i]) for t, i in added.items()}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.most, self.long = most, long
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > self.short:
-            return np.array(self.large.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[chunk] = ids = np.array(self.small.encode_ordinary(chunk), "<u4").tobytes()
+        ids = as_bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        if len(chunk) <= self.long:
+            if len(self) >= self.most:
+                self.clear()
+            self[chunk] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _chunk.findall(text)))
+        if not any(t in text for t in self.added):
+            return b"".join(map(self.__getitem__, _chunk.findall(text)))
+        return b"".join(self.added[p] if i % 2 else b"".join(map(self.__getitem__, _chunk.findall(p))) for i, p in enumerate(self.cuts.split(text)))
 
 
 encoder = lru_cache(maxsize=1)(Encoder)
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, position long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def cut_pieces(batches: Iterator[pd.DataFrame], vocabulary: str, length: int, keep_ids: bool) -> Iterator[pd.DataFrame]:
+def cut_pieces(batches: Iterator[pd.DataFrame], vocabulary: str, length: int, keep_ids: bool, at_once: int = 2000) -> Iterator[pd.DataFrame]:
     encode = encoder(vocabulary)
     size = 4 * length
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep_ids)
+        out["doc_id"] = out["doc_id"].astype("Int64")
+        return out
+
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
+        for doc_id, position, text in zip(batch["doc_id"].tolist(), batch["position"].tolist(), batch["text"], strict=True):
             ids = encode.ids(text or "") + b"\0\0\0\0"
             for at in range(0, len(ids), size):
                 piece = ids[at : at + size]
-                row = (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)
+                row = (doc_id, position, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)
                 rows.append((*row, piece) if keep_ids else row)
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep_ids)
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        yield out
+            if len(rows) >= at_once:
+                yield frame(rows)
+                rows = []
+        yield frame(rows)
 
 
 def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[list[int], int]]:
@@ -131,32 +144,49 @@ def slots(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int, in
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
+def file_position() -> Column:
+    """Where a row of a written table stands: number of its file, of the file's part, and of the row in it."""
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    split = F.coalesce(F.regexp_extract("_metadata.file_name", r"-c(\d+)\.", 1).cast("long"), F.lit(0))
+    return F.coalesce(part, F.lit(0)) * 2**40 + split * 2**32 + F.col("_metadata.row_index")
+
+
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, keep_ids: bool = False, position: Column | None = None) -> DataFrame:
     """Packs docs (doc_id, text) into sequences of at most `length` ids.
 
-    Result, a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
-    and the ids as little-endian bytes if keep_ids. A document is its ids and then id 0 (null text:
-    id 0 alone); it is cut after every `length` ids, so only its last piece can be shorter. The driver
-    gets the histogram (at most `length` numbers) and makes patterns of it; pieces find their places
-    by their rank among those of the same length, counted by ranges of a digest so that the commonest
-    length doesn't meet in one task. Null ids are kept; documents that repeat are packed each time.
+    Result, a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; the ids
+    as little-endian 32-bit numbers if keep_ids; and position if one is given. A document is its ids and then
+    id 0 (null and empty text: id 0 alone); it is cut after every `length` ids, so only its last piece can be
+    shorter. The driver gets the histogram (at most `length` numbers) and makes patterns of it; pieces find
+    their places by their rank among those of the same length. They rank by position (a whole number, such
+    as file_position(); it tells copies of a document apart), so that a pattern's sequences hold pieces that
+    stand near each other, else by a digest; either way they are counted by ranges, so that the commonest length
+    doesn't meet in one task. Null ids are kept; documents that repeat are packed each time; other columns of
+    docs are dropped, whatever their names. No documents, no pieces.
     """
+    ordered = position is not None
     run = partial(cut_pieces, vocabulary=vocabulary, length=length, keep_ids=keep_ids)
-    schema = PIECES + ", ids binary" * keep_ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = texts.mapInPandas(run, schema)
-    key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "ids_crc32")
-    pieces = cut(pieces.withColumn("_digest", F.sha2(key, 256)).withColumn("_one", F.lit(1)))
+    at = position.cast("long") if ordered else F.lit(0).cast("long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), at.alias("position"), F.col("text").cast("string").alias("text"))
+    pieces = cut(texts.mapInPandas(run, PIECES + ", ids binary" * keep_ids).withColumn("_one", F.lit(1)))
+    if ordered:  # ranges of one file each, or of a million rows of it
+        slot, order = F.shiftright("position", 20), ["position", "start"]
+    else:  # equal rows, that no digest tells apart, are dealt by where they stand
+        key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "ids_crc32")
+        pieces = pieces.withColumn("_digest", F.sha2(key, 256))
+        twin = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id() % 4096).otherwise(0)
+        slot, order = F.pmod(hex_slot("_digest") + twin, F.lit(4096)), ["_digest", "doc_id", "start"]
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     rows = slots(shortest_pack_first(histogram, length))
     places = docs.sparkSession.createDataFrame(rows, "length long, _first long, _last long, _sequence long, offset long")
     if len(rows) <= MOST_SLOTS:
         places = F.broadcast(places)
-    ranked = sums_before(pieces, "length", "_digest", ["doc_id", "start"], "_one", "_rank")
+    ranked = sums_before(pieces, "length", slot, order, "_one", "_rank")
     inside = (ranked["length"] == places["length"]) & F.col("_rank").between(F.col("_first"), F.col("_last"))
     return ranked.join(places, inside).select(
         "doc_id", "start", ranked["length"], "ids_crc32", "doc_tokens",
-        (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"), "offset", *["ids"] * keep_ids,
+        (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"), "offset",
+        *["position"] * ordered, *["ids"] * keep_ids,
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from clauseriver.llm.common import WORD, cut, n_words, read, row_key, sums_before
+from clauseriver.llm.common import WORD, cut, hex_slot, n_words, own_names, read, row_key, sums_before
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -73,8 +73,10 @@ def assign(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS, sched
     training position: the time at which the source's integrated schedule has called for all that lies
     before. taken is the sum of words.
 
-    Null texts have no words and no copies; sources may be null or empty strings, which differ.
-    Rows that repeat count each. `_key` is common to rows that agree in all columns.
+    Null and empty texts have no words and no copies; sources may be null or empty strings, which differ.
+    Rows that repeat count each; documents of one digest (the same doc_id) go by size, then by a digest of the row.
+    Two sources never tie, as they differ in name. Only counts of a long text are held. No documents, no rows.
+    `_key` is common to rows that agree in all columns; extra columns of docs take part in it alone.
     """
     sized = cut(docs.select(
         row_key(docs).alias("_key"), "doc_id", "source", n_words(F.col("text")).alias("size"),
@@ -83,7 +85,7 @@ def assign(docs: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS, sched
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats)
     aims = cut(aims.withColumn("target_words", F.round("target").cast("long")))
     placed = sized.join(aims, sized["source"].eqNullSafe(aims["source"])).drop(aims["source"])
-    placed = sums_before(placed, "rank", "_digest", ["size", "_key"], "size", "_before")
+    placed = sums_before(placed, "rank", hex_slot("_digest"), ["_digest", "size", "_key"], "size", "_before")
     which = F.pmod("rank", F.lit(len(schedules)))
 
     def copy(r: int) -> Column:
@@ -120,24 +122,30 @@ def first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus: docs' columns, a row for each copy taken, range-sorted by training position.
 
-    `_position` (0 to 1) is added. The text of a copy that is cut ends after its last word taken.
+    `_position` (0 to 1) is added as the last column (with more underscores if docs has one). The text of a copy
+    that is cut ends after its last word taken. Ties in time go by a digest of the row.
     """
-    plan = assign(docs, **settings).where("size(copies) > 0").select("_key", "size", F.explode("copies").alias("_copy"))
-    once = docs.withColumn("_key", row_key(docs)).dropDuplicates(["_key"])
-    rows = once.join(plan, "_key")
-    text = F.when(F.col("_copy.words") < F.col("size"), F.pandas_udf(first_words, "string")("text", F.col("_copy.words"))).otherwise(F.col("text"))
+    key, position, copy, part, size = own_names(docs, "_key", "_position", "_copy", "_part", "_size")
+    plan = assign(docs, **settings).where("size(copies) > 0")
+    plan = plan.select(F.col("_key").alias(key), F.col("size").alias(size), F.explode("copies").alias(copy))
+    once = docs.withColumn(key, row_key(docs)).dropDuplicates([key])
+    rows = once.join(plan, key)
+    cut_text = F.pandas_udf(first_words, "string")("text", F.col(f"{copy}.words"))
+    text = F.when(F.col(f"{copy}.words") < F.col(size), cut_text).otherwise(F.col("text"))
     rows = rows.select(
-        *[(text.alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns],
-        F.col("_copy.position").alias("_position"), "_key", F.col("_copy.part").alias("_part"),
+        *[(text.alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns], key, F.col(f"{copy}.part").alias(part),
+        F.col(f"{copy}.position").alias(position),
     )
-    order = ["_position", "_key", "_part"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_key", "_part")
+    order = [position, key, part]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop(key, part)
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix as a row for each document, in the order of its first copy: `position` and `position_2` are the
+    training positions of its copies (null where there is none)."""
     plan = assign(read(spark, sf_dir, "documents"))
-    position = F.get(F.col("copies.position"), F.lit(0))
-    plan = plan.select("doc_id", "size", "source_size", "target", "taken", F.round(position, 9).alias("position"))
+    first, second = (F.round(F.get(F.col("copies.position"), F.lit(k)), 9) for k in range(REPEATS))
+    plan = plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"), second.alias("position_2"))
     return plan.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
@@ -158,13 +166,16 @@ WITH d AS (
   SELECT doc_id, size, source_size, target, rank, CAST(round(target) AS BIGINT) AS words,
     coalesce(sum(size) OVER (PARTITION BY rank ORDER BY digest, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source)
-, q AS (SELECT *, before / greatest(target, 1.0) AS part FROM o)
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, words - before)) + greatest(0, least(size, words - before - source_size)) AS BIGINT) AS taken,
-  CASE WHEN least(size, words - before) > 0 THEN round(least(1.0, CASE rank % 3
+, c2 AS (SELECT *, least(size, words - before - k * source_size) > 0 AS takes, (before + k * source_size) / greatest(target, 1.0) AS part
+  FROM o, (VALUES (0), (1)) AS v(k))
+, q AS (
+  SELECT *, CASE WHEN takes THEN round(least(1.0, CASE rank % 3
     WHEN 0 THEN CASE WHEN part <= 0.625 THEN 1.5 - sqrt(greatest(0, 2.25 - 2 * part)) ELSE 0.5 + (1 - sqrt(greatest(0, 1 - 2 * (part - 0.625)))) END
     WHEN 1 THEN part
     ELSE CASE WHEN part <= 0.375 THEN sqrt(greatest(0, 0.25 + 2 * part)) - 0.5 ELSE 0.5 + sqrt(greatest(0, 1 + 2 * (part - 0.375))) - 1 END
-  END), 9) END AS position
-FROM q
+  END), 9) END AS position FROM c2)
+SELECT a.doc_id, a.size, a.source_size, a.target,
+  CAST(greatest(0, least(a.size, a.words - a.before)) + greatest(0, least(a.size, a.words - a.before - a.source_size)) AS BIGINT) AS taken,
+  a.position, b.position AS position_2
+FROM q a JOIN q b ON a.doc_id = b.doc_id AND a.k = 0 AND b.k = 1
 """

@@ -127,7 +127,6 @@ def test_tokens_and_places(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = [(i, x, None) for i, x in enumerate(HARD_TEXTS)] + [(None, "null id", None), (3, "a", None)] + [(100 + i, prose(i, 50 + 37 * i), None) for i in range(40)]
     out = packing.pack(docs(spark, rows), keep_ids=True).collect()
     expected = []
