@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseriver.llm.common import WORD, cut, read
+from clauseriver.llm.common import WORD, cut, own_names, read
 from clauseriver.llm.substring_dedup import WordHashes, mixed
 
 SHINGLE = 5
@@ -82,12 +82,11 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-SIGNED = "d1 long, d2 long, keys array<long>, sig array<long>, weight long"
-#: Components whose lowest byte is kept, eight to a number, to estimate similarities.
-KEPT = 120
-#: Most of these that may differ. At a similarity of 0.8, 24 do, and over 41 with a probability of 0.00005: that of
-#: sharing no band.
-MOST_DIFFERENT = 41
+SIGNED = "d1 long, d2 long, keys array<long>, odd array<long>, weight long"
+#: Bits of a text's parities, in numbers of 64.
+PARITIES = 1024
+#: Shingles that are signed together, at most (one text may hold more); bounds the memory of a task whatever the texts' lengths.
+AT_ONCE = 100_000
 
 
 def features(h: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,37 +94,59 @@ def features(h: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingle_hashes(h, shingle), return_counts=True)
 
 
-def sign_texts(batches: Iterator[pd.Series], shingle: int, bands: int, rows: int, at_once: int = 500) -> Iterator[pd.DataFrame]:
-    """Digest of the words, band keys, kept components and number of shingles of each text; every text has a word."""
+def parities(feature: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each of PARITIES places, whether an odd number of a text's shingles falls there.
+
+    A shingle more or less turns one of them, so two texts differ by at least as many shingles as places.
+    """
+    odd = np.bincount((feature >> np.uint64(33)).astype(np.int64) % PARITIES, weight, PARITIES).astype(np.int64) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def by_words(texts: Iterable[str], hashes: WordHashes, most: int = AT_ONCE) -> Iterator[list[np.ndarray]]:
+    """Hashes of the words of each text, in lists of at most `most` words (or one text)."""
+    out, held = [], 0
+    for text in texts:
+        h = hashes.of(_word.findall(text))
+        if out and held + len(h) > most:
+            yield out
+            out, held = [], 0
+        out.append(h)
+        held += len(h)
+    if out:
+        yield out
+
+
+def sign_texts(batches: Iterator[pd.Series], shingle: int, bands: int, rows: int) -> Iterator[pd.DataFrame]:
+    """Digest of the words, band keys, parities and number of shingles of each text; every text has a word."""
     hashes = WordHashes()
     for batch in batches:
         out = []
-        texts = batch.tolist()
-        for at in range(0, len(texts), at_once):
-            words = [hashes.of(_word.findall(t)) for t in texts[at : at + at_once]]
+        for words in by_words(batch, hashes):
             bags = [features(h, shingle) for h in words]
             owner = np.repeat(np.arange(len(bags)), [len(f) for f, _ in bags])
             feature, weight = (np.concatenate([b[k] for b in bags]) for k in (0, 1))
             signatures = bag_minhash(owner, feature, weight.astype(float), len(bags), bands * rows)
-            low = np.ascontiguousarray(signatures[:, :KEPT].astype(np.uint8)).view("<i8")
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h) for h in words), "<i8").reshape(-1, 2)
-            sums = [int(w.sum()) for _, w in bags]
-            out += list(zip(*digests.T.tolist(), band_keys(signatures, bands, rows), low, sums, strict=True))
-        yield pd.DataFrame(out, columns=["d1", "d2", "keys", "sig", "weight"])
+            out.append(pd.DataFrame({
+                "d1": digests[:, 0], "d2": digests[:, 1], "keys": list(band_keys(signatures, bands, rows)),
+                "odd": [parities(f, w) for f, w in bags], "weight": [int(w.sum()) for _, w in bags],
+            }))
+        yield pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[x.split()[0] for x in SIGNED.split(", ")])
 
 
 def shingle_rows(batches: Iterator[pd.DataFrame], shingle: int) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for batch in batches:
-        for at in range(0, len(batch), 500):
-            part = batch.iloc[at : at + 500]
-            bags = [features(hashes.of(_word.findall(t)), shingle) for t in part["text"]]
-            if bags:
-                yield pd.DataFrame({
-                    "node": np.repeat(part["node"].to_numpy(), [len(f) for f, _ in bags]),
-                    "shingle": np.concatenate([f for f, _ in bags]).view(np.int64),
-                    "weight": np.concatenate([w for _, w in bags]),
-                })
+        at = 0
+        for words in by_words(batch["text"], hashes):
+            bags = [features(h, shingle) for h in words]
+            yield pd.DataFrame({
+                "node": np.repeat(batch["node"].to_numpy()[at : at + len(bags)], [len(f) for f, _ in bags]),
+                "shingle": np.concatenate([f for f, _ in bags]).view(np.int64),
+                "weight": np.concatenate([w for _, w in bags]),
+            })
+            at += len(bags)
 
 
 def bag_similarity(left: str, right: str, shingle: int = SHINGLE) -> float:
@@ -183,35 +204,40 @@ def own_weights(texts: DataFrame, shingle: int) -> DataFrame:
     return once.where("node = high").groupBy("node").agg(F.sum("weight").alias("own"))
 
 
-def different(left: str, right: str) -> Column:
-    """How many of the kept components differ, by their lowest bytes."""
-    total = F.lit(0)
-    for i in range(KEPT // 8):
-        x = F.get(F.col(left), F.lit(i)).bitwiseXOR(F.get(F.col(right), F.lit(i)))
-        for step in (4, 2, 1):  # the lowest bit of each byte gathers all its bits
-            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return total
+#: Nodes of one band that meet those of another such part in one task.
+PART = 1000
+
+
+def least_difference(left: str, right: str) -> Column:
+    """At least so many shingles are in one of two texts only, by their parities."""
+    return sum((F.bit_count(F.get(left, F.lit(i)).bitwiseXOR(F.get(right, F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
 
 
-def open_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+def open_pairs(rows: DataFrame, similarity: float, part: int = PART) -> DataFrame:
     """Pairs (x, y) of nodes that share a band, are in different components and may be similar enough.
 
-    rows: band, node, label, away (distance to the band's first node), weight, own, keys, sig. Left out is
-    what cannot be similar: shingles of one's own bound the overlap; distances (a metric) to a third node
-    differ by no more than the distance of the two; and far too many components differ. A pair comes
-    from the least band that it shares.
+    rows: band, node, label, away (distance to the band's first node), weight, own, keys, odd. Left out is
+    only what cannot be similar: shingles of one's own bound the overlap, and so does the number of
+    shingles that are in one of both alone; distances (a metric) to a third node differ by no more than the
+    distance of the two. A pair comes from the least band that it shares. A band of many nodes is cut into
+    parts of about `part` nodes, and each two of them meet under a key of their own.
     """
+    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    dealt = rows.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left, right = dealt.withColumn("other", every), dealt.withColumnRenamed("part", "other").withColumn("part", every)
     both = F.least(F.col("l.weight") - F.col("l.own"), F.col("r.weight") - F.col("r.own"))
+    weights = F.col("l.weight") + F.col("r.weight")
     may = (
         (F.col("l.node") < F.col("r.node"))
         & (F.col("l.label") != F.col("r.label"))
-        & (both >= similarity * (F.col("l.weight") + F.col("r.weight") - both) - 1e-9)
+        & (both >= similarity * (weights - both) - 1e-9)
         & (F.abs(F.col("l.away") - F.col("r.away")) <= 1 - similarity + 1e-9)
-        & (different("l.sig", "r.sig") <= MOST_DIFFERENT)
+        & (least_difference("l.odd", "r.odd") <= (1 - similarity) / (1 + similarity) * weights + 1e-9)
         & (F.array_min(F.array_intersect(F.col("l.keys"), F.col("r.keys"))) == F.col("l.band"))
     )
-    joined = rows.alias("l").join(rows.alias("r"), (F.col("l.band") == F.col("r.band")) & may)
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("band", "part", "other")]
+    joined = left.alias("l").join(right.alias("r"), same[0] & same[1] & same[2] & may)
     return joined.select(F.col("l.node").alias("x"), F.col("r.node").alias("y"))
 
 
@@ -236,7 +262,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     signed = docs.select("doc_id", "_t1", "_t2", F.pandas_udf(sign, SIGNED)("text").alias("s"))
     signed = cut(signed.select("doc_id", "_t1", "_t2", "s.*"))
     first = F.min(F.struct("doc_id", "_t1", "_t2")).alias("first")
-    nodes = signed.groupBy("d1", "d2").agg(first, F.any_value(F.struct("keys", "sig", "weight")).alias("s"))
+    nodes = signed.groupBy("d1", "d2").agg(first, F.any_value(F.struct("keys", "odd", "weight")).alias("s"))
     nodes = cut(nodes.select("d1", "d2", "first", "s.*", F.monotonically_increasing_id().alias("node")))
     banded = nodes.select("node", "first.doc_id", F.explode("keys").alias("band"))
     oldest = F.min(F.struct("doc_id", "node"))["node"].alias("x")  # the likeliest original of a group of copies
@@ -255,7 +281,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     away = stars.select("x", F.col("y").alias("node"), (1 - F.col("similarity")).alias("away"))
     apart = cut(named.join(several.select("band"), "band").join(away, ["x", "node"], "left").select("band", "node", "label", F.coalesce("away", F.lit(0.0)).alias("away")))
     lone = apart.select("node").distinct()
-    facts = nodes.join(lone, "node").select("node", "weight", "keys", "sig")
+    facts = nodes.join(lone, "node").select("node", "weight", "keys", "odd")
     for _ in range(2):  # nodes that can have no partner go; without them more shingles have one owner
         own = own_weights(texts.join(facts.select("node"), "node"), shingle)
         facts = facts.drop("own").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
@@ -286,34 +312,41 @@ def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(renamed.union(single.select(F.col("label").alias("node"), F.col("new").alias("label"))))
 
 
-def classified(docs: DataFrame, **settings) -> tuple[DataFrame, DataFrame]:
-    """docs in two parts: those that may have copies, with digests, _class_id and _is_first; and the rest."""
-    rows = docs.withColumn("_t1", F.xxhash64("text")).withColumn("_t2", F.xxhash64(F.lit(71), "text"))
+def classified(docs: DataFrame, **settings) -> tuple[DataFrame, DataFrame, list[str]]:
+    """docs in two parts, those that may have copies and the rest; the first one with four more columns, whose
+    names are returned: class id, whether the row is the class's first document, and a digest of the text."""
+    names = own_names(docs, "_class_id", "_is_first", "_t1", "_t2", "_first")
+    class_id, is_first, t1, t2, first = names
+    rows = docs.withColumn(t1, F.xxhash64("text")).withColumn(t2, F.xxhash64(F.lit(71), "text"))
     known = F.coalesce(F.col("doc_id").isNotNull() & F.col("text").rlike(WORD), F.lit(False))
-    found = near_duplicates(rows.where(known).select("doc_id", "text", "_t1", "_t2"), **settings)
-    found = found.select("_t1", "_t2", F.col("class_id").alias("_class_id"), F.col("first").alias("_first"))
-    joined = rows.where(known).join(found, ["_t1", "_t2"]).withColumn("_is_first", F.struct("doc_id", "_t1", "_t2") == F.col("_first"))
-    return joined.select(*docs.columns, "_t1", "_t2", "_class_id", "_is_first"), rows.where(~known).select(*docs.columns)
+    slim = rows.where(known).select("doc_id", "text", F.col(t1).alias("_t1"), F.col(t2).alias("_t2"))
+    found = near_duplicates(slim, **settings)
+    found = found.select(F.col("_t1").alias(t1), F.col("_t2").alias(t2), F.col("class_id").alias(class_id), F.col("first").alias(first))
+    own = F.struct(F.col("doc_id"), F.col(t1).alias("_t1"), F.col(t2).alias("_t2"))
+    joined = rows.where(known).join(found, [t1, t2]).withColumn(is_first, own == F.col(first)).drop(first)
+    return joined, docs.where(~known), names[:4]
 
 
 def classes(docs: DataFrame, **settings) -> DataFrame:
-    """docs (doc_id, text, ...) with _class_id and _is_first.
+    """docs (doc_id, text, ...) with _class_id and _is_first (with more underscores if docs has such columns).
 
     _class_id is the least doc_id of the row's class of near-duplicates; _is_first marks the document of
     that doc_id, which is the one to keep. Texts that are null or have no word, and rows without a
     doc_id, are no one's copy: they are a class of their own and stay. Rows that share doc_id and text
-    are one document and are marked alike.
+    are one document and are marked alike; of two texts with the class's least doc_id, that of the lesser
+    digest is first. Texts of fewer words than a shingle are one shingle; long texts are signed one at a
+    time, whole. An empty table gives an empty result.
     """
-    joined, rest = classified(docs, **settings)
-    rest = rest.withColumn("_class_id", F.col("doc_id")).withColumn("_is_first", F.lit(True))
-    return joined.drop("_t1", "_t2").unionByName(rest)
+    joined, rest, (class_id, is_first, t1, t2) = classified(docs, **settings)
+    rest = rest.withColumn(class_id, F.col("doc_id")).withColumn(is_first, F.lit(True))
+    return joined.drop(t1, t2).unionByName(rest)
 
 
 def deduplicate(docs: DataFrame, **settings) -> DataFrame:
-    """docs with one row of each class of near-duplicates, and all rows that are no one's copy."""
-    joined, rest = classified(docs, **settings)
-    kept = joined.where("_is_first").dropDuplicates(["doc_id", "_t1", "_t2"])
-    return kept.select(*docs.columns).unionByName(rest)
+    """docs with one row of each class of near-duplicates, and all rows that are no one's copy (see classes)."""
+    joined, rest, (_, is_first, t1, t2) = classified(docs, **settings)
+    kept = joined.where(F.col(is_first)).dropDuplicates(["doc_id", t1, t2])
+    return kept.select(*[kept[c] for c in docs.columns]).unionByName(rest)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,10 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049B
 
 
 class WordHashes(dict):
+    """Word -> 64-bit hash; holds at most 100,000 words, so that workers stay small."""
+
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
