@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseriver.llm.common import WORD, cut, read
+from clauseriver.llm.common import WORD, cut, joined_small, own_names, read
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 #: Rules whose failures are counted by host, over the columns of MEASURES.
@@ -22,6 +21,8 @@ RULES = {
     "dup_lines": "n_dup_lines > 5 AND 20 * n_dup_lines > n_words",
 }
 BASE = ("too_short", "repeats")
+#: Share of a host's documents (after shrinkage) that must fail one rule before its clean ones go too.
+MAX_RATE = 0.8
 _word = re.compile(WORD)
 _symbols = "#*$%&|<>"
 
@@ -37,12 +38,19 @@ def measure_text(text: str | None) -> tuple[int, int, int, int, int]:
             dup += 1
         elif _word.search(line):
             lines.add(line)
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    repeated = 0
-    if len(set(windows)) < len(windows):
-        times = Counter(windows)
-        hit = [i for i, w in enumerate(windows) if times[w] > 1]
-        repeated = len(set(chain.from_iterable((i, i + 1, i + 2) for i in hit)))
+    repeated, n = 0, len(words) - 2
+    if n > 1:
+        number: dict[str, int] = {}
+        w = np.fromiter((number.setdefault(x, len(number)) for x in words), np.int64, len(words))
+        # numbers of different pairs, then of different triples, stay below the number of words, so nothing overflows
+        pairs = np.unique(w[:-2] * len(number) + w[1:-1], return_inverse=True)[1]
+        _, which, times = np.unique(pairs * len(number) + w[2:], return_inverse=True, return_counts=True)
+        hit = times[which] > 1
+        if hit.any():
+            cover = np.zeros(len(words), bool)
+            for k in range(3):
+                cover[k : n + k] |= hit
+            repeated = int(cover.sum())
     return len(words), sum(map(len, words)), symbols, dup, repeated
 
 
@@ -52,55 +60,79 @@ def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([measure_text(t) for t in texts], columns=names)
 
 
-def host_verdicts(measured: DataFrame, host: str, max_rate: float) -> DataFrame:
+def with_measures(docs: DataFrame, text: str = "text", out: str = "_measures") -> DataFrame:
+    """docs with the counts over its texts, as a struct; texts stay where they are."""
+    return docs.withColumn(out, F.pandas_udf(measure, MEASURES)(F.col(f"`{text}`")))
+
+
+def fails(rule: str, measures: str) -> Column:
+    """Whether a document fails a rule, by its measures."""
+    return F.expr(re.sub(r"\b(n_\w+|word_chars)", rf"`{measures}`.\1", RULES[rule]))
+
+
+def host_verdicts(measured: DataFrame, host: str, measures: str = "_measures", max_rate: float = MAX_RATE) -> DataFrame:
     """host, n, rate_<rule> for each rule, host_ok: no rule's shrunken failure rate is over max_rate.
 
-    The failures of a rule follow a beta-binomial over hosts; its prior is fitted to all hosts by
-    moments, so that hosts with few documents stay near the mean rate. Rows without a host take part
-    in no verdict. Counts are summed before the shuffle, and only hosts (not documents) meet after it.
+    The failures of a rule follow a beta-binomial over hosts, so that hosts with few documents stay near the
+    mean rate. Its prior is fitted to all hosts by moments: from the spread of the rates is taken what
+    documents would differ by if all hosts were alike, and where nothing is left the hosts count as alike.
+    Rows without a host take part in no verdict. Counts are summed before the shuffle, and only hosts (not
+    documents) meet after it.
     """
-    fails = [F.sum(F.expr(f"IF({rule}, 1, 0)")).alias(f"fails_{name}") for name, rule in RULES.items()]
-    hosts = cut(measured.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n"), *fails))
+    counts = [F.sum(F.when(fails(r, measures), 1).otherwise(0)).alias(f"fails_{r}") for r in RULES]
+    known = measured.where(F.col(f"`{host}`").isNotNull())
+    hosts = cut(known.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count("*").alias("n"), *counts))
     moments = hosts.agg(
-        F.sum("n").alias("n"),
+        F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum(F.expr("CAST(n AS DOUBLE) * n")).alias("n_sq"),
         *[F.sum(f"fails_{r}").alias(r) for r in RULES],
-        *[F.sum(F.expr(f"fails_{r} * fails_{r} / n")).alias(f"{r}_sq") for r in RULES],
-    ).first()
+        *[F.sum(F.expr(f"CAST(fails_{r} AS DOUBLE) * fails_{r} / n")).alias(f"{r}_sq") for r in RULES],
+    ).first()
     ok = F.lit(True)
+    k, n = moments["hosts"], moments["n"] or 1
     for r in RULES:
-        mean = (moments[r] or 0) / (moments["n"] or 1)
-        var = (moments[f"{r}_sq"] or 0) / (moments["n"] or 1) - mean * mean
-        weight = min(max(mean * (1 - mean) / var - 1, 1.0), 1e6) if var > 1e-12 else 1e6
+        mean = (moments[r] or 0) / n
+        spread = (moments[f"{r}_sq"] or 0) - n * mean * mean
+        noise, room = mean * (1 - mean), n - (moments["n_sq"] or 0) / n - (k - 1)
+        alike = (spread / noise - (k - 1)) / room if noise > 1e-12 and room > 1e-9 else 0.0  # correlation within hosts
+        weight = min(max(1 / alike - 1, 1.0), 1e6) if alike > 1e-6 else 1e6
         rate = (F.col(f"fails_{r}") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
         hosts = hosts.withColumn(f"rate_{r}", rate)
         ok &= rate <= max_rate
-    return hosts.select(host, "n", *[f"rate_{r}" for r in RULES], ok.alias("host_ok"))
+    return hosts.select("host", "n", *[f"rate_{r}" for r in RULES], ok.alias("host_ok"))
+
+
+def judge_measured(measured: DataFrame, host: str = "source", max_rate: float = MAX_RATE, measures: str = "_measures") -> DataFrame:
+    """Rows with measures, as with_measures() gives them: with _base_failed and _kept added (see judge_documents)."""
+    base, kept, verdict, key = own_names(measured, "_base_failed", "_kept", "_host_ok", "_host")
+    verdicts = host_verdicts(measured, host, measures, max_rate).select(F.col("host").alias(key), F.col("host_ok").alias(verdict))
+    failed = F.lit(False)
+    for name in BASE:
+        failed |= fails(name, measures)
+    joined = joined_small(measured.withColumn(key, F.col(f"`{host}`")), verdicts, key)
+    joined = joined.withColumn(base, failed).withColumn(kept, ~F.col(base) & F.coalesce(verdict, F.lit(True)))
+    return joined.drop(key, verdict)
 
 
-def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.8) -> DataFrame:
-    """docs with _measures (a struct of MEASURES), _base_failed and _kept added; all other columns stay.
+def judge_documents(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
+    """docs (text, a host column, ...) with _measures (a struct of MEASURES), _base_failed and _kept added.
 
     Base rules reject texts under 50 words, and those where over half of the words stand in repeated
     3-word windows; null texts count as empty and are rejected. A document that passes is still dropped
     if its host is: where, after shrinkage, over max_rate of all its documents fail one of RULES. So a
     host must be bad nearly throughout before it takes a clean document with it. Documents without a
-    host are judged by the base rules alone. Texts are read twice (hosts first) and never shuffled.
+    host are judged by the base rules alone. Texts are read twice (hosts first) and never shuffled, unless
+    the hosts are too many to broadcast. Rows that repeat are judged alike, each; all other columns stay (where docs
+    has columns of these names, the added ones get more underscores; they are the last three). An empty table gives an
+    empty result.
     """
-    measured = docs.withColumn("_measures", F.pandas_udf(measure, MEASURES)(F.col(text)))
-    flat = measured.select(F.col(host).alias("_host"), "_measures.*")
-    verdicts = host_verdicts(flat, "_host", max_rate).select("_host", F.col("host_ok").alias("_host_ok"))
-    failed = F.lit(False)
-    for name in BASE:
-        failed |= F.expr(re.sub(r"\b(n_\w+|word_chars)", r"_measures.\1", RULES[name]))
-    joined = measured.join(verdicts, F.col(host) == F.col("_host"), "left").drop("_host")
-    return joined.withColumn("_base_failed", failed).withColumn(
-        "_kept", ~F.col("_base_failed") & F.coalesce("_host_ok", F.lit(True))
-    ).drop("_host_ok")
+    (measures,) = own_names(docs, "_measures")
+    return judge_measured(with_measures(docs, out=measures), host, max_rate, measures)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return judge_documents(docs).select(
+    measured = cut(with_measures(docs).drop("text"))  # a few numbers a document, so that texts are read once
+    return judge_measured(measured).select(
         "doc_id", "_measures.*", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept")
     )
 
@@ -108,8 +140,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_rate(rule: str) -> str:
     return f"""
 , m_{rule} AS (
-  SELECT mean, CASE WHEN var > 1e-12 THEN least(greatest(mean * (1 - mean) / var - 1, 1.0), 1e6) ELSE 1e6 END AS weight
-  FROM (SELECT sum({rule}) / sum(n) AS mean, sum({rule} * {rule} / n) / sum(n) - (sum({rule}) / sum(n)) ** 2 AS var FROM h))"""
+  SELECT mean, CASE WHEN alike > 1e-6 THEN least(greatest(1 / alike - 1, 1.0), 1e6) ELSE 1e6 END AS weight
+  FROM (SELECT *, CASE WHEN mean * (1 - mean) > 1e-12 AND room > 1e-9
+      THEN ((sq - n * mean * mean) / (mean * (1 - mean)) - (k - 1)) / room ELSE 0 END AS alike
+    FROM (SELECT *, n - n_sq / n - (k - 1) AS room
+      FROM (SELECT sum({rule}) / sum(n) AS mean, sum({rule} * {rule} / n) AS sq, sum(n) AS n, sum(n * n) AS n_sq, count(*) AS k FROM h))))"""
 
 
 OP8_SQL = (
