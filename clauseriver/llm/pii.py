@@ -5,10 +5,12 @@ DataFrame functions only. All positions are code points, from 0, ends exclusive.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseriver.llm.common import cut, read
+from clauseriver.llm.common import cut, own_names, read
 
 #: Kinds with the patterns of the contract in a form without backtracking: a match is only tried where
 #: the run of its first class begins (or where the last match ended), as it fails alike anywhere later
@@ -34,26 +36,62 @@ LEFT, RIGHT, SHAPE = "<", ">", "s"
 ROUNDS, LEAST_SCORE, LEAST_SUPPORT = 3, 0.5, 3
 
 
+SPANS = "array<struct<start:int,end:int,value:string>>"
+#: Matches whose places are added up together; code points of the pieces that a long text is seen in.
+BLOCK, PIECE = 64, 4096
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def located(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, value): their places follow from the lengths of what lies between."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(between, found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"), m.alias("m")))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(
-                s["out"],
-                F.array(
-                    F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["n"]).alias("end"), x["m"].alias("value"))
-                ),
-            ).alias("out"),
-        ),
-    )
-    return F.when(F.size(found) > 0, walked["out"]).otherwise(none)
+    """All matches as (start, end, value): their places follow from the lengths of what lies between.
+
+    Lengths are added up in blocks and the blocks' sums after that, so that the work grows with the matches.
+    """
+
+    def step(s: Column, x: Column) -> Column:
+        start = s["at"] + x["gap"]
+        end = start + x["n"]
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))).alias("out"))
+
+    def in_blocks(pairs: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+        return F.transform(numbers, lambda b: F.aggregate(F.slice(pairs, b * BLOCK + 1, BLOCK), start, step))
+
+    def placed(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        bases = F.aggregate(
+            blocks, start, lambda s, x: F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"]
+        )
+        moved = lambda x, by: F.transform(x["out"], lambda e: F.struct((e["start"] + by).alias("start"), (e["end"] + by).alias("end"), e["value"].alias("value")))
+        return F.flatten(F.zip_with(blocks, bases, moved))
+
+    def of_matches(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        pairs = F.zip_with(between, found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"), m.alias("m")))
+        return F.when(F.size(found) > 0, let(let(pairs, in_blocks), placed)).otherwise(F.array().cast(SPANS))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of_matches)
+
+
+def width_of(text: Column) -> Column:
+    """Code points of a piece of the text: more for very long ones, so that neither pieces nor what is in one get too many."""
+    return F.greatest(F.lit(PIECE), F.ceil(F.sqrt(F.length(text)) * 10).cast("int"))
+
+
+def by_piece(text: Column, width: Column, of_piece: Callable[[Column], Column]) -> Column:
+    """of_piece(number) for each piece of the text, from 0; one for an empty text."""
+    last = F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / width).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), of_piece)
+
+
+def in_piece(spans: Column, number: Column, width: Column) -> Column:
+    """The spans that touch a piece."""
+    return F.filter(spans, lambda s: (s["start"] < (number + 1) * width) & (s["end"] > number * width))
 
 
 def digits(value: Column) -> Column:
@@ -87,7 +125,7 @@ def base_spans(text: Column) -> dict[str, Column]:
     out = {}
     for kind, pattern in KINDS.items():
         candidates = _valid(kind, located(text, pattern))
-        none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+        none = F.array().cast(SPANS)
         out[kind] = F.when(F.contains(text, F.lit(NEEDS[kind])), candidates).otherwise(none) if NEEDS[kind] else candidates
     return out
 
@@ -116,8 +154,11 @@ def scan(docs: DataFrame) -> DataFrame:
         "doc_id", F.coalesce("text", F.lit("")).alias("text"),
         F.xxhash64("doc_id", "text").alias("_a"), F.xxhash64(F.lit(71), "doc_id", "text").alias("_b"),
     )
-    found = rows.select("doc_id", "text", "_a", "_b", *[c.alias(k) for k, c in base_spans(F.col("text")).items()], located(F.col("text"), RUN).alias("runs"))
-    every = F.concat(*KINDS)
+    found = rows.select(
+        "doc_id", "text", "_a", "_b", *[c.alias(k) for k, c in base_spans(F.col("text")).items()],
+        located(F.col("text"), RUN).alias("runs"), width_of(F.col("text")).alias("width"),
+    )
+    every, width = F.concat(*KINDS), F.col("width")
 
     def instance(start: Column, value: Column, seed: bool) -> Column:
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.lit(seed).alias("seed"))
@@ -126,18 +167,37 @@ def scan(docs: DataFrame) -> DataFrame:
         value = F.regexp_replace(r["value"], LEADING, "")
         return instance(r["start"] + F.length(r["value"]) - F.length(value), F.regexp_replace(value, TRAILING, ""), False)
 
-    def is_candidate(x: Column) -> Column:
-        touches = F.exists(every, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
-        return (F.length(x["value"]) >= 8) & x["value"].rlike("[0-9]") & ~x["value"].rlike(REJECTED) & ~touches
+    def untouched(runs: Column, spans: Column) -> Column:
+        """Runs that touch no span; only those of the same pieces are looked at."""
+
+        def free(near: Column) -> Column:
+            def touches(x: Column) -> Column:
+                first, last = F.floor(x["start"] / width).cast("int"), F.floor((x["end"] - 1) / width).cast("int")
+                around = F.slice(near, first + 1, last - first + 1)
+                return F.exists(around, lambda n: F.exists(n, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])))
 
+            return F.filter(runs, lambda x: ~touches(x))
+
+        near = by_piece(F.col("text"), width, lambda b: in_piece(spans, b, width))
+        return F.when(F.size(spans) == 0, runs).otherwise(let(near, free))
+
+    def could_be(x: Column) -> Column:
+        return (F.length(x["value"]) >= 8) & x["value"].rlike("[0-9]") & ~x["value"].rlike(REJECTED)
+
+    runs = F.filter(F.transform("runs", trimmed), could_be)
+    free_runs = let(every, lambda spans: let(runs, lambda r: untouched(r, spans)))
     seeds = F.transform(every, lambda s: instance(s["start"], s["value"], True))
-    found = found.withColumn("instances", F.concat(seeds, F.filter(F.transform("runs", trimmed), is_candidate)))
+    found = found.withColumn("instances", F.concat(seeds, free_runs))
+
+    def with_words(x: Column, pieces: Column) -> Column:
+        def around(start: Column, size: Column) -> Column:  # seen in the pieces where it begins and ends
+            b = F.floor(start / width).cast("int")
+            local = F.concat(F.coalesce(F.get(pieces, b), F.lit("")), F.coalesce(F.get(pieces, b + 1), F.lit("")))
+            return F.substring(local, start - b * width + 1, size)
 
-    def with_words(x: Column) -> Column:
-        text = F.col("text")
-        before = F.substring(text, F.greatest(x["start"] - WIDE, F.lit(0)) + 1, F.least(x["start"], F.lit(WIDE)))
+        before = around(F.greatest(x["start"] - WIDE, F.lit(0)), F.least(x["start"], F.lit(WIDE)))
         before = F.when(x["start"] > WIDE, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
-        after = F.substring(text, x["end"] + 1, F.lit(WIDE))
+        after = around(x["end"], F.lit(WIDE))
         after = F.when(F.length(after) == WIDE, F.regexp_replace(after, r"[\p{L}\p{N}]++$", "")).otherwise(after)
         mark = F.regexp_extract(before, r"([:=#])[\s\"']*+$", 1)
         return F.struct(x.alias("x"), F.reverse(_normal_words(before)).alias("before"), _normal_words(after).alias("after"), mark.alias("mark"))
@@ -149,7 +209,9 @@ def scan(docs: DataFrame) -> DataFrame:
         patterns = F.array_compact(F.array(*texts, marked, _shape(y["x"]["value"])))
         return F.struct(*[y["x"][c].alias(c) for c in ("start", "end", "value", "seed")], patterns.alias("patterns"))
 
-    return found.select("doc_id", "_a", "_b", *KINDS, F.transform(F.transform("instances", with_words), with_patterns).alias("instances"))
+    cut_up = by_piece(F.col("text"), width, lambda b: F.substring(F.col("text"), b * width + 1, width))
+    worded = let(cut_up, lambda pieces: F.transform("instances", lambda x: with_words(x, pieces)))
+    return found.select("doc_id", "_a", "_b", *KINDS, F.transform(worded, with_patterns).alias("instances"))
 
 
 def score_patterns(scanned: DataFrame, rounds: int = ROUNDS, least_score: float = LEAST_SCORE, least_support: int = LEAST_SUPPORT) -> DataFrame:
@@ -215,31 +277,41 @@ def named(*kinds: str) -> Column:
 
 
 def redact(docs: DataFrame, **settings) -> DataFrame:
-    """docs with every span in text replaced by [KIND]; where spans overlap, by the first one's kind."""
+    """docs with every span in text replaced by [KIND]; where spans overlap, by the first one's kind.
+
+    Null texts stay null, all rows and all columns stay, repeated rows change alike; an empty table stays empty.
+    A long text is rewritten piece by piece.
+    """
+    a, b, spans = own_names(docs, "_a", "_b", "_spans")
     found = find_personal_data(docs, **settings).dropDuplicates(["_a", "_b"])
 
     def of_kind(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"], s["end"], F.lit(kind).alias("kind")))
 
-    spans = F.array_sort(F.concat(*map(of_kind, (*KINDS, CONTEXT))))
-    found = found.select("_a", "_b", spans.alias("_spans")).where("size(_spans) > 0")
-    keyed = docs.withColumn("_a", F.xxhash64("doc_id", "text")).withColumn("_b", F.xxhash64(F.lit(71), "doc_id", "text"))
-    rows = keyed.join(found, ["_a", "_b"], "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate(
-        "_spans",
-        start,
-        lambda s, x: F.when(
-            x["start"] >= s["at"],
-            F.struct(
-                x["end"].alias("at"),
-                F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))),
-        lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))),
-    )
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text)
-    return rows.select(*[text.alias(c) if c == "text" else rows[c] for c in docs.columns])
+    every = F.array_sort(F.concat(*map(of_kind, (*KINDS, CONTEXT))))
+    found = found.select(F.col("_a").alias(a), F.col("_b").alias(b), every.alias(spans)).where(F.size(spans) > 0)
+    keyed = docs.withColumn(a, F.xxhash64("doc_id", "text")).withColumn(b, F.xxhash64(F.lit(71), "doc_id", "text"))
+    rows = keyed.join(found, [a, b], "left")
+
+    def rewritten(number: Column, width: Column) -> Column:
+        low = number * width
+
+        def of_text(piece: Column) -> Column:
+            def step(s: Column, x: Column) -> Column:
+                gap = F.substring(piece, s["at"] - low + 1, x["start"] - s["at"])
+                label = F.concat(s["out"], gap, F.lit("["), F.upper(x["kind"]), F.lit("]"))
+                return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], label).otherwise(s["out"]).alias("out"))
+
+            start = F.struct(low.alias("at"), F.lit("").alias("out"))
+            return F.aggregate(
+                in_piece(F.col(spans), number, width), start, step, lambda s: F.concat(s["out"], F.substring(piece, s["at"] - low + 1, width))
+            )
+
+        return let(F.substring(F.col("text"), low + 1, width), of_text)
+
+    pieces = let(width_of(F.col("text")), lambda w: by_piece(F.col("text"), w, lambda number: rewritten(number, w)))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(pieces, ""))
+    return rows.select(*[text.alias(c) if c == "text" else rows[f"`{c}`"] for c in docs.columns])
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
