@@ -1,3 +1,4 @@
+import os
 import re
 
 import numpy as np
@@ -5,6 +6,8 @@ import pytest
 
 from clauseriver.llm import html_extract, vp_search
 
+SF = "/root/testdata/sf0.001"
+
 ARTICLE = "<h1>The title</h1><p>First para &amp; more&nbsp;text, long enough to count.<p>Second <b>bold<br>line</p><ul><li>one<li>two</ul>"
 TEXT = "The title\nFirst para & more text, long enough to count.\nSecond bold line\none\ntwo"
 TAG = re.compile("<[^>]*>")
@@ -108,8 +111,9 @@ def test_recall_beside_a_few_long_vectors(times):
     ids = list(range(3000))
     expected = brute(ids, x, 20)
     asked = np.array(sorted(expected))
-    done = vp_search.Search(np.arange(3000), x, asked, x[asked], 20, vp_search.FACTOR, vp_search.LEAF)
-    recall = [len(set(rows) & set(expected[q])) / 20 for q, rows in zip(asked.tolist(), done.rows.tolist(), strict=True)]
+    shard = vp_search.Shard(np.arange(3000), np.arange(3000), x, vp_search.LEAF)
+    q, rows, _ = vp_search.Search(shard, asked, x[asked], 20, vp_search.FACTOR).found()
+    recall = [len(set(rows[q == k]) & set(expected[i])) / 20 for k, i in enumerate(asked.tolist())]
     assert np.mean(recall) >= 0.9 and min(recall) >= 0.5
 
 
@@ -121,7 +125,7 @@ def test_pruning_passes_branches_over():
         vp_search.Search.scan = lambda self, rows, asked: (seen.append(len(rows) * len(asked)), scan(self, rows, asked))[1]
         for factor in (1.0, 2.0):
             seen.append(None)
-            vp_search.Search(np.arange(4000), x, np.arange(50), x[:50], 20, factor, 32)
+            vp_search.Search(vp_search.Shard(np.arange(4000), np.arange(4000), x, 32), np.arange(50), x[:50], 20, factor)
     finally:
         vp_search.Search.scan = scan
     second = len(seen) - 1 - seen[::-1].index(None)
@@ -131,5 +135,48 @@ def test_pruning_passes_branches_over():
 
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0), (2, None, 0), (3, [0.0, 0.0], 0), (4, [float("nan"), 1.0], 0), (5, [float("inf"), 1.0], 0), (6, [None, 1.0], 0), (None, [1.0, 1.0], 0), (7, [1.0, 2.0, 3.0], 0), (1, [0.5, 0.5], 0), (20, [], 0), (40, [-1.0, 0.0], 0)]
-    assert run(spark, rows) == {0: [1, 40], 40: [1, 0]}
+    assert run(spark, rows) == {0: [1, 1, 40], 40: [1, 1, 0]}  # rows of one vec_id are candidates each
     assert run(spark, []) == {}
+
+
+@pytest.mark.parametrize("scale", [1e-7, 1.0, 1e200])
+def test_scales(spark, scale):
+    x = vectors(400, clusters=5)
+    x[100:130] = x[100]
+    rows = [(i, (v * scale).tolist()) for i, v in enumerate(x)]
+    v = vp_search.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in sorted(vp_search.search(v, v.where("vec_id % 20 = 0"), factor=1.0, shard_rows=150, leaf=16).collect()):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert r["score"] == pytest.approx(float(np.dot(x[r["query_id"]], x[r["vec_id"]])) * scale * scale if scale < 2 else float("inf"))
+    assert got == brute(list(range(400)), x, 20)
+
+
+def test_many_queries_and_rows_of_one_id(spark):
+    x = vectors(300)
+    rows = [(i % 100, v.tolist(), 0) for i, v in enumerate(x)]
+    v = vp_search.valid_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    out = vp_search.search(v, v.where("vec_id % 20 = 0"), factor=1.0, shard_rows=70, block_queries=4, leaf=16).collect()
+    expected = []
+    for q, y in enumerate(x):
+        if q % 100 % 20 == 0:
+            near = sorted((-float((y * z).sum()), i % 100) for i, z in enumerate(x) if i != q)[:20]
+            expected += [(q % 100, k, i) for k, (_, i) in enumerate(near, 1)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in out) == sorted(expected)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
+def test_the_query_against_brute_force(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"].to_numpy()).astype(float)
+    expected = {}
+    for q in np.flatnonzero(ids % 20 == 0):
+        scores = (x * x[q]).sum(axis=1)
+        scores[q] = -np.inf
+        expected[ids[q]] = [(int(ids[i]), scores[i]) for i in np.lexsort((ids, -scores))[:20]]
+    hits, n = 0, 0
+    for r in vp_search.op1_vp_search(spark, SF).collect():
+        hits += r["vec_id"] in {i for i, _ in expected[r["query_id"]]}
+        assert r["score"] == pytest.approx(float((x[ids == r["vec_id"]][0] * x[ids == r["query_id"]][0]).sum()), rel=1e-12)
+        n += 1
+    assert n == sum(map(len, expected.values())) and hits / n >= 0.9
