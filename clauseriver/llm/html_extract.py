@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from clauseriver.llm.common import cut, read
+from clauseriver.llm.common import joined_small, read, written
 from clauseriver.llm.url_filter import host_of
 
+#: A tag that another one begins in, or that never ends, is no tag but text: so each character is looked at a few times only.
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|title|svg|math|xmp)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
-    r"|<[!?][^>]*>",
+    r"|<(script|style|noscript|template|textarea|iframe|title|svg|math|xmp)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^<>]*)>"
+    r"|<[!?][^<>]*>",
     re.S | re.I,
 )
 _attr = re.compile(r"(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -27,11 +32,9 @@ CONTAINERS = set(
     "summary fieldset address hgroup".split()
 )
 BREAKS = set("p h1 h2 h3 h4 h5 h6 pre hr html head thead tfoot caption option".split())
-DROPPED = set("nav header footer aside form button select dialog menu canvas object embed audio video label".split())
+DROPPED = set("nav header footer aside form button select dialog menu embed".split())
 INLINE = set("span a small ins em i b strong".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-#: Bytes of winning paths that are broadcast; above that, pages and paths meet by host and one of SALTS numbers.
-MOST_BROADCAST, SALTS = 32_000_000, 64
 #: Words in a class, id or role that mark what isn't the article.
 NOISE = set(
     "nav navbar navigation menu sidebar footer header masthead banner ad ads adv advert adverts advertisement "
@@ -40,6 +43,13 @@ NOISE = set(
     "sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager toolbar widget skip "
     "search complementary contentinfo dialog hidden".split()
 )
+#: Of these, words that also name parts of an article: inside one, they count only where the host's pages agree.
+DOUBTFUL = set(
+    "nav menu header notice notices alert overlay promotion reply replies discussion share sharing social related "
+    "recommended recommendations widget search registration".split()
+)
+#: Share of a host's pages, and least number of them, on which a doubtful element must stand at one path to be dropped.
+AGREED, LEAST_PAGES = 0.5, 2
 #: Beginnings of such words, and of words that only look like them.
 NOISE_STEMS = tuple("cookie advert sidebar comment newsletter footer popup sponsor breadcrumb navig subscri".split())
 NOT_NOISE = ("commentary", "commented")
@@ -70,160 +80,212 @@ def _marks(attrs: str) -> tuple[set[str], str, bool]:
     return words, label or ident, hidden
 
 
-def is_noise(tag: str, words: set[str]) -> bool:
-    """Whether an element is boilerplate by its marks; main and article only if they hold a comment."""
+def noise(tag: str, words: set[str]) -> str | None:
+    """"sure" or "doubtful" if an element is boilerplate by its marks; main and article only if they hold a comment."""
     if tag == "body" or not words:
-        return False
+        return None
     if tag in ("main", "article"):
-        return any(w.startswith("comment") and w not in NOT_NOISE for w in words)
-    return bool(words & NOISE) or any(w.startswith(NOISE_STEMS) and w not in NOT_NOISE for w in words)
+        return "sure" if any(w.startswith("comment") and w not in NOT_NOISE for w in words) else None
+    if words & NOISE - DOUBTFUL or any(w.startswith(NOISE_STEMS) and w not in NOT_NOISE for w in words):
+        return "sure"
+    return "doubtful" if words & DOUBTFUL else None
+
+
+def step_of(parent: int, step: str) -> int:
+    """64-bit number of a path: that of the path above and one more step."""
+    return xxhash.xxh3_64_intdigest(f"{parent}>{step}") - 2**63
 
 
-def parse(page: str) -> tuple[list[str], list[tuple[str, float, int, int, float]]]:
-    """The page's text blocks without boilerplate, and its containers.
+class Page:
+    """One page's text blocks without boilerplate, and its containers, found in one pass over its tokens.
 
-    A container is its path (tags and generalised classes from the body down), its score, the range of
-    blocks inside and its depth. The score is the share of the page's text outside links that it
-    holds, plus a bonus if it or what it stands in is marked as an article, plus a little for depth: so
-    the deepest one that still holds the whole article wins.
+    A container is its path (tags and generalised classes from the body down), its score, and the range of
+    blocks inside. The score is the share of the page's text outside links that it holds, plus a bonus if it
+    or what it stands in is marked as an article, plus a little for depth: so the deepest one that still
+    holds the whole article wins. Paths are kept as numbers with a link to the container above; only the
+    best one's is written out. A block inside a doubtful element of an article has that element's path as a mark.
     """
-    blocks: list[str] = []
-    chars: list[int] = []  # of each block, outside links
-    found: list[list] = []  # path, bonus, first block, end, depth
-    stack: list[list] = [["", None, "", 0.0]]  # tag, entry in found, path, bonus
-    text: list[str] = []
-    dropped, links, in_link = 0, 0, False  # dropped: how many open elements are boilerplate
-
-    def flush() -> None:
-        nonlocal links
-        if text:
-            block = " ".join(entities.unescape("".join(text)).split())
+
+    def __init__(self, html: str):
+        self.blocks: list[str] = []
+        self.marks: list[int] = []  # of each block, 0 for none
+        self.plain: list[int] = []  # characters of each block outside links
+        self.found: list[list] = []  # path, container above, step, bonus, first block, end, depth
+        # open elements: tag, place in found (or None), whether it is dropped, path, bonus, in an article, mark
+        self.stack: list[tuple] = [("", None, False, 0, 0.0, False, 0)]
+        self.open_tags: Counter = Counter()
+        self.text: list[str] = []
+        self.dropped, self.links, self.in_link = 0, 0, False  # dropped: how many open elements are
+        at = 0
+        for m in _token.finditer(html):
+            if not self.dropped and m.start() > at:
+                piece = html[at : m.start()]
+                self.text.append(piece)
+                if self.in_link:
+                    self.links += len(piece)
+            at = m.end()
+            if m[3]:
+                self.take(m[3].lower(), bool(m[2]), m[4])
+        if not self.dropped:
+            self.text.append(html[at:])
+        self.flush()
+        while len(self.stack) > 1:
+            self.close()
+        self.rank()
+
+    def flush(self) -> None:
+        if self.text:
+            block = " ".join(entities.unescape("".join(self.text)).split())
             if block:
-                blocks.append(block)
-                chars.append(max(0, len(block) - links))
-            text.clear()
-        links = 0
-
-    def close() -> None:
-        nonlocal dropped
-        top = stack.pop()
-        if top[1] is None:
-            dropped -= top[2] is None
-        else:
-            top[1][3] = len(blocks)
-
-    at = 0
-    for m in _token.finditer(page):
-        if not dropped and m.start() > at:
-            piece = page[at : m.start()]
-            text.append(piece)
-            if in_link:
-                links += len(piece)
-        at = m.end()
-        if not m[3]:
-            continue
-        tag = m[3].lower()
+                self.blocks.append(block)
+                self.marks.append(self.stack[-1][6])
+                self.plain.append(max(0, len(block) - self.links))
+            self.text.clear()
+        self.links = 0
+
+    def push(self, tag: str, *rest) -> None:
+        self.open_tags[tag] += 1
+        self.stack.append((tag, *rest))
+
+    def close(self) -> None:
+        tag, place, dropped, *_ = self.stack.pop()
+        self.open_tags[tag] -= 1
+        self.dropped -= dropped
+        if place is not None:
+            self.found[place][5] = len(self.blocks)
+
+    def take(self, tag: str, ends: bool, attrs: str) -> None:
         if tag == "a":
-            in_link = not m[2]
+            self.in_link = not ends
         if tag == "br":
-            if not dropped:
-                text.append(" ")
-            continue
+            if not self.dropped:
+                self.text.append(" ")
+            return
         block = tag in CONTAINERS or tag in BREAKS or tag in DROPPED
-        if block and not dropped:
-            flush()
-        if m[2]:
-            if any(x[0] == tag for x in stack):
-                while stack[-1][0] != tag:
-                    close()
-                close()
-            continue
+        if block and not self.dropped:
+            self.flush()
+        if ends:
+            if self.open_tags[tag] > 0:
+                while self.stack[-1][0] != tag:
+                    self.close()
+                self.close()
+            return
         if tag not in INLINE and not block:
-            continue
-        if block and stack[-1][0] in BREAKS:
-            close()
-        if block and tag in SELF_CLOSING and stack[-1][0] in SELF_CLOSING[tag]:
-            close()
-        words, label, hidden = _marks(m[4]) if m[4] else (set(), "", False)
-        if m[4].endswith("/") or tag in ("hr", "html", "head", "embed"):
-            continue
-        if dropped and tag not in DROPPED:
-            stack.append([tag, None, "", 0.0])  # so that its end tag closes nothing else
-        elif tag in DROPPED or hidden or is_noise(tag, words):
-            dropped += 1
-            stack.append([tag, None, None, 0.0])
+            return
+        if block and self.stack[-1][0] in BREAKS:
+            self.close()
+        if block and tag in SELF_CLOSING and self.stack[-1][0] in SELF_CLOSING[tag]:
+            self.close()
+        words, label, hidden = _marks(attrs) if attrs else (set(), "", False)
+        if attrs.endswith("/") or tag in ("hr", "html", "head", "embed"):
+            return
+        _, _, _, path, bonus, article, mark = self.stack[-1]
+        if self.dropped and tag not in DROPPED:
+            self.push(tag, None, False, path, bonus, article, mark)  # so that its end tag closes nothing else
+            return
+        judged = noise(tag, words)
+        if tag in DROPPED or hidden or judged == "sure" or judged == "doubtful" and not article:
+            self.dropped += 1
+            self.push(tag, None, True, path, bonus, article, mark)
         elif tag in CONTAINERS:
-            path = f"{stack[-1][2]}>{tag}{label}" if stack[-1][2] else tag + label
-            bonus = 0.5 if tag in ("article", "main") or "articlebody" in words else 0.25 * bool(words & ARTICLE)
-            bonus = max(stack[-1][3], bonus if tag != "body" else 0.0)
-            found.append([path, bonus, len(blocks), -1, len(stack)])
-            stack.append([tag, found[-1], path, bonus])
+            step = tag + label.replace(">", "")
+            own = step_of(path, step)
+            more = 0.5 if tag in ("article", "main") or "articlebody" in words else 0.25 * bool(words & ARTICLE)
+            bonus = max(bonus, more if tag != "body" else 0.0)
+            above = next((x[1] for x in (self.stack[-1], self.stack[-2] if len(self.stack) > 1 else self.stack[-1]) if x[1] is not None), None)
+            self.found.append([own, above, step, bonus, len(self.blocks), -1, len(self.stack)])
+            article = article or tag in ("article", "main") or "articlebody" in words
+            self.push(tag, len(self.found) - 1, False, own, bonus, article, mark or (own if judged else 0))
         elif tag in BREAKS:
-            stack.append([tag, None, stack[-1][2], stack[-1][3]])
-    if not dropped:
-        text.append(page[at:])
-    flush()
-    while len(stack) > 1:
-        close()
-    sums = [0]
-    for n in chars:
-        sums.append(sums[-1] + n)
-    total = sums[-1] or 1
-    return blocks, [
-        (path, (sums[end] - sums[first]) / total + bonus + 0.001 * depth, first, end, depth)
-        for path, bonus, first, end, depth in found
-        if sums[end] > sums[first]
-    ]
-
-
-def best_path(pages: pd.Series) -> pd.Series:
-    """The path of each page's best container; null if the page has none with text."""
-    return pd.Series([max(parse(p or "")[1], key=lambda c: (c[1], -c[2]), default=(None,))[0] for p in pages], dtype=object)
-
-
-def extract_text(pages: pd.Series, paths: pd.Series) -> pd.Series:
-    """Each page's text inside the first of its host's paths that it has, else inside its own best container."""
-    out = []
-    for page, winners in zip(pages, paths, strict=True):
-        blocks, containers = parse(page or "")
-        best = {}
-        for c in containers:
-            if c[0] not in best or c[1] > best[c[0]][1]:
-                best[c[0]] = c
-        winners = [] if winners is None else list(winners)
-        chosen = next((best[w] for w in winners if w in best), max(containers, key=lambda c: (c[1], -c[2]), default=None))
-        out.append("\n".join(blocks[chosen[2] : chosen[3]] if chosen else blocks))
-    return pd.Series(out)
-
-
-def extract_main(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
+            self.push(tag, None, False, path, bonus, article, mark or (step_of(path, tag + label) if judged else 0))
+
+    def rank(self) -> None:
+        """paths, firsts and ends: of each path its best container with text outside links, the best of all first."""
+        sums = [0, *accumulate(self.plain)]
+        total, best = sums[-1] or 1, {}
+        for i, (path, _, _, bonus, first, end, depth) in enumerate(self.found):
+            if sums[end] > sums[first]:
+                key = ((sums[end] - sums[first]) / total + bonus + 0.001 * min(depth, 100), -first, -i)
+                if path not in best or key > best[path]:
+                    best[path] = key
+        order = sorted(best, key=best.get, reverse=True)
+        places = [-best[p][2] for p in order]
+        self.paths, self.firsts, self.ends = order, [self.found[i][4] for i in places], [self.found[i][5] for i in places]
+        steps, i = [], places[0] if places else None
+        while i is not None:
+            steps.append(self.found[i][2])
+            i = self.found[i][1]
+        self.path = ">".join(reversed(steps)) if steps else None
+
+
+PARSED = (
+    "page_id long, url string, host string, blocks array<string>, marks array<long>, paths array<long>, firsts array<int>, "
+    "ends array<int>, path string"
+)
+
+
+def parse_pages(batches: Iterator[pd.DataFrame], at_once: int = 200) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in PARSED.split(", ")]
+    for batch in batches:
+        rows = []
+        for page_id, url, host, html in zip(batch["page_id"].tolist(), batch["url"], batch["host"], batch["html"], strict=True):
+            p = Page(html or "")
+            rows.append((page_id, url, host, p.blocks, p.marks if any(p.marks) else None, p.paths, p.firsts, p.ends, p.path))
+            if len(rows) == at_once:
+                yield as_frame(rows, names)
+                rows = []
+        yield as_frame(rows, names)
+
+
+def as_frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=names)
+    out["page_id"] = out["page_id"].astype("Int64")
+    return out
+
+
+def host_votes(parsed: DataFrame, least_share: float) -> DataFrame:
+    """host, winners (numbers of its winning paths, most votes first), winning (the paths), agreed (paths of doubtful
+    elements that stand on enough of the host's pages)."""
+    named = parsed.where("host <> ''")
+    votes = named.where("path IS NOT NULL").groupBy("host", F.col("paths")[0].alias("number")).agg(F.count("*").alias("n"), F.min("path").alias("path"))
+    share = F.col("n") / F.sum("n").over(W.partitionBy("host"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path", "number")))
+    winners = votes.withColumn("share", share).where(F.col("share") >= least_share).groupBy("host").agg(ranked.alias("r"))
+    winners = winners.select("host", F.col("r.number").alias("winners"), F.col("r.path").alias("winning"))
+    pages = named.groupBy("host").agg(F.count("*").alias("pages"))
+    doubts = named.where("marks IS NOT NULL").select("host", F.explode(F.array_distinct("marks")).alias("mark")).where("mark <> 0")
+    doubts = doubts.groupBy("host", "mark").agg(F.count("*").alias("n")).join(pages, "host")
+    agreed = doubts.where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= AGREED * F.col("pages"))).groupBy("host").agg(F.collect_list("mark").alias("agreed"))
+    return winners.join(agreed, "host", "left")
+
+
+def extract_main(pages: DataFrame, least_share: float = 0.1, most_broadcast: int = 32_000_000) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages (page_id, url, html).
 
     Each page votes for the path of its best container. A host's winning paths are those with at least
     least_share of its votes, most votes first; each page is then extracted by the first winning path
-    that it has. Pages without a host or without any winning path go by their own best container.
-    Votes are summed before the shuffle, so a hot host is a few rows there. The winners are broadcast if
-    their measured size allows it, so that no page travels; else a hot host's pages are salted.
+    that it has. Pages without a host or without any winning path go by their own best container. Elements of an
+    article whose marks are doubtful (`related` and the like) are dropped where at least half of the host's
+    pages, and two, have one at that path; else they stay.
+    Pages are parsed once: their blocks are written to the shared folder (and stay there, as the result reads them). Votes are summed before
+    the shuffle, so a hot host is a few rows there. The winners are broadcast if their measured size allows it,
+    so that no page travels; else a hot host's pages are salted. Paths are compared as 64-bit numbers.
     Blocks are joined by one line feed in page order; white space within a block (br and no-break space
-    included) becomes one space. Null or empty html gives an empty text. Repeated pages keep a row each.
+    included) becomes one space. Null or empty html gives an empty text. Repeated pages keep a row each; other columns of pages are
+    dropped; ties between containers go to the one that begins first. A page is parsed with work in proportion to its length.
     """
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host"))
-    votes = rows.select("_host", F.pandas_udf(best_path, "string")(F.coalesce("html", F.lit(""))).alias("path"))
-    votes = cut(votes.where("_host <> '' AND path IS NOT NULL").groupBy("_host", "path").count())
-    share = F.col("count") / F.sum("count").over(W.partitionBy("_host"))
-    ranked = votes.withColumn("_share", share).where(F.col("_share") >= least_share)
-    winners = ranked.groupBy("_host").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "path"))).alias("ranked")
-    )
-    winners = cut(winners.select("_host", F.col("ranked.path").alias("_paths")))
-    size = winners.agg(F.sum(F.length("_host") + F.length(F.array_join("_paths", " ")) + 100)).first()[0] or 0
-    if size <= MOST_BROADCAST:
-        joined = rows.join(F.broadcast(winners), "_host", "left")
-    else:  # each host's paths go to SALTS places, among which its pages are dealt
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-        copies = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = salted.join(copies, ["_host", "_salt"], "left")
-    text = F.pandas_udf(extract_text, "string")(F.coalesce("html", F.lit("")), F.col("_paths"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
+    parsed = written(rows.mapInPandas(parse_pages, PARSED))
+    joined = joined_small(parsed, host_votes(parsed, least_share).drop("winning"), "host", most_broadcast)
+    none = F.array().cast("array<bigint>")
+    hit = F.get(F.filter(F.coalesce("winners", none), lambda w: F.array_contains("paths", w)), F.lit(0))
+    joined = joined.withColumn("_at", F.coalesce(F.array_position("paths", hit) - 1, F.lit(0)).cast("int"))
+    first = F.coalesce(F.get("firsts", F.col("_at")), F.lit(0))
+    size = F.coalesce(F.get("ends", F.col("_at")), F.size("blocks")) - first
+    inside, marks = F.slice("blocks", first + 1, size), F.slice("marks", first + 1, size)
+    dropped = F.coalesce("agreed", none)
+    clean = F.array_compact(F.zip_with(inside, marks, lambda b, m: F.when((m == 0) | ~F.array_contains(dropped, m), b)))
+    text = F.array_join(F.when(F.col("marks").isNull(), inside).otherwise(clean), "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

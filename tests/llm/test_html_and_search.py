@@ -40,12 +40,11 @@ def test_hosts_vote(spark):
     assert "side bar" in out[100]
 
 
-def test_salted_join_agrees(spark, monkeypatch):
+def test_salted_join_agrees(spark):
     rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", list(PAGES.values())[i % len(PAGES)]) for i in range(20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     small = sorted(map(tuple, html_extract.extract_main(df).collect()))
-    monkeypatch.setattr(html_extract, "MOST_BROADCAST", -1)
-    assert sorted(map(tuple, html_extract.extract_main(df).collect())) == small
+    assert sorted(map(tuple, html_extract.extract_main(df, most_broadcast=-1).collect())) == small
 
 
 def test_odd_pages(spark):
@@ -57,6 +56,71 @@ def test_odd_pages(spark):
     assert html_extract.extract_main(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_doubtful_parts_go_only_if_the_host_agrees(spark):
+    body = lambda i, extra: f"<body><article><h1>t{i}</h1><p>{'words ' * 30}</p>{extra}</article></body>"
+    box, work = "<div class='related'><p>see also</p></div>", "<div class='related-work'><p>others wrote</p></div><section id='discussion'>we think</section><label>named</label>"
+    rows = [(i, f"http://many.example/{i}", body(i, box if i != 3 else box + work)) for i in range(9)] + [(50, "http://one.example/", body(50, work))]
+    out = {r["page_id"]: r["text"] for r in html_extract.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    words = ("words " * 30).strip()
+    assert out[0] == f"t0\n{words}"
+    assert out[3] == f"t3\n{words}\nothers wrote\nwe think\nnamed"
+    assert out[50] == f"t50\n{words}\nothers wrote\nwe think\nnamed"
+
+
+@pytest.mark.parametrize("page", ["<a " * 330_000, "<script " * 120_000, "<!" * 500_000, "<div>" * 200_000, "<a '" * 250_000, "<div><p>x</em>" * 70_000])
+def test_long_pages_take_little(page):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.process_time()
+    html_extract.Page(page)
+    assert time.process_time() - began < 60 and tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
+def plain_article(page):
+    """The tables' pages by another parser: all blocks inside article, but for what stands in a dropped element."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.out, self.text = 0, [], ""
+
+        def end_block(self):
+            if self.depth and self.text.split():
+                self.out.append(" ".join(self.text.split()))
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.text += " "
+            elif tag not in ("b", "i", "em", "strong", "a", "span"):
+                self.end_block()
+                self.depth += tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "i", "em", "strong", "a", "span"):
+                self.end_block()
+                self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            self.text += data if self.depth else ""
+
+    reader = Reader()
+    reader.feed(page)
+    reader.end_block()
+    return "\n".join(reader.out)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
+def test_the_tables_pages_by_another_parser(spark):
+    html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    out = {r["page_id"]: r["text"] for r in html_extract.op2_html_extract(spark, SF).collect()}
+    assert out == {k: plain_article(h) for k, h in html.items()}
+
+
 # -- search
 
 
