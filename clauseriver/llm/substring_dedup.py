@@ -13,15 +13,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseriver.llm.common import WORD, cut, read
+from clauseriver.llm.common import WORD, cut, read, written
 
 WINDOW = 50
 #: Words in the grams among which a window's minimiser is sought.
 GRAM = 5
-#: Distinct packed strings of one bucket that are sorted in one task; windows of larger buckets meet one by one.
-MOST = 20_000
-#: Stands for a null doc_id in keys.
-NO_ID = -(2**63)
+#: Windows of the distinct packed strings of one bucket that are sorted in one task; those of larger buckets meet one by one.
+MOST = 50_000
 _word = re.compile(WORD)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -64,30 +62,30 @@ def super_kmers(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray,
     return least[starts].view(np.int64), starts, np.diff(np.append(starts, n))
 
 
-SEEN = "bucket long, doc_id long"
 KMERS = "bucket long, k long, a long, start int, n int, digest_a long, digest_b long"
 
 
-def find_kmers(batches: Iterator[pd.DataFrame], window: int, gram: int, whole: bool) -> Iterator[pd.DataFrame]:
-    """The super-k-mers of each document: their buckets alone, or with place and digest of the words."""
+def find_kmers(batches: Iterator[pd.DataFrame], window: int, gram: int, at_once: int = 100_000) -> Iterator[pd.DataFrame]:
+    """The super-k-mers of each document (text, k, a): their buckets, place and the digest of their words."""
     hashes = WordHashes()
-    names = [x.split()[0] for x in (KMERS if whole else SEEN).split(", ")]
+    names = [x.split()[0] for x in KMERS.split(", ")]
     for batch in batches:
-        parts = []
-        for doc_id, text, k, a in batch.itertuples(index=False):
-            words = _word.findall(text or "")
-            if len(words) < window or k == NO_ID:
+        parts, held = [], 0
+        for text, k, a in batch.itertuples(index=False):
+            words = _word.findall(text)
+            if len(words) < window:
                 continue
             h = hashes.of(words)
             buckets, starts, n = super_kmers(h, window, gram)
-            if whole:
-                raw = memoryview(h).cast("B")
-                ends = starts + n + window - 1
-                digests = b"".join(xxhash.xxh3_128_digest(raw[8 * x : 8 * y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True))
-                same = np.broadcast_to(np.array([[k], [a]], np.int64), (2, len(n)))
-                parts.append(np.vstack([buckets, same, starts, n, np.frombuffer(digests, "<i8").reshape(-1, 2).T]))
-            else:
-                parts.append(np.vstack([buckets, np.broadcast_to(np.int64(k), len(n))]))
+            raw = memoryview(h).cast("B")
+            ends = starts + n + window - 1
+            digests = b"".join(xxhash.xxh3_128_digest(raw[8 * x : 8 * y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True))
+            same = np.broadcast_to(np.array([[k], [a]], np.int64), (2, len(n)))
+            parts.append(np.vstack([buckets, same, starts, n, np.frombuffer(digests, "<i8").reshape(-1, 2).T]))
+            held += len(n)
+            if held >= at_once:
+                yield pd.DataFrame(np.hstack(parts).T, columns=names)
+                parts, held = [], 0
         if parts:
             yield pd.DataFrame(np.hstack(parts).T, columns=names)
 
@@ -191,35 +189,36 @@ def keep_words(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = MOST) -> DataFrame:
-    """k, a, spans: the words to remove in rows of docs (doc_id, text, k, a; k and a a key of the row).
+    """k, a, spans: the words to remove in rows of docs (text, k, a; k the doc_id, a a digest of the row).
 
     1. Each document's windows are cut into super-k-mers: runs of windows that share their minimiser,
        the least hash of their grams. Equal windows share it, so a bucket (a minimiser) that occurs in
-       one document only holds no repeat, and neither place nor text of it travels.
-    2. Equal super-k-mers (by a 128-bit digest) fold into the one in the smallest document; any other
-       document that holds it loses all of it.
+       one document only holds no repeat, and no text of it travels. The texts are read once for this; what
+       is found is written to the shared folder.
+    2. Equal super-k-mers (by a 128-bit digest of the 64-bit hashes of their words, which is trusted) fold into
+       the one in the smallest document; any other document that holds it loses all of it.
     3. Where a bucket has several different super-k-mers, one of each travels as a packed string to its
        bucket. There their windows are sorted, so that equal windows meet, and those that a smaller
        document holds too go from the string's own document. No string of a bucket with more than `most`
-       travels: there each window's 128-bit digest does, and the least document of each digest is found
-       by an aggregation, so that no task holds a bucket.
+       windows travels: there each window's 128-bit digest does, and the least document of each digest is found
+       by an aggregation, so that no task holds a bucket, nor all windows of a long monotonous text.
     """
-    find = lambda whole: docs.mapInPandas(partial(find_kmers, window=window, gram=gram, whole=whole), KMERS if whole else SEEN)
-    shared = find(False).groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    places = cut(find(True).join(shared.select("bucket"), "bucket"))
+    kmers = written(docs.mapInPandas(partial(find_kmers, window=window, gram=gram), KMERS))
+    shared = kmers.groupBy("bucket").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high")
+    places = cut(kmers.join(shared.select("bucket"), "bucket"))
 
     same = ["bucket", "digest_a", "digest_b"]
     firsts = places.groupBy(*same).agg(F.min(F.struct("k", "a", "start", "n")).alias("f")).select(*same, "f.*")
-    several = cut(firsts.groupBy("bucket").count().where("count > 1"))
+    several = cut(firsts.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("n").alias("windows")).where("count > 1"))
 
     def needed_of(buckets: DataFrame) -> DataFrame:
         needed = firsts.join(buckets.select("bucket"), "bucket").groupBy("k", "a").agg(F.collect_list(F.struct("start", "n", *same)).alias("needed"))
-        return docs.join(needed, ["k", "a"]).select("doc_id", "text", "needed")
+        return docs.join(needed, ["k", "a"]).select(F.col("k").alias("doc_id"), "text", "needed")
 
-    packed = needed_of(several.where(F.col("count") <= most)).mapInPandas(partial(pack_kmers, window=window), PACKED)
+    packed = needed_of(several.where(F.col("windows") <= most)).mapInPandas(partial(pack_kmers, window=window), PACKED)
     packed = packed.repartition("bucket").sortWithinPartitions("bucket")
     runs = packed.mapInPandas(partial(sort_buckets, window=window), RUNS)
-    large = several.where(F.col("count") > most)
+    large = several.where(F.col("windows") > most)
     if not large.isEmpty():
         windows = cut(needed_of(large).mapInPandas(partial(digest_windows, window=window), WINDOWS))
         key = ["window_a", "window_b"]
@@ -242,16 +241,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
     also starts in a document with a smaller doc_id, as judged on the input. kept is what is left,
     joined by single spaces. Texts of fewer words than a window lose nothing, null texts have no words.
     Rows with a null doc_id lose nothing and take nothing from others; rows of the same doc_id don't
-    take from each other. Rows that repeat each keep their row. An empty table gives an empty result.
+    take from each other. Rows that repeat each keep their row. Very long texts are taken whole. An empty table gives
+    an empty result; other columns of docs are dropped, whatever their names.
     """
     doc_id = F.col("doc_id").cast("long")
-    keyed = docs.select(
-        doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(doc_id, F.lit(NO_ID)).alias("k"), F.xxhash64("doc_id", "text").alias("a"),
-    )
-    spans = repeated_spans(keyed, window, gram, most)
+    keyed = docs.select(doc_id.alias("k"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("a"))
+    spans = repeated_spans(keyed.where("k IS NOT NULL").select("text", "k", "a"), window, gram, most)
     kept = F.pandas_udf(keep_words, "kept string, n_words long, n_removed long")("text", "spans")
-    return keyed.join(spans, ["k", "a"], "left").select("doc_id", kept.alias("_k")).select("doc_id", "_k.*")
+    return keyed.join(spans, ["k", "a"], "left").select(F.col("k").alias("doc_id"), kept.alias("_k")).select("doc_id", "_k.*")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

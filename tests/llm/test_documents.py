@@ -358,6 +358,7 @@ def passage_rows():
     rows = [(i, prose(20 + i, 40) + " " + shared + "\n" + prose(60 + i, 30), None) for i in range(12)]
     rows += [(30 + i, " ".join(shared.split()[i : i + 52]), None) for i in range(12)]
     rows += [(50, "la " * 400, None), (51, "la " * 90 + prose(3, 10), None), (52, prose(9, 49), None), (53, prose(9, 49), None), (54, prose(9, 50), None), (55, prose(9, 50), None)]
+    rows += [(-(2**63), "to " * 60, None), (62, "to " * 61, None), (63, "mono " * 20_000, None), (64, "mono " * 300, None)]
     rows += [(60, None, None), (61, "", None), (None, rows[0][1], None), (3, rows[5][1], None), (5, rows[5][1], None), (70, prose(5, 20_000), None), (71, prose(5, 20_000), None)]
     return rows
 
