@@ -35,6 +35,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Rows go to Python workers in batches of at most `size`, however long texts are, unless the session has its own limit.
+
+    Spark's own one, 64 MB, is held several times over by each task and its worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, size)
+
+
 def own_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes not to be one of df's columns."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from clauseriver.llm.common import joined_small, read, written
+from clauseriver.llm.common import joined_small, read, small_batches, written
 from clauseriver.llm.url_filter import host_of
 
 #: A tag that another one begins in, or that never ends, is no tag but text: so each character is looked at a few times only.
@@ -274,6 +274,7 @@ def extract_main(pages: DataFrame, least_share: float = 0.1, most_broadcast: int
     included) becomes one space. Null or empty html gives an empty text. Repeated pages keep a row each; other columns of pages are
     dropped; ties between containers go to the one that begins first. A page is parsed with work in proportion to its length.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
     parsed = written(rows.mapInPandas(parse_pages, PARSED))
     joined = joined_small(parsed, host_votes(parsed, least_share).drop("winning"), "host", most_broadcast)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseriver.llm.common import WORD, cut, own_names, read
+from clauseriver.llm.common import WORD, cut, own_names, read, small_batches
 from clauseriver.llm.substring_dedup import WordHashes, mixed
 
 SHINGLE = 5
@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from sign_texts(batches, shingle, bands, rows)
 
+    small_batches(docs.sparkSession)
     signed = docs.select("doc_id", "_t1", "_t2", F.pandas_udf(sign, SIGNED)("text").alias("s"))
     signed = cut(signed.select("doc_id", "_t1", "_t2", "s.*"))
     first = F.min(F.struct("doc_id", "_t1", "_t2")).alias("first")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseriver.llm.common import cut, hex_slot, read, sums_before
+from clauseriver.llm.common import cut, hex_slot, read, small_batches, sums_before
 
 LENGTH = 1024
 VOCABULARY = "byte_bpe_50k"
@@ -164,6 +164,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, ke
     doesn't meet in one task. Null ids are kept; documents that repeat are packed each time; other columns of
     docs are dropped, whatever their names. No documents, no pieces.
     """
+    small_batches(docs.sparkSession)
     ordered = position is not None
     run = partial(cut_pieces, vocabulary=vocabulary, length=length, keep_ids=keep_ids)
     at = position.cast("long") if ordered else F.lit(0).cast("long")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseriver.llm.common import WORD, cut, joined_small, own_names, read
+from clauseriver.llm.common import WORD, cut, joined_small, own_names, read, small_batches
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 #: Rules whose failures are counted by host, over the columns of MEASURES.
@@ -62,6 +62,7 @@ def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def with_measures(docs: DataFrame, text: str = "text", out: str = "_measures") -> DataFrame:
     """docs with the counts over its texts, as a struct; texts stay where they are."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, F.pandas_udf(measure, MEASURES)(F.col(f"`{text}`")))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from clauseriver.llm.common import WORD, cut, hex_slot, n_words, own_names, read, row_key, sums_before
+from clauseriver.llm.common import WORD, cut, hex_slot, n_words, own_names, read, row_key, small_batches, sums_before
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -125,6 +125,7 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     `_position` (0 to 1) is added as the last column (with more underscores if docs has one). The text of a copy
     that is cut ends after its last word taken. Ties in time go by a digest of the row.
     """
+    small_batches(docs.sparkSession)
     key, position, copy, part, size = own_names(docs, "_key", "_position", "_copy", "_part", "_size")
     plan = assign(docs, **settings).where("size(copies) > 0")
     plan = plan.select(F.col("_key").alias(key), F.col("size").alias(size), F.explode("copies").alias(copy))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseriver.llm.common import WORD, cut, read, written
+from clauseriver.llm.common import WORD, cut, read, small_batches, written
 
 WINDOW = 50
 #: Words in the grams among which a window's minimiser is sought.
@@ -244,6 +244,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
     take from each other. Rows that repeat each keep their row. Very long texts are taken whole. An empty table gives
     an empty result; other columns of docs are dropped, whatever their names.
     """
+    small_batches(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     keyed = docs.select(doc_id.alias("k"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("a"))
     spans = repeated_spans(keyed.where("k IS NOT NULL").select("text", "k", "a"), window, gram, most)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from clauseriver.llm.common import cut, read
+from clauseriver.llm.common import cut, read, small_batches
 
 K = 20
 #: Rows of one tree, which bound the memory of a task; queries that go through a tree together, and that share one.
@@ -202,6 +202,7 @@ def search(
     equal vectors have equal scores. Numbers too large to multiply are scaled by a power of two and rank right,
     though their score may be infinite. Queries of one vec_id get their rows each. Nothing is broadcast.
     """
+    small_batches(vectors.sparkSession)
     largest = F.max(F.array_max(F.transform("vector", lambda x: F.abs(x))))
     about = vectors.agg(F.count("*").alias("n"), largest.alias("top")).first()
     asked = queries.agg(F.count("*").alias("n"), largest.alias("top")).first()
