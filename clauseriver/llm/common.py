@@ -81,7 +81,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """df as a table written once to the shared folder, compressed; for what is too large to checkpoint as it is."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseriver.llm.common import cut, hex_slot, read, small_batches, sums_before
+from clauseriver.llm.common import hex_slot, read, small_batches, sums_before, written
 
 LENGTH = 1024
 VOCABULARY = "byte_bpe_50k"
@@ -169,9 +169,9 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, ke
     run = partial(cut_pieces, vocabulary=vocabulary, length=length, keep_ids=keep_ids)
     at = position.cast("long") if ordered else F.lit(0).cast("long")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), at.alias("position"), F.col("text").cast("string").alias("text"))
-    pieces = cut(texts.mapInPandas(run, PIECES + ", ids binary" * keep_ids).withColumn("_one", F.lit(1)))
-    if ordered:  # ranges of one file each, or of a million rows of it
-        slot, order = F.shiftright("position", 20), ["position", "start"]
+    pieces = written(texts.mapInPandas(run, PIECES + ", ids binary" * keep_ids)).withColumn("_one", F.lit(1))
+    if ordered:  # ranges of 4096 rows of one file each
+        slot, order = F.shiftright("position", 12), ["position", "start"]
     else:  # equal rows, that no digest tells apart, are dealt by where they stand
         key = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "ids_crc32")
         pieces = pieces.withColumn("_digest", F.sha2(key, 256))
