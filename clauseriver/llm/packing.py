@@ -10,6 +10,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ MOST_SLOTS = 500_000
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The vocabulary's own splitting never joins characters across these chunks: a run of white space but
 #: for its last character, or a run of other characters with at most one white space before it.
+_spaces = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{_SPACE}]", chr(c)))
 _chunk = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+")
 
 
@@ -50,6 +52,35 @@ class Encoder(dict):
         self.added = {t: as_bytes([i]) for t, i in added.items()}
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.most, self.long = most, long
+        size = self.tokenizer.get_vocab_size(with_added_tokens=False)
+        self.widths = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)])  # bytes of each id
+
+    def learn(self, chunks: list[str]) -> None:
+        """Takes in the ids of all new chunks that begin with one white space, in one call.
+
+        Such chunks are told apart wherever they stand, so they are encoded end to end, and their ids are parted by
+        the number of their bytes.
+        """
+        new = [c for c in dict.fromkeys(chunks) if c not in self and 1 < len(c) <= self.long and c[0] in _spaces and c[-1] not in _spaces]
+        if len(new) < 2:
+            return
+        if len(self) + len(new) >= self.most:
+            self.clear()
+        ids = self.tokenizer.encode("".join(new), add_special_tokens=False).ids
+        ends = np.cumsum(self.widths[ids])
+        wanted = np.cumsum([len(c.encode()) for c in new])
+        cuts = np.searchsorted(ends, wanted)
+        if (ends[cuts] != wanted).any():
+            raise ValueError("a chunk shares an id with the next one")
+        whole, at = as_bytes(ids), 0
+        for chunk, end in zip(new, (4 * (cuts + 1)).tolist(), strict=True):
+            self[chunk] = whole[at:end]
+            at = end
+
+    def of(self, text: str) -> bytes:
+        chunks = _chunk.findall(text)
+        self.learn(chunks)
+        return b"".join(map(self.__getitem__, chunks))
 
     def __missing__(self, chunk: str) -> bytes:
         ids = as_bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
@@ -61,8 +92,8 @@ class Encoder(dict):
 
     def ids(self, text: str) -> bytes:
         if not any(t in text for t in self.added):
-            return b"".join(map(self.__getitem__, _chunk.findall(text)))
-        return b"".join(self.added[p] if i % 2 else b"".join(map(self.__getitem__, _chunk.findall(p))) for i, p in enumerate(self.cuts.split(text)))
+            return self.of(text)
+        return b"".join(self.added[p] if i % 2 else self.of(p) for i, p in enumerate(self.cuts.split(text)))
 
 
 encoder = lru_cache(maxsize=1)(Encoder)

@@ -1,5 +1,6 @@
 """Quality rules, mixing, packing, personal data, near and substring dedup against brute force."""
 
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -146,6 +147,18 @@ def test_tokens_and_places(spark):
         assert end <= 1024
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the tables aren't here")
+def test_ids_are_those_of_the_plain_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    e = packing.Encoder("byte_bpe_50k", most=5000)
+    odd = ["a <|endoftext|> b<|endoftext|><|endoftext|>  \n c", "<|endoftext|>", "x\u3000y\u3000\u3000z \u200b q\x85\x85r", " 's 's' '\n's it's 'LL'll", "\r\n a\r\nb \x1c\x1d c", *map(str, HARD_TEXTS)]
+    for text in odd + [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]:
+        assert e.ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_padding_is_little():
     rng = np.random.default_rng(0)
     lengths = Counter(rng.integers(1, 1025, 50_000).tolist())
