@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterable
+from functools import lru_cache, reduce
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +31,48 @@ def matches(text: Column, p: str, flags: str = "(?i)") -> Column:
     return F.rlike(text, F.lit(pattern(p, flags)))
 
 
+@lru_cache(maxsize=None)
+def needs(p: str) -> tuple[str, ...]:
+    """Lower-case strings one of which stands in every text that the pattern matches; empty if there are none of use.
+
+    They follow from the pattern's parts: of parts in a row the one with the longest strings serves, of alternatives all do.
+    """
+    try:
+        return _needs(list(_parser.parse(p))) or ()
+    except re.error:
+        return ()
+
+
+def _needs(parts: list) -> tuple[str, ...] | None:
+    found, run = [], ""
+    queue = deque(parts)
+    while queue:
+        op, arg = queue.popleft()
+        name = str(op)
+        if name == "LITERAL" and len(chr(arg).lower()) == 1:
+            run += chr(arg).lower()
+        elif name == "SUBPATTERN":
+            queue.extendleft(reversed(list(arg[3])))
+        elif name not in ("AT", "ASSERT", "ASSERT_NOT"):  # these take no room
+            found.append((run,))
+            run = ""
+            if name == "BRANCH":
+                each = [_needs(list(x)) for x in arg[1]]
+                if all(each):
+                    found.append(tuple(dict.fromkeys(y for x in each for y in x)))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+                found.append(_needs(list(arg[2])) or ("",))
+    found.append((run,))
+    best = max(found, key=lambda x: (min(map(len, x)) - len(x) / 4, -len(x)))
+    return best if min(map(len, best)) >= 3 and len(best) <= 12 else None
+
+
+def may_match(low: Column, p: str) -> Column:
+    """Whether a text, given in lower case, has what the pattern cannot do without: cheap, and true wherever the pattern matches."""
+    found = [F.contains(low, F.lit(x)) for x in needs(p)]
+    return reduce(lambda a, b: a | b, found) if found else F.lit(True)
+
+
 def any_match(text: Column, patterns: Iterable[str], flags: str = "(?i)") -> Column:
     """One alternation: the engine walks the text once for all patterns."""
     return matches(text, "|".join(f"(?:{p})" for p in patterns), flags)
@@ -100,7 +145,7 @@ def quote_around(text: Column, p: str, variant: str = "denial") -> Column:
 
         def evidence(head: Column) -> Column:
             at = F.length(head)
-            left = F.when(F.rlike(head, F.lit("[.;]")), F.regexp_extract(head, r"[^.;]*\z", 0)).otherwise(
+            left = F.when(F.rlike(head, F.lit("[.;]")), F.regexp_extract(head, r"(?<![^.;])[^.;]*+\z", 0)).otherwise(
                 F.substring(head, F.greatest(F.lit(1), at - 179), F.lit(180))
             )
             after = F.substring(text, at + 1, F.length(text))
@@ -108,7 +153,8 @@ def quote_around(text: Column, p: str, variant: str = "denial") -> Column:
             return let(strip(F.concat(left, right)), lambda q: F.when(F.length(q) >= 24, F.substring(q, 1, 300)).otherwise(F.lit("")))
 
         return let(before_match(text, p), evidence)
-    begin, most = (r"[^.]*\z", 240) if variant == "denial" else (r"[^.\n]*\z", 300)
+    # tried only where a sentence begins, else each of its characters would be a new attempt
+    begin, most = (r"(?<![^.])[^.]*+\z", 240) if variant == "denial" else (r"(?<![^.\n])[^.\n]*+\z", 300)
 
     def sentence(m: Column) -> Column:
         at, hit = F.length(m["head"]), m["hit"]

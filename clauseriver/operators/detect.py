@@ -6,6 +6,9 @@ join those slim hits, so texts are never shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +59,14 @@ sentences AS (SELECT doc_id, unnest(range(0, len(list))) AS sent_no, unnest(list
 # -- D1, D11: sentence rules --------------------------------------------------------------------------
 
 
-def _first_violation(sentences: Column, pillar: str) -> Column:
-    """(pattern, sentence) of the first pattern, in order, that has a sentence; a null struct if none has."""
+def _first_violation(sentences: Column, low: Column, pillar: str) -> Column:
+    """(pattern, sentence) of the first pattern, in order, that has a sentence; a null struct if none has.
+
+    low is the whole text in lower case: sentences are only looked at for patterns that it may match.
+    """
     tries = []
     for i, (p, negatable) in enumerate(R.HARD_VIOLATIONS[pillar]):
-        tries.append(_violation(sentences, i, p, negatable))
+        tries.append(F.when(T.may_match(low, p), _violation(sentences, i, p, negatable)))
     return F.coalesce(*tries)
 
 
@@ -75,8 +81,8 @@ def _violation(sentences: Column, i: int, p: str, negatable: bool) -> Column:
 
 def hard_violation_hits(docs: DataFrame) -> DataFrame:
     """doc_id, pillar, pattern_ord, sentence: the first pattern with a sentence that isn't negated."""
-    cut = docs.select("doc_id", sentences_of(F.col("text"), "strict").alias("s"))
-    hits = _by_pillar(cut, lambda p: _first_violation(F.col("s"), p), list(R.HARD_VIOLATIONS))
+    cut = docs.select("doc_id", sentences_of(F.col("text"), "strict").alias("s"), F.lower("text").alias("low"))
+    hits = _by_pillar(cut, lambda p: _first_violation(F.col("s"), F.col("low"), p), list(R.HARD_VIOLATIONS))
     return hits.where("pattern_ord IS NOT NULL")
 
 
@@ -108,20 +114,22 @@ hard AS (SELECT doc_id, pillar, min(pattern_ord) AS pattern_ord, arg_min(sentenc
   FROM hard_all WHERE pattern_ord IS NOT NULL GROUP BY ALL)"""
 
 
-def _points(sentence: Column, pillar: str) -> Column:
-    words = R.BACKFILL[pillar]
-    return T.count_matches(sentence, words["high"]) * 3 + T.count_matches(sentence, words["low"])
+def _points(of: Callable[[str], Column], pillar: str) -> Column:
+    """Points of the pillar's patterns for which of(pattern) is true."""
+    return sum((of(p).cast("int") * n for kind, n in (("high", 3), ("low", 1)) for p in R.BACKFILL[pillar][kind]), F.lit(0))
 
 
-def _best_sentence(sentences: Column, pillar: str) -> Column:
-    scored = F.transform(sentences, lambda s, i: F.struct(_points(s, pillar).alias("score"), (-i).alias("earlier"), s.alias("sentence")))
-    return F.array_max(scored)
+def _best_sentence(sentences: Column, low: Column, pillar: str, least: int) -> Column:
+    """The sentence with most points, in texts (low: in lower case) that have what it takes for `least` points at all."""
+    points = lambda s: _points(lambda p: T.may_match(low, p) & T.matches(s, p), pillar)
+    scored = F.transform(sentences, lambda s, i: F.struct(points(s).alias("score"), (-i).alias("earlier"), s.alias("sentence")))
+    return F.when(_points(lambda p: T.may_match(low, p), pillar) >= least, F.array_max(scored))
 
 
 def backfill_citations(findings: DataFrame, docs: DataFrame, min_score: int = 6) -> DataFrame:
     """Clean findings without a citation get the sentence with most keyword points, if it has min_score."""
-    cut = docs.select("doc_id", sentences_of(F.col("text")).alias("s"))
-    best = _by_pillar(cut, lambda p: _best_sentence(F.col("s"), p)).where(F.col("score") >= min_score)
+    cut = docs.select("doc_id", sentences_of(F.col("text")).alias("s"), F.lower("text").alias("low"))
+    best = _by_pillar(cut, lambda p: _best_sentence(F.col("s"), F.col("low"), p, min_score)).where(F.col("score") >= min_score)
     joined = findings.join(best.select(*KEY, T.cap_words(F.col("sentence")).alias("quote")), KEY, "left")
     empty = F.trim(F.coalesce("citation", F.lit(""))).isin(R.NOT_FOUND, "", R.NOT_ADDRESSED)
     fill = ~F.col("violation") & empty & F.col("quote").isNotNull()
@@ -186,9 +194,14 @@ crossed AS (
 # -- D3, D4, D5, D12: patterns over the whole text ----------------------------------------------------
 
 
-def _quoted(text: Column, patterns: list[str], variant: str, least: int = 0) -> Column:
+def _with_low(docs: DataFrame) -> DataFrame:
+    """doc_id and text, also in lower case."""
+    return docs.select("doc_id", "text", F.lower("text").alias("low"))
+
+
+def _quoted(text: Column, low: Column, patterns: list[str], variant: str, least: int = 0) -> Column:
     """(pattern_ord, quote) of the first pattern that occurs with a quote of at least `least` characters."""
-    return F.coalesce(*[F.when(T.matches(text, p), _hit(i, T.quote_around(text, p, variant), least)) for i, p in enumerate(patterns)])
+    return F.coalesce(*[F.when(T.may_match(low, p) & T.matches(text, p), _hit(i, T.quote_around(text, p, variant), least)) for i, p in enumerate(patterns)])
 
 
 def _hit(i: int, quote: Column, least: int) -> Column:
@@ -200,7 +213,7 @@ def _hit(i: int, quote: Column, least: int) -> Column:
 
 
 def denial_hits(docs: DataFrame) -> DataFrame:
-    return _by_pillar(docs, lambda p: _quoted(F.col("text"), R.DENIALS[p], "denial")).where("pattern_ord IS NOT NULL")
+    return _by_pillar(_with_low(docs), lambda p: _quoted(F.col("text"), F.col("low"), R.DENIALS[p], "denial")).where("pattern_ord IS NOT NULL")
 
 
 def denial_veto(findings: DataFrame, docs: DataFrame) -> DataFrame:
@@ -220,13 +233,16 @@ def denial_veto(findings: DataFrame, docs: DataFrame) -> DataFrame:
 
 def count_denials(docs: DataFrame) -> DataFrame:
     """doc_id, n: pillars with an explicit denial."""
-    n = sum((T.any_match(F.col("text"), ps).cast("int") for ps in R.DENIALS.values()), F.lit(0))
-    return docs.select("doc_id", n.cast("long").alias("n"))
+    def any_of(ps: list[str]) -> Column:
+        return reduce(lambda a, b: a | b, [T.may_match(F.col("low"), p) & T.matches(F.col("text"), p) for p in ps])
+
+    n = sum((any_of(ps).cast("int") for ps in R.DENIALS.values()), F.lit(0))
+    return _with_low(docs).select("doc_id", n.cast("long").alias("n"))
 
 
 def clause_hits(docs: DataFrame) -> DataFrame:
     """doc_id, pillar, pattern_ord, quote of the first clause pattern with a quote of 20 characters or more."""
-    return _by_pillar(docs, lambda p: _quoted(F.col("text"), R.CLAUSES[p], "clause", 20)).where("pattern_ord IS NOT NULL")
+    return _by_pillar(_with_low(docs), lambda p: _quoted(F.col("text"), F.col("low"), R.CLAUSES[p], "clause", 20)).where("pattern_ord IS NOT NULL")
 
 
 def apply_clauses(findings: DataFrame, docs: DataFrame) -> DataFrame:
@@ -275,10 +291,11 @@ def evidence(docs: DataFrame, dark_patterns: bool = True) -> DataFrame:
     flat = F.col("_flat")
 
     def of(p: str) -> Column:
-        quotes = [F.when(T.matches(flat, x), T.let(T.quote_around(flat, x, "evidence"), lambda q: F.when(q != "", q))) for x in R.EVIDENCE[p]]
+        quotes = [F.when(T.may_match(F.col("low"), x) & T.matches(flat, x), T.let(T.quote_around(flat, x, "evidence"), lambda q: F.when(q != "", q))) for x in R.EVIDENCE[p]]
         return F.struct(F.lit(R.PILLARS.index(p) + 1).alias("pillar_ord"), F.coalesce(*quotes, F.lit(R.NOT_ADDRESSED)).alias("citation"))
 
-    rows = _by_pillar(docs.select("doc_id", T.strip(T.collapse(F.col("text"))).alias("_flat")), of, pillars)
+    flattened = docs.select("doc_id", T.strip(T.collapse(F.col("text"))).alias("_flat")).withColumn("low", F.lower("_flat"))
+    rows = _by_pillar(flattened, of, pillars)
     return rows.select("doc_id", "pillar", "pillar_ord", (F.col("citation") != R.NOT_ADDRESSED).alias("violation"), F.lit("LOW").alias("confidence"), "citation")
 
 
@@ -507,7 +524,7 @@ def rules_frame(spark) -> DataFrame:
 def rule_hits(docs: DataFrame) -> DataFrame:
     """rule_set, pillar, ord, documents: how many texts each pattern matches; one pass, one row of counts."""
     rules = rule_rows()
-    counts = docs.agg(*[F.count_if(T.matches(F.col("text"), x)).alias(f"r{k}") for k, (_, _, _, x, _) in enumerate(rules)])
+    counts = _with_low(docs).agg(*[F.count_if(T.may_match(F.col("low"), x) & T.matches(F.col("text"), x)).alias(f"r{k}") for k, (_, _, _, x, _) in enumerate(rules)])
     named = [F.struct(F.lit(s).alias("rule_set"), F.lit(p).alias("pillar"), F.lit(i).alias("ord"), F.col(f"r{k}").alias("documents")) for k, (s, p, i, _, _) in enumerate(rules)]
     return counts.select(F.inline(F.array(*named)))
 

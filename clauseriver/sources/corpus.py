@@ -57,8 +57,15 @@ SITES = [
 ]
 
 
+#: Tables of texts, whose rows cost far more to work on than to move.
+TEXTS = ("documents", "pages")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Texts in fewer files than there are cores are dealt to all of them; larger tables stay as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and len(df.inputFiles()) < cores else df
 
 
 def _pick(items: list[str], index):
