@@ -540,6 +540,16 @@ def _q(run):
     return query
 
 
+#: Citations on some of which the versions of the overrides differ.
+VARIED = ["", *C.CLAUSES]
+
+
+def _varied(findings: DataFrame) -> DataFrame:
+    """All findings as violations, each with one of the citations VARIED."""
+    at = ((F.col("doc_id") + F.col("pillar_ord")) % len(VARIED)).cast("int")
+    return findings.withColumn("violation", F.lit(True)).withColumn("citation", F.get(F.array(*map(F.lit, VARIED)), at))
+
+
 BASE = f"WITH {C.POLICIES_SQL}, {C.FINDINGS_SQL}"
 F_COLS = ["doc_id", "pillar", "violation", "confidence", "citation"]
 QUERIES = {
@@ -562,7 +572,7 @@ QUERIES = {
     "d13_pp_prefilter": _q(lambda f, d: pp_prefilter(d)),
     "d14_apply_pp_finding": _q(lambda f, d: apply_pp_finding(f, pp_prefilter(d).withColumnRenamed("needs_scan", "pp_found")).select(*F_COLS)),
     "d15_rule_overrides": _q(lambda f, d: rule_overrides(f).select(*F_COLS, "rule_id")),
-    "d16_rule_override_variants": _q(lambda f, d: rule_override_variants(f)),
+    "d16_rule_override_variants": _q(lambda f, d: rule_override_variants(_varied(f))),
 }
 ORACLES = {
     "a5_rule_hits": f"WITH {C.POLICIES_SQL} " + " UNION ALL ".join(f"SELECT '{s}' AS rule_set, '{p}' AS pillar, {i} AS ord, count(*) FILTER ({D.rx('text', x)}) AS documents FROM policies" for s, p, i, x, _ in rule_rows()),
@@ -601,6 +611,7 @@ ORACLES = {
     SELECT doc_id, pillar, violation OR up AS violation, CASE WHEN up THEN 'MEDIUM' ELSE confidence END AS confidence, CASE WHEN up THEN '[Found in Privacy Policy]' ELSE citation END AS citation FROM u""",
     "d15_rule_overrides": f"""{BASE}, u AS (SELECT *, {_rule_sql(3)} AS rule_id FROM findings)
     SELECT doc_id, pillar, violation AND rule_id IS NULL AS violation, CASE WHEN rule_id IS NOT NULL THEN 'MEDIUM' ELSE confidence END AS confidence, citation, rule_id FROM u""",
-    "d16_rule_override_variants": f"""{BASE}, u AS (SELECT doc_id, pillar, {_rule_sql(1)} AS left_rule, {_rule_sql(3)} AS right_rule FROM findings)
+    "d16_rule_override_variants": f"""{BASE}, f AS (SELECT doc_id, pillar, true AS violation, {C._list(VARIED)}[CAST((doc_id + pillar_ord) % {len(VARIED)} AS INT) + 1] AS citation FROM findings),
+    u AS (SELECT doc_id, pillar, {_rule_sql(1)} AS left_rule, {_rule_sql(3)} AS right_rule FROM f)
     SELECT * FROM u WHERE left_rule IS DISTINCT FROM right_rule""",
 }

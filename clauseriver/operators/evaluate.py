@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -187,6 +189,10 @@ def _cases(s, d):
     return pred, cases
 
 
+def _split(s, d, name: str, of: str) -> DataFrame:
+    return C.policies(s, d).where(of).select("doc_id", F.lit(name).alias("split"))
+
+
 def _trials(s, d):
     p = C.policies(s, d).select(F.col("doc_id").alias("id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("trial"))
     n = F.col("id") + F.when(F.col("id") % 4 == 0, F.col("trial")).otherwise(0)
@@ -203,7 +209,30 @@ def _golden(s, d):
     return golden_gate(f, score(f), cases)
 
 
+def _read_back(s, d) -> DataFrame:
+    """Cases that were written as files, a JSON object a line, with what is read from them."""
+    docs = C.policies(s, d)
+    found = C.findings(docs).groupBy("doc_id").agg(*[F.bool_or(F.when(F.col("pillar") == p, F.col("violation"))).alias(p) for p in R.PILLARS])
+    expected = F.struct(F.when(F.col("doc_id") % 3 == 0, "SAFE").otherwise("RISKY").alias("rating"), F.struct(*R.PILLARS).alias("pillars"))
+    cases = docs.join(found, "doc_id").select(F.col("doc_id").cast("string").alias("id"), "text", "service", expected.alias("expected"))
+    path = f"{C.shared_folder(s)}/cases-{uuid4().hex}"
+    cases.write.json(path)
+    back = read_eval_cases(s, path)
+    return back.select("id", "service", "expected.rating", F.sha2("text", 256).alias("sha"), *[F.col(f"expected.pillars.{p}").alias(p) for p in R.PILLARS])
+
+
+def _files(s, d) -> DataFrame:
+    """The texts of each language as one file, read whole: characters without line ends, by language."""
+    path = f"{C.shared_folder(s)}/texts-{uuid4().hex}"
+    plain = C.policies(s, d).select(F.coalesce("lang", F.lit("none")).alias("lang"), F.regexp_replace("text", "\n", " ").alias("value"))
+    plain.write.partitionBy("lang").text(path)
+    files = read_text_files(s, f"{path}/*/*.txt").withColumn("lang", F.regexp_extract("path", "/lang=([^/]*)/", 1))
+    return files.groupBy("lang").agg(F.sum(F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n_chars"))
+
+
 QUERIES = {
+    "a4_read_eval_cases": _read_back,
+    "a10_read_text_files": _files,
     "f13_accuracy_check": lambda s, d: _results(s, d).select("service", "scan_type", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.array_join("false_negatives", ",").alias("fn"), F.array_join("false_positives", ",").alias("fp")),
     "f14_battery_summary": lambda s, d: battery_summary(_results(s, d)),
     "f15_confusion_rates": lambda s, d: confusion_rates(_results(s, d)),
@@ -219,7 +248,7 @@ QUERIES = {
     "f23_model_bench": lambda s, d: model_bench(C.scans(s, d).select(F.col("tier").alias("model"), F.col("latency_ms").alias("latency"), (F.col("scan_id") % 7 != 0).alias("parse_ok"), (F.col("scan_id") % 6).alias("correct"), F.lit(6).alias("total"), F.when(F.col("scan_id") % 23 == 0, "timeout").alias("error"))),
     "f24_golden_gate": lambda s, d: _golden(s, d).select("doc_id", "passed", F.array_join("reasons", ",").alias("reasons")),
     "f26_category_accuracy": lambda s, d: category_accuracy(C.scans(s, d).select(F.col("tier").alias("category"), "rating", (F.col("scan_id") % 3 == 0).alias("ok"))),
-    "x1_union_splits": lambda s, d: C.policies(s, d).where("doc_id % 5 = 0").select("doc_id", F.lit("real").alias("split")).unionByName(C.policies(s, d).where("doc_id % 5 = 1").select("doc_id", F.lit("adversarial").alias("split"))),
+    "x1_union_splits": lambda s, d: _split(s, d, "real", "lang = 'en'").unionByName(_split(s, d, "adversarial", "lang IS DISTINCT FROM 'en'")),
     "x2_pillar_sets": lambda s, d: C.findings(C.policies(s, d)).where("violation").select("doc_id", "pillar").exceptAll(C.findings(C.policies(s, d)).where("confidence = 'LOW'").select("doc_id", "pillar")),
     "x3_leakage": lambda s, d: leakage(C.read(s, d, "documents").where("doc_id % 2 = 0"), C.read(s, d, "documents").where("doc_id % 2 = 1")),
 }
@@ -260,6 +289,10 @@ def _golden_sql() -> str:
 
 
 ORACLES = {
+    "a4_read_eval_cases": f"""WITH {C.POLICIES_SQL}, {C.FINDINGS_SQL}
+    SELECT CAST(doc_id AS VARCHAR) AS id, any_value(service) AS service, CASE WHEN doc_id % 3 = 0 THEN 'SAFE' ELSE 'RISKY' END AS rating, sha256(any_value(text)) AS sha,
+      {", ".join(f"bool_or(violation) FILTER (pillar = '{p}') AS {p}" for p in R.PILLARS)} FROM findings JOIN policies USING (doc_id) GROUP BY doc_id""",
+    "a10_read_text_files": f"WITH {C.POLICIES_SQL} SELECT coalesce(lang, 'none') AS lang, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM policies GROUP BY ALL",
     "f13_accuracy_check": f"{RESULTS_SQL} SELECT service, scan_type, round(precision, 6) AS precision, round(recall, 6) AS recall, array_to_string(false_negatives, ',') AS fn, array_to_string(false_positives, ',') AS fp FROM results",
     "f14_battery_summary": f"{RESULTS_SQL} SELECT scan_type, grade, count(*) FILTER (rating_match) AS correct, count(*) AS total, round(avg(precision), 6) AS avg_precision, round(avg(recall), 6) AS avg_recall, round(avg(latency_s), 6) AS avg_latency_s FROM results GROUP BY GROUPING SETS ((scan_type), (scan_type, grade))",
     "f15_confusion_rates": f"{RESULTS_SQL} SELECT scan_type, round(avg(rating_match::INT) FILTER (expected_rating = 'SAFE'), 6) AS true_negative_rate, round(avg(rating_match::INT) FILTER (expected_rating = 'RISKY'), 6) AS true_positive_rate, count(*) FILTER (expected_rating = 'SAFE' AND len(false_positives) > 0) AS safe_flagged FROM results GROUP BY scan_type",
@@ -279,7 +312,7 @@ ORACLES = {
     "f23_model_bench": f"""WITH {C.SCANS_SQL} SELECT tier AS model, CAST(floor(avg(latency_ms) + 0.5) AS BIGINT) AS avg_latency, CAST(floor(100 * (count(*) FILTER (scan_id % 7 <> 0) / count(*)) + 0.5) AS BIGINT) AS parse_pct, CAST(floor(100 * (sum(scan_id % 6) / (6 * count(*))) + 0.5) AS BIGINT) AS accuracy_pct FROM scans WHERE scan_id % 23 <> 0 GROUP BY tier""",
     "f24_golden_gate": _golden_sql(),
     "f26_category_accuracy": f"WITH {C.SCANS_SQL} SELECT tier AS category, rating, count(*) AS cases, count(*) FILTER (scan_id % 3 = 0) AS correct FROM scans GROUP BY CUBE (tier, rating)",
-    "x1_union_splits": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'real' ELSE 'adversarial' END AS split FROM documents WHERE doc_id % 5 IN (0, 1)",
+    "x1_union_splits": "SELECT doc_id, CASE WHEN lang = 'en' THEN 'real' ELSE 'adversarial' END AS split FROM documents",
     "x2_pillar_sets": f"WITH {C.POLICIES_SQL}, {C.FINDINGS_SQL} SELECT doc_id, pillar FROM findings WHERE violation EXCEPT ALL SELECT doc_id, pillar FROM findings WHERE confidence = 'LOW'",
     "x3_leakage": "SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)",
 }

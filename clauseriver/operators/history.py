@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -199,7 +201,7 @@ def _upsert(scans: DataFrame) -> DataFrame:
 
 
 def _lookup(scans: DataFrame) -> DataFrame:
-    c = _cache(scans.where("scan_id % 3 = 0")).withColumn("expires_at", F.col("scanned_at") + ttl(F.col("tier")))
+    c = _cache(scans).withColumn("scanned_at", F.col("scanned_at") + F.expr("INTERVAL 1 MINUTE")).withColumn("expires_at", F.col("scanned_at") + ttl(F.col("tier")))
     r = scans.select(F.col("scan_id").alias("req_id"), F.concat_ws(":", "url", "tier").alias("cache_key"), "content_hash", F.col("created_at").alias("req_ts"))
     return cache_lookup(r, c.groupBy("cache_key", "content_hash", "scanned_at").agg(F.max("expires_at").alias("expires_at")))
 
@@ -218,13 +220,22 @@ def _healthy(scans: DataFrame) -> DataFrame:
 
 
 def _watches(scans: DataFrame) -> DataFrame:
-    return scans.where("scan_id % 40 = 0").select(F.col("scan_id").alias("watch_id"), "uid", "url", "created_at", F.when(F.col("scan_id") % 80 == 0, F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("next_check_at"))
+    return scans.select(F.col("scan_id").alias("watch_id"), "uid", "url", "created_at", F.when(F.col("scan_id") % 80 == 0, F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("next_check_at"))
+
+
+def _written(spark, sf_dir) -> DataFrame:
+    """Scan records after they have been written and read back."""
+    path = f"{C.shared_folder(spark)}/scans-{uuid4().hex}"
+    rows = C.scans(spark, sf_dir).select("scan_id", "url", "tier", F.when(F.col("score") >= 20, F.col("rating")).alias("rating"), F.when(F.col("score") < 90, F.col("score")).alias("score"))
+    write_scans(rows, path)
+    return spark.read.parquet(path).select("scan_id", "url", "tier", "rating", "score")
 
 
 QUERIES = {
+    "a7_write_scans": _written,
     "a8_upsert_cache": _s(_upsert),
     "a9_golden_lookup": _s(lambda x: golden_lookup(x.select("scan_id", "url"), x.where("tier = 'deep'").groupBy("url").agg(F.max_by("tldr", "scan_id").alias("result")))),
-    "a11_reports_by_url": _s(lambda x: reports_by_url(x.where("scan_id % 9 = 0").select(F.col("scan_id").alias("request_id")), x)),
+    "a11_reports_by_url": _s(lambda x: reports_by_url(x.select(F.col("scan_id").alias("request_id")), x)),
     "b11_search_history": _s(lambda x: search_history(x, "RISKY", "SPOTIFY").select("scan_id", "url", "rating")),
     "b12_cache_healthy": _s(_healthy),
     "b13_due_watches": _s(lambda x: due_watches(_watches(x), AS_OF).select("watch_id", "url")),
@@ -235,8 +246,8 @@ QUERIES = {
     "f12_category_benchmarks": _s(category_benchmarks),
     "f12_vs_benchmark": _s(lambda x: vs_benchmark(x, category_benchmarks(x))),
     "g1_cache_lookup": _s(_lookup),
-    "g4_watched": _s(lambda x: watched(x, _watches(x).where("watch_id % 120 = 0")).select("scan_id", "url")),
-    "g4_not_watched": _s(lambda x: watched(x, _watches(x).where("watch_id % 120 = 0"), False).select("scan_id", "url")),
+    "g4_watched": _s(lambda x: watched(x, _watches(x).where("url LIKE '%legal%'")).select("scan_id", "url")),
+    "g4_not_watched": _s(lambda x: watched(x, _watches(x).where("url LIKE '%legal%'"), False).select("scan_id", "url")),
     "w1_user_history": _s(lambda x: user_history(x).select("scan_id", "uid", "n")),
     "w2_latest_scan": _s(latest_scan),
     "w3_policy_changes": _s(policy_changes),
@@ -253,13 +264,14 @@ _bench = f"""bs AS (SELECT *, {_site} AS category, {D.host("url")} AS site FROM
 bm AS (SELECT category, site, sum(score) AS s, count(*) AS n FROM bs WHERE category IS NOT NULL GROUP BY ALL),
 bench AS (SELECT category, CAST(sum(n) AS BIGINT) AS scans, round(sum(s) / sum(n), 6) AS avg_score, arg_min(site, (s / n, site)) AS riskiest, arg_max(site, (s / n, site)) AS safest FROM bm GROUP BY category)"""
 _ttl = "CASE WHEN tier = 'deep' THEN INTERVAL 168 HOURS ELSE INTERVAL 48 HOURS END"
-_watch_sql = "watches AS (SELECT scan_id AS watch_id, uid, url, created_at, CASE WHEN scan_id % 80 = 0 THEN created_at + INTERVAL 1 DAY END AS next_check_at FROM scans WHERE scan_id % 40 = 0)"
+_watch_sql = "watches AS (SELECT scan_id AS watch_id, uid, url, created_at, CASE WHEN scan_id % 80 = 0 THEN created_at + INTERVAL 1 DAY END AS next_check_at FROM scans)"
 ORACLES = {
+    "a7_write_scans": f"{S} SELECT scan_id, url, tier, CASE WHEN score >= 20 THEN rating ELSE 'RISKY' END AS rating, CASE WHEN score < 90 THEN score ELSE 0 END AS score FROM scans",
     "a8_upsert_cache": f"""{S}, c AS (SELECT url || ':' || tier AS cache_key, content_hash, tier, created_at AS scanned_at FROM scans),
     r AS (SELECT *, count(*) OVER (PARTITION BY cache_key) AS scan_count, row_number() OVER (PARTITION BY cache_key ORDER BY scanned_at DESC, content_hash DESC) AS k FROM c)
     SELECT cache_key, content_hash, tier, scanned_at, scan_count, scanned_at + {_ttl} AS expires_at FROM r WHERE k = 1""",
     "a9_golden_lookup": f"{S}, g AS (SELECT url, arg_max(tldr, scan_id) AS result FROM scans WHERE tier = 'deep' GROUP BY url) SELECT scan_id, url, result FROM scans LEFT JOIN g USING (url)",
-    "a11_reports_by_url": f"{S} SELECT url, count(*) AS reports, avg(score) AS avg_score FROM scans WHERE scan_id % 9 = 0 GROUP BY url",
+    "a11_reports_by_url": f"{S} SELECT url, count(*) AS reports, avg(score) AS avg_score FROM scans GROUP BY url",
     "b11_search_history": f"{S} SELECT scan_id, url, rating FROM scans WHERE rating = 'RISKY' AND (contains(lower(url), 'spotify') OR contains(lower(tldr), 'spotify'))",
     "b12_cache_healthy": f"""{S} SELECT scan_id, tier = CASE WHEN scan_id % 2 = 0 THEN 'deep' ELSE 'quick' END AND NOT (scan_id % 2 = 0 AND (scan_id % 5 = 0 OR scan_id % 7 = 0)) AND scan_id % 11 <> 0
       AND NOT (scan_id % 3 = 0 AND scan_id % 5 <> 0 AND scan_id % 4 = 0) AND scan_id % 13 <> 0 AS healthy FROM scans""",
@@ -272,10 +284,10 @@ ORACLES = {
     "f12_category_benchmarks": f"{S}, {_bench} SELECT * FROM bench",
     "f12_vs_benchmark": f"""{S}, {_bench}, v AS (SELECT scan_id, CAST(floor(score - avg_score + 0.5) AS BIGINT) AS d FROM bs JOIN bench USING (category))
     SELECT scan_id, CASE WHEN d > 0 THEN d || ' above average' WHEN d < 0 THEN -d || ' below average' ELSE 'average' END AS difference FROM v""",
-    "g1_cache_lookup": f"""{S}, c AS (SELECT DISTINCT url || ':' || tier AS cache_key, content_hash, created_at AS scanned_at, created_at + {_ttl} AS expires_at FROM scans WHERE scan_id % 3 = 0)
+    "g1_cache_lookup": f"""{S}, c AS (SELECT DISTINCT url || ':' || tier AS cache_key, content_hash, created_at + INTERVAL 1 MINUTE AS scanned_at, created_at + INTERVAL 1 MINUTE + {_ttl} AS expires_at FROM scans)
     SELECT scan_id AS req_id, url || ':' || tier AS cache_key, s.content_hash, created_at AS req_ts, (SELECT max(scanned_at) FROM c WHERE c.cache_key = s.url || ':' || s.tier AND c.content_hash = s.content_hash AND scanned_at <= s.created_at AND s.created_at < expires_at) AS scanned_at FROM scans s""",
-    "g4_watched": f"{S}, {_watch_sql} SELECT scan_id, url FROM scans WHERE url IN (SELECT url FROM watches WHERE watch_id % 120 = 0)",
-    "g4_not_watched": f"{S}, {_watch_sql} SELECT scan_id, url FROM scans WHERE url NOT IN (SELECT url FROM watches WHERE watch_id % 120 = 0)",
+    "g4_watched": f"{S}, {_watch_sql} SELECT scan_id, url FROM scans WHERE url IN (SELECT url FROM watches WHERE url LIKE '%legal%')",
+    "g4_not_watched": f"{S}, {_watch_sql} SELECT scan_id, url FROM scans WHERE url NOT IN (SELECT url FROM watches WHERE url LIKE '%legal%')",
     "w1_user_history": f"{S} SELECT scan_id, uid, row_number() OVER (PARTITION BY uid ORDER BY created_at DESC, scan_id) AS n FROM scans",
     "w2_latest_scan": f"{S} SELECT sha256(url) AS url_hash, tier, created_at, scan_id, score, rating FROM (SELECT *, row_number() OVER (PARTITION BY url, tier ORDER BY created_at DESC, scan_id DESC) AS k FROM scans) WHERE k = 1",
     "w3_policy_changes": f"""{S}, l AS (SELECT *, lag(content_hash) OVER w AS old_hash, lag(score) OVER w AS old_score FROM scans WINDOW w AS (PARTITION BY url ORDER BY created_at, scan_id))

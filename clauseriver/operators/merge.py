@@ -180,7 +180,7 @@ def _ensemble(gate):
 
 
 def _tldr(spark, sf_dir):
-    parsed = parse_model_output(_outputs(spark, sf_dir).where("model = 'primary' AND doc_id % 2 = chunk_no % 2"))
+    parsed = parse_model_output(_outputs(spark, sf_dir).where("model = 'primary'"))
     found = C.findings(C.policies(spark, sf_dir))
     return build_tldr(parsed, found, score(found))
 
@@ -269,7 +269,7 @@ ORACLES = {
     "f7_score_prod": f"WITH {C.POLICIES_SQL}, {C.FINDINGS_SQL}, {_score_sql('prod')} SELECT * FROM scores_prod",
     "f7_score_battery": f"WITH {C.POLICIES_SQL}, {C.FINDINGS_SQL}, {_score_sql('battery')} SELECT * FROM scores_battery",
     "f8_build_tldr": f"""WITH {PARSED_SQL}, {_score_sql("prod")},
-    good AS (SELECT doc_id, arg_min(t, chunk_no) AS best FROM (SELECT doc_id, chunk_no, json_extract_string(js, '$.tldr') AS t FROM parsed WHERE model = 'primary' AND doc_id % 2 = chunk_no % 2) WHERE length(t) > 20 AND t <> '{PLACEHOLDER}' GROUP BY doc_id),
+    good AS (SELECT doc_id, arg_min(t, chunk_no) AS best FROM (SELECT doc_id, chunk_no, json_extract_string(js, '$.tldr') AS t FROM parsed WHERE model = 'primary') WHERE length(t) > 20 AND t <> '{PLACEHOLDER}' GROUP BY doc_id),
     v AS (SELECT doc_id, count(*) FILTER (violation) AS n, array_to_string((list(replace(pillar, '_', ' ') ORDER BY pillar_ord) FILTER (violation))[1:3], ', ') AS names FROM findings GROUP BY doc_id)
     SELECT doc_id, coalesce(best, CASE WHEN n = 0 THEN 'This policy scored ' || score || '/100. No major privacy violations were detected.'
       ELSE 'This ' || rating || ' policy scored ' || score || '/100. Privacy concerns found in: ' || names || '.' END) AS tldr FROM scores_prod JOIN v USING (doc_id) LEFT JOIN good USING (doc_id)""",

@@ -187,20 +187,18 @@ def policy_suite(pages: DataFrame, found: DataFrame, cap: int = 40_000, min_char
 def stitch_pages(pages: DataFrame, max_pages: int = 8) -> DataFrame:
     """page_id, n_pages, text of a page and those that follow it by next_url, each at most once.
 
-    pages has page_id, url (unique), text, next_url. One self-join for each further page: a bounded chain.
+    pages has page_id, url (unique), text, next_url. One self-join of urls for each further page, a bounded chain;
+    texts are joined once, when all chains are known.
     """
-    nodes = pages.select(F.col("url").alias("_u"), F.col("text").alias("_t"), F.col("next_url").alias("_n"))
-    rows = pages.select("page_id", F.array("url").alias("seen"), F.array("text").alias("parts"), F.col("next_url").alias("next"))
+    nodes = pages.select(F.col("url").alias("_u"), F.col("next_url").alias("_n"))
+    rows = pages.select("page_id", F.array("url").alias("seen"), F.col("next_url").alias("next"))
     for _ in range(max_pages - 1):
         more = rows.join(nodes, (F.col("next") == F.col("_u")) & ~F.array_contains("seen", F.col("_u")), "left")
         go = F.col("_u").isNotNull()
-        rows = more.select(
-            "page_id",
-            F.when(go, F.concat("seen", F.array("_u"))).otherwise(F.col("seen")).alias("seen"),
-            F.when(go, F.concat("parts", F.array("_t"))).otherwise(F.col("parts")).alias("parts"),
-            F.when(go, F.col("_n")).alias("next"),
-        )
-    return rows.select("page_id", F.size("parts").alias("n_pages"), F.array_join("parts", "\n\n--- [Page Break] ---\n\n").alias("text"))
+        rows = more.select("page_id", F.when(go, F.concat("seen", F.array("_u"))).otherwise(F.col("seen")).alias("seen"), F.when(go, F.col("_n")).alias("next"))
+    parts = rows.select("page_id", F.posexplode("seen").alias("at", "url")).join(pages.select("url", "text"), "url")
+    whole = parts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    return whole.select("page_id", F.size("parts").alias("n_pages"), F.array_join("parts.text", "\n\n--- [Page Break] ---\n\n").alias("text"))
 
 
 # -- queries ------------------------------------------------------------------------------------------
@@ -239,8 +237,8 @@ def _suite(pages: DataFrame) -> DataFrame:
 def _stitch(pages: DataFrame) -> DataFrame:
     url = lambda c: F.concat(F.lit("p"), c.cast("string"))
     n = F.col("page_id")
-    nodes = pages.select("page_id", url(n).alias("url"), F.substring("html", 1, 20).alias("text"), F.when(n % 10 == 9, url(n - 4)).when(n % 7 != 0, url(n + 1)).alias("next_url"))
-    return stitch_pages(nodes)
+    nodes = pages.select("page_id", url(n).alias("url"), F.col("html").alias("text"), F.when(n % 10 == 9, url(n - 4)).when(n % 7 != 0, url(n + 1)).alias("next_url"))
+    return stitch_pages(nodes).select("page_id", "n_pages", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha"))
 
 
 QUERIES = {
@@ -309,8 +307,10 @@ ORACLES = {
     s AS (SELECT page_id, string_agg(chr(10) || chr(10) || '=== PAGE: https://site.example/p' || target || ' (terms) ===' || chr(10) || substr(text, 1, 40000), chr(10) ORDER BY rank) AS s FROM l GROUP BY page_id),
     f AS (SELECT page_id, CASE WHEN s IS NOT NULL THEN '=== PAGE: https://site.example/p' || page_id || ' ===' || chr(10) || text || chr(10) || s ELSE text END AS text FROM t LEFT JOIN s USING (page_id))
     SELECT page_id, length(text) AS n_chars, sha256(text) AS sha FROM f""",
-    "c7_stitch_pages": """WITH RECURSIVE n AS (SELECT page_id, 'p' || page_id AS url, substr(html, 1, 20) AS text, CASE WHEN page_id % 10 = 9 THEN 'p' || (page_id - 4) WHEN page_id % 7 <> 0 THEN 'p' || (page_id + 1) END AS next_url FROM pages),
-    r AS (SELECT page_id, [url] AS seen, [text] AS parts, next_url FROM n
-      UNION ALL SELECT r.page_id, list_append(seen, n.url), list_append(parts, n.text), n.next_url FROM r JOIN n ON r.next_url = n.url WHERE NOT list_contains(seen, n.url) AND len(seen) < 8)
-    SELECT page_id, max(len(parts)) AS n_pages, array_to_string(arg_max(parts, len(parts)), chr(10) || chr(10) || '--- [Page Break] ---' || chr(10) || chr(10)) AS text FROM r GROUP BY page_id""",
+    "c7_stitch_pages": """WITH RECURSIVE n AS (SELECT page_id, 'p' || page_id AS url, html AS text, CASE WHEN page_id % 10 = 9 THEN 'p' || (page_id - 4) WHEN page_id % 7 <> 0 THEN 'p' || (page_id + 1) END AS next_url FROM pages),
+    r AS (SELECT page_id, [url] AS seen, next_url FROM n
+      UNION ALL SELECT r.page_id, list_append(seen, n.url), n.next_url FROM r JOIN n ON r.next_url = n.url WHERE NOT list_contains(seen, n.url) AND len(seen) < 8),
+    c AS (SELECT page_id, unnest(seen) AS url, unnest(range(0, len(seen))) AS k FROM (SELECT page_id, arg_max(seen, len(seen)) AS seen FROM r GROUP BY page_id)),
+    t AS (SELECT c.page_id, count(*) AS n_pages, string_agg(text, chr(10) || chr(10) || '--- [Page Break] ---' || chr(10) || chr(10) ORDER BY k) AS text FROM c JOIN n USING (url) GROUP BY c.page_id)
+    SELECT page_id, n_pages, length(text) AS n_chars, sha256(text) AS sha FROM t""",
 }

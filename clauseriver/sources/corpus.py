@@ -5,6 +5,9 @@ The given prose holds no policy language, so each document gets two clauses by i
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,16 @@ SITES = [
 ]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one only where the driver is the executor."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    return folder
+
+
 #: Tables of texts, whose rows cost far more to work on than to move.
 TEXTS = ("documents", "pages")
 

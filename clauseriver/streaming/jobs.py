@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -109,10 +108,6 @@ def unread(notifications: DataFrame) -> DataFrame:
     return notifications.where("NOT read").groupBy("uid").agg(F.count("*").alias("unread"), F.max("created_at").alias("newest"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-
-
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The given table as a stream of its files; as a pattern, the path may be a folder or a single file."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
@@ -122,7 +117,7 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def run_to_end(stream: DataFrame) -> DataFrame:
     """Everything that the stream emits for the files there are, by way of a table in the shared folder."""
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    folder = f"{C.shared_folder(spark)}/stream-{uuid4().hex}"
     job = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     job.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -140,7 +135,24 @@ def _credit_events(scans: DataFrame) -> DataFrame:
     return scans.where("tier IN ('quick', 'deep')").select("uid", F.col("created_at").cast("timestamp").alias("ts"), F.col("scan_id").alias("seq"), F.lit("deduct").alias("kind"), F.lit(20).alias("amount"))
 
 
+def _unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A notification for each scan, read where the scan is a deep one: the events come as a stream, each batch is merged."""
+    path = f"{C.shared_folder(spark)}/notifications-{uuid4().hex}"
+    scans = C.as_scans(read_stream(spark, sf_dir, "events"))
+    sent = scans.select(F.col("scan_id").cast("string").alias("id"), "uid", "created_at", F.lit(False).alias("read"), "tier")
+
+    def merge(batch: DataFrame, n: int) -> None:
+        upsert_notifications(batch.drop("tier"), path, 2 * n)
+        seen = batch.where("tier = 'deep'").drop("tier").withColumn("read", F.lit(True))
+        upsert_notifications(seen, path, 2 * n + 1)
+
+    sent.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    last = max(int(v[1:]) for v in (f.rstrip("/").split("/")[-2] for f in spark.read.parquet(f"{path}/v*").inputFiles()))
+    return unread(spark.read.parquet(f"{path}/v{last}"))
+
+
 QUERIES = {
+    "t6_stream_unread": _unread,
     "t1_stream_rating_counts": _s(lambda run, x: _label(run(stream_rating_counts(x)))),
     "t1_stream_sliding_counts": _s(lambda run, x: _label(run(stream_rating_counts(x, "2 hours", "1 hour")))),
     "t1_stream_sessions": _s(lambda run, x: run(stream_sessions(x)).select("uid", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")),
@@ -153,6 +165,7 @@ QUERIES = {
 _closed = "(SELECT date_trunc('milliseconds', max(created_at)) - INTERVAL 10 MINUTE FROM scans)"
 S = f"WITH {C.SCANS_SQL}"
 ORACLES = {
+    "t6_stream_unread": f"{S} SELECT uid, count(*) AS unread, max(created_at) AS newest FROM scans WHERE tier <> 'deep' GROUP BY uid",
     "t1_stream_rating_counts": f"{S}, w AS (SELECT date_trunc('hour', created_at) AS h, tier, rating, count(*) AS n FROM scans GROUP BY ALL) SELECT strftime(h, '%Y-%m-%d %H:%M') AS start, tier, rating, n FROM w WHERE h + INTERVAL 1 HOUR <= {_closed}",
     "t1_stream_sliding_counts": f"{S}, w AS (SELECT date_trunc('hour', created_at) - INTERVAL 1 HOUR * b AS h, tier, rating, count(*) AS n FROM scans, (VALUES (0), (1)) v(b) GROUP BY ALL) SELECT strftime(h, '%Y-%m-%d %H:%M') AS start, tier, rating, n FROM w WHERE h + INTERVAL 2 HOUR <= {_closed}",
     "t1_stream_sessions": f"""{S}, g AS (SELECT uid, created_at, coalesce(created_at >= lag(created_at) OVER w + INTERVAL 30 MINUTE, true)::INT AS new FROM scans WINDOW w AS (PARTITION BY uid ORDER BY created_at)),

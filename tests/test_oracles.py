@@ -9,7 +9,8 @@ from clauseriver.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 FAST = [n for n in ORACLES if n[0] in "abcfgwx" and n not in ("f10_pillar_status_counts",)] + [
-    "d1_hard_violations", "d2_cross_check", "d4_count_denials", "d8_classify_policy", "d13_pp_prefilter", "d15_rule_overrides", "e2_citation_confidence", "e8_sanitize_citations",
+    "d1_hard_violations", "d2_cross_check", "d3_denial_veto", "d4_count_denials", "d5_clause_hits", "d6_evidence", "d8_classify_policy", "d11_backfill_citations",
+    "d13_pp_prefilter", "d15_rule_overrides", "d16_rule_override_variants", "e2_citation_confidence", "e8_sanitize_citations", "t6_stream_unread",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
 
