@@ -90,45 +90,39 @@ def find_kmers(batches: Iterator[pd.DataFrame], window: int, gram: int, at_once:
             yield pd.DataFrame(np.hstack(parts).T, columns=names)
 
 
-PACKED = "bucket long, digest_a long, digest_b long, first long, packed string"
+#: Either a packed string of words, or place and digest of one window.
+PIECES = "bucket long, digest_a long, digest_b long, first long, packed string, at int, window_a long, window_b long"
 
 
-def pack_kmers(batches: Iterator[pd.DataFrame], window: int, at_once: int = 20_000) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in PACKED.split(", ")]
-    rows = []
-    for batch in batches:
-        for doc_id, text, needed in batch.itertuples(index=False):
-            words = _word.findall(text)
-            for x in needed:
-                piece = words[x["start"] : x["start"] + x["n"] + window - 1]
-                rows.append((x["bucket"], x["digest_a"], x["digest_b"], int(doc_id), " ".join(piece)))
-            if len(rows) >= at_once:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=names)
+def cut_out(batches: Iterator[pd.DataFrame], window: int, at_once: int = 20_000) -> Iterator[pd.DataFrame]:
+    """The words of each super-k-mer in `needed` (of rows k, text, needed): packed, or window by window where its bucket is large."""
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
+    def frame() -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names)
+        for c in ("at", "window_a", "window_b"):
+            out[c] = out[c].astype("Int64")
+        rows.clear()
+        return out
 
-WINDOWS = "bucket long, digest_a long, digest_b long, first long, at int, window_a long, window_b long"
-
-
-def digest_windows(batches: Iterator[pd.DataFrame], window: int, at_once: int = 100_000) -> Iterator[pd.DataFrame]:
-    """Place and digest of each window of the super-k-mers in `needed`."""
-    names = [x.split()[0] for x in WINDOWS.split(", ")]
-    rows = []
+    rows: list[tuple] = []
     for batch in batches:
-        for doc_id, text, needed in batch.itertuples(index=False):
+        for k, text, needed in batch.itertuples(index=False):
             words = _word.findall(text)
             for x in needed:
-                for i in range(x["n"]):
-                    digest = xxhash.xxh3_128_digest(" ".join(words[x["start"] + i : x["start"] + i + window]))
-                    a, b = np.frombuffer(digest, "<i8").tolist()
-                    rows.append((x["bucket"], x["digest_a"], x["digest_b"], int(doc_id), i, a, b))
-                if len(rows) >= at_once:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
+                key, start = (x["bucket"], x["digest_a"], x["digest_b"], k), x["start"]
+                if not x["large"]:
+                    rows.append((*key, " ".join(words[start : start + x["n"] + window - 1]), None, None, None))
+                else:
+                    for i in range(x["n"]):
+                        digest = xxhash.xxh3_128_digest(" ".join(words[start + i : start + i + window]))
+                        rows.append((*key, None, i, *np.frombuffer(digest, "<i8").tolist()))
+                        if len(rows) >= 5 * at_once:
+                            yield frame()
+            if len(rows) >= at_once:
+                yield frame()
     if rows:
-        yield pd.DataFrame(rows, columns=names)
+        yield frame()
 
 
 RUNS = "bucket long, digest_a long, digest_b long, first long, lo int, hi int"
@@ -209,22 +203,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
 
     same = ["bucket", "digest_a", "digest_b"]
     firsts = places.groupBy(*same).agg(F.min(F.struct("k", "a", "start", "n")).alias("f")).select(*same, "f.*")
-    several = cut(firsts.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("n").alias("windows")).where("count > 1"))
-
-    def needed_of(buckets: DataFrame) -> DataFrame:
-        needed = firsts.join(buckets.select("bucket"), "bucket").groupBy("k", "a").agg(F.collect_list(F.struct("start", "n", *same)).alias("needed"))
-        return docs.join(needed, ["k", "a"]).select(F.col("k").alias("doc_id"), "text", "needed")
-
-    packed = needed_of(several.where(F.col("windows") <= most)).mapInPandas(partial(pack_kmers, window=window), PACKED)
-    packed = packed.repartition("bucket").sortWithinPartitions("bucket")
+    several = firsts.groupBy("bucket").agg(F.count("*").alias("count"), (F.sum("n") > most).alias("large")).where("count > 1")
+    needed = firsts.join(several.select("bucket", "large"), "bucket").groupBy("k", "a").agg(F.collect_list(F.struct("start", "n", "large", *same)).alias("needed"))
+    pieces = written(docs.join(needed, ["k", "a"]).select("k", "text", "needed").mapInPandas(partial(cut_out, window=window), PIECES))
+    packed = pieces.where("packed IS NOT NULL").select(*same, "first", "packed").repartition("bucket").sortWithinPartitions("bucket")
     runs = packed.mapInPandas(partial(sort_buckets, window=window), RUNS)
-    large = several.where(F.col("windows") > most)
-    if not large.isEmpty():
-        windows = cut(needed_of(large).mapInPandas(partial(digest_windows, window=window), WINDOWS))
-        key = ["window_a", "window_b"]
-        least = windows.groupBy(*key).agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
-        later = windows.join(least, key).where("first > low")
-        runs = runs.unionByName(later.select(*same, "first", F.col("at").alias("lo"), (F.col("at") + window).alias("hi")))
+    windows, key = pieces.where("packed IS NULL"), ["window_a", "window_b"]
+    least = windows.groupBy(*key).agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
+    later = windows.join(least, key).where("first > low")
+    runs = runs.unionByName(later.select(*same, "first", F.col("at").alias("lo"), (F.col("at") + window).alias("hi")))
 
     whole = places.join(firsts.select(*same, F.col("k").alias("first")), same).where("k > first")
     part = places.join(runs, same).where("k = first")
