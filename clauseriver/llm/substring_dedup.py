@@ -90,8 +90,8 @@ def find_kmers(batches: Iterator[pd.DataFrame], window: int, gram: int, at_once:
             yield pd.DataFrame(np.hstack(parts).T, columns=names)
 
 
-#: Either a packed string of words, or place and digest of one window.
-PIECES = "bucket long, digest_a long, digest_b long, first long, packed string, at int, window_a long, window_b long"
+#: Either a packed string of words, or the digest of one window with its places in the string.
+PIECES = "bucket long, digest_a long, digest_b long, first long, packed string, window_a long, window_b long, places array<int>"
 
 
 def cut_out(batches: Iterator[pd.DataFrame], window: int, at_once: int = 20_000) -> Iterator[pd.DataFrame]:
@@ -100,7 +100,7 @@ def cut_out(batches: Iterator[pd.DataFrame], window: int, at_once: int = 20_000)
 
     def frame() -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=names)
-        for c in ("at", "window_a", "window_b"):
+        for c in ("window_a", "window_b"):
             out[c] = out[c].astype("Int64")
         rows.clear()
         return out
@@ -113,10 +113,12 @@ def cut_out(batches: Iterator[pd.DataFrame], window: int, at_once: int = 20_000)
                 key, start = (x["bucket"], x["digest_a"], x["digest_b"], k), x["start"]
                 if not x["large"]:
                     rows.append((*key, " ".join(words[start : start + x["n"] + window - 1]), None, None, None))
-                else:
+                else:  # a window that repeats within the string is one row
+                    seen: dict[bytes, list[int]] = {}
                     for i in range(x["n"]):
-                        digest = xxhash.xxh3_128_digest(" ".join(words[start + i : start + i + window]))
-                        rows.append((*key, None, i, *np.frombuffer(digest, "<i8").tolist()))
+                        seen.setdefault(xxhash.xxh3_128_digest(" ".join(words[start + i : start + i + window])), []).append(i)
+                    for digest, at in seen.items():
+                        rows.append((*key, None, *np.frombuffer(digest, "<i8").tolist(), at))
                         if len(rows) >= 5 * at_once:
                             yield frame()
             if len(rows) >= at_once:
@@ -210,8 +212,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
     runs = packed.mapInPandas(partial(sort_buckets, window=window), RUNS)
     windows, key = pieces.where("packed IS NULL"), ["window_a", "window_b"]
     least = windows.groupBy(*key).agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
-    later = windows.join(least, key).where("first > low")
-    runs = runs.unionByName(later.select(*same, "first", F.col("at").alias("lo"), (F.col("at") + window).alias("hi")))
+    later = windows.join(least, key).where("first > low").groupBy(*same, "first").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("at"))
+    begins = F.expr("filter(at, (x, i) -> i = 0 OR x > at[i - 1] + 1)")
+    ends = F.expr("filter(at, (x, i) -> i = size(at) - 1 OR at[i + 1] > x + 1)")
+    later = later.select(*same, "first", F.explode(F.arrays_zip(begins.alias("lo"), ends.alias("hi"))).alias("r"))
+    runs = runs.unionByName(later.select(*same, "first", "r.lo", (F.col("r.hi") + window).alias("hi")))
 
     whole = places.join(firsts.select(*same, F.col("k").alias("first")), same).where("k > first")
     part = places.join(runs, same).where("k = first")
