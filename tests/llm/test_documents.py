@@ -433,3 +433,43 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     words = sum(len(WORD.findall(t)) for t in unique.values())
     assert {r["doc_id"] for r in pieces} <= set(unique) and len(pieces) > len(unique)
     assert len({r["sequence_id"] for r in pieces}) * 1024 > 1.5 * words
+
+
+CLASHES = ["_key", "_position", "_copy", "_part", "_size", "_class_id", "_is_first", "_first", "_t1", "_t2", "_a", "_b", "_spans", "_host", "_host_ok", "_measures", "_base_failed", "_kept", "position", "length"]
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_on_odd_tables(spark, empty):
+    """Nulls in any column, repeated rows, and columns named as the operators' own; or no rows at all."""
+    import corpus_pipeline
+
+    rows = [] if empty else [(1, prose(1, 80), "a"), (1, prose(1, 80), "a"), (2, prose(1, 80), "b"), (None, prose(2, 80), None), (3, None, "a"), (4, "", None), (5, "x y", "a"), (6, prose(6, 90) + " a@b.cd", "c")]
+    df = spark.createDataFrame([(*r, *["own"] * len(CLASHES)) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASHES))
+    out = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df if name != "source_mix" else out, "")
+        assert out.columns == df.columns, name
+        got = out.collect()
+        assert all(r[c] == "own" for r in got for c in CLASHES), name
+        ids = Counter(r["doc_id"] for r in got)
+        if name == "quality_rules":
+            assert ids == ({} if empty else {1: 2, 2: 1, None: 1, 6: 1})
+        if name == "near_dedup":
+            assert ids == ({} if empty else {1: 1, None: 1, 3: 1, 4: 1, 5: 1, 6: 1})
+        if name == "pii":
+            assert ids == Counter(i for i, *_ in rows) and sum("[EMAIL]" in (r["text"] or "") for r in got) == (not empty)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, df, "").collect()
+    assert Counter(r["doc_id"] for r in pieces) == Counter(i for i, *_ in rows)
+
+
+def test_packing_keeps_the_order_of_the_files(spark, tmp_path):
+    import corpus_pipeline
+
+    df = docs(spark, [(i % 50, prose(i, 30), None) for i in range(100)])
+    df.repartition(3).write.parquet(f"{tmp_path}/mixed")
+    out = corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    assert len({r["position"] for r in out}) == 100 and all(zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] for r in out)
+    by_length = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r["length"], r["sequence_id"], r["offset"])):
+        by_length[r["length"], r["offset"]].append(r["position"])
+    assert all(x == sorted(x) for x in by_length.values())
