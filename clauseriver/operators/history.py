@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from pyspark.sql.window import WindowSpec
 
 from clauseriver.functions import duck as D
 from clauseriver.functions import rules as R
@@ -127,35 +130,79 @@ def latest_scan(scans: DataFrame) -> DataFrame:
     return scans.groupBy(F.sha2("url", 256).alias("url_hash"), "tier").agg(last).select("url_hash", "tier", "l.*")
 
 
-def policy_changes(scans: DataFrame) -> DataFrame:
-    """Consecutive scans of a url whose content differs: old and new score."""
-    w = W.partitionBy("url").orderBy("created_at", "scan_id")
-    rows = scans.withColumn("old_hash", F.lag("content_hash").over(w)).withColumn("old_score", F.lag("score").over(w))
-    return rows.where("old_hash IS NOT NULL AND old_hash <> content_hash").select("scan_id", "url", "old_score", F.col("score").alias("new_score"), "rating", "tldr")
+def _hour(at: str) -> Column:
+    """Hours since 1970; no time counts as before all others."""
+    return F.coalesce(F.expr(f"unix_seconds(CAST({at} AS TIMESTAMP)) DIV 3600"), F.lit(-(2**40)))
 
 
-def scan_count(scans: DataFrame) -> DataFrame:
-    w = W.partitionBy("url", "tier").orderBy("created_at", "scan_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return scans.withColumn("scan_count", F.count("*").over(w))
+def _handed_over(rows: DataFrame, key: list[str], at: str, each: Column, carry: Callable[[WindowSpec], Column]) -> DataFrame:
+    """rows with _key, _hour and _carried: what `carry` makes of the column _each of the key's hours.
+
+    A key's rows meet by the hour only, and its hours in one small table, so that a hot key isn't one task.
+    """
+    placed = rows.withColumn("_key", F.to_json(F.struct(*key))).withColumn("_hour", _hour(at))
+    hours = placed.groupBy("_key", "_hour").agg(each.alias("_each"))
+    return placed.join(hours.select("_key", "_hour", carry(W.partitionBy("_key").orderBy("_hour")).alias("_carried")), ["_key", "_hour"])
 
 
-def credit_ledger(events: DataFrame, monthly: int = MONTHLY_CREDITS) -> DataFrame:
+def policy_changes(scans: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """Consecutive scans of a url whose content differs: old and new score."""
+    value, order = F.struct("content_hash", "score"), ["created_at", "scan_id"]
+    rows = _handed_over(scans, ["url"], "created_at", F.max_by(value, F.struct(*order)), lambda w: F.lag("_each").over(w))
+    old = F.coalesce(F.lag(value).over(W.partitionBy("_key", "_hour").orderBy(*order)), F.col("_carried"))
+    rows = rows.withColumn("_old", old).where("_old.content_hash IS NOT NULL AND _old.content_hash <> content_hash")
+    return rows.select("scan_id", "url", F.col("_old.score").alias("old_score"), F.col("score").alias("new_score"), "rating", "tldr", *(extra or []))
+
+
+def scan_count(scans: DataFrame) -> DataFrame:
+    before = lambda w: F.sum("_each").over(w.rowsBetween(W.unboundedPreceding, -1))
+    rows = _handed_over(scans, ["url", "tier"], "created_at", F.count("*"), before)
+    inside = F.row_number().over(W.partitionBy("_key", "_hour").orderBy("created_at", "scan_id"))
+    return rows.withColumn("scan_count", F.coalesce("_carried", F.lit(0)) + inside).drop("_key", "_hour", "_carried")
+
+
+def _balances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs, sorted by key and time -> what each finds as balance, and how many of its events are accepted."""
+    key, balance = None, 0
+    for batch in batches:
+        before, taken = [], []
+        for k, kind, amount, n, opening in zip(batch["_key"], batch["kind"], batch["amount"].tolist(), batch["n"].tolist(), batch["opening"].tolist(), strict=True):
+            if k != key:
+                key, balance = k, opening
+            before.append(balance)
+            if kind == "refund":
+                taken.append(n)
+                balance += n * amount
+                continue
+            can = n if balance >= amount else 0
+            taken.append(min(can, balance // amount) if amount > 0 else can)
+            balance -= taken[-1] * amount
+        yield batch[["_key", "_hour", "_run"]].assign(before=before, taken=taken)
+
+
+def credit_ledger(events: DataFrame, monthly: int = MONTHLY_CREDITS, opening: DataFrame | None = None) -> DataFrame:
     """events (uid, ts, seq, kind deduct or refund, amount) with accepted and balance.
 
-    A deduction beyond the balance is rejected and changes nothing, so this is a fold over each user's month.
+    A deduction beyond the balance is rejected and changes nothing, so balances follow one another. Equal events in a
+    row within an hour are one run first; only runs are sorted by user and month, and pass by one at a time. A month begins
+    with its balance in `opening` (uid, month, balance), if it has one, else with `monthly`. No amount counts as 0.
     """
-    month = F.date_format("ts", "yyyy-MM").alias("month")
-    rows = events.groupBy("uid", month).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "kind", "amount"))).alias("e"))
-    none = F.array().cast("array<struct<seq:bigint,accepted:boolean,balance:int>>")
-
-    def step(s: Column, e: Column) -> Column:
-        ok = (e["kind"] == "refund") | (s["balance"] >= e["amount"])
-        balance = F.when(~ok, s["balance"]).when(e["kind"] == "refund", s["balance"] + e["amount"]).otherwise(s["balance"] - e["amount"]).cast("int")
-        row = F.struct(e["seq"].cast("long").alias("seq"), ok.alias("accepted"), balance.alias("balance"))
-        return F.struct(balance.alias("balance"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    fold = F.aggregate("e", F.struct(F.lit(monthly).alias("balance"), none.alias("out")), step, lambda s: s["out"])
-    return rows.select("uid", "month", F.inline(fold))
+    rows = events.select("uid", F.date_format("ts", "yyyy-MM").alias("month"), "ts", F.col("seq").cast("long").alias("seq"), F.coalesce("kind", F.lit("deduct")).alias("kind"), F.coalesce(F.col("amount").cast("long"), F.lit(0)).alias("amount"))
+    rows = rows.withColumn("_key", F.to_json(F.struct("uid", "month"))).withColumn("_hour", _hour("ts"))
+    order, what = ["ts", "seq", "kind", "amount"], F.struct("kind", "amount")
+    w = W.partitionBy("_key", "_hour").orderBy(*order)
+    rows = rows.withColumn("_new", (~F.lag(what).over(w).eqNullSafe(what)).cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = rows.withColumn("_i", F.row_number().over(W.partitionBy("_key", "_hour", "_run").orderBy(*order)))
+    runs = rows.groupBy("_key", "_hour", "_run", "kind", "amount").agg(F.count("*").alias("n"))
+    if opening is None:
+        runs = runs.withColumn("opening", F.lit(monthly).cast("long"))
+    else:
+        known = opening.select(F.to_json(F.struct("uid", "month")).alias("_key"), F.col("balance").cast("long").alias("opening"))
+        runs = runs.join(known, "_key", "left").withColumn("opening", F.coalesce("opening", F.lit(monthly).cast("long")))
+    runs = runs.repartition("_key").sortWithinPartitions("_key", "_hour", "_run")
+    runs = runs.mapInPandas(_balances, "_key string, _hour long, _run long, before long, taken long")
+    moved = F.when(F.col("kind") == "refund", F.col("amount") * F.col("_i")).otherwise(-F.col("amount") * F.least("_i", "taken"))
+    return rows.join(runs, ["_key", "_hour", "_run"]).select("uid", "month", "seq", (F.col("_i") <= F.col("taken")).alias("accepted"), (F.col("before") + moved).cast("int").alias("balance"))
 
 
 def rate_limit_audit(requests: DataFrame, n: int = 10, window: str = "1 minute") -> DataFrame:

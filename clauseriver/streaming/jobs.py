@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 from uuid import uuid4
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from clauseriver.operators import detect, evaluate, history
 from clauseriver.sources import corpus as C
@@ -43,45 +42,52 @@ def stream_rate_limit(scans: DataFrame, n: int = 10, window: str = "1 minute") -
     return rows.select("uid", F.col("w.start").alias("start"), F.col("count").alias("requests"))
 
 
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["created_at", "scan_id"])
-    last_hash, last_score = state.get if state.exists else (None, None)
-    out = []
-    for r in rows.itertuples():
-        if last_hash is not None and r.content_hash != last_hash:
-            out.append((r.scan_id, key[0], last_score, r.score, r.rating, r.tldr))
-        last_hash, last_score = r.content_hash, int(r.score)
-    state.update((last_hash, last_score))
-    yield pd.DataFrame(out, columns=["scan_id", "url", "old_score", "new_score", "rating", "tldr"])
+@dataclass(frozen=True)
+class ByBatch:
+    """A stream whose micro-batches go to a batch operator, with the small table that the batches before have left.
 
+    step(batch, left) gives the rows for the output and the table to leave; `left` is None for the first batch.
+    """
+
+    stream: DataFrame
+    schema: str
+    step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
 
-def stream_policy_changes(scans: DataFrame) -> DataFrame:
-    """A row for each scan whose content differs from the url's last one; the last is kept as state."""
-    out = "scan_id long, url string, old_score int, new_score int, rating string, tldr string"
-    rows = scans.select("url", "scan_id", "created_at", "content_hash", "score", "rating", "tldr")
-    return rows.groupBy("url").applyInPandasWithState(_changes, out, "hash string, score int", "append", GroupStateTimeout.NoTimeout)
 
+def stream_policy_changes(scans: DataFrame) -> ByBatch:
+    """A row for each scan whose content differs from the url's last one; a url's last scan is left to the next batch.
+
+    Rows that are older than what was left are compared among themselves; they have nothing before them.
+    """
+    cols = ["url", "scan_id", "created_at", "content_hash", "score", "rating", "tldr"]
 
-def _credits(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-    month, balance = state.get if state.exists else ("", 0)
-    out = []
-    for r in rows.itertuples():
-        now = r.ts.strftime("%Y-%m")
-        if now != month:
-            month, balance = now, history.MONTHLY_CREDITS
-        accepted = r.kind == "refund" or balance >= r.amount
-        if accepted:
-            balance += r.amount if r.kind == "refund" else -r.amount
-        out.append((key[0], month, r.seq, accepted, balance))
-    state.update((month, int(balance)))
-    yield pd.DataFrame(out, columns=["uid", "month", "seq", "accepted", "balance"])
+    def step(batch: DataFrame, left: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows = batch.select(*cols, F.lit(True).alias("_now"))
+        if left is not None:
+            rows = rows.unionByName(left.select(*cols, F.lit(False).alias("_now")))
+        last = rows.groupBy("url").agg(F.max_by(F.struct(*cols[1:]), F.struct("created_at", "scan_id")).alias("l"))
+        return history.policy_changes(rows, ["_now"]).where("_now").drop("_now"), last.select("url", "l.*")
 
+    return ByBatch(scans, "scan_id long, url string, old_score int, new_score int, rating string, tldr string", step)
 
-def stream_credits(events: DataFrame) -> DataFrame:
-    """Balance per user with a monthly reset; a deduction beyond the balance is rejected."""
-    out = "uid string, month string, seq long, accepted boolean, balance int"
-    return events.groupBy("uid").applyInPandasWithState(_credits, out, "month string, balance int", "append", GroupStateTimeout.NoTimeout)
+
+def stream_credits(events: DataFrame) -> ByBatch:
+    """Balance per user with a monthly reset; a deduction beyond the balance is rejected.
+
+    The balances of months are left to the next batch, whose events follow those before, late ones too.
+    """
+
+    def step(batch: DataFrame, left: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        rows = history.credit_ledger(batch, opening=left)
+        timed = batch.select(F.col("seq").cast("long").alias("seq"), "uid", "ts", F.date_format("ts", "yyyy-MM").alias("month"))
+        ends = timed.groupBy("uid", "month").agg(F.max_by("seq", F.struct("ts", "seq")).alias("seq"))
+        same = [rows[c].eqNullSafe(ends[c]) for c in ("uid", "month", "seq")]
+        now = rows.join(ends, same, "left_semi").groupBy("uid", "month").agg(F.min("balance").alias("balance"), F.lit(1).alias("_now"))
+        if left is not None:
+            now = now.unionByName(left.select("uid", "month", "balance", F.lit(0).alias("_now"))).groupBy("uid", "month").agg(F.max_by("balance", "_now").alias("balance"))
+        return rows, now.select("uid", "month", "balance")
+
+    return ByBatch(events, "uid string, month string, seq long, accepted boolean, balance int", step)
 
 
 def stream_scan_pipeline(docs: DataFrame) -> DataFrame:
@@ -114,10 +120,28 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def run_to_end(stream: DataFrame) -> DataFrame:
+def run_batches(job: ByBatch, folder: str) -> DataFrame:
+    """All output of the job for the files there are. A batch that is repeated overwrites its own folders only."""
+    done = []
+
+    def work(batch: DataFrame, n: int) -> None:
+        left = batch.sparkSession.read.parquet(f"{folder}/left/{n - 1}") if n else None
+        rows, leave = job.step(batch, left)
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        leave.write.mode("overwrite").parquet(f"{folder}/left/{n}")
+        done.append(n)
+
+    job.stream.writeStream.foreachBatch(work).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    spark = job.stream.sparkSession
+    return spark.read.schema(job.schema).parquet(f"{folder}/out/batch=*") if done else spark.createDataFrame([], job.schema)
+
+
+def run_to_end(stream: DataFrame | ByBatch) -> DataFrame:
     """Everything that the stream emits for the files there are, by way of a table in the shared folder."""
-    spark = stream.sparkSession
+    spark = stream.stream.sparkSession if isinstance(stream, ByBatch) else stream.sparkSession
     folder = f"{C.shared_folder(spark)}/stream-{uuid4().hex}"
+    if isinstance(stream, ByBatch):
+        return run_batches(stream, folder)
     job = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     job.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")

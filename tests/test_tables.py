@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+from collections import Counter
 import json
 
 import pytest
@@ -130,3 +132,35 @@ def test_freshness(spark):
     df = spark.createDataFrame([(s, TS - dt.timedelta(seconds=s)) for s in (59, 60, 3599, 3600, 86399, 86400, 200000)], "s int, t timestamp")
     out = [r[0] for r in df.orderBy("s").select(history.freshness_label(F.col("t"), str(TS))).collect()]
     assert out == ["just now", "1m ago", "59m ago", "1h ago", "23h ago", "1d ago", "2d ago"]
+
+
+def test_ledger_follows_a_plain_loop(spark):
+    rng = random.Random(5)
+    events = [(rng.choice(["u", "v", None]), TS + dt.timedelta(minutes=rng.randrange(90_000)), i, rng.choice(["deduct"] * 5 + ["refund", None]), rng.choice([0, 20, 20, 20, 70, None])) for i in range(3000)]
+    balances, expected = {}, {}
+    for uid, ts, seq, kind, amount in sorted(events, key=lambda e: (e[1], e[2])):
+        month = (uid, ts.strftime("%Y-%m"))
+        now, amount = balances.get(month, 400), amount or 0
+        ok = kind == "refund" or now >= amount
+        balances[month] = now + amount if kind == "refund" else now - amount * ok
+        expected[seq] = (ok, balances[month])
+    df = spark.createDataFrame(events, "uid string, ts timestamp, seq long, kind string, amount int")
+    assert {r["seq"]: (r["accepted"], r["balance"]) for r in history.credit_ledger(df).collect()} == expected
+
+
+def test_changes_and_counts_follow_a_plain_loop(spark):
+    rng = random.Random(6)
+    schema = "scan_id long, url string, tier string, created_at timestamp, content_hash string, score int, rating string, tldr string"
+    rows = [(i, rng.choice(["hot"] * 5 + ["b", None]), rng.choice(["quick", "deep"]), TS + dt.timedelta(minutes=rng.randrange(5000)), rng.choice(["x", "x", "y", None]), rng.randrange(100), "OKAY", "t") for i in range(2000)]
+    last, counts, changes, numbers = {}, Counter(), set(), {}
+    for scan_id, url, tier, _, content, score, *_ in sorted(rows, key=lambda r: (r[3], r[0])):
+        old = last.get(url)
+        if old and old[0] and content and old[0] != content:
+            changes.add((scan_id, old[1], score))
+        last[url] = (content, score)
+        counts[url, tier] += 1
+        numbers[scan_id] = counts[url, tier]
+    df = spark.createDataFrame(rows, schema)
+    assert {(r["scan_id"], r["old_score"], r["new_score"]) for r in history.policy_changes(df).collect()} == changes
+    assert {r["scan_id"]: r["scan_count"] for r in history.scan_count(df).collect()} == numbers
+    assert history.policy_changes(df.limit(0)).count() == 0
