@@ -30,8 +30,8 @@ def scan_rules_only(docs: DataFrame) -> DataFrame:
     return merge.score(found).join(names, "doc_id").select("doc_id", "score", "rating", F.array_join("v", ",").alias("violations"))
 
 
-def scan_server(outputs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Findings of a deep scan from two models' answers, then the text rules, and the score."""
+def server_findings(outputs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings of a deep scan: from two models' answers, and as the text rules leave them."""
     parsed = merge.parse_model_output(outputs)
     long = merge.output_findings(parsed)
     sides = [long.where(F.col("model") == m).drop("model").withColumn("doc_chunk", F.concat_ws("#", "doc_id", "chunk_no")) for m in ("primary", "corroborator")]
@@ -43,8 +43,19 @@ def scan_server(outputs: DataFrame, docs: DataFrame) -> DataFrame:
     checked = detect.cross_check(merged, docs)
     sure = ground.assign_confidence(ground.citation_confidence(checked, docs)).drop("confirmed", "citation_confidence")
     clean_docs = pages.strip_cookie_banners(docs)
-    final = detect.hard_violations(detect.backfill_citations(ground.sanitize_citations(sure), clean_docs), clean_docs)
-    return merge.score(final).select("doc_id", "score", "rating")
+    return sure, detect.hard_violations(detect.backfill_citations(ground.sanitize_citations(sure), clean_docs), clean_docs)
+
+
+def scan_server(outputs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Score of a deep scan after the text rules."""
+    return merge.score(server_findings(outputs, docs)[1]).select("doc_id", "score", "rating")
+
+
+def server_summary(outputs: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, tldr of a deep scan: the primary model's, else one from the score before the text rules."""
+    first = server_findings(outputs, docs)[0]
+    answers = merge.parse_model_output(outputs.where("model = 'primary'"))
+    return merge.build_tldr(answers, first, merge.score(first))
 
 
 def scan_battery(outputs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -86,6 +97,8 @@ def _cache(scans: DataFrame) -> DataFrame:
 QUERIES = {
     "p3_rating_counts": rating_counts,
     "p1_scan_server": lambda s, d: scan_server(C.model_outputs(C.policies(s, d)), C.policies(s, d)),
+    "p1_server_findings": lambda s, d: server_findings(C.model_outputs(C.policies(s, d)), C.policies(s, d))[1].select("doc_id", "pillar", "violation", "confidence"),
+    "p1_server_summary": lambda s, d: server_summary(C.model_outputs(C.policies(s, d)), C.policies(s, d)),
     "p2_scan_battery": lambda s, d: scan_battery(C.model_outputs(C.policies(s, d)), C.policies(s, d)),
     "p3_scan_rules_only": lambda s, d: scan_rules_only(C.policies(s, d)),
     "p4_evaluate_rules": lambda s, d: evaluate_rules(C.policies(s, d), evaluate._cases(s, d)[1]),
@@ -152,12 +165,21 @@ def _server_sql() -> str:
     {detect._cross_sql("m")},
     x AS (SELECT c.*, {D.citation_confidence("citation", "text")} AS cc FROM crossed c JOIN policies USING (doc_id)),
     y AS (SELECT doc_id, pillar, pillar_ord, violation, CASE WHEN NOT violation THEN 'MEDIUM' WHEN cc = 'HIGH' THEN 'HIGH' WHEN confirmed OR cc = 'MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM x),
-    z AS (SELECT y.doc_id, y.pillar, pillar_ord, violation OR sentence IS NOT NULL AS violation, CASE WHEN sentence IS NOT NULL AND NOT (violation AND confidence <> 'LOW') THEN 'HIGH' ELSE confidence END AS confidence FROM y LEFT JOIN hard USING (doc_id, pillar)),
-    {merge._score_sql("prod", "z")} SELECT doc_id, score, rating FROM scores_prod"""
+    z AS (SELECT y.doc_id, y.pillar, pillar_ord, violation OR sentence IS NOT NULL AS violation, CASE WHEN sentence IS NOT NULL AND NOT (violation AND confidence <> 'LOW') THEN 'HIGH' ELSE confidence END AS confidence FROM y LEFT JOIN hard USING (doc_id, pillar))"""
+
+
+def _summary_sql() -> str:
+    return f"""{_server_sql()}, {merge._score_sql("prod", "y")},
+    good AS (SELECT doc_id, arg_min(t, chunk_no) AS best FROM (SELECT doc_id, chunk_no, json_extract_string(js, '$.tldr') AS t FROM parsed WHERE model = 'primary') WHERE length(t) > 20 AND t <> '{merge.PLACEHOLDER}' GROUP BY doc_id),
+    v AS (SELECT doc_id, count(*) FILTER (violation) AS n, array_to_string((list(replace(pillar, '_', ' ') ORDER BY pillar_ord) FILTER (violation))[1:3], ', ') AS names FROM y GROUP BY doc_id)
+    SELECT doc_id, coalesce(best, CASE WHEN n = 0 THEN 'This policy scored ' || score || '/100. No major privacy violations were detected.'
+      ELSE 'This ' || rating || ' policy scored ' || score || '/100. Privacy concerns found in: ' || names || '.' END) AS tldr FROM scores_prod JOIN v USING (doc_id) LEFT JOIN good USING (doc_id)"""
 
 
 ORACLES = {
-    "p1_scan_server": _server_sql(),
+    "p1_scan_server": f"{_server_sql()}, {merge._score_sql('prod', 'z')} SELECT doc_id, score, rating FROM scores_prod",
+    "p1_server_findings": f"{_server_sql()} SELECT doc_id, pillar, violation, confidence FROM z",
+    "p1_server_summary": _summary_sql(),
     "p4_evaluate_rules": _evaluate_sql(),
     "p3_rating_counts": f"{_rules_sql()} SELECT rating, count(*) AS documents, round(avg(score), 6) AS avg_score FROM scores_prod GROUP BY rating",
     "p2_scan_battery": _battery_sql(),
