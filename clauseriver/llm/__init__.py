@@ -3,10 +3,12 @@
 from clauseriver.llm import (
     chat_format,
     html_extract,
+    merkle_log,
     near_dedup,
     packing,
     pii,
     quality_rules,
+    source_audit,
     source_mix,
     substring_dedup,
     url_filter,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_packing": packing.op9_packing,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_merkle_manifest": merkle_log.op11_merkle_manifest,
+    "op13_source_audit": source_audit.op13_source_audit,
 }
 #: The others are beyond SQL; tests/llm holds them against brute force.
 ORACLES = {
@@ -31,4 +35,6 @@ ORACLES = {
     "op4_chat_format": chat_format.OP4_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op11_merkle_manifest": merkle_log.OP11_SQL,
+    "op13_source_audit": source_audit.OP13_SQL,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,18 @@ def small_batches(spark: SparkSession, size: str = "4m") -> None:
         spark.conf.set(key, size)
 
 
+def text_pieces(data: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """data in pieces of about `most` bytes, cut before a space, so that the words of a long text need not be held at once."""
+    at = 0
+    while len(data) - at > most:
+        end = data.find(b" ", at + most)
+        if end < 0:
+            break
+        yield data[at:end]
+        at = end
+    yield data[at:]
+
+
 def own_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes not to be one of df's columns."""
     taken, out = {c.lower() for c in df.columns}, []
