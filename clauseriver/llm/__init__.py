@@ -3,6 +3,7 @@
 from clauseriver.llm import (
     chat_format,
     html_extract,
+    lm_score,
     merkle_log,
     near_dedup,
     packing,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_url_filter": url_filter.op10_url_filter,
     "op11_merkle_manifest": merkle_log.op11_merkle_manifest,
+    "op12_lm_score": lm_score.op12_lm_score,
     "op13_source_audit": source_audit.op13_source_audit,
 }
 #: The others are beyond SQL; tests/llm holds them against brute force.
