@@ -253,8 +253,16 @@ def _lookup(scans: DataFrame) -> DataFrame:
     return cache_lookup(r, c.groupBy("cache_key", "content_hash", "scanned_at").agg(F.max("expires_at").alias("expires_at")))
 
 
-def _credits(scans: DataFrame) -> DataFrame:
-    return credit_ledger(scans.where("tier IN ('quick', 'deep')").select("uid", F.col("created_at").alias("ts"), F.col("scan_id").alias("seq"), F.lit("deduct").alias("kind"), F.lit(20).alias("amount")))
+#: Credits of a month in the queries, so that the events of the given tables overdraw them.
+QUERY_CREDITS = 150
+
+
+def credit_events(scans: DataFrame) -> DataFrame:
+    """Every scan as a credit event, half a month later, so that the month changes: deep ones cost 20, quick ones 10,
+    failed ones are charged 5 for their report by mail; what concerns the account refunds 15."""
+    amount = F.when(F.col("tier") == "deep", COSTS["deep"]).when(F.col("tier") == "quick", COSTS["quick"]).when(F.col("tier") == "failed", COSTS["email"]).otherwise(15)
+    kind = F.when(F.col("tier") == "account", "refund").otherwise("deduct")
+    return scans.select("uid", (F.col("created_at") + F.expr("INTERVAL 15 DAYS")).cast("timestamp").alias("ts"), F.col("scan_id").alias("seq"), kind.alias("kind"), amount.alias("amount"))
 
 
 def _healthy(scans: DataFrame) -> DataFrame:
@@ -299,7 +307,7 @@ QUERIES = {
     "w2_latest_scan": _s(latest_scan),
     "w3_policy_changes": _s(policy_changes),
     "w4_scan_count": _s(lambda x: scan_count(x).select("scan_id", "scan_count")),
-    "w5_credit_ledger": _s(_credits),
+    "w5_credit_ledger": _s(lambda x: credit_ledger(credit_events(x), QUERY_CREDITS)),
     "w6_rate_limit_audit": _s(lambda x: rate_limit_audit(x, 1, "1 hour").select("uid", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "requests")),
     "w6_sliding_rate": _s(lambda x: sliding_rate(x, 3600).select("scan_id", "recent")),
     "w7_recent_errors": _s(lambda x: recent_errors(x.where("tier = 'failed'")).select("scan_id", "uid", "created_at")),
@@ -340,8 +348,11 @@ ORACLES = {
     "w3_policy_changes": f"""{S}, l AS (SELECT *, lag(content_hash) OVER w AS old_hash, lag(score) OVER w AS old_score FROM scans WINDOW w AS (PARTITION BY url ORDER BY created_at, scan_id))
     SELECT scan_id, url, old_score, score AS new_score, rating, tldr FROM l WHERE old_hash <> content_hash""",
     "w4_scan_count": f"{S} SELECT scan_id, count(*) OVER (PARTITION BY url, tier ORDER BY created_at, scan_id ROWS UNBOUNDED PRECEDING) AS scan_count FROM scans",
-    "w5_credit_ledger": f"""{S}, k AS (SELECT uid, strftime(created_at, '%Y-%m') AS month, scan_id AS seq, row_number() OVER (PARTITION BY uid, strftime(created_at, '%Y-%m') ORDER BY created_at, scan_id) AS i FROM scans WHERE tier IN ('quick', 'deep'))
-    SELECT uid, month, seq, i <= 20 AS accepted, 400 - 20 * least(i, 20) AS balance FROM k""",
+    "w5_credit_ledger": f"""WITH RECURSIVE {C.SCANS_SQL},
+    k AS (SELECT uid, strftime(created_at + INTERVAL 15 DAY, '%Y-%m') AS month, scan_id AS seq, CASE tier WHEN 'deep' THEN -20 WHEN 'quick' THEN -10 WHEN 'failed' THEN -5 ELSE 15 END AS d, row_number() OVER (PARTITION BY uid, strftime(created_at + INTERVAL 15 DAY, '%Y-%m') ORDER BY created_at, scan_id) AS i FROM scans),
+    b AS (SELECT uid, month, seq, i, {QUERY_CREDITS} + d >= 0 AS accepted, {QUERY_CREDITS} + CASE WHEN {QUERY_CREDITS} + d >= 0 THEN d ELSE 0 END AS balance FROM k WHERE i = 1
+      UNION ALL SELECT k.uid, k.month, k.seq, k.i, b.balance + k.d >= 0, b.balance + CASE WHEN b.balance + k.d >= 0 THEN k.d ELSE 0 END FROM b JOIN k ON k.uid = b.uid AND k.month = b.month AND k.i = b.i + 1)
+    SELECT uid, month, seq, accepted, balance FROM b""",
     "w6_rate_limit_audit": f"{S} SELECT uid, strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M') AS start, count(*) AS requests FROM scans GROUP BY ALL HAVING count(*) > 1",
     "w6_sliding_rate": f"{S}, e AS (SELECT *, CAST(floor(epoch(created_at)) AS BIGINT) AS t FROM scans) SELECT scan_id, count(*) OVER (PARTITION BY uid ORDER BY t RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS recent FROM e",
     "w7_recent_errors": f"{S} SELECT scan_id, uid, created_at FROM scans WHERE tier = 'failed' ORDER BY created_at DESC, scan_id DESC LIMIT 20",

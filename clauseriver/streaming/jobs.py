@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 
 from clauseriver.operators import detect, evaluate, history
 from clauseriver.sources import corpus as C
+from clauseriver.streaming import keyed
+from clauseriver.streaming.keyed import with_rocks
 
 LATE = "10 minutes"
 
@@ -42,54 +43,6 @@ def stream_rate_limit(scans: DataFrame, n: int = 10, window: str = "1 minute") -
     return rows.select("uid", F.col("w.start").alias("start"), F.col("count").alias("requests"))
 
 
-@dataclass(frozen=True)
-class ByBatch:
-    """A stream whose micro-batches go to a batch operator, with the small table that the batches before have left.
-
-    step(batch, left) gives the rows for the output and the table to leave; `left` is None for the first batch.
-    """
-
-    stream: DataFrame
-    schema: str
-    step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
-
-
-def stream_policy_changes(scans: DataFrame) -> ByBatch:
-    """A row for each scan whose content differs from the url's last one; a url's last scan is left to the next batch.
-
-    Rows that are older than what was left are compared among themselves; they have nothing before them.
-    """
-    cols = ["url", "scan_id", "created_at", "content_hash", "score", "rating", "tldr"]
-
-    def step(batch: DataFrame, left: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        rows = batch.select(*cols, F.lit(True).alias("_now"))
-        if left is not None:
-            rows = rows.unionByName(left.select(*cols, F.lit(False).alias("_now")))
-        last = rows.groupBy("url").agg(F.max_by(F.struct(*cols[1:]), F.struct("created_at", "scan_id")).alias("l"))
-        return history.policy_changes(rows, ["_now"]).where("_now").drop("_now"), last.select("url", "l.*")
-
-    return ByBatch(scans, "scan_id long, url string, old_score int, new_score int, rating string, tldr string", step)
-
-
-def stream_credits(events: DataFrame) -> ByBatch:
-    """Balance per user with a monthly reset; a deduction beyond the balance is rejected.
-
-    The balances of months are left to the next batch, whose events follow those before, late ones too.
-    """
-
-    def step(batch: DataFrame, left: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        rows = history.credit_ledger(batch, opening=left)
-        timed = batch.select(F.col("seq").cast("long").alias("seq"), "uid", "ts", F.date_format("ts", "yyyy-MM").alias("month"))
-        ends = timed.groupBy("uid", "month").agg(F.max_by("seq", F.struct("ts", "seq")).alias("seq"))
-        same = [rows[c].eqNullSafe(ends[c]) for c in ("uid", "month", "seq")]
-        now = rows.join(ends, same, "left_semi").groupBy("uid", "month").agg(F.min("balance").alias("balance"), F.lit(1).alias("_now"))
-        if left is not None:
-            now = now.unionByName(left.select("uid", "month", "balance", F.lit(0).alias("_now"))).groupBy("uid", "month").agg(F.max_by("balance", "_now").alias("balance"))
-        return rows, now.select("uid", "month", "balance")
-
-    return ByBatch(events, "uid string, month string, seq long, accepted boolean, balance int", step)
-
-
 def stream_scan_pipeline(docs: DataFrame) -> DataFrame:
     """Documents in, findings by patterns out: stateless, the batch operator as it is."""
     return detect.evidence(C.as_policies(docs)).drop("pillar_ord")
@@ -120,30 +73,33 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def run_batches(job: ByBatch, folder: str) -> DataFrame:
-    """All output of the job for the files there are. A batch that is repeated overwrites its own folders only."""
-    done = []
+def run_once(stream: DataFrame, folder: str) -> None:
+    """Adds what the stream emits for the files that are new since the folder's last run."""
+    job = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
+    job.awaitTermination()
 
-    def work(batch: DataFrame, n: int) -> None:
-        left = batch.sparkSession.read.parquet(f"{folder}/left/{n - 1}") if n else None
-        rows, leave = job.step(batch, left)
-        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
-        leave.write.mode("overwrite").parquet(f"{folder}/left/{n}")
-        done.append(n)
 
-    job.stream.writeStream.foreachBatch(work).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    spark = job.stream.sparkSession
-    return spark.read.schema(job.schema).parquet(f"{folder}/out/batch=*") if done else spark.createDataFrame([], job.schema)
+def run_to_end(stream: DataFrame) -> DataFrame:
+    """Everything that the stream emits for the files there are, by way of a table in the shared folder."""
+    spark = stream.sparkSession
+    folder = f"{C.shared_folder(spark)}/stream-{uuid4().hex}"
+    with_rocks(spark, lambda: run_once(stream, folder))
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
 
+def run_in_parts(rows: DataFrame, at: str, job: Callable[[DataFrame], DataFrame], parts: int = 3) -> DataFrame:
+    """As run_to_end, but the rows arrive as files of one span of time after the other.
 
-def run_to_end(stream: DataFrame | ByBatch) -> DataFrame:
-    """Everything that the stream emits for the files there are, by way of a table in the shared folder."""
-    spark = stream.stream.sparkSession if isinstance(stream, ByBatch) else stream.sparkSession
+    The stream runs once for each span, stops, and is started again from its checkpoint, so that its state outlives the runs.
+    """
+    spark = rows.sparkSession
     folder = f"{C.shared_folder(spark)}/stream-{uuid4().hex}"
-    if isinstance(stream, ByBatch):
-        return run_batches(stream, folder)
-    job = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
-    job.awaitTermination()
+    ends = rows.agg(F.unix_micros(F.min(F.col(at).cast("timestamp"))).alias("a"), F.unix_micros(F.max(F.col(at).cast("timestamp"))).alias("b")).first()
+    span = F.least(F.floor((F.unix_micros(F.col(at).cast("timestamp")) - F.lit(ends["a"] or 0)) * parts / F.lit(max(1, (ends["b"] or 0) - (ends["a"] or 0)))), F.lit(parts - 1))
+    for k in range(parts):
+        rows.where(span == k).write.mode("append").parquet(f"{folder}/in")
+        stream = job(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+        with_rocks(spark, lambda stream=stream: run_once(stream, folder))
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -155,10 +111,6 @@ def _label(rows: DataFrame) -> DataFrame:
     return rows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
-def _credit_events(scans: DataFrame) -> DataFrame:
-    return scans.where("tier IN ('quick', 'deep')").select("uid", F.col("created_at").cast("timestamp").alias("ts"), F.col("scan_id").alias("seq"), F.lit("deduct").alias("kind"), F.lit(20).alias("amount"))
-
-
 def _unread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A notification for each scan, read where the scan is a deep one: the events come as a stream, each batch is merged."""
     path = f"{C.shared_folder(spark)}/notifications-{uuid4().hex}"
@@ -181,8 +133,8 @@ QUERIES = {
     "t1_stream_sliding_counts": _s(lambda run, x: _label(run(stream_rating_counts(x, "2 hours", "1 hour")))),
     "t1_stream_sessions": _s(lambda run, x: run(stream_sessions(x)).select("uid", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")),
     "t2_stream_cache_dedupe": _s(lambda run, x: run(stream_cache_dedupe(x)).select("url", "tier", "content_hash")),
-    "t3_stream_policy_changes": _s(lambda run, x: run(stream_policy_changes(x))),
-    "t4_stream_credits": _s(lambda run, x: run(stream_credits(_credit_events(x)))),
+    "t3_stream_policy_changes": lambda s, d: run_in_parts(C.scans(s, d), "created_at", keyed.stream_policy_changes),
+    "t4_stream_credits": lambda s, d: run_in_parts(history.credit_events(C.scans(s, d)), "ts", lambda x: keyed.stream_credits(x, history.QUERY_CREDITS)),
     "t5_stream_rate_limit": _s(lambda run, x: _label(run(stream_rate_limit(x, 1, "1 hour")))),
     "t7_stream_scan_pipeline": lambda s, d: run_to_end(stream_scan_pipeline(read_stream(s, d, "documents"))),
 }
@@ -196,8 +148,8 @@ ORACLES = {
     k AS (SELECT *, sum(new) OVER (PARTITION BY uid ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS k FROM g), z AS (SELECT uid, k, min(created_at) AS a, max(created_at) + INTERVAL 30 MINUTE AS b, count(*) AS n FROM k GROUP BY uid, k)
     SELECT uid, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, n FROM z WHERE b <= {_closed}""",
     "t2_stream_cache_dedupe": f"{S} SELECT DISTINCT url, tier, content_hash FROM scans",
-    "t3_stream_policy_changes": history.ORACLES["w3_policy_changes"],
-    "t4_stream_credits": history.ORACLES["w5_credit_ledger"],
+    "t3_stream_policy_changes": f"{history.ORACLES['w3_policy_changes']} AND created_at < {_closed} + INTERVAL 1 MILLISECOND",
+    "t4_stream_credits": f"SELECT * FROM ({history.ORACLES['w5_credit_ledger']}) SEMI JOIN (SELECT event_id AS seq FROM events WHERE ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE + INTERVAL 1 MILLISECOND FROM events)) USING (seq)",
     "t5_stream_rate_limit": f"{S} SELECT uid, strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M') AS start, count(*) AS requests FROM scans GROUP BY uid, date_trunc('hour', created_at) HAVING count(*) > 1 AND date_trunc('hour', created_at) + INTERVAL 1 HOUR <= {_closed}",
     "t7_stream_scan_pipeline": detect.ORACLES["d6_evidence"],
 }

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseriver.operators import evaluate, history, pages
-from clauseriver.streaming import jobs
+from clauseriver.streaming import jobs, keyed
 
 TS = dt.datetime(2024, 1, 31, 23, 0)
 
@@ -30,23 +30,60 @@ def test_credit_ledger(spark):
     assert {r["seq"]: r["month"] for r in rows}[6] == "2024-02"
 
 
-def test_streamed_ledger_over_several_files(spark, tmp_path):
-    schema = "uid string, ts timestamp, seq long, kind string, amount int"
-    for part in (ledger_events()[:3], ledger_events()[3:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    rows = jobs.run_to_end(jobs.stream_credits(stream)).collect()
-    assert {r["seq"]: (r["accepted"], r["balance"]) for r in rows} == EXPECTED
+LEDGER = "uid string, ts timestamp, seq long, kind string, amount int"
+
+
+def emitted(spark, folder, parts, schema, job):
+    """What the stream emits for the parts, each a file and a run of its own from the same checkpoint."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = job(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        keyed.with_rocks(spark, lambda stream=stream: jobs.run_once(stream, str(folder)))
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").collect()
+
+
+def test_streamed_ledger_over_several_runs(spark, tmp_path):
+    events = ledger_events()
+    closing = ("end", TS + dt.timedelta(days=1), 99, "refund", 0)
+    # 3 and 2 come in the wrong order, but within the watermark
+    rows = emitted(spark, tmp_path, (events[:1] + events[2:3] + events[7:], events[1:2] + events[3:6], events[6:7], [closing]), LEDGER, keyed.stream_credits)
+    assert {r["seq"]: (r["accepted"], r["balance"]) for r in rows if r["uid"] != "end"} == EXPECTED
+    assert {r["seq"]: r["month"] for r in rows}[6] == "2024-02"
+
+
+def test_streamed_ledger_drops_late_rows_and_forgets(spark, tmp_path):
+    h = lambda n: TS + dt.timedelta(hours=n)
+    parts = (
+        [("u", h(0), 1, "deduct", 100)], [("w", h(1), 2, "deduct", 1)],
+        [("u", h(0.5), 3, "deduct", 100), ("u", h(1), 4, "deduct", 50)],  # 3 is later than the watermark
+        [("w", h(24 * 40), 5, "deduct", 1)], [("w", h(24 * 41), 6, "deduct", 1)],
+    )
+    rows = emitted(spark, tmp_path, parts, LEDGER, lambda x: keyed.stream_credits(x, keep_days=2))
+    assert {r["seq"]: r["balance"] for r in rows} == {1: 300, 2: 399, 4: 350, 5: 399}
+    state = spark.read.format("statestore").option("stateVarName", "kept").load(f"{tmp_path}/state")
+    assert {r["key"][0] for r in state.select("key").collect()} == {"w"}  # u has been silent for too long
+
+
+SCANS = "scan_id long, url string, created_at timestamp, content_hash string, score int, rating string, tldr string"
 
 
-def test_streamed_changes_keep_state_between_files(spark, tmp_path):
-    schema = "scan_id long, url string, created_at timestamp, content_hash string, score int, rating string, tldr string"
+def test_streamed_changes_keep_state_between_runs(spark, tmp_path):
     rows = [(i, "u", TS + dt.timedelta(hours=i), h, 10 * i, "OKAY", "t") for i, h in enumerate("aabba")]
-    for part in (rows[:2], rows[2:4], rows[4:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    out = {(r["scan_id"], r["old_score"], r["new_score"]) for r in jobs.run_to_end(jobs.stream_policy_changes(stream)).collect()}
-    assert out == {(r["scan_id"], r["old_score"], r["new_score"]) for r in history.policy_changes(spark.createDataFrame(rows, schema)).collect()} == {(2, 10, 20), (4, 30, 40)}
+    rows += [(10, None, TS, "x", 5, "OKAY", "t"), (11, None, TS, "y", 6, "OKAY", None), (12, "u", None, "q", 1, "OKAY", "t")]
+    late = [(20, "u", TS + dt.timedelta(hours=1), "z", 1, "OKAY", "t")]
+    closing = [(99, "end", TS + dt.timedelta(days=1), "a", 0, "OKAY", "t")]
+    got = emitted(spark, tmp_path, (rows[5:] + rows[:2], rows[2:4], late + rows[4:5], closing), SCANS, keyed.stream_policy_changes)
+    out = sorted((r["scan_id"], r["old_score"], r["new_score"]) for r in got)
+    batch = history.policy_changes(spark.createDataFrame([r for r in rows if r[2]], SCANS)).collect()
+    assert out == sorted((r["scan_id"], r["old_score"], r["new_score"]) for r in batch) == [(2, 10, 20), (4, 30, 40), (11, 5, 6)]
+
+
+def test_stream_in_parts_is_the_batch(spark):
+    rng = random.Random(9)
+    rows = [(i, f"u{rng.randrange(4)}", TS + dt.timedelta(minutes=7 * i), rng.choice("ab"), i, "OKAY", "t") for i in range(300)]
+    df = spark.createDataFrame(rows, SCANS)
+    got = {r["scan_id"] for r in jobs.run_in_parts(df, "created_at", keyed.stream_policy_changes).collect()}
+    assert got == {r["scan_id"] for r in history.policy_changes(df).collect() if r["scan_id"] <= 297}
 
 
 def test_notifications_upsert(spark, tmp_path):
