@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from clauseriver.llm import html_extract, vp_search
+from clauseriver.llm.html_extract import best_page, extract_main
 
 SF = "/root/testdata/sf0.001"
 
@@ -244,3 +245,43 @@ def test_the_query_against_brute_force(spark):
         assert r["score"] == pytest.approx(float((x[ids == r["vec_id"]][0] * x[ids == r["query_id"]][0]).sum()), rel=1e-12)
         n += 1
     assert n == sum(map(len, expected.values())) and hits / n >= 0.9
+
+
+ART = "<article><p>The first paragraph of it.</p><p>And a second one.</p></article>"
+WHOLE = "The first paragraph of it.\nAnd a second one."
+
+
+@pytest.mark.parametrize("wrap", ["overflow-hidden", "comments-on-law", "footer-less", "sidebar-free", "sponsors-of-the-bill", "popup-magnifier", "sidebar", "hidden-gems"])
+@pytest.mark.parametrize("kind", ["class", "id"])
+def test_wrapper_keeps_its_article(wrap, kind):
+    for html in (f'<div {kind}="{wrap}">{ART}</div>', f'<body><nav>Home</nav><div {kind}="{wrap}"><form>{ART}<button>Send</button></form></div><footer>End</footer></body>'):
+        page = best_page(html)
+        assert "\n".join(page.blocks[page.firsts[0] : page.ends[0]]) == WHOLE
+
+
+@pytest.mark.parametrize("part", [
+    '<p title="hidden gems">Kept part.</p>', '<p data-hidden="false">Kept part.</p>', '<p onclick="hidden=1">Kept part.</p>', "<p data-x='class=\"sidebar\"'>Kept part.</p>",
+    '<section class="login-howto"><p>Kept part.</p></section>', '<section id="comments-on-law"><p>Kept part.</p></section>', '<div class="sponsors-of-the-bill">Kept part.</div>',
+    '<div class="sidebar-free">Kept part.</div>', "<p><math>Kept part.</math></p>",
+])
+def test_parts_of_an_article_stay(spark, part):
+    html = f"<body><article><p>Before it all.</p>{part}<p>After it all.</p></article></body>"
+    df = spark.createDataFrame([(1, "http://one.example/a", html)], "page_id long, url string, html string")
+    assert extract_main(df).collect()[0]["text"] == "Before it all.\nKept part.\nAfter it all."
+
+
+@pytest.mark.parametrize("part", ['<div class="sidebar">x y</div>', '<p hidden>x y</p>', "<p HIDDEN=''>x y</p>", '<div class="site-footer">x y</div>', '<div id="cookieBanner">x</div>', '<section class="comments">z</section>', '<p style="display: none">x</p>', '<p class="hidden">x</p>'])
+def test_boilerplate_goes(part):
+    page = best_page(f"<body><article><p>Before it all.</p>{part}<p>After it all.</p></article></body>")
+    assert page.blocks == ["Before it all.", "After it all."]
+
+
+def test_wrapper_and_sidebar_of_one_word(spark):
+    """A host whose articles stand in a noisy wrapper, beside a true sidebar, and one whose articles repeat a hinted part."""
+    side = '<div class="sidebar"><p>Links and more links</p></div>'
+    hint = '<div class="sidebar-offer"><p>Buy now</p></div>'
+    pages = [(i, f"http://a.example/{i}", f'<body><div class="sidebar-layout"><div class="sidebar">{side}{ART}</div></div></body>') for i in range(4)]
+    pages += [(10 + i, f"http://b.example/{i}", f"<body><article><p>Page {i} says this.</p>{hint}<p>And that.</p></article></body>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in extract_main(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [WHOLE] * 4
+    assert [got[10 + i] for i in range(4)] == [f"Page {i} says this.\nAnd that." for i in range(4)]
