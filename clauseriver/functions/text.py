@@ -191,9 +191,9 @@ def strip_wrapper(citation: Column) -> Column:
     return F.when(F.length(inner) >= 20, inner).otherwise(citation)
 
 
-def is_grounded(citation: Column, source: Column) -> Column:
-    """Whether the citation's beginning, or any five of its words in a row, stand in the source."""
-    cit, src = normalize_quotes(citation), normalize_quotes(source)
+def is_grounded(citation: Column, src: Column) -> Column:
+    """Whether the citation's beginning, or any five of its words in a row, stand in the source, given as normalize_quotes leaves it."""
+    cit = normalize_quotes(citation)
     head = F.substring(cit, 1, 60)
     words = F.filter(F.split(cit, " "), lambda w: w != "")
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 4)), lambda i: F.array_join(F.slice(words, i, 5), " "))
@@ -202,19 +202,21 @@ def is_grounded(citation: Column, source: Column) -> Column:
     return ~absent & (F.length(cit) >= 25) & (F.contains(src, head) | window)
 
 
-def classify_citation(citation: Column, source: Column) -> Column:
+def classify_citation(citation: Column, src: Column) -> Column:
+    """src: the source as normalize_quotes leaves it."""
     c = strip(F.coalesce(citation, F.lit("")))
     return (
         F.when((c == "") | (c == R.NOT_ADDRESSED), F.lit("ABSENT"))
         .when(is_paraphrase(c), F.lit("PARAPHRASE"))
         .when(F.length(c) < 25, F.lit("TOO_SHORT"))
-        .when(~is_grounded(c, source), F.lit("NOT_FOUND"))
+        .when(~is_grounded(c, src), F.lit("NOT_FOUND"))
         .otherwise(F.lit("GROUNDED"))
     )
 
 
-def citation_confidence(citation: Column, source: Column) -> Column:
-    cit, src = normalize(citation), normalize(source)
+def citation_confidence(citation: Column, src: Column) -> Column:
+    """src: the source as normalize leaves it."""
+    cit = normalize(citation)
     prefix = F.substring(cit, 1, 50)
     words = F.filter(F.split(cit, " "), lambda w: F.length(w) > 3)
     hits = F.size(F.filter(words, lambda w: F.contains(src, w)))

@@ -364,39 +364,46 @@ classified AS (SELECT doc_id, coalesce(
     'general') AS category FROM policies)"""
 
 
-def prominence_of(citation: Column, text: Column) -> Column:
-    """score and signals of a citation by where and how it stands in the text."""
+def prominence_of(citation: Column, text: Column, lowered: Column) -> Column:
+    """score and signals of a citation by where and how it stands in the text, which is also given in lower case."""
     cit = T.strip(citation)
-    probe = F.lower(F.substring(cit, 1, 80))
-    at = F.locate_expr(F.lower(text), probe) if hasattr(F, "locate_expr") else F.position(probe, F.lower(text)) - 1
-    found = at >= 0
-    start = F.greatest(F.lit(0), at - 400)
-    context = F.when(found, F.substring(text, start + 1, at + F.length(cit) + 200 - start)).otherwise(cit)
-    letters = F.length(F.regexp_replace(cit, "[^A-Za-z]", ""))
-    caps = (letters > 20) & (F.length(F.regexp_replace(cit, "[^A-Z]", "")) / letters > 0.6)
-    numbered = T.matches(context, R.NUMBERED_HEADING, "")
-    heading = T.any_match(context, R.HEADINGS)
-    before = F.substring(text, F.greatest(F.lit(0), at - 80) + 1, at - F.greatest(F.lit(0), at - 80))
-    bullet = found & T.matches(F.concat(F.lit("\n"), before, F.substring(cit, 1, 10)), R.BULLET, "")
-    short = F.length(cit) < 40
-    buried = found & (at / F.length(text) > 0.75) & ~heading & ~numbered & ~caps
-    points = [(caps, 25, "all_caps"), (numbered, 20, "numbered_heading"), (heading, 20, "heading_keyword"), (bullet, 15, "standalone_bullet"), (short, -20, "short_fragment"), (buried, -15, "buried_deep")]
-    total = sum((F.when(F.coalesce(c, F.lit(False)), n).otherwise(0) for c, n, _ in points), F.lit(50))
-    signals = F.array_compact(F.array(*[F.when(c, F.lit(s)) for c, _, s in points]))
+
+    def judged(at: Column) -> Column:
+        found = at >= 0
+        start = F.greatest(F.lit(0), at - 400)
+        context = F.when(found, F.substring(text, start + 1, at + F.length(cit) + 200 - start)).otherwise(cit)
+        letters = F.length(F.regexp_replace(cit, "[^A-Za-z]", ""))
+        caps = (letters > 20) & (F.length(F.regexp_replace(cit, "[^A-Z]", "")) / letters > 0.6)
+        before = F.substring(text, F.greatest(F.lit(0), at - 80) + 1, at - F.greatest(F.lit(0), at - 80))
+        bullet = found & T.matches(F.concat(F.lit("\n"), before, F.substring(cit, 1, 10)), R.BULLET, "")
+        by_context = lambda c: F.struct(T.matches(c, R.NUMBERED_HEADING, "").alias("numbered"), T.any_match(c, R.HEADINGS).alias("heading"))
+        flags = lambda c: F.struct(caps.alias("caps"), c["numbered"].alias("numbered"), c["heading"].alias("heading"), bullet.alias("bullet"), (found & (at / F.length(text) > 0.75)).alias("low"))
+        return T.let(T.let(context, by_context), lambda c: T.let(flags(c), points))
+
+    def points(s: Column) -> Column:
+        buried = s["low"] & ~s["heading"] & ~s["numbered"] & ~s["caps"]
+        signs = [(s["caps"], 25, "all_caps"), (s["numbered"], 20, "numbered_heading"), (s["heading"], 20, "heading_keyword"), (s["bullet"], 15, "standalone_bullet"), (F.length(cit) < 40, -20, "short_fragment"), (buried, -15, "buried_deep")]
+        total = sum((F.when(F.coalesce(c, F.lit(False)), n).otherwise(0) for c, n, _ in signs), F.lit(50))
+        signals = F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, _, x in signs]))
+        return F.struct(F.least(F.lit(100), F.greatest(F.lit(0), total)).alias("score"), signals.alias("signals"))
+
     none = citation.isNull() | (F.length(citation) < 10)
-    return F.when(none, F.struct(F.lit(30).alias("score"), F.array(F.lit("no_citation_or_too_short")).alias("signals"))).otherwise(
-        F.struct(F.least(F.lit(100), F.greatest(F.lit(0), total)).alias("score"), signals.alias("signals"))
-    )
+    at = F.position(F.lower(F.substring(cit, 1, 80)), lowered) - 1
+    return F.when(none, F.struct(F.lit(30).alias("score"), F.array(F.lit("no_citation_or_too_short")).alias("signals"))).otherwise(T.let(at, judged))
+
 
+def with_text(findings: DataFrame, docs: DataFrame, **once: Column) -> DataFrame:
+    """Findings with their document's text, and with the columns `once` of it, which are computed once a document.
 
-def with_text(findings: DataFrame, docs: DataFrame) -> DataFrame:
-    """Findings with their document's text. A document's findings travel as one row, so its text moves once."""
+    A document's findings travel as one row, so its text moves once."""
     rows = findings.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in findings.columns if c != "doc_id"])).alias("_rows"))
-    return docs.select("doc_id", "text").join(rows, "doc_id").select("doc_id", "text", F.inline("_rows"))
+    joined = docs.select("doc_id", "text").join(rows, "doc_id").select("doc_id", "text", *[c.alias(k) for k, c in once.items()], "_rows")
+    return joined.select("doc_id", "text", *once, F.inline("_rows"))
 
 
 def prominence(findings: DataFrame, docs: DataFrame) -> DataFrame:
-    rows = with_text(findings, docs).withColumn("_p", prominence_of(F.col("citation"), F.col("text")))
+    rows = with_text(findings, docs, _low=F.lower("text"))
+    rows = rows.withColumn("_p", prominence_of(F.col("citation"), F.col("text"), F.col("_low")))
     return rows.select(*findings.columns, F.col("_p.score").alias("prominence_score"), F.col("_p.signals").alias("prominence_signals"))
 
 

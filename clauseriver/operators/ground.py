@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,26 +21,45 @@ def _positions(pieces: Column, begins: Column) -> Column:
     return T.let(ends, lambda e: F.slice(e, F.when(begins, 1).otherwise(2), F.greatest(F.lit(0), F.size(e) - F.when(begins, 1).otherwise(2))))
 
 
+@F.pandas_udf("struct<at: int, most: int>")
+def _densest(places: pd.Series) -> pd.DataFrame:
+    """Of each list of sorted positions per term: the first position that has the most terms within 150 characters, and how many.
+
+    Each position looks up its neighbours by binary search, so that many occurrences don't all meet.
+    """
+
+    def densest(lists) -> tuple[int | None, int]:
+        lists = [np.asarray(x) for x in (lists if lists is not None else []) if len(x)]
+        if not lists:
+            return None, 0
+        every = np.concatenate(lists)
+        near = sum((np.searchsorted(x, every + 150, "right") > np.searchsorted(x, every - 150, "left")).astype(int) for x in lists)
+        first = int(near.argmax())
+        return int(every[first]), int(near[first])
+
+    return pd.DataFrame([densest(x) for x in places], columns=["at", "most"]).astype({"at": "Int32", "most": "Int32"})
+
+
 def with_grounded(df: DataFrame, citation: str = "citation", text: str = "text", out: str = "_grounded") -> DataFrame:
     """df with the citation if its beginning is in the text; else the part of the text where most of the citation's
     first six telling words stand within 150 characters of each other, from a sentence start, 60 words at most;
     else as it is.
 
     White space in the text is collapsed throughout (positions and excerpt refer to the same text). Each step is a
-    column, so that none is computed twice.
+    column, so that none is computed twice; df may bring _src (the text as normalize leaves it) and _flat (collapsed).
     """
     c = F.col(citation)
     none = c.isNull() | c.isin("", R.NOT_FOUND, R.NOT_ADDRESSED)
     words = F.transform(F.split(F.lower(citation), r"\s+"), lambda w: F.regexp_replace(w, "[^a-z0-9]", ""))
     terms = F.slice(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(R.STOPWORDS)), 1, 6)
-    rows = df.withColumn("_prefix", F.substring(T.normalize(c), 1, 50)).withColumn("_src", T.normalize(F.col(text)))
+    given = {k: v for k, v in (("_src", T.normalize(F.col(text))), ("_flat", T.collapse(F.col(text)))) if k not in df.columns}
+    rows = df.withColumns(given).withColumn("_prefix", F.substring(T.normalize(c), 1, 50))
     rows = rows.withColumn("_exact", none | ((F.length("_prefix") >= 20) & F.contains("_src", "_prefix")))
-    rows = rows.withColumn("_terms", F.when(~F.col("_exact"), terms)).withColumn("_flat", F.when(~F.col("_exact"), T.collapse(F.col(text)))).withColumn("_low", F.lower("_flat"))
+    rows = rows.withColumn("_terms", F.when(~F.col("_exact"), terms)).withColumn("_low", F.when(~F.col("_exact"), F.lower("_flat")))
     spot = lambda t: F.when(F.contains(F.col("_low"), t), _positions(F.call_function("split", F.col("_low"), F.concat(F.lit("(?="), t, F.lit(")"))), F.startswith(F.col("_low"), t))).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("_places", F.transform("_terms", spot)).withColumn("_every", F.flatten("_places"))
-    near = F.transform("_every", lambda p: F.size(F.filter("_places", lambda ps: F.exists(ps, lambda q: F.abs(q - p) <= 150))))
-    rows = rows.withColumn("_near", near).withColumn("_most", F.array_max("_near"))
-    rows = rows.withColumn("_anchor", F.get("_every", (F.array_position("_near", F.col("_most")) - 1).cast("int")))
+    rows = rows.withColumn("_places", F.transform("_terms", spot))
+    rows = rows.withColumn("_spot", _densest(F.when(F.size("_places") >= 2, F.col("_places"))))
+    rows = rows.withColumn("_anchor", F.col("_spot")["at"]).withColumn("_most", F.col("_spot")["most"])
     start = F.greatest(F.lit(0), F.col("_anchor") - 100)
     rows = rows.withColumn("_snippet", F.substring("_flat", start + 1, F.col("_anchor") + 300 - start))
     lead = F.regexp_extract("_snippet", r'^([\s\S]*?[.!?;]\s{1,2})[A-Z"]', 1)
@@ -52,13 +73,15 @@ def with_grounded(df: DataFrame, citation: str = "citation", text: str = "text",
 
 def ground_citation(findings: DataFrame, chunks: DataFrame) -> DataFrame:
     """Citations of violations, corrected to what the source says."""
-    rows = with_grounded(with_text(findings.where("violation"), chunks)).withColumn("citation", F.col("_grounded")).select(*findings.columns)
+    text = F.col("text")
+    rows = with_text(findings.where("violation"), chunks, _src=T.normalize(text), _flat=T.collapse(text))
+    rows = with_grounded(rows).withColumn("citation", F.col("_grounded")).select(*findings.columns)
     return rows.unionByName(findings.where("NOT violation"))
 
 
 def citation_confidence(findings: DataFrame, docs: DataFrame) -> DataFrame:
-    rows = with_text(findings, docs)
-    return rows.select(*findings.columns, T.citation_confidence(F.col("citation"), F.col("text")).alias("citation_confidence"))
+    rows = with_text(findings, docs, _src=T.normalize(F.col("text")))
+    return rows.select(*findings.columns, T.citation_confidence(F.col("citation"), F.col("_src")).alias("citation_confidence"))
 
 
 def assign_confidence(findings: DataFrame) -> DataFrame:
@@ -74,12 +97,13 @@ def assign_confidence(findings: DataFrame) -> DataFrame:
 
 def verify_citations(df: DataFrame, citations: str = "citations", text: str = "text", max_n: int = 5) -> DataFrame:
     """The first max_n citations, without those that the text doesn't hold."""
-    return df.withColumn(citations, F.filter(F.slice(citations, 1, max_n), lambda c: T.is_grounded(c, F.col(text))))
+    held = T.let(T.normalize_quotes(F.col(text)), lambda src: F.filter(F.slice(citations, 1, max_n), lambda c: T.is_grounded(c, src)))
+    return df.withColumn(citations, held)
 
 
 def classify_citations(findings: DataFrame, docs: DataFrame) -> DataFrame:
-    rows = with_text(findings, docs)
-    return rows.select(*findings.columns, T.classify_citation(F.col("citation"), F.col("text")).alias("trust"), T.is_grounded(F.col("citation"), F.col("text")).alias("grounded"))
+    rows = with_text(findings, docs, _src=T.normalize_quotes(F.col("text")))
+    return rows.select(*findings.columns, T.classify_citation(F.col("citation"), F.col("_src")).alias("trust"), T.is_grounded(F.col("citation"), F.col("_src")).alias("grounded"))
 
 
 def sanitize_citations(findings: DataFrame) -> DataFrame:
@@ -121,7 +145,7 @@ def highlight_candidates(findings: DataFrame) -> DataFrame:
 
 def locate_citation(findings: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, pillar, start, end of the first candidate that the text holds, in its typographically plain form."""
-    rows = with_text(findings, docs).withColumn("_t", typographic(F.col("text")))
+    rows = with_text(findings, docs, _t=typographic(F.col("text")))
     hits = F.filter(candidates_of(F.col("citation")), lambda c: F.contains(F.col("_t"), c))
     rows = rows.withColumn("_c", F.get(hits, F.lit(0))).where("_c IS NOT NULL")
     start = F.position(F.col("_c"), F.col("_t")) - 1
