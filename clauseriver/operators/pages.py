@@ -94,48 +94,49 @@ def site_category(url: Column) -> Column:
 def chunk_documents(docs: DataFrame, size: int = 40_000, overlap: int = 5_000, max_chunks: int = 3) -> DataFrame:
     """doc_id, chunk_no, chunk_text: sentences packed up to size, each chunk begun with the last sentences of the
     one before (overlap characters at most). Texts up to 1.2 x size stay whole. The operator's own limit is
-    max_chunks; None keeps every chunk."""
+    max_chunks; None keeps every chunk.
+
+    The fold over a text's sentences carries numbers only: how many characters lie before the sentence and before the chunk.
+    Where a chunk is full, the sentences at its end are counted that the next one repeats. Texts are cut once, at the
+    boundaries that it leaves: for each chunk its first new sentence, and how many before it are repeated.
+    """
     sentences = F.filter(F.transform(F.split(F.regexp_replace("text", "([.!?])\\s+(?=[A-Z“‘\"])", "$1\n"), "\n"), T.strip), lambda s: s != "")
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("chunks"), F.lit("").alias("current"), none.alias("tail"))
-
-    def trimmed(tail: Column) -> Column:
-        """The last sentences within 1.5 x overlap; one stays in any case."""
-        fits = F.aggregate(
-            F.reverse(tail),
-            F.struct(F.lit(0).alias("n"), none.alias("out")),
-            lambda s, x: F.when(
-                (F.size(s["out"]) == 0) | (s["n"] + F.length(x) + 1 <= int(overlap * 1.5)),
-                F.struct((s["n"] + F.length(x) + 1).cast("int").alias("n"), F.concat(F.array(x), s["out"]).alias("out")),
-            ).otherwise(F.struct(F.lit(1 << 30).alias("n"), s["out"].alias("out"))),
-        )
-        return fits["out"]
-
-    def again(tail: Column) -> Column:
-        """The last sentences within overlap, joined."""
-        kept = F.aggregate(
-            F.reverse(tail),
-            F.struct(F.lit(0).alias("n"), F.lit("").alias("out")),
-            lambda s, x: F.when(
-                s["n"] + F.length(x) + 1 <= overlap,
-                F.struct((s["n"] + F.length(x) + 1).cast("int").alias("n"), F.concat(x, F.lit(" "), s["out"]).alias("out")),
-            ).otherwise(F.struct(F.lit(1 << 30).alias("n"), s["out"].alias("out"))),
-        )
-        return kept["out"]
+
+    def state(n: Column, p: Column, base: Column, first: Column, marks: Column) -> Column:
+        """n: sentences so far; p: their characters, each with a space; base: characters before the chunk; first: its first new sentence."""
+        return F.struct(n.cast("int").alias("n"), p.cast("long").alias("p"), base.cast("long").alias("base"), first.cast("int").alias("first"), marks.alias("marks"))
+
+    def mark(first: Column, again: Column) -> Column:
+        return F.array(F.struct(first.cast("int").alias("first"), again.cast("int").alias("again")))
+
+    def repeated(s: Column) -> Column:
+        """How many of the chunk's new sentences at its end fit into the overlap, and their characters."""
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("p"), F.lit(True).alias("open"))
+
+        def one(t: Column, x: Column) -> Column:
+            fits = t["open"] & (t["p"] + F.length(x) + 1 <= overlap)
+            return F.struct((t["n"] + fits.cast("int")).alias("n"), F.when(fits, t["p"] + F.length(x) + 1).otherwise(t["p"]).alias("p"), fits.alias("open"))
+
+        return F.aggregate(F.reverse(F.slice("_s", s["first"] + 1, s["n"] - s["first"])), zero, one)
 
     def step(s: Column, x: Column) -> Column:
-        full = (F.length(s["current"]) + 1 + F.length(x) > size) & (s["current"] != "")
-        return F.when(
-            full,
-            F.struct(F.concat(s["chunks"], F.array(F.trim(s["current"]))).alias("chunks"), F.concat(again(s["tail"]), F.lit(" "), x).alias("current"), F.array(x).alias("tail")),
-        ).otherwise(
-            F.struct(s["chunks"].alias("chunks"), F.when(s["current"] == "", x).otherwise(F.concat(s["current"], F.lit(" "), x)).alias("current"), trimmed(F.concat(s["tail"], F.array(x))).alias("tail"))
-        )
+        after = s["p"] + F.length(x) + 1
+        again = lambda r: state(s["n"] + 1, after, s["p"] - r["p"], s["n"], F.concat(s["marks"], mark(s["n"], r["n"])))
+        return F.when((s["n"] > 0) & (after - s["base"] > size), T.let(repeated(s), again)).otherwise(state(s["n"] + 1, after, s["base"], s["first"], s["marks"]))
+
+    begin = state(F.lit(0), F.lit(0), F.lit(1), F.lit(0), mark(F.lit(0), F.lit(0)))
+    whole = F.length("text") <= int(size * 1.2)
+    rows = docs.select("doc_id", "text", F.when(~whole, sentences).alias("_s")).withColumn("_m", F.when(F.size("_s") > 0, F.aggregate("_s", begin, step, lambda s: s["marks"])))
+    rows = rows.withColumn("_m", F.slice("_m", 1, max_chunks + 1) if max_chunks else F.col("_m"))
+
+    def cut(m: Column, i: Column) -> Column:
+        new = F.slice("_s", m["first"] + 1, F.coalesce(F.get("_m", i + 1)["first"], F.size("_s")) - m["first"])
+        again = F.slice("_s", m["first"] - m["again"] + 1, m["again"])
+        return F.concat(F.when(m["again"] > 0, F.concat(F.array_join(again, " "), F.lit("  "))).otherwise(""), F.array_join(new, " "))
 
-    packed = F.aggregate(sentences, start, step, lambda s: F.when(F.trim(s["current"]) != "", F.concat(s["chunks"], F.array(F.trim(s["current"])))).otherwise(s["chunks"]))
-    packed = F.slice(packed, 1, max_chunks) if max_chunks else packed
-    chunks = F.when(F.length("text") <= int(size * 1.2), F.array("text")).otherwise(packed)
-    return docs.select("doc_id", F.posexplode(chunks).alias("chunk_no", "chunk_text"))
+    chunks = F.when(whole, F.array("text")).otherwise(F.transform("_m", cut))
+    chunks = F.slice(chunks, 1, max_chunks) if max_chunks else chunks
+    return rows.select("doc_id", F.posexplode(chunks).alias("chunk_no", "chunk_text"))
 
 
 def segment_fixed(docs: DataFrame, n: int = 512, cap: int | None = 5_000) -> DataFrame:
@@ -279,7 +280,30 @@ def _tags_sql(t: str) -> str:
 _path = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1)"
 _meta = r"""regexp_extract_all(html, '(?is)<meta\b[^>]*(?:name=["'']description|property=["'']og:description)["''][^>]*>', 0)"""
 _modal = r"""regexp_extract(html, '(?is)<(?:dialog\b[^>]*open|[a-z]+[^>]*(?:role=["''](?:dialog|alertdialog)|class=["''][^"'']*(?:modal|dialog|overlay)))[^>]*>(.*?)</', 1)"""
+def _chunks_sql(size: int, overlap: int, source: str = "policies") -> str:
+    """Chunks by boundaries: from each chunk's first new sentence, the next chunk's is the first whose end lies beyond the size."""
+    cut = "regexp_replace(text, '([.!?])\\s+([A-Z“‘\"])', '\\1' || chr(10) || '\\2', 'g')"
+    return f"""
+c3_lists AS (SELECT doc_id, list_filter(list_transform(string_split({cut}, chr(10)), lambda s: {D.strip("s")}), lambda s: s <> '') AS list FROM {source} WHERE length(text) > {int(size * 1.2)}),
+c3_rows AS (SELECT doc_id, unnest(range(0, len(list))) AS i, unnest(list) AS s FROM c3_lists),
+c3_ends AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM c3_rows),
+c3_sent AS (SELECT a.doc_id, a.i, any_value(a.s) AS s, any_value(a.p) AS p, any_value(a.p) - length(any_value(a.s)) - 1 AS q, coalesce(min(b.p - length(b.s) - 1), any_value(a.p)) AS again
+  FROM c3_ends a LEFT JOIN c3_ends b ON a.doc_id = b.doc_id AND b.i <= a.i AND a.p - (b.p - length(b.s) - 1) <= {overlap} GROUP BY a.doc_id, a.i),
+c3_next AS (SELECT *, lag(again) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c3_sent),
+c3_chunks AS (
+  SELECT doc_id, 0 AS c, CAST(0 AS BIGINT) AS f, CAST(1 AS BIGINT) AS base, CAST(0 AS BIGINT) AS q FROM c3_sent WHERE i = 0
+  UNION ALL
+  SELECT r.doc_id, r.c + 1, CAST(min(n.i) AS BIGINT), CAST(arg_min(greatest(r.q, n.before), n.i) AS BIGINT), CAST(arg_min(n.q, n.i) AS BIGINT)
+  FROM c3_chunks r JOIN c3_next n ON n.doc_id = r.doc_id AND n.i > r.f AND n.p - r.base > {size} GROUP BY r.doc_id, r.c),
+c3_spans AS (SELECT *, coalesce(lead(f) OVER (PARTITION BY doc_id ORDER BY c), 1000000000000) AS g FROM c3_chunks),
+c3_texts AS (
+  SELECT x.doc_id, c AS chunk_no, coalesce(string_agg(s, ' ' ORDER BY i) FILTER (i < f) || '  ', '') || string_agg(s, ' ' ORDER BY i) FILTER (i >= f) AS chunk_text
+  FROM c3_spans x JOIN c3_sent n ON n.doc_id = x.doc_id AND n.i < x.g AND (n.i >= x.f OR x.c > 0 AND n.q >= x.base) GROUP BY x.doc_id, c),
+c3 AS (SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, chunk_text FROM c3_texts UNION ALL SELECT doc_id, 0, text FROM {source} WHERE length(text) <= {int(size * 1.2)})"""
+
+
 ORACLES = {
+    "c3_chunk_documents": f"WITH RECURSIVE {C.POLICIES_SQL}, {_chunks_sql(400, 50)} SELECT doc_id, chunk_no, chunk_text FROM c3",
     "a1_read_policies": f"WITH {C.POLICIES_SQL} SELECT doc_id, length(text) AS n FROM policies WHERE length(text) >= 400",
     "a2_pages_to_text": f"SELECT page_id, substr({_plain_sql(_drop)}, 1, 120000) AS text FROM pages",
     "a3_main_content": f"""WITH h AS (SELECT page_id, {_drop} AS html FROM pages), t AS (SELECT page_id, {", ".join(f"{_plain_sql(f'regexp_extract(html, {D.lit(p)}, 1)')} AS {n}_" for n, p in MAIN)}, {_plain_sql("html")} AS body FROM h)
