@@ -392,13 +392,14 @@ def prominence_of(citation: Column, text: Column, lowered: Column) -> Column:
     return F.when(none, F.struct(F.lit(30).alias("score"), F.array(F.lit("no_citation_or_too_short")).alias("signals"))).otherwise(T.let(at, judged))
 
 
-def with_text(findings: DataFrame, docs: DataFrame, **once: Column) -> DataFrame:
-    """Findings with their document's text, and with the columns `once` of it, which are computed once a document.
+def with_text(findings: DataFrame, docs: DataFrame, key: tuple[str, ...] = ("doc_id",), **once: Column) -> DataFrame:
+    """Findings with the text of their document (or of what else has the key), and with the columns `once` of it, which are
+    computed once a text.
 
     A document's findings travel as one row, so its text moves once."""
-    rows = findings.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in findings.columns if c != "doc_id"])).alias("_rows"))
-    joined = docs.select("doc_id", "text").join(rows, "doc_id").select("doc_id", "text", *[c.alias(k) for k, c in once.items()], "_rows")
-    return joined.select("doc_id", "text", *once, F.inline("_rows"))
+    rows = findings.groupBy(*key).agg(F.collect_list(F.struct(*[c for c in findings.columns if c not in key])).alias("_rows"))
+    joined = docs.select(*key, "text").join(rows, list(key)).select(*key, "text", *[c.alias(k) for k, c in once.items()], "_rows")
+    return joined.select(*key, "text", *once, F.inline("_rows"))
 
 
 def prominence(findings: DataFrame, docs: DataFrame) -> DataFrame:

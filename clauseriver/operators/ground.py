@@ -11,6 +11,7 @@ from clauseriver.functions import duck as D
 from clauseriver.functions import rules as R
 from clauseriver.functions import text as T
 from clauseriver.operators.detect import BASE, _cross_sql, cross_check, with_text
+from clauseriver.operators.merge import QUICK_FLAG
 from clauseriver.sources import corpus as C
 
 
@@ -71,12 +72,13 @@ def with_grounded(df: DataFrame, citation: str = "citation", text: str = "text",
     return rows.withColumn(out, best)
 
 
-def ground_citation(findings: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Citations of violations, corrected to what the source says."""
-    text = F.col("text")
-    rows = with_text(findings.where("violation"), chunks, _src=T.normalize(text), _flat=T.collapse(text))
+def ground_citation(findings: DataFrame, chunks: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Citations of violations, corrected to what the source with the same key (a document, or one chunk of it) says; the mark
+    of quick answers isn't sought."""
+    text, real = F.col("text"), F.col("violation") & (F.coalesce("citation", F.lit("")) != QUICK_FLAG)
+    rows = with_text(findings.where(real), chunks, key, _src=T.normalize(text), _flat=T.collapse(text))
     rows = with_grounded(rows).withColumn("citation", F.col("_grounded")).select(*findings.columns)
-    return rows.unionByName(findings.where("NOT violation"))
+    return rows.unionByName(findings.where(~real))
 
 
 def citation_confidence(findings: DataFrame, docs: DataFrame) -> DataFrame:
@@ -188,6 +190,25 @@ QUERIES = {
 _FT = "ft AS (SELECT f.*, text FROM findings f JOIN policies USING (doc_id))"
 _terms = f"""list_filter(list_transform(regexp_split_to_array(lower(citation), '\\s+'), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')),
   lambda w: length(w) >= 4 AND NOT list_contains([{", ".join(map(D.lit, R.STOPWORDS))}], w))[1:6]"""
+
+
+def _grounded_sql(source: str, key: str) -> str:
+    """grounded (the key, citation) for the violations of source (key, citation, violation, text)."""
+    return f"""
+gr_t AS (SELECT *, {_terms} AS terms, {D.collapse("text")} AS flat, {D.normalize("citation")} AS cit, {D.normalize("text")} AS src FROM {source} WHERE violation),
+gr_o AS (SELECT {key}, k, t AS term, unnest(list_filter(range(0, length(flat)), lambda i: substr(low, i + 1, length(t)) = t)) AS pos
+  FROM (SELECT {key}, flat, lower(flat) AS low, unnest(range(1, len(terms) + 1)) AS k, unnest(terms) AS t FROM gr_t WHERE len(terms) >= 2
+    AND citation NOT IN ('{R.NOT_FOUND}', '{R.NOT_ADDRESSED}') AND NOT (length(substr(cit, 1, 50)) >= 20 AND contains(src, substr(cit, 1, 50))))),
+gr_c AS (SELECT {key}, k, pos, len(list_distinct(list(k) OVER (PARTITION BY {key} ORDER BY pos RANGE BETWEEN 150 PRECEDING AND 150 FOLLOWING))) AS n FROM gr_o),
+gr_a AS (SELECT {key}, pos, n FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, k, pos) AS r FROM gr_c) WHERE r = 1 AND n >= 2),
+gr_s AS (SELECT gr_t.*, substr(flat, greatest(0, pos - 100) + 1, pos + 300 - greatest(0, pos - 100)) AS sn FROM gr_t LEFT JOIN gr_a USING ({key})),
+gr_s2 AS (SELECT *, CASE WHEN regexp_matches(sn, '^[A-Z"]') THEN sn ELSE substr(sn, length(regexp_extract(sn, '^([\\s\\S]*?[.!?;]\\s{{1,2}})[A-Z"]', 1)) + 1) END AS cut FROM gr_s),
+gr_s3 AS (SELECT *, {D.strip(D.cap_words("cut", more=""))} AS snippet FROM gr_s2),
+grounded AS (SELECT {key}, CASE WHEN citation IN ('', '{R.NOT_FOUND}', '{R.NOT_ADDRESSED}') THEN citation
+  WHEN length(substr(cit, 1, 50)) >= 20 AND contains(src, substr(cit, 1, 50)) THEN {D.strip("regexp_replace(citation, '^[\"''“‘]+|[\"''”’]+$', '', 'g')")}
+  WHEN length(snippet) >= 30 THEN snippet ELSE citation END AS citation FROM gr_s3)"""
+
+
 _cands = r"""(SELECT doc_id, pillar, clean, trim(regexp_replace(translate(clean, '–—‘’“” ', '--''''"" '), '\s+', ' ', 'g')) AS plain
   FROM (SELECT *, regexp_replace(regexp_replace(citation, '^["''“‘]|["''”’]$', '', 'g'), '^\s+|\s+$', '', 'g') AS clean FROM findings) WHERE citation <> 'Not addressed in document.' AND clean <> '')"""
 CANDIDATES_SQL = f"""
@@ -196,18 +217,7 @@ cand_lists AS (SELECT doc_id, pillar, list_filter([clean, CASE WHEN plain <> cle
   lambda c: c IS NOT NULL AND length(c) >= 15) AS list FROM {_cands}),
 candidates AS (SELECT doc_id, pillar, unnest(range(0, len(list))) AS candidate_no, unnest(list) AS candidate FROM cand_lists)"""
 ORACLES = {
-    "e1_ground_citation": f"""{BASE}, {_FT}, t AS (SELECT *, {_terms} AS terms, {D.collapse("text")} AS flat, {D.normalize("citation")} AS cit, {D.normalize("text")} AS src FROM ft WHERE violation),
-    o AS (SELECT doc_id, pillar, k, t AS term, unnest(list_filter(range(0, length(flat)), lambda i: substr(low, i + 1, length(t)) = t)) AS pos
-      FROM (SELECT doc_id, pillar, flat, lower(flat) AS low, unnest(range(1, len(terms) + 1)) AS k, unnest(terms) AS t FROM t WHERE len(terms) >= 2
-        AND citation NOT IN ('{R.NOT_FOUND}', '{R.NOT_ADDRESSED}') AND NOT (length(substr(cit, 1, 50)) >= 20 AND contains(src, substr(cit, 1, 50))))),
-    c AS (SELECT doc_id, pillar, k, pos, len(list_distinct(list(k) OVER (PARTITION BY doc_id, pillar ORDER BY pos RANGE BETWEEN 150 PRECEDING AND 150 FOLLOWING))) AS n FROM o),
-    a AS (SELECT doc_id, pillar, pos, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pillar ORDER BY n DESC, k, pos) AS r FROM c) WHERE r = 1 AND n >= 2),
-    s AS (SELECT t.*, substr(flat, greatest(0, pos - 100) + 1, pos + 300 - greatest(0, pos - 100)) AS sn FROM t LEFT JOIN a USING (doc_id, pillar)),
-    s2 AS (SELECT *, CASE WHEN regexp_matches(sn, '^[A-Z"]') THEN sn ELSE substr(sn, length(regexp_extract(sn, '^([\\s\\S]*?[.!?;]\\s{{1,2}})[A-Z"]', 1)) + 1) END AS cut FROM s),
-    s3 AS (SELECT *, {D.strip(D.cap_words("cut", more=""))} AS snippet FROM s2)
-    SELECT doc_id, pillar, CASE WHEN citation IN ('', '{R.NOT_FOUND}', '{R.NOT_ADDRESSED}') THEN citation
-      WHEN length(substr(cit, 1, 50)) >= 20 AND contains(src, substr(cit, 1, 50)) THEN {D.strip("regexp_replace(citation, '^[\"''“‘]+|[\"''”’]+$', '', 'g')")}
-      WHEN length(snippet) >= 30 THEN snippet ELSE citation END AS citation FROM s3
+    "e1_ground_citation": f"""{BASE}, {_FT}, {_grounded_sql("ft", "doc_id, pillar")} SELECT doc_id, pillar, citation FROM grounded
     UNION ALL SELECT doc_id, pillar, citation FROM findings WHERE NOT violation""",
     "e2_citation_confidence": f"{BASE}, {_FT} SELECT doc_id, pillar, {D.citation_confidence('citation', 'text')} AS citation_confidence FROM ft",
     "e3_assign_confidence": f"""{BASE}, {_cross_sql()}, x AS (SELECT c.*, {D.citation_confidence("citation", "text")} AS cc FROM crossed c JOIN policies USING (doc_id))

@@ -17,6 +17,10 @@ QUICK = "tldr string, " + ", ".join(f"{p} boolean" for p in R.PILLARS)
 PLACEHOLDER = "Analysis complete."
 
 
+#: What stands in for a quote where a quick answer says yes.
+QUICK_FLAG = "Flagged by quick analysis"
+
+
 def json_body(raw: Column, repair: bool = False) -> Column:
     """From the first { to the last }. repair also drops a thinking block, and commas before a closing bracket."""
     if repair:
@@ -42,7 +46,7 @@ def output_findings(parsed: DataFrame) -> DataFrame:
 def normalize_quick(parsed: DataFrame) -> DataFrame:
     """Findings of flat answers; answers without any boolean are left out."""
     rows = parsed.where("parse_ok").unpivot(["doc_id", "chunk_no", "model"], R.PILLARS, "pillar", "violation").where("violation IS NOT NULL")
-    return rows.select("doc_id", "chunk_no", "model", "pillar", "violation", F.lit("MEDIUM").alias("confidence"), F.when(F.col("violation"), "Flagged by quick analysis").otherwise(R.NOT_FOUND).alias("citation"))
+    return rows.select("doc_id", "chunk_no", "model", "pillar", "violation", F.lit("MEDIUM").alias("confidence"), F.when(F.col("violation"), QUICK_FLAG).otherwise(R.NOT_FOUND).alias("citation"))
 
 
 def merge_chunks(findings: DataFrame, policy: str = "first", by: list[str] | None = None) -> DataFrame:
@@ -58,17 +62,17 @@ def merge_chunks(findings: DataFrame, policy: str = "first", by: list[str] | Non
     return findings.groupBy(*by).agg(best.alias("best")).select(*by, "best.*")
 
 
-def ensemble_merge(primary: DataFrame, corroborator: DataFrame, gate: str | None = None) -> DataFrame:
+def ensemble_merge(primary: DataFrame, corroborator: DataFrame, gate: str | None = None, key: tuple[str, ...] = tuple(KEY)) -> DataFrame:
     """The corroborator's violation counts where the primary has none (with a gate, only at that confidence);
     where both have one, the strictly more confident wins; else the primary stands."""
-    p = primary.select(*KEY, F.struct(*FINDING).alias("p"))
-    c = corroborator.select(*KEY, F.struct(*FINDING).alias("c"))
+    p = primary.select(*key, F.struct(*FINDING).alias("p"))
+    c = corroborator.select(*key, F.struct(*FINDING).alias("c"))
     new = F.col("p").isNull() | (F.col("c.violation") & ~F.col("p.violation"))
     barred = F.lit(False) if gate is None else F.col("c.violation") & (F.coalesce("c.confidence", F.lit("")) != gate)
     surer = F.col("p.violation") & F.col("c.violation") & (T.conf_rank(F.col("c.confidence")) > T.conf_rank(F.col("p.confidence")))
     take = F.col("c").isNotNull() & F.when(new, ~barred).otherwise(F.coalesce(surer, F.lit(False)))
-    merged = p.join(c, KEY, "full").select(*KEY, F.when(take, F.col("c")).otherwise(F.col("p")).alias("best"))
-    return merged.where("best IS NOT NULL").select(*KEY, "best.*")
+    merged = p.join(c, list(key), "full").select(*key, F.when(take, F.col("c")).otherwise(F.col("p")).alias("best"))
+    return merged.where("best IS NOT NULL").select(*key, "best.*")
 
 
 def merge_quick(parsed: DataFrame) -> DataFrame:

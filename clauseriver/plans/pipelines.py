@@ -30,32 +30,40 @@ def scan_rules_only(docs: DataFrame) -> DataFrame:
     return merge.score(found).join(names, "doc_id").select("doc_id", "score", "rating", F.array_join("v", ",").alias("violations"))
 
 
-def server_findings(outputs: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Findings of a deep scan: from two models' answers, and as the text rules leave them."""
-    parsed = merge.parse_model_output(outputs)
-    long = merge.output_findings(parsed)
-    sides = [long.where(F.col("model") == m).drop("model").withColumn("doc_chunk", F.concat_ws("#", "doc_id", "chunk_no")) for m in ("primary", "corroborator")]
-    union = merge.ensemble_merge(*[x.select(F.col("doc_chunk").alias("doc_id"), "pillar", *merge.FINDING) for x in sides])
-    parts = F.split("doc_id", "#")
-    per_chunk = union.select(parts[0].cast("long").alias("doc_id"), parts[1].cast("int").alias("chunk_no"), "pillar", *merge.FINDING)
-    grounded = ground.ground_citation(per_chunk, docs)
-    merged = _with_ord(merge.merge_chunks(grounded))
+def server_chunks(docs: DataFrame, size: int = 40_000, overlap: int = 5_000) -> DataFrame:
+    """doc_id, chunk_no, chunk_text: what the model is asked about, three chunks of the text without cookie banners at most."""
+    return pages.chunk_documents(pages.strip_cookie_banners(docs), size, overlap)
+
+
+def server_findings(outputs: DataFrame, docs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings of a scan: from the answers (doc_id, chunk_no, model, tier, raw_json), and as the text rules leave them.
+
+    A deep scan joins two models' answers of a chunk; what they cite is sought in that very chunk. Quick answers are flags of
+    one model. Chunks are merged; phrases confirm, citations give confidence; then quotes lose their wrapping, clear findings
+    get a sentence, and plain violations are added.
+    """
+    key = ("doc_id", "chunk_no", "pillar")
+    deep = merge.output_findings(merge.parse_model_output(outputs.where("tier = 'deep'")))
+    union = merge.ensemble_merge(*[deep.where(F.col("model") == m) for m in ("primary", "corroborator")], key=key)
+    grounded = ground.ground_citation(union, chunks.withColumnRenamed("chunk_text", "text"), ("doc_id", "chunk_no"))
+    quick = merge.normalize_quick(merge.parse_model_output(outputs.where("tier = 'quick'"), "quick"))
+    merged = _with_ord(merge.merge_chunks(grounded.unionByName(quick.select(*grounded.columns))))
     checked = detect.cross_check(merged, docs)
     sure = ground.assign_confidence(ground.citation_confidence(checked, docs)).drop("confirmed", "citation_confidence")
     clean_docs = pages.strip_cookie_banners(docs)
     return sure, detect.hard_violations(detect.backfill_citations(ground.sanitize_citations(sure), clean_docs), clean_docs)
 
 
-def scan_server(outputs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Score of a deep scan after the text rules."""
-    return merge.score(server_findings(outputs, docs)[1]).select("doc_id", "score", "rating")
+def scan_server(outputs: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Score of a scan after the text rules."""
+    return merge.score(server_findings(outputs, docs, chunks)[1]).select("doc_id", "score", "rating")
 
 
-def server_summary(outputs: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, tldr of a deep scan: the primary model's, else one from the score before the text rules."""
-    first = server_findings(outputs, docs)[0]
-    answers = merge.parse_model_output(outputs.where("model = 'primary'"))
-    return merge.build_tldr(answers, first, merge.score(first))
+def server_summary(outputs: DataFrame, docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, tldr of a scan: the primary model's, else one from the score before the text rules."""
+    first = server_findings(outputs, docs, chunks)[0]
+    answers = [merge.parse_model_output(outputs.where(f"model = 'primary' AND tier = '{t}'"), t).where("parse_ok").select("doc_id", "chunk_no", "tldr") for t in ("deep", "quick")]
+    return merge.build_tldr(answers[0].unionByName(answers[1]), first, merge.score(first))
 
 
 def scan_battery(outputs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -94,11 +102,24 @@ def _cache(scans: DataFrame) -> DataFrame:
     return old.withColumn("expires_at", F.col("scanned_at") + F.expr("INTERVAL 1 HOUR")).withColumn("scanned_at", F.col("scanned_at") - F.expr("INTERVAL 1 MINUTE"))
 
 
+#: Chunks of the queries, so that the given texts have several.
+CHUNK, OVERLAP = 3000, 300
+
+
+def _server(run):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = C.policies(spark, sf_dir)
+        chunks = C.stored(server_chunks(docs, CHUNK, OVERLAP))
+        return run(C.stored(C.server_outputs(chunks)), docs, chunks)
+
+    return query
+
+
 QUERIES = {
     "p3_rating_counts": rating_counts,
-    "p1_scan_server": lambda s, d: scan_server(C.model_outputs(C.policies(s, d)), C.policies(s, d)),
-    "p1_server_findings": lambda s, d: server_findings(C.model_outputs(C.policies(s, d)), C.policies(s, d))[1].select("doc_id", "pillar", "violation", "confidence"),
-    "p1_server_summary": lambda s, d: server_summary(C.model_outputs(C.policies(s, d)), C.policies(s, d)),
+    "p1_scan_server": _server(scan_server),
+    "p1_server_findings": _server(lambda *x: server_findings(*x)[1].select("doc_id", "pillar", "violation", "confidence", "citation")),
+    "p1_server_summary": _server(server_summary),
     "p2_scan_battery": lambda s, d: scan_battery(C.model_outputs(C.policies(s, d)), C.policies(s, d)),
     "p3_scan_rules_only": lambda s, d: scan_rules_only(C.policies(s, d)),
     "p4_evaluate_rules": lambda s, d: evaluate_rules(C.policies(s, d), evaluate._cases(s, d)[1]),
@@ -151,26 +172,35 @@ def _evaluate_sql() -> str:
 
 
 def _server_sql() -> str:
-    """The derived answers quote a few characters only, which grounding, sanitizing and filling leave as they are."""
     from clauseriver.functions import duck as D
 
-    return f"""WITH {merge.PARSED_SQL}, {detect._sentences_sql("strict")}, {detect._hard_sql()},
-    a AS (SELECT * FROM deep WHERE model = 'primary'), b AS (SELECT * FROM deep WHERE model = 'corroborator'),
-    e AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.chunk_no, b.chunk_no) AS chunk_no, coalesce(a.pillar, b.pillar) AS pillar,
+    simple = f"{detect._sentences_sql('simple')}, {detect._backfill_sql()}".replace("sent_lists", "sent_lists_simple").replace("sentences", "sentences_simple")
+    sanitized = f"""CASE WHEN citation IN ('', '{R.NOT_ADDRESSED}') THEN citation WHEN violation THEN {D.strip_wrapper("c")} WHEN {D.any_rx("c", R.PARAPHRASE_STRICT + R.PARAPHRASE_LEADING)} THEN '{R.NOT_ADDRESSED}' ELSE citation END"""
+    return f"""WITH RECURSIVE {C.POLICIES_SQL}, {C.FINDINGS_SQL}, {pages._chunks_sql(CHUNK, OVERLAP).replace("c3 AS (", "c3_all AS (")}, c3 AS MATERIALIZED (SELECT * FROM c3_all WHERE chunk_no < 3), {C.SERVER_SQL},
+    {detect._sentences_sql("strict")}, {detect._hard_sql()}, {simple},
+    a AS (SELECT * FROM said WHERE tier = 'deep' AND model = 'primary'), b AS (SELECT * FROM said WHERE tier = 'deep' AND model = 'corroborator'),
+    e AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.chunk_no, b.chunk_no) AS chunk_no, coalesce(a.pillar, b.pillar) AS pillar, coalesce(a.chunk_text, b.chunk_text) AS text,
         coalesce(b.doc_id IS NOT NULL AND CASE WHEN a.doc_id IS NULL OR (b.violation AND NOT a.violation) THEN true ELSE a.violation AND b.violation AND {D.conf_rank("b.confidence")} > {D.conf_rank("a.confidence")} END, false) AS take,
         a.violation AS av, a.confidence AS ac, a.citation AS aq, b.violation AS bv, b.confidence AS bc, b.citation AS bq
       FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.chunk_no = b.chunk_no AND a.pillar = b.pillar),
-    g AS (SELECT doc_id, chunk_no, pillar, CASE WHEN take THEN bv ELSE av END AS violation, CASE WHEN take THEN bc ELSE ac END AS confidence, CASE WHEN take THEN bq ELSE aq END AS citation FROM e),
-    m AS (SELECT doc_id, pillar, pillar_ord, violation, confidence, citation FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pillar ORDER BY violation DESC, chunk_no) AS k FROM g) JOIN pillar_list USING (pillar) WHERE k = 1),
+    g AS MATERIALIZED (SELECT doc_id, chunk_no, pillar, text, CASE WHEN take THEN bv ELSE av END AS violation, CASE WHEN take THEN bc ELSE ac END AS confidence, CASE WHEN take THEN bq ELSE aq END AS citation FROM e),
+    {ground._grounded_sql("g", "doc_id, chunk_no, pillar")},
+    h AS (SELECT g.doc_id, g.chunk_no, g.pillar, violation, confidence, CASE WHEN violation THEN grounded.citation ELSE g.citation END AS citation FROM g LEFT JOIN grounded USING (doc_id, chunk_no, pillar)
+      UNION ALL SELECT doc_id, chunk_no, pillar, violation, 'MEDIUM', CASE WHEN violation THEN '{merge.QUICK_FLAG}' ELSE '{R.NOT_FOUND}' END FROM said WHERE tier = 'quick' AND model = 'primary'),
+    m AS (SELECT doc_id, pillar, pillar_ord, violation, confidence, citation FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pillar ORDER BY violation DESC, chunk_no) AS k FROM h) JOIN pillar_list USING (pillar) WHERE k = 1),
     {detect._cross_sql("m")},
     x AS (SELECT c.*, {D.citation_confidence("citation", "text")} AS cc FROM crossed c JOIN policies USING (doc_id)),
-    y AS (SELECT doc_id, pillar, pillar_ord, violation, CASE WHEN NOT violation THEN 'MEDIUM' WHEN cc = 'HIGH' THEN 'HIGH' WHEN confirmed OR cc = 'MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM x),
-    z AS (SELECT y.doc_id, y.pillar, pillar_ord, violation OR sentence IS NOT NULL AS violation, CASE WHEN sentence IS NOT NULL AND NOT (violation AND confidence <> 'LOW') THEN 'HIGH' ELSE confidence END AS confidence FROM y LEFT JOIN hard USING (doc_id, pillar))"""
+    y AS (SELECT doc_id, pillar, pillar_ord, violation, CASE WHEN NOT violation THEN 'MEDIUM' WHEN cc = 'HIGH' THEN 'HIGH' WHEN confirmed OR cc = 'MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS confidence, citation FROM x),
+    y2 AS (SELECT doc_id, pillar, pillar_ord, violation, confidence, {sanitized} AS citation FROM (SELECT *, {D.strip("citation")} AS c FROM y)),
+    y3 AS (SELECT y2.* EXCLUDE (citation), CASE WHEN NOT violation AND citation IN ('{R.NOT_FOUND}', '', '{R.NOT_ADDRESSED}') AND sentence IS NOT NULL THEN {D.cap_words("sentence")} ELSE citation END AS citation FROM y2 LEFT JOIN best USING (doc_id, pillar)),
+    up AS (SELECT y3.*, sentence, sentence IS NOT NULL AND NOT (violation AND confidence <> 'LOW') AS up FROM y3 LEFT JOIN hard USING (doc_id, pillar)),
+    z AS (SELECT doc_id, pillar, pillar_ord, violation OR up AS violation, CASE WHEN up THEN 'HIGH' ELSE confidence END AS confidence, CASE WHEN up THEN {D.cap_words("sentence")} ELSE citation END AS citation FROM up)"""
 
 
 def _summary_sql() -> str:
+    tldr = "CASE whole % 4 WHEN 0 THEN 'Analysis complete.' WHEN 1 THEN 'Short.' ELSE 'Summary number ' || whole || ' of the policy' END"
     return f"""{_server_sql()}, {merge._score_sql("prod", "y")},
-    good AS (SELECT doc_id, arg_min(t, chunk_no) AS best FROM (SELECT doc_id, chunk_no, json_extract_string(js, '$.tldr') AS t FROM parsed WHERE model = 'primary') WHERE length(t) > 20 AND t <> '{merge.PLACEHOLDER}' GROUP BY doc_id),
+    good AS (SELECT doc_id, arg_min(t, chunk_no) AS best FROM (SELECT DISTINCT doc_id, chunk_no, {tldr} AS t FROM said WHERE model = 'primary') WHERE length(t) > 20 AND t <> '{merge.PLACEHOLDER}' GROUP BY doc_id),
     v AS (SELECT doc_id, count(*) FILTER (violation) AS n, array_to_string((list(replace(pillar, '_', ' ') ORDER BY pillar_ord) FILTER (violation))[1:3], ', ') AS names FROM y GROUP BY doc_id)
     SELECT doc_id, coalesce(best, CASE WHEN n = 0 THEN 'This policy scored ' || score || '/100. No major privacy violations were detected.'
       ELSE 'This ' || rating || ' policy scored ' || score || '/100. Privacy concerns found in: ' || names || '.' END) AS tldr FROM scores_prod JOIN v USING (doc_id) LEFT JOIN good USING (doc_id)"""
@@ -178,7 +208,7 @@ def _summary_sql() -> str:
 
 ORACLES = {
     "p1_scan_server": f"{_server_sql()}, {merge._score_sql('prod', 'z')} SELECT doc_id, score, rating FROM scores_prod",
-    "p1_server_findings": f"{_server_sql()} SELECT doc_id, pillar, violation, confidence FROM z",
+    "p1_server_findings": f"{_server_sql()} SELECT doc_id, pillar, violation, confidence, citation FROM z",
     "p1_server_summary": _summary_sql(),
     "p4_evaluate_rules": _evaluate_sql(),
     "p3_rating_counts": f"{_rules_sql()} SELECT rating, count(*) AS documents, round(avg(score), 6) AS avg_score FROM scores_prod GROUP BY rating",

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: what several steps read is made once."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Tables of texts, whose rows cost far more to work on than to move.
 TEXTS = ("documents", "pages")
 
@@ -144,6 +152,33 @@ def model_outputs(policies: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("chunk_no").cast("int").alias("chunk_no"), "model", raw.alias("raw_json"), (n % 900 + 100).alias("input_tokens"), (n % 90 + 10).alias("output_tokens"))
 
 
+def server_outputs(chunks: DataFrame) -> DataFrame:
+    """Answers about chunks (doc_id, chunk_no, chunk_text): doc_id, chunk_no, model, tier, raw_json.
+
+    A sixth of the documents are quick scans with flat answers of one model; for the others two models cite: right, cut short,
+    wrapped, vague, made up or not at all. Some answers are broken or fenced.
+    """
+    rows = chunks.withColumn("model", F.explode(F.array(F.lit("primary"), F.lit("corroborator"))))
+    own = (F.col("model") == "primary").cast("int")
+    whole, quick = F.col("doc_id") * 5 + F.col("chunk_no") * 3 + own, F.col("doc_id") % 6 == 0
+    flags, entries = [], []
+    for i, p in enumerate(PILLARS):
+        n = F.col("doc_id") * 7 + F.col("chunk_no") * 5 + 13 * (i + 1) + own
+        yes, kind = n % 3 == 0, n % 8
+        cited = (
+            F.when(kind <= 1, _pick(CLAUSES, F.col("doc_id") % len(CLAUSES))).when(kind == 2, F.lit("[NOT_FOUND]")).when(kind == 3, F.lit("Not addressed in document."))
+            .when(kind == 4, F.lit("The policy does not mention this practice in the document."))
+            .when(kind == 5, F.concat(F.lit('The policy states that "'), _pick(CLAUSES, (F.col("doc_id") * 7 + 3) % len(CLAUSES)), F.lit('", indicating a risk.')))
+            .when(kind == 6, F.substring("chunk_text", 1, 120)).otherwise(F.lit("Data is retained long by the company for feedback"))
+        )
+        flags.append(yes.alias(p))
+        entries.append(F.struct(F.lit(p), F.struct(yes.alias("violation"), cited.alias("citation"), _pick(["HIGH", "MEDIUM", "LOW"], F.floor(n / 3) % 3).alias("confidence"))))
+    tldr = F.when(whole % 4 == 0, "Analysis complete.").when(whole % 4 == 1, "Short.").otherwise(F.concat(F.lit("Summary number "), whole.cast("string"), F.lit(" of the policy"))).alias("tldr")
+    body = F.when(quick, F.to_json(F.struct(tldr, *flags))).otherwise(F.to_json(F.struct(tldr, F.map_from_entries(F.array(*entries)).alias("pillars"))))
+    raw = F.when(whole % 11 == 0, F.lit("Sorry, I can not do that.")).when(whole % 5 == 0, F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return rows.where(~quick | (own == 1)).select("doc_id", "chunk_no", "model", F.when(quick, "quick").otherwise("deep").alias("tier"), raw.alias("raw_json"))
+
+
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan records from the events."""
     return as_scans(read(spark, sf_dir, "events"))
@@ -199,6 +234,17 @@ model_outputs AS (
   SELECT doc_id, chunk_no, model, CASE WHEN n % 11 = 0 THEN 'Sorry, I can not do that.' WHEN n % 5 = 0 THEN '```json' || chr(10) || body || chr(10) || '```' ELSE body END AS raw_json,
     n % 900 + 100 AS input_tokens, n % 90 + 10 AS output_tokens
   FROM (SELECT *, '{{"tldr":"Summary number ' || n || ' of the policy","pillars":{{' || {_SQL_PARTS} || '}}}}' AS body FROM outputs_n))"""
+#: The same answers as rows (c3: doc_id, chunk_no, chunk_text), without the detour by JSON; broken ones are left out.
+SERVER_SQL = f"""
+said AS (
+  SELECT doc_id, chunk_no, model, pillar, CASE WHEN doc_id % 6 = 0 THEN 'quick' ELSE 'deep' END AS tier, chunk_text, whole, n % 3 = 0 AS violation, ['HIGH', 'MEDIUM', 'LOW'][CAST((n // 3) % 3 AS INT) + 1] AS confidence,
+    CASE n % 8
+      WHEN 0 THEN {_list(CLAUSES)}[CAST(doc_id % {len(CLAUSES)} AS INT) + 1] WHEN 1 THEN {_list(CLAUSES)}[CAST(doc_id % {len(CLAUSES)} AS INT) + 1]
+      WHEN 2 THEN '[NOT_FOUND]' WHEN 3 THEN 'Not addressed in document.' WHEN 4 THEN 'The policy does not mention this practice in the document.'
+      WHEN 5 THEN 'The policy states that "' || {_list(CLAUSES)}[CAST((doc_id * 7 + 3) % {len(CLAUSES)} AS INT) + 1] || '", indicating a risk.'
+      WHEN 6 THEN substr(chunk_text, 1, 120) ELSE 'Data is retained long by the company for feedback' END AS citation
+  FROM (SELECT *, doc_id * 7 + chunk_no * 5 + pillar_ord * 13 + CAST(model = 'primary' AS INT) AS n, doc_id * 5 + chunk_no * 3 + CAST(model = 'primary' AS INT) AS whole
+    FROM c3, pillar_list, (VALUES ('primary'), ('corroborator')) AS m(model)) WHERE whole % 11 <> 0)"""
 SCANS_SQL = f"""
 scans AS (
   SELECT event_id AS scan_id, 'u' || user_id AS uid, {_list(SITES)}[CAST((event_id * 7) % {len(SITES)} AS INT) + 1] AS url,
