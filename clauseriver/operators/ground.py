@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from clauseriver.functions import duck as D
 from clauseriver.functions import rules as R
@@ -22,7 +23,7 @@ def _positions(pieces: Column, begins: Column) -> Column:
     return T.let(ends, lambda e: F.slice(e, F.when(begins, 1).otherwise(2), F.greatest(F.lit(0), F.size(e) - F.when(begins, 1).otherwise(2))))
 
 
-@F.pandas_udf("struct<at: int, most: int>")
+@F.pandas_udf(StructType([StructField("at", IntegerType()), StructField("most", IntegerType())]))
 def _densest(places: pd.Series) -> pd.DataFrame:
     """Of each list of sorted positions per term: the first position that has the most terms within 150 characters, and how many.
 
