@@ -129,12 +129,15 @@ def clean_source(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, "\r\n?", "\n"), "\u00a0", " ")
 
 
-def before_match(text: Column, p: str) -> Column:
+def before_match(text: Column, p: str | Column) -> Column:
+    """What stands before the first match of a pattern, which may be a column (as pattern(p, "") leaves it)."""
+    if isinstance(p, Column):
+        return F.call_function("regexp_extract", text, F.concat(F.lit(r"(?i)^([\s\S]*?)(?:"), p, F.lit(")")), F.lit(1))
     return F.regexp_extract(text, pattern(rf"^([\s\S]*?)(?:{p})"), 1)
 
 
-def quote_around(text: Column, p: str, variant: str = "denial") -> Column:
-    """The sentence around the pattern's first match.
+def quote_around(text: Column, p: str | Column, variant: str = "denial") -> Column:
+    """The sentence around the pattern's first match. The pattern of variant evidence may be a column.
 
     denial: from the last full stop to the next one (200 characters from the match if there is none),
     240 characters at most. clause: a line feed also begins it, 300 at most. evidence: the text must be

@@ -99,9 +99,9 @@ def hard_violations(findings: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def _hard_sql() -> str:
+def _hard_sql(rules: dict = R.HARD_VIOLATIONS) -> str:
     cases = []
-    for p, patterns in R.HARD_VIOLATIONS.items():
+    for p, patterns in rules.items():
         first = " ".join(
             f"WHEN {D.rx('sentence', x)}" + (f" AND NOT {D.rx('sentence', R.STRONG_NEGATION)}" if neg else "") + f" THEN {i}"
             for i, (x, neg) in enumerate(patterns)
@@ -514,29 +514,6 @@ def _rule_sql(version: int, c: str = "lower(coalesce(citation, ''))") -> str:
     return f"CASE WHEN NOT violation{f" OR {c} = ''" if version >= 3 else ''} THEN NULL {rules} END"
 
 
-# -- A5: the rules as data ----------------------------------------------------------------------------
-
-
-def rule_rows() -> list[tuple[str, str, int, str, bool]]:
-    """rule_set, pillar, ord, pattern, negatable of every pattern that is tried on a whole text or sentence."""
-    rows = [("hard", p, i, x, neg) for p, xs in R.HARD_VIOLATIONS.items() for i, (x, neg) in enumerate(xs)]
-    for name, rules in (("denial", R.DENIALS), ("clause", R.CLAUSES), ("evidence", R.EVIDENCE)):
-        rows += [(name, p, i, x, False) for p, xs in rules.items() for i, x in enumerate(xs)]
-    return rows
-
-
-def rules_frame(spark) -> DataFrame:
-    return spark.createDataFrame(rule_rows(), "rule_set string, pillar string, ord int, pattern string, negatable boolean")
-
-
-def rule_hits(docs: DataFrame) -> DataFrame:
-    """rule_set, pillar, ord, documents: how many texts each pattern matches; one pass, one row of counts."""
-    rules = rule_rows()
-    counts = _with_low(docs).agg(*[F.count_if(T.may_match(F.col("low"), x) & T.matches(F.col("text"), x)).alias(f"r{k}") for k, (_, _, _, x, _) in enumerate(rules)])
-    named = [F.struct(F.lit(s).alias("rule_set"), F.lit(p).alias("pillar"), F.lit(i).alias("ord"), F.col(f"r{k}").alias("documents")) for k, (s, p, i, _, _) in enumerate(rules)]
-    return counts.select(F.inline(F.array(*named)))
-
-
 # -- queries ------------------------------------------------------------------------------------------
 
 
@@ -561,7 +538,6 @@ def _varied(findings: DataFrame) -> DataFrame:
 BASE = f"WITH {C.POLICIES_SQL}, {C.FINDINGS_SQL}"
 F_COLS = ["doc_id", "pillar", "violation", "confidence", "citation"]
 QUERIES = {
-    "a5_rule_hits": _q(lambda f, d: rule_hits(d)),
     "c1_split_sentences": _q(lambda f, d: split_sentences(d)),
     "c2_split_sentences_strict": _q(lambda f, d: split_sentences(d, "strict")),
     "d1_hard_violations": _q(lambda f, d: hard_violations(f, d).select(*F_COLS)),
@@ -583,7 +559,6 @@ QUERIES = {
     "d16_rule_override_variants": _q(lambda f, d: rule_override_variants(_varied(f))),
 }
 ORACLES = {
-    "a5_rule_hits": f"WITH {C.POLICIES_SQL} " + " UNION ALL ".join(f"SELECT '{s}' AS rule_set, '{p}' AS pillar, {i} AS ord, count(*) FILTER ({D.rx('text', x)}) AS documents FROM policies" for s, p, i, x, _ in rule_rows()),
     "c1_split_sentences": f"{BASE}, {_sentences_sql('simple')} SELECT * FROM sentences",
     "c2_split_sentences_strict": f"{BASE}, {_sentences_sql('strict')} SELECT * FROM sentences",
     "d1_hard_violations": f"""{BASE}, {_sentences_sql("strict")}, {_hard_sql()}, u AS (
