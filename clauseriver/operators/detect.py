@@ -285,18 +285,24 @@ CLAUSE_SQL = _quoted_sql("clause_rows", R.CLAUSES, "clause", 20)
 # -- D6, D7: the scan without a model -----------------------------------------------------------------
 
 
-def evidence(docs: DataFrame, dark_patterns: bool = True) -> DataFrame:
-    """doc_id, pillar, pillar_ord, violation, confidence, citation of a scan by patterns alone."""
-    pillars = [p for p in R.PILLARS if dark_patterns or p != "dark_patterns"]
-    flat = F.col("_flat")
+def _evidence_of(low: Column, flat: Column, dark_patterns: bool) -> Column:
+    """What a scan by patterns alone finds, as an array (pillar, pillar_ord, violation, confidence, citation)."""
 
     def of(p: str) -> Column:
-        quotes = [F.when(T.may_match(F.col("low"), x) & T.matches(flat, x), T.let(T.quote_around(flat, x, "evidence"), lambda q: F.when(q != "", q))) for x in R.EVIDENCE[p]]
-        return F.struct(F.lit(R.PILLARS.index(p) + 1).alias("pillar_ord"), F.coalesce(*quotes, F.lit(R.NOT_ADDRESSED)).alias("citation"))
+        quotes = [F.when(T.may_match(low, x) & T.matches(flat, x), T.let(T.quote_around(flat, x, "evidence"), lambda q: F.when(q != "", q))) for x in R.EVIDENCE[p]]
+        return F.struct(F.lit(p).alias("pillar"), F.lit(R.PILLARS.index(p) + 1).alias("pillar_ord"), F.coalesce(*quotes, F.lit(R.NOT_ADDRESSED)).alias("citation"))
+
+    found = F.array(*[of(p) for p in R.PILLARS if dark_patterns or p != "dark_patterns"])
+    return F.transform(found, lambda f: F.struct(f["pillar"].alias("pillar"), f["pillar_ord"].alias("pillar_ord"), (f["citation"] != R.NOT_ADDRESSED).alias("violation"), F.lit("LOW").alias("confidence"), f["citation"].alias("citation")))
+
 
-    flattened = docs.select("doc_id", T.strip(T.collapse(F.col("text"))).alias("_flat")).withColumn("low", F.lower("_flat"))
-    rows = _by_pillar(flattened, of, pillars)
-    return rows.select("doc_id", "pillar", "pillar_ord", (F.col("citation") != R.NOT_ADDRESSED).alias("violation"), F.lit("LOW").alias("confidence"), "citation")
+def _flattened(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", T.strip(T.collapse(F.col("text"))).alias("_flat")).withColumn("low", F.lower("_flat"))
+
+
+def evidence(docs: DataFrame, dark_patterns: bool = True) -> DataFrame:
+    """doc_id, pillar, pillar_ord, violation, confidence, citation of a scan by patterns alone."""
+    return _flattened(docs).select("doc_id", F.inline(_evidence_of(F.col("low"), F.col("_flat"), dark_patterns)))
 
 
 def positive_signals(docs: DataFrame) -> DataFrame:
@@ -304,14 +310,37 @@ def positive_signals(docs: DataFrame) -> DataFrame:
 
 
 def fallback_scan(docs: DataFrame, dark_patterns: bool = True) -> DataFrame:
-    """doc_id, score, rating, n_violations: scored as usual if anything is found, else 75 or 60 and OKAY."""
-    from clauseriver.operators.merge import score
+    """doc_id, score, rating, n_violations, deductions (reason, points), tldr, findings (the evidence) of a scan without a model.
 
-    found = score(evidence(docs, dark_patterns))
-    both = found.join(positive_signals(docs), "doc_id")
-    n = F.size(F.col("deductions"))
-    clean = F.when(F.col("positive"), 75).otherwise(60)
-    return both.select("doc_id", F.when(n > 0, F.col("score")).otherwise(clean).alias("score"), F.when(n > 0, F.col("rating")).otherwise(F.lit("OKAY")).alias("rating"), n.alias("n_violations"))
+    Scored as usual if anything is found, else 75 or 60 and OKAY, as the text protects or doesn't. A document is one row
+    throughout, so nothing is shuffled and a stream takes it as it is.
+    """
+    from clauseriver.operators.merge import score_array
+
+    rows = _flattened(docs).withColumn("findings", _evidence_of(F.col("low"), F.col("_flat"), dark_patterns))
+    rows = rows.withColumn("_s", score_array(F.col("findings"))).withColumn("_n", F.size("_s.deductions"))
+    rows = rows.withColumn("_good", F.when(F.col("_n") == 0, T.any_match(F.col("text"), R.POSITIVE_SIGNALS)))
+    names = F.array_join(F.transform(F.filter("findings", lambda f: f["violation"]), lambda f: f["pillar"]), ", ")
+    before, after = R.FALLBACK_TLDR[0].split("{}")
+    clean = F.when(F.col("_good"), 75).otherwise(60)
+    return rows.select(
+        "doc_id", F.when(F.col("_n") > 0, F.col("_s.score")).otherwise(clean).alias("score"), F.when(F.col("_n") > 0, F.col("_s.rating")).otherwise(F.lit("OKAY")).alias("rating"), F.col("_n").alias("n_violations"),
+        F.when(F.col("_n") > 0, F.col("_s.deductions")).otherwise(F.array(F.struct(F.lit(R.FALLBACK_DEDUCTION).alias("reason"), (100 - clean).alias("points")))).alias("deductions"),
+        F.when(F.col("_n") > 0, F.concat(F.lit(before), names, F.lit(after))).when(F.col("_good"), R.FALLBACK_TLDR[1]).otherwise(R.FALLBACK_TLDR[2]).alias("tldr"), "findings",
+    )
+
+
+def _fallback_sql() -> str:
+    """The tail of a query over `evidence`: doc_id, score, rating, n_violations, deductions as text, tldr."""
+    from clauseriver.operators.merge import _score_sql
+
+    before, after = R.FALLBACK_TLDR[0].split("{}")
+    return f"""{_score_sql("prod", "evidence")},
+    fb AS (SELECT doc_id, count(*) FILTER (violation) AS n, string_agg(pillar, ', ' ORDER BY pillar_ord) FILTER (violation) AS names FROM evidence GROUP BY doc_id),
+    fallback AS (SELECT doc_id, CAST(n AS INTEGER) AS n_violations, CASE WHEN n > 0 THEN score WHEN good THEN 75 ELSE 60 END AS score, CASE WHEN n > 0 THEN rating ELSE 'OKAY' END AS rating,
+      CASE WHEN n > 0 THEN deductions ELSE '{R.FALLBACK_DEDUCTION}=' || CASE WHEN good THEN 25 ELSE 40 END END AS deductions,
+      CASE WHEN n > 0 THEN {D.lit(before)} || names || {D.lit(after)} WHEN good THEN {D.lit(R.FALLBACK_TLDR[1])} ELSE {D.lit(R.FALLBACK_TLDR[2])} END AS tldr
+      FROM fb JOIN scores_prod USING (doc_id) JOIN (SELECT doc_id, {D.any_rx("text", R.POSITIVE_SIGNALS)} AS good FROM policies) USING (doc_id))"""
 
 
 def _evidence_sql() -> str:
@@ -529,6 +558,12 @@ def _q(run):
 VARIED = ["", *C.CLAUSES]
 
 
+def _fallback_rows(rows: DataFrame) -> DataFrame:
+    from clauseriver.operators.merge import deductions_text
+
+    return rows.select("doc_id", "score", "rating", "n_violations", deductions_text().alias("deductions"), "tldr")
+
+
 def _varied(findings: DataFrame) -> DataFrame:
     """All findings as violations, each with one of the citations VARIED."""
     at = ((F.col("doc_id") + F.col("pillar_ord")) % len(VARIED)).cast("int")
@@ -547,7 +582,7 @@ QUERIES = {
     "d5_clause_hits": _q(lambda f, d: clause_hits(d)),
     "d5_apply_clauses": _q(lambda f, d: apply_clauses(denial_veto(f, d), d).select(*F_COLS, "status", "promoted")),
     "d6_evidence": _q(lambda f, d: evidence(d).drop("pillar_ord")),
-    "d6_fallback_scan": _q(lambda f, d: fallback_scan(d)),
+    "d6_fallback_scan": _q(lambda f, d: _fallback_rows(fallback_scan(d))),
     "d7_positive_signals": _q(lambda f, d: positive_signals(d)),
     "d8_classify_policy": _q(lambda f, d: classify_policy(d)),
     "d9_apply_applicability": _q(lambda f, d: apply_applicability(f, classify_policy(d)).select(*F_COLS, "status", "applicable")),
@@ -574,10 +609,7 @@ ORACLES = {
     SELECT doc_id, pillar, violation OR promoted AS violation, CASE WHEN promoted THEN 'HIGH' ELSE confidence END AS confidence,
       CASE WHEN promoted THEN quote ELSE citation END AS citation, CASE WHEN promoted THEN 'VIOLATES' ELSE status END AS status, promoted FROM u""",
     "d6_evidence": f"{BASE}, {_evidence_sql()} SELECT doc_id, pillar, violation, confidence, citation FROM evidence",
-    "d6_fallback_scan": f"""{BASE}, {_evidence_sql()}, s AS (
-      SELECT doc_id, count(*) FILTER (violation) AS n, greatest(5, 100 - coalesce(sum(CASE pillar WHEN 'transparency' THEN 0 WHEN 'dark_patterns' THEN 10 ELSE 8 END) FILTER (violation), 0)) AS score FROM evidence GROUP BY doc_id)
-    SELECT doc_id, n AS n_violations, CAST(CASE WHEN n > 0 THEN score WHEN {D.any_rx("text", R.POSITIVE_SIGNALS)} THEN 75 ELSE 60 END AS INT) AS score,
-      CASE WHEN n = 0 THEN 'OKAY' WHEN score >= 80 THEN 'SAFE' WHEN score >= 50 THEN 'OKAY' ELSE 'RISKY' END AS rating FROM s JOIN policies USING (doc_id)""",
+    "d6_fallback_scan": f"{BASE}, {_evidence_sql()}, {_fallback_sql()} SELECT doc_id, score, rating, n_violations, deductions, tldr FROM fallback",
     "d7_positive_signals": f"WITH {C.POLICIES_SQL} SELECT doc_id, {D.any_rx('text', R.POSITIVE_SIGNALS)} AS positive FROM policies",
     "d8_classify_policy": f"WITH {C.POLICIES_SQL}, {CLASSIFY_SQL} SELECT * FROM classified",
     "d9_apply_applicability": f"""{BASE}, {CLASSIFY_SQL}, a AS (SELECT f.*, category, trim(citation) AS c FROM findings f JOIN classified USING (doc_id)), n AS (

@@ -108,6 +108,29 @@ def score(findings: DataFrame, profile: str = "prod") -> DataFrame:
     return sums.select("doc_id", points.alias("score"), rating_of(points, p).alias("rating"), rows.alias("deductions"))
 
 
+def score_array(findings: Column, profile: str = "prod") -> Column:
+    """(score, rating, deductions) of one document's findings as an array (pillar, violation, confidence): no grouping, so also for streams."""
+    p = R.PROFILES[profile]
+
+    def lost(f: Column) -> Column:
+        low = F.upper(F.coalesce(f["confidence"], F.lit(p["default_confidence"]))) == "LOW"
+        full, part = F.lit(p["other"][0]), F.lit(p["other"][1])
+        for name, (a, b) in p["penalty"].items():
+            full, part = F.when(f["pillar"] == name, a).otherwise(full), F.when(f["pillar"] == name, b).otherwise(part)
+        name = F.replace(f["pillar"], F.lit("_"), F.lit(" "))
+        reason = F.when(low, F.concat(F.lit("Low-confidence flag in "), name, F.lit(" (reduced penalty)"))).otherwise(F.concat(F.lit("Flagged risk in "), name))
+        if profile == "prod":
+            reason = F.when(f["pillar"] == "transparency", "Transparency flag (informational — not scored)").otherwise(reason)
+        return F.struct(reason.alias("reason"), F.when(low, part).otherwise(full).alias("points"))
+
+    def scored(rows: Column) -> Column:
+        total = F.aggregate(rows, F.lit(0), lambda s, r: s + r["points"])
+        points = F.greatest(F.lit(p["floor"]), F.least(F.lit(100), 100 - total)).cast("int")
+        return T.let(points, lambda x: F.struct(x.alias("score"), rating_of(x, p).alias("rating"), rows.alias("deductions")))
+
+    return T.let(F.transform(F.filter(findings, lambda f: f["violation"]), lost), scored)
+
+
 def deductions_text(deductions: str | Column = "deductions") -> Column:
     return F.array_join(F.transform(deductions, lambda d: F.concat(d["reason"], F.lit("="), d["points"].cast("string"))), "; ")
 

@@ -44,8 +44,9 @@ def stream_rate_limit(scans: DataFrame, n: int = 10, window: str = "1 minute") -
 
 
 def stream_scan_pipeline(docs: DataFrame) -> DataFrame:
-    """Documents in, findings by patterns out: stateless, the batch operator as it is."""
-    return detect.evidence(C.as_policies(docs)).drop("pillar_ord")
+    """Documents in, findings by patterns with the document's score, rating and summary out: stateless, the batch operator as it is."""
+    rows = detect.fallback_scan(C.as_policies(docs))
+    return rows.select("doc_id", "score", "rating", "tldr", F.inline("findings")).drop("pillar_ord")
 
 
 def upsert_notifications(batch: DataFrame, path: str, version: int) -> str:
@@ -151,5 +152,5 @@ ORACLES = {
     "t3_stream_policy_changes": f"{history.ORACLES['w3_policy_changes']} AND created_at < {_closed} + INTERVAL 1 MILLISECOND",
     "t4_stream_credits": f"SELECT * FROM ({history.ORACLES['w5_credit_ledger']}) SEMI JOIN (SELECT event_id AS seq FROM events WHERE ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE + INTERVAL 1 MILLISECOND FROM events)) USING (seq)",
     "t5_stream_rate_limit": f"{S} SELECT uid, strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M') AS start, count(*) AS requests FROM scans GROUP BY uid, date_trunc('hour', created_at) HAVING count(*) > 1 AND date_trunc('hour', created_at) + INTERVAL 1 HOUR <= {_closed}",
-    "t7_stream_scan_pipeline": detect.ORACLES["d6_evidence"],
+    "t7_stream_scan_pipeline": f"{detect.BASE}, {detect._evidence_sql()}, {detect._fallback_sql()} SELECT doc_id, f.score, f.rating, f.tldr, pillar, violation, confidence, citation FROM evidence JOIN fallback f USING (doc_id)",
 }
