@@ -16,6 +16,7 @@ from clauseriver.functions import rules as R
 from clauseriver.functions import text as T
 from clauseriver.operators.pages import site_category
 from clauseriver.sources import corpus as C
+from clauseriver.sources.upserts import UpsertLog
 
 TTL_HOURS = {"quick": 48, "deep": 168}
 MONTHLY_CREDITS = 400
@@ -35,6 +36,12 @@ def upsert_cache(cache: DataFrame, updates: DataFrame) -> DataFrame:
     return last.select("cache_key", "l.content_hash", "l.tier", "l.scanned_at", "scan_count", (F.col("l.scanned_at") + ttl(F.col("l.tier"))).alias("expires_at"))
 
 
+def cache_log(path: str) -> UpsertLog:
+    """upsert_cache batch by batch: counts add up over spans of batches as over single ones."""
+    cols = "cache_key string, content_hash string, tier string, scanned_at timestamp_ntz, scan_count long, expires_at timestamp_ntz"
+    return UpsertLog(path, cols, lambda rows: upsert_cache(rows, rows.limit(0)))
+
+
 def cache_healthy(tier: Column, want_tier: Column, pillars: Column, tldr: Column, version: Column, current: str, want_dark: Column, has_dark: Column) -> Column:
     """Whether a cached result may answer a request: right tier and version, pillars for deep scans, a real summary."""
     return (
@@ -247,6 +254,15 @@ def _upsert(scans: DataFrame) -> DataFrame:
     return upsert_cache(c.where(F.dayofmonth("scanned_at") <= 10), c.where(F.dayofmonth("scanned_at") > 10))
 
 
+def _cache_store(spark, sf_dir: str) -> DataFrame:
+    """The cache as nine batches of events leave it, of some days each."""
+    log = cache_log(f"{C.shared_folder(spark)}/cache-{uuid4().hex}")
+    rows = _cache(C.scans(spark, sf_dir)).withColumn("expires_at", F.lit(None).cast("timestamp_ntz"))
+    for n in range(9):
+        log.upsert(rows.where(F.floor(F.dayofmonth("scanned_at") / 4) == n), n)
+    return log.rows(spark)
+
+
 def _lookup(scans: DataFrame) -> DataFrame:
     c = _cache(scans).withColumn("scanned_at", F.col("scanned_at") + F.expr("INTERVAL 1 MINUTE")).withColumn("expires_at", F.col("scanned_at") + ttl(F.col("tier")))
     r = scans.select(F.col("scan_id").alias("req_id"), F.concat_ws(":", "url", "tier").alias("cache_key"), "content_hash", F.col("created_at").alias("req_ts"))
@@ -289,6 +305,7 @@ def _written(spark, sf_dir) -> DataFrame:
 QUERIES = {
     "a7_write_scans": _written,
     "a8_upsert_cache": _s(_upsert),
+    "a8_cache_store": _cache_store,
     "a9_golden_lookup": _s(lambda x: golden_lookup(x.select("scan_id", "url"), x.where("tier = 'deep'").groupBy("url").agg(F.max_by("tldr", "scan_id").alias("result")))),
     "a11_reports_by_url": _s(lambda x: reports_by_url(x.select(F.col("scan_id").alias("request_id")), x)),
     "b11_search_history": _s(lambda x: search_history(x, "RISKY", "SPOTIFY").select("scan_id", "url", "rating")),
@@ -358,3 +375,4 @@ ORACLES = {
     "w7_recent_errors": f"{S} SELECT scan_id, uid, created_at FROM scans WHERE tier = 'failed' ORDER BY created_at DESC, scan_id DESC LIMIT 20",
     "x4_content_dedupe": "SELECT sha256(substr(text, 1, 10000)) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY ALL",
 }
+ORACLES["a8_cache_store"] = ORACLES["a8_upsert_cache"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clauseriver.operators import detect, evaluate, history
 from clauseriver.sources import corpus as C
+from clauseriver.sources.upserts import UpsertLog
 from clauseriver.streaming import keyed
 from clauseriver.streaming.keyed import with_rocks
 
@@ -49,19 +50,15 @@ def stream_scan_pipeline(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "score", "rating", "tldr", F.inline("findings")).drop("pillar_ord")
 
 
-def upsert_notifications(batch: DataFrame, path: str, version: int) -> str:
-    """Merges a batch (id, uid, created_at, read) into the table last written under path; the later read flag wins.
+def last_notifications(rows: DataFrame) -> DataFrame:
+    """The last state of each id: that of the latest batch, and of its rows the one that is read."""
+    last = rows.groupBy("id").agg(F.max_by(F.struct("uid", "created_at", "read"), F.struct("_seq", "read")).alias("l"))
+    return last.select("id", "l.*")
 
-    For foreachBatch: each version is a folder of its own, so that a repeated batch overwrites its own output only.
-    """
-    spark = batch.sparkSession
-    cols = ["id", "uid", "created_at", "read"]
-    rows = batch.select(*cols, F.lit(1).alias("_new"))
-    if version:
-        rows = rows.unionByName(spark.read.parquet(f"{path}/v{version - 1}").select(*cols, F.lit(0).alias("_new")))
-    last = rows.groupBy("id").agg(F.max_by(F.struct("uid", "created_at", "read"), F.struct("_new", "read")).alias("l"))
-    last.select("id", "l.*").write.mode("overwrite").parquet(f"{path}/v{version}")
-    return f"{path}/v{version}"
+
+def notifications(path: str) -> UpsertLog:
+    """For foreachBatch: batches of (id, uid, created_at, read) are merged with a cost that follows the batch."""
+    return UpsertLog(path, "id string, uid string, created_at timestamp_ntz, read boolean", last_notifications)
 
 
 def unread(notifications: DataFrame) -> DataFrame:
@@ -95,10 +92,8 @@ def run_in_parts(rows: DataFrame, at: str, job: Callable[[DataFrame], DataFrame]
     """
     spark = rows.sparkSession
     folder = f"{C.shared_folder(spark)}/stream-{uuid4().hex}"
-    ends = rows.agg(F.unix_micros(F.min(F.col(at).cast("timestamp"))).alias("a"), F.unix_micros(F.max(F.col(at).cast("timestamp"))).alias("b")).first()
-    span = F.least(F.floor((F.unix_micros(F.col(at).cast("timestamp")) - F.lit(ends["a"] or 0)) * parts / F.lit(max(1, (ends["b"] or 0) - (ends["a"] or 0)))), F.lit(parts - 1))
-    for k in range(parts):
-        rows.where(span == k).write.mode("append").parquet(f"{folder}/in")
+    for part in in_spans(rows, at, parts):
+        part.write.mode("append").parquet(f"{folder}/in")
         stream = job(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
         with_rocks(spark, lambda stream=stream: run_once(stream, folder))
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -112,20 +107,26 @@ def _label(rows: DataFrame) -> DataFrame:
     return rows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
-def _unread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A notification for each scan, read where the scan is a deep one: the events come as a stream, each batch is merged."""
-    path = f"{C.shared_folder(spark)}/notifications-{uuid4().hex}"
-    scans = C.as_scans(read_stream(spark, sf_dir, "events"))
-    sent = scans.select(F.col("scan_id").cast("string").alias("id"), "uid", "created_at", F.lit(False).alias("read"), "tier")
-
-    def merge(batch: DataFrame, n: int) -> None:
-        upsert_notifications(batch.drop("tier"), path, 2 * n)
-        seen = batch.where("tier = 'deep'").drop("tier").withColumn("read", F.lit(True))
-        upsert_notifications(seen, path, 2 * n + 1)
-
-    sent.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    last = max(int(v[1:]) for v in (f.rstrip("/").split("/")[-2] for f in spark.read.parquet(f"{path}/v*").inputFiles()))
-    return unread(spark.read.parquet(f"{path}/v{last}"))
+def in_spans(rows: DataFrame, at: str, parts: int) -> list[DataFrame]:
+    """rows by equal spans of time."""
+    time = F.unix_micros(F.col(at).cast("timestamp"))
+    ends = rows.agg(F.min(time).alias("a"), F.max(time).alias("b")).first()
+    span = F.least(F.floor((time - F.lit(ends["a"] or 0)) * parts / F.lit(max(1, (ends["b"] or 0) - (ends["a"] or 0)))), F.lit(parts - 1))
+    return [rows.where(span == k) for k in range(parts)]
+
+
+def _unread(spark: SparkSession, sf_dir: str, parts: int = 6) -> DataFrame:
+    """A notification for each scan, those of deep scans read later: the events come as files of one span of time after the
+    other, each a run of the stream from its checkpoint, whose batch is merged into the log."""
+    folder = f"{C.shared_folder(spark)}/notifications-{uuid4().hex}"
+    log = notifications(f"{folder}/log")
+    sent = C.scans(spark, sf_dir).select(F.col("scan_id").cast("string").alias("id"), "uid", "created_at", F.lit(False).alias("read"), "tier")
+    for part in in_spans(sent, "created_at", parts):
+        seen = part.where("tier = 'deep'").withColumn("read", F.lit(True))
+        part.unionByName(seen).drop("tier").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("id string, uid string, created_at timestamp_ntz, read boolean").parquet(f"{folder}/in")
+        stream.writeStream.foreachBatch(log.upsert).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return unread(log.rows(spark))
 
 
 QUERIES = {

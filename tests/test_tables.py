@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseriver.operators import evaluate, history, pages
+from clauseriver.sources import upserts
 from clauseriver.streaming import jobs, keyed
 
 TS = dt.datetime(2024, 1, 31, 23, 0)
@@ -86,15 +87,43 @@ def test_stream_in_parts_is_the_batch(spark):
     assert got == {r["scan_id"] for r in history.policy_changes(df).collect() if r["scan_id"] <= 297}
 
 
-def test_notifications_upsert(spark, tmp_path):
-    schema = "id string, uid string, created_at timestamp, read boolean"
-    first = spark.createDataFrame([("a", "u", TS, False), ("b", "u", TS, False), ("b", "u", TS, True)], schema)
-    second = spark.createDataFrame([("a", "u", TS, True), ("c", "v", TS, False)], schema)
-    for version, batch in enumerate((first, second, second)):
-        path = jobs.upsert_notifications(batch, str(tmp_path), version)
-    table = spark.read.parquet(path)
-    assert {(r["id"], r["read"]) for r in table.collect()} == {("a", True), ("b", True), ("c", False)}
-    assert [(r["uid"], r["unread"]) for r in jobs.unread(table).collect()] == [("v", 1)]
+def test_spans():
+    assert upserts.spans(0, 4) == [] and upserts.spans(1, 4) == [(0, 1)]
+    assert upserts.spans(23, 4) == [(0, 16), (16, 20), (20, 21), (21, 22), (22, 23)]
+    for n in range(200):
+        found = upserts.spans(n, 3)
+        assert [a for a, _ in found] == [0, *(b for _, b in found)][: len(found)] and (not found or found[-1][1] == n)
+        assert len(found) <= 2 * 6
+
+
+def test_notifications_follow_a_dict(spark, tmp_path):
+    """Nine batches, one of them repeated, against a dict; spans that were taken in go, and the rest says the same."""
+    rng = random.Random(2)
+    log, want, schema = jobs.notifications(str(tmp_path / "log")), {}, "id string, uid string, created_at timestamp, read boolean"
+    for n in range(9):
+        rows = [(f"n{rng.randrange(30)}", f"u{n % 3}", TS + dt.timedelta(hours=n), rng.random() < 0.5) for _ in range(12)]
+        for again in range(2 if n in (3, 5) else 1):
+            log.upsert(spark.createDataFrame(rows, schema).withColumn("created_at", F.col("created_at").cast("timestamp_ntz")), n)
+        new = {}
+        for i, uid, _, read in rows:
+            new[i] = max(new.get(i, (False, "")), (read, uid))
+        want |= new
+    said = lambda: {r["id"]: (r["read"], r["uid"]) for r in log.rows(spark).collect()}
+    assert said() == want and log.committed(spark) == 9
+    assert log.vacuum(spark) > 0 and said() == want and log.vacuum(spark) == 0
+    assert {r["uid"]: r["unread"] for r in jobs.unread(log.rows(spark)).collect()} == dict(Counter(u for read, u in want.values() if not read))
+
+
+def test_cost_follows_the_batch(spark, tmp_path):
+    """Most batches write their own rows only."""
+    log = jobs.notifications(str(tmp_path / "log"))
+    schema = "id string, uid string, created_at timestamp_ntz, read boolean"
+    written = []
+    for n in range(8):
+        log.upsert(spark.createDataFrame([(f"n{n}-{i}", "u", TS, False) for i in range(10)], schema), n)
+        a, b = upserts.spans(n + 1, 4)[-1]
+        written.append(spark.read.parquet(f"{tmp_path}/log/span={a}-{b}").count())
+    assert written == [10, 10, 10, 40, 10, 10, 10, 40]
 
 
 def test_cache_expires_and_counts(spark):
