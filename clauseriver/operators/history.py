@@ -55,11 +55,28 @@ def cache_healthy(tier: Column, want_tier: Column, pillars: Column, tldr: Column
 
 def cache_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """requests (req_id, cache_key, content_hash, req_ts) with scanned_at of the newest unexpired entry of the same
-    content, null if there is none."""
-    c = cache.select("cache_key", "content_hash", "scanned_at", "expires_at")
-    hit = requests.join(c, ["cache_key", "content_hash"]).where((F.col("scanned_at") <= F.col("req_ts")) & (F.col("req_ts") < F.col("expires_at")))
-    best = hit.groupBy("req_id").agg(F.max("scanned_at").alias("scanned_at"))
-    return requests.join(best, "req_id", "left")
+    content, null if there is none.
+
+    Requests and entries of a key are laid along one line of time, on which each request meets the newest entry before it; the
+    hours of a key hand theirs over, so no task holds a hot key. As a key's entries hold equally long, the newest is the one that
+    expires last. Where it has expired and an older one has not, and only there, the request is joined with the key's entries.
+    """
+    key = ["cache_key", "content_hash"]
+    c = cache.select(*key, "scanned_at", "expires_at").where("cache_key IS NOT NULL AND content_hash IS NOT NULL AND scanned_at < expires_at")
+    none = lambda like, name: F.lit(None).cast(like.schema[name].dataType).alias(name)
+    line = requests.select(*requests.columns, F.col("req_ts").alias("_at"), none(c, "scanned_at"), none(c, "expires_at"), F.lit(1).alias("_kind"))
+    line = line.unionByName(c.select(*key, "scanned_at", "expires_at", F.col("scanned_at").alias("_at"), F.lit(0).alias("_kind")), allowMissingColumns=True)
+    entry = F.when(F.col("_kind") == 0, F.struct("scanned_at", "expires_at"))
+    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    each = F.struct(F.max(entry).alias("last"), F.max("expires_at").alias("most"))
+    rows = _handed_over(line, key, "_at", each, lambda w: F.struct(F.max("_each.last").over(before(w)).alias("last"), F.max("_each.most").over(before(w)).alias("most")))
+    w = W.partitionBy("_key", "_hour").orderBy("_at", "_kind", "expires_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_last", F.coalesce(F.max(entry).over(w), F.col("_carried.last"))).withColumn("_most", F.greatest(F.max("expires_at").over(w), F.col("_carried.most")))
+    rows = rows.where("_kind = 1").withColumn("_older", (F.col("_last.expires_at") <= F.col("req_ts")) & (F.col("_most") > F.col("req_ts")))
+    rows = rows.select(*requests.columns, F.when(F.col("_last.expires_at") > F.col("req_ts"), F.col("_last.scanned_at")).alias("_found"), F.coalesce("_older", F.lit(False)).alias("_older"))
+    hit = rows.where("_older").join(c, key).where((F.col("scanned_at") <= F.col("req_ts")) & (F.col("req_ts") < F.col("expires_at")))
+    best = hit.groupBy("req_id").agg(F.max("scanned_at").alias("_best"))
+    return rows.join(best, "req_id", "left").select(*requests.columns, F.coalesce("_found", "_best").alias("scanned_at"))
 
 
 def golden_lookup(requests: DataFrame, golden: DataFrame) -> DataFrame:

@@ -230,3 +230,22 @@ def test_changes_and_counts_follow_a_plain_loop(spark):
     assert {(r["scan_id"], r["old_score"], r["new_score"]) for r in history.policy_changes(df).collect()} == changes
     assert {r["scan_id"]: r["scan_count"] for r in history.scan_count(df).collect()} == numbers
     assert history.policy_changes(df.limit(0)).count() == 0
+
+
+def test_lookup_follows_a_plain_search(spark):
+    """Entries that hold equally long, and entries that an older one outlives; ties, nulls and requests without a time."""
+    rng = random.Random(8)
+    at = lambda m: TS + dt.timedelta(minutes=m)
+    entries = [(rng.choice(["k"] * 6 + ["l", None]), rng.choice("xy"), at(m := rng.randrange(3000)), at(m + rng.choice([30, 30, 30, 600, 0]))) for _ in range(400)]
+    requests = [(i, rng.choice(["k"] * 6 + ["l", None]), rng.choice(["x", "y", None]), at(rng.randrange(3200)) if i % 50 else None) for i in range(500)]
+    want = {
+        i: max((s for k, c, s, e in entries if k and ts and (k, c) == (key, content) and s <= ts < e), default=None)
+        for i, key, content, ts in requests
+    }
+    cache = spark.createDataFrame(entries, "cache_key string, content_hash string, scanned_at timestamp, expires_at timestamp")
+    asked = spark.createDataFrame(requests, "req_id long, cache_key string, content_hash string, req_ts timestamp")
+    got = history.cache_lookup(asked, cache)
+    assert got.columns == ["req_id", "cache_key", "content_hash", "req_ts", "scanned_at"]
+    rows = got.collect()
+    assert len(rows) == 500 and {r["req_id"]: r["scanned_at"] for r in rows} == want and sum(v is not None for v in want.values()) > 100
+    assert history.cache_lookup(asked, cache.limit(0)).where("scanned_at IS NOT NULL").count() == 0
