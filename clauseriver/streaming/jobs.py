@@ -129,20 +129,50 @@ def _unread(spark: SparkSession, sf_dir: str, parts: int = 6) -> DataFrame:
     return unread(log.rows(spark))
 
 
+def run_alerts(scans: DataFrame, watches: DataFrame, folder: str) -> UpsertLog:
+    """One run of two streams, the second of which reads what the first has committed: changes of a url (T3) become unread
+    notifications (T6) of those who watch it (uid, url).
+
+    scans is a stream. The first stream's files count only once its batch is committed, and a batch of the second that is
+    repeated overwrites its own span, so each change is told once however often either is stopped and started again.
+    """
+    changes = keyed.stream_policy_changes(scans)
+    with_rocks(scans.sparkSession, lambda: run_once(changes, f"{folder}/changes"))
+    log = notifications(f"{folder}/log")
+    told = scans.sparkSession.readStream.schema(changes.schema).parquet(f"{folder}/changes/out").join(watches.select("uid", "url").distinct(), "url")
+    told = told.select(F.concat_ws(":", F.col("scan_id").cast("string"), "uid").alias("id"), "uid", F.col("changed_at").alias("created_at"), F.lit(False).alias("read"))
+    told.writeStream.foreachBatch(log.upsert).option("checkpointLocation", f"{folder}/told").trigger(availableNow=True).start().awaitTermination()
+    return log
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5 as it runs: the events come in three spans of time, each a run of both streams; who scanned a url in depth watches it."""
+    folder = f"{C.shared_folder(spark)}/alerts-{uuid4().hex}"
+    scans = C.scans(spark, sf_dir)
+    for part in in_spans(scans, "created_at", 3):
+        part.write.mode("append").parquet(f"{folder}/in")
+        log = run_alerts(spark.readStream.schema(scans.schema).parquet(f"{folder}/in"), scans.where("tier = 'deep'"), folder)
+    return unread(log.rows(spark))
+
+
 QUERIES = {
+    "p5_alerts": _alerts,
     "t6_stream_unread": _unread,
     "t1_stream_rating_counts": _s(lambda run, x: _label(run(stream_rating_counts(x)))),
     "t1_stream_sliding_counts": _s(lambda run, x: _label(run(stream_rating_counts(x, "2 hours", "1 hour")))),
     "t1_stream_sessions": _s(lambda run, x: run(stream_sessions(x)).select("uid", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")),
     "t2_stream_cache_dedupe": _s(lambda run, x: run(stream_cache_dedupe(x)).select("url", "tier", "content_hash")),
-    "t3_stream_policy_changes": lambda s, d: run_in_parts(C.scans(s, d), "created_at", keyed.stream_policy_changes),
+    "t3_stream_policy_changes": lambda s, d: run_in_parts(C.scans(s, d), "created_at", keyed.stream_policy_changes).drop("changed_at"),
     "t4_stream_credits": lambda s, d: run_in_parts(history.credit_events(C.scans(s, d)), "ts", lambda x: keyed.stream_credits(x, history.QUERY_CREDITS)),
     "t5_stream_rate_limit": _s(lambda run, x: _label(run(stream_rate_limit(x, 1, "1 hour")))),
     "t7_stream_scan_pipeline": lambda s, d: run_to_end(stream_scan_pipeline(read_stream(s, d, "documents"))),
 }
 _closed = "(SELECT date_trunc('milliseconds', max(created_at)) - INTERVAL 10 MINUTE FROM scans)"
 S = f"WITH {C.SCANS_SQL}"
+_changes = f"{history.ORACLES['w3_policy_changes']} AND created_at < {_closed} + INTERVAL 1 MILLISECOND"
 ORACLES = {
+    "p5_alerts": f"""SELECT uid, count(*) AS unread, max(date_trunc('milliseconds', ts)) AS newest FROM ({_changes}) c JOIN events e ON e.event_id = c.scan_id
+    JOIN (WITH {C.SCANS_SQL} SELECT DISTINCT uid, url FROM scans WHERE tier = 'deep') w ON w.url = c.url GROUP BY uid""",
     "t6_stream_unread": f"{S} SELECT uid, count(*) AS unread, max(created_at) AS newest FROM scans WHERE tier <> 'deep' GROUP BY uid",
     "t1_stream_rating_counts": f"{S}, w AS (SELECT date_trunc('hour', created_at) AS h, tier, rating, count(*) AS n FROM scans GROUP BY ALL) SELECT strftime(h, '%Y-%m-%d %H:%M') AS start, tier, rating, n FROM w WHERE h + INTERVAL 1 HOUR <= {_closed}",
     "t1_stream_sliding_counts": f"{S}, w AS (SELECT date_trunc('hour', created_at) - INTERVAL 1 HOUR * b AS h, tier, rating, count(*) AS n FROM scans, (VALUES (0), (1)) v(b) GROUP BY ALL) SELECT strftime(h, '%Y-%m-%d %H:%M') AS start, tier, rating, n FROM w WHERE h + INTERVAL 2 HOUR <= {_closed}",
@@ -150,7 +180,7 @@ ORACLES = {
     k AS (SELECT *, sum(new) OVER (PARTITION BY uid ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS k FROM g), z AS (SELECT uid, k, min(created_at) AS a, max(created_at) + INTERVAL 30 MINUTE AS b, count(*) AS n FROM k GROUP BY uid, k)
     SELECT uid, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, n FROM z WHERE b <= {_closed}""",
     "t2_stream_cache_dedupe": f"{S} SELECT DISTINCT url, tier, content_hash FROM scans",
-    "t3_stream_policy_changes": f"{history.ORACLES['w3_policy_changes']} AND created_at < {_closed} + INTERVAL 1 MILLISECOND",
+    "t3_stream_policy_changes": _changes,
     "t4_stream_credits": f"SELECT * FROM ({history.ORACLES['w5_credit_ledger']}) SEMI JOIN (SELECT event_id AS seq FROM events WHERE ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE + INTERVAL 1 MILLISECOND FROM events)) USING (seq)",
     "t5_stream_rate_limit": f"{S} SELECT uid, strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M') AS start, count(*) AS requests FROM scans GROUP BY uid, date_trunc('hour', created_at) HAVING count(*) > 1 AND date_trunc('hour', created_at) + INTERVAL 1 HOUR <= {_closed}",
     "t7_stream_scan_pipeline": f"{detect.BASE}, {detect._evidence_sql()}, {detect._fallback_sql()} SELECT doc_id, f.score, f.rating, f.tldr, pillar, violation, confidence, citation FROM evidence JOIN fallback f USING (doc_id)",

@@ -83,7 +83,7 @@ class Changes(InOrder):
 
     rows = "at_ms long, scan_id long, content_hash string, score int, rating string, tldr string"
     record = "at_ms long, content_hash string, score int"
-    out = "scan_id long, url string, old_score int, new_score int, rating string, tldr string"
+    out = "scan_id long, url string, old_score int, new_score int, rating string, tldr string, at_ms long"
     order = ["at_ms", "scan_id"]
 
     def step(self, key, rows, kept):
@@ -92,7 +92,7 @@ class Changes(InOrder):
             old_hash.iloc[0], old_score.iloc[0] = kept[1], kept[2]
         new = old_hash.notna() & rows["content_hash"].notna() & (old_hash != rows["content_hash"])
         found = pd.DataFrame({
-            "scan_id": rows["scan_id"], "url": key[0], "old_score": old_score.astype("Int32"), "new_score": rows["score"].astype("Int32"), "rating": rows["rating"], "tldr": rows["tldr"],
+            "scan_id": rows["scan_id"], "url": key[0], "old_score": old_score.astype("Int32"), "new_score": rows["score"].astype("Int32"), "rating": rows["rating"], "tldr": rows["tldr"], "at_ms": rows["at_ms"],
         })[new]
         last = rows.iloc[-1]
         return found, (int(last["at_ms"]), last["content_hash"], None if pd.isna(last["score"]) else int(last["score"]))
@@ -131,9 +131,10 @@ def _stateful(rows: DataFrame, key: str, at: str, late: str, processor: InOrder)
 
 
 def stream_policy_changes(scans: DataFrame, late: str = LATE, keep_days: int = 365) -> DataFrame:
-    """A row for each scan whose content differs from the one before of its url; rows without a time don't take part."""
+    """A row for each scan whose content differs from the one before of its url, with its time; rows without a time don't take part."""
     rows = scans.where("created_at IS NOT NULL").select("url", "scan_id", "created_at", "content_hash", F.col("score").cast("int").alias("score"), "rating", "tldr")
-    return _stateful(rows, "url", "created_at", late, Changes(keep_days * DAY_MS))
+    found = _stateful(rows, "url", "created_at", late, Changes(keep_days * DAY_MS))
+    return found.withColumn("changed_at", F.timestamp_millis("at_ms").cast("timestamp_ntz")).drop("at_ms")
 
 
 def stream_credits(events: DataFrame, monthly: int = MONTHLY_CREDITS, late: str = LATE, keep_days: int = 32) -> DataFrame:

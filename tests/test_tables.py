@@ -249,3 +249,16 @@ def test_lookup_follows_a_plain_search(spark):
     rows = got.collect()
     assert len(rows) == 500 and {r["req_id"]: r["scanned_at"] for r in rows} == want and sum(v is not None for v in want.values()) > 100
     assert history.cache_lookup(asked, cache.limit(0)).where("scanned_at IS NOT NULL").count() == 0
+
+
+def test_alerts_over_restarts(spark, tmp_path):
+    """Both streams are stopped and started again between files; each change is told to each watcher once."""
+    rng = random.Random(12)
+    rows = [(i, f"u{rng.randrange(3)}", TS + dt.timedelta(minutes=30 * i), rng.choice("ab"), i, "OKAY", "t") for i in range(60)]
+    watches = spark.createDataFrame([("x", "u0"), ("x", "u0"), ("x", "u1"), ("y", "u1"), ("z", "none")], "uid string, url string")
+    for k in range(4):
+        spark.createDataFrame(rows[15 * k : 15 * k + 15], SCANS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        log = jobs.run_alerts(spark.readStream.schema(SCANS).parquet(f"{tmp_path}/in"), watches, str(tmp_path))
+    changes = [r for r in history.policy_changes(spark.createDataFrame(rows, SCANS)).collect() if r["scan_id"] < 59]
+    want = Counter(u for r in changes for u, url in {("x", "u0"), ("x", "u1"), ("y", "u1")} if url == r["url"])
+    assert {r["uid"]: r["unread"] for r in jobs.unread(log.rows(spark)).collect()} == dict(want) and len(want) == 2
