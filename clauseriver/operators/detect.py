@@ -437,28 +437,32 @@ def prominence(findings: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*findings.columns, F.col("_p.score").alias("prominence_score"), F.col("_p.signals").alias("prominence_signals"))
 
 
-def _prominence_sql() -> str:
+def _prominence_sql(source: str = "findings") -> str:
+    """As a table prominent; source has doc_id, pillar and citation."""
     context = f"CASE WHEN pos >= 0 THEN substr(text, greatest(0, pos - 400) + 1, pos + length(cit) + 200 - greatest(0, pos - 400)) ELSE cit END"
     before = "substr(text, greatest(0, pos - 80) + 1, pos - greatest(0, pos - 80))"
     return f"""
-probe AS (SELECT f.*, text, {D.strip("citation")} AS cit FROM findings f JOIN policies USING (doc_id)),
+probe AS (SELECT f.*, text, {D.strip("citation")} AS cit FROM {source} f JOIN policies USING (doc_id)),
 placed AS (SELECT *, strpos(lower(text), lower(substr(cit, 1, 80))) - 1 AS pos FROM probe),
 context AS (SELECT *, {context} AS context FROM placed),
 signs AS (SELECT *,
   length(regexp_replace(cit, '[^A-Za-z]', '', 'g')) > 20 AND length(regexp_replace(cit, '[^A-Z]', '', 'g')) / length(regexp_replace(cit, '[^A-Za-z]', '', 'g')) > 0.6 AS caps,
   {D.rx("context", R.NUMBERED_HEADING, "")} AS numbered, {D.any_rx("context", R.HEADINGS)} AS heading,
   pos >= 0 AND {D.rx(f"chr(10) || {before} || substr(cit, 1, 10)", R.BULLET, "")} AS bullet, length(cit) < 40 AS short FROM context),
-signs2 AS (SELECT *, pos >= 0 AND pos / length(text) > 0.75 AND NOT heading AND NOT numbered AND NOT caps AS buried FROM signs)
-SELECT doc_id, pillar, CASE WHEN length(citation) < 10 THEN 30 ELSE least(100, greatest(0, 50 + 25 * caps::INT + 20 * numbered::INT + 20 * heading::INT + 15 * bullet::INT - 20 * short::INT - 15 * buried::INT)) END AS prominence_score,
-  CASE WHEN length(citation) < 10 THEN ['no_citation_or_too_short'] ELSE list_filter([CASE WHEN caps THEN 'all_caps' END, CASE WHEN numbered THEN 'numbered_heading' END, CASE WHEN heading THEN 'heading_keyword' END,
+signs2 AS (SELECT *, pos >= 0 AND pos / length(text) > 0.75 AND NOT heading AND NOT numbered AND NOT caps AS buried FROM signs),
+prominent AS (SELECT doc_id, pillar, CASE WHEN coalesce(length(citation), 0) < 10 THEN 30 ELSE least(100, greatest(0, 50 + 25 * caps::INT + 20 * numbered::INT + 20 * heading::INT + 15 * bullet::INT - 20 * short::INT - 15 * buried::INT)) END AS prominence_score,
+  CASE WHEN coalesce(length(citation), 0) < 10 THEN ['no_citation_or_too_short'] ELSE list_filter([CASE WHEN caps THEN 'all_caps' END, CASE WHEN numbered THEN 'numbered_heading' END, CASE WHEN heading THEN 'heading_keyword' END,
     CASE WHEN bullet THEN 'standalone_bullet' END, CASE WHEN short THEN 'short_fragment' END, CASE WHEN buried THEN 'buried_deep' END], lambda x: x IS NOT NULL) END AS prominence_signals
-FROM signs2"""
+FROM signs2)"""
+
+
+def needs_scan(text: Column) -> Column:
+    return T.any_phrase(F.lower(text), R.COMMERCIAL_WORDS) | T.any_phrase(F.lower(text), R.SHARING_WORDS)
 
 
 def pp_prefilter(docs: DataFrame) -> DataFrame:
     """doc_id, needs_scan: whether a policy has any word of trade or sharing at all."""
-    low = F.lower("text")
-    return docs.select("doc_id", (T.any_phrase(low, R.COMMERCIAL_WORDS) | T.any_phrase(low, R.SHARING_WORDS)).alias("needs_scan"))
+    return docs.select("doc_id", needs_scan(F.col("text")).alias("needs_scan"))
 
 
 def apply_pp_finding(findings: DataFrame, found: DataFrame) -> DataFrame:
@@ -616,7 +620,7 @@ ORACLES = {
       SELECT *, category || ' ' || pillar IN ({", ".join(f"'{n} {p}'" for n, c in R.CATEGORIES.items() for p in c["not_applicable"])}) AND NOT violation
         AND NOT (c <> '' AND NOT {D.rx("c", R.NO_REAL_CITATION)} AND NOT {D.rx("c", "^this practice is not ")}) AS na FROM a)
     SELECT doc_id, pillar, violation, confidence, citation, CASE WHEN na THEN 'NOT_APPLICABLE' END AS status, NOT na AS applicable FROM n""",
-    "d10_prominence": f"{BASE}, {_prominence_sql()}",
+    "d10_prominence": f"{BASE}, {_prominence_sql()} SELECT * FROM prominent",
     "d11_backfill_citations": f"""{BASE}, {_sentences_sql("simple")}, {_backfill_sql()}
     SELECT f.doc_id, f.pillar, violation, confidence, CASE WHEN NOT violation AND citation IN ('{R.NOT_FOUND}', '', '{R.NOT_ADDRESSED}') AND sentence IS NOT NULL
       THEN {D.cap_words("sentence")} ELSE citation END AS citation FROM findings f LEFT JOIN best USING (doc_id, pillar)""",

@@ -26,13 +26,13 @@ def read_text_files(spark, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def accuracy_check(detected: DataFrame, truth: DataFrame) -> DataFrame:
-    """service, true_positives, false_negatives, false_positives, precision, recall.
+def accuracy_check(detected: DataFrame, truth: DataFrame, key: tuple[str, ...] = ("service",)) -> DataFrame:
+    """service (or the key), true_positives, false_negatives, false_positives, precision, recall.
 
     detected (service, detected array) and truth (service, known array). Nothing known and nothing found is perfect;
     finding nothing of what is known has precision 0.
     """
-    rows = truth.join(detected, "service", "left").withColumn("detected", F.coalesce("detected", F.array().cast("array<string>")))
+    rows = truth.join(detected, list(key), "left").withColumn("detected", F.coalesce("detected", F.array().cast("array<string>")))
     tp = F.array_sort(F.array_intersect("known", "detected"))
     n, k = F.size("detected"), F.size("known")
     rows = rows.withColumn("true_positives", tp).withColumn("false_negatives", F.array_sort(F.array_except("known", "detected"))).withColumn("false_positives", F.array_sort(F.array_except("detected", "known")))
@@ -77,19 +77,23 @@ def accuracy_grid(results: DataFrame) -> DataFrame:
     return results.groupBy("service").pivot("scan_type", ["BASIC", "DEEP"]).agg(F.bool_and("rating_match")).withColumnsRenamed({"BASIC": "basic", "DEEP": "deep"})
 
 
-def eval_accuracy(predicted: DataFrame, cases: DataFrame) -> DataFrame:
-    """pillars_pct over labelled pillars, rating_pct over all cases, parse_fails.
+def eval_accuracy(predicted: DataFrame, cases: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """pillars_pct over labelled pillars (0 without any), rating_pct over all cases, parse_fails; for each of by, if given.
 
-    predicted (id, pillar, violation, rating; null pillar where parsing failed), cases (id, pillar, expected, expected_rating).
+    predicted (id, pillar, violation, rating; null pillar where parsing failed), cases (id, pillar, expected, expected_rating). An answer
+    without a rating counts as unparsed, unless predicted says parse_ok.
     """
-    rows = cases.join(predicted, ["id", "pillar"], "left")
-    case = rows.groupBy("id").agg(
+    if "parse_ok" not in predicted.columns:
+        predicted = predicted.withColumn("parse_ok", F.col("rating").isNotNull())
+    rows = cases.join(predicted, [*by, "id", "pillar"], "left")
+    case = rows.groupBy(*by, "id").agg(
         F.count_if(F.coalesce("violation", F.lit(False)) == F.col("expected")).alias("ok"), F.count("expected").alias("total"),
-        F.max(F.col("rating") == F.col("expected_rating")).alias("rating_ok"), F.max("rating").alias("rating"),
+        F.max(F.col("rating") == F.col("expected_rating")).alias("rating_ok"), F.max("parse_ok").alias("parse_ok"),
     )
-    parsed = F.col("rating").isNotNull()
-    return case.agg(
-        F.round(100 * F.sum(F.when(parsed, F.col("ok")).otherwise(0)) / F.sum(F.when(parsed, F.col("total")).otherwise(0)), 6).alias("pillars_pct"),
+    parsed = F.coalesce("parse_ok", F.lit(False))
+    right = F.try_divide(100 * F.sum(F.when(parsed, F.col("ok")).otherwise(0)), F.sum(F.when(parsed, F.col("total")).otherwise(0)))
+    return case.groupBy(*by).agg(
+        F.round(F.coalesce(right, F.lit(0.0)), 6).alias("pillars_pct"),
         F.round(100 * F.count_if("rating_ok") / F.count("*"), 6).alias("rating_pct"), F.count_if(~parsed).alias("parse_fails"),
     )
 

@@ -92,8 +92,8 @@ def rating_of(score: Column, profile: dict) -> Column:
     return F.when(score < profile["okay"], "RISKY").when(score < profile["safe"], "OKAY").otherwise("SAFE")
 
 
-def score(findings: DataFrame, profile: str = "prod") -> DataFrame:
-    """doc_id, score, rating, deductions (reason, points) in the order of pillars."""
+def score(findings: DataFrame, profile: str = "prod", by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """doc_id (or by), score, rating, deductions (reason, points) in the order of pillars."""
     p = R.PROFILES[profile]
     low = F.upper(F.coalesce("confidence", F.lit(p["default_confidence"]))) == "LOW"
     name = F.replace("pillar", F.lit("_"), F.lit(" "))
@@ -102,10 +102,10 @@ def score(findings: DataFrame, profile: str = "prod") -> DataFrame:
         reason = F.when(F.col("pillar") == "transparency", "Transparency flag (informational — not scored)").otherwise(reason)
     ord_ = F.array_position(F.array(*map(F.lit, R.PILLARS)), F.col("pillar"))
     row = F.when(F.col("violation"), F.struct(ord_.alias("ord"), reason.alias("reason"), _points(p).alias("points")))
-    sums = findings.groupBy("doc_id").agg(F.sum(F.when(F.col("violation"), _points(p)).otherwise(0)).alias("lost"), F.array_sort(F.collect_list(row)).alias("rows"))
+    sums = findings.groupBy(*by).agg(F.sum(F.when(F.col("violation"), _points(p)).otherwise(0)).alias("lost"), F.array_sort(F.collect_list(row)).alias("rows"))
     points = F.greatest(F.lit(p["floor"]), F.least(F.lit(100), 100 - F.col("lost"))).cast("int")
     rows = F.transform("rows", lambda r: F.struct(r["reason"].alias("reason"), r["points"].alias("points")))
-    return sums.select("doc_id", points.alias("score"), rating_of(points, p).alias("rating"), rows.alias("deductions"))
+    return sums.select(*by, points.alias("score"), rating_of(points, p).alias("rating"), rows.alias("deductions"))
 
 
 def score_array(findings: Column, profile: str = "prod") -> Column:
@@ -248,7 +248,7 @@ _by_conf = f"""SELECT doc_id, pillar, violation, confidence, citation FROM (
   SELECT *, row_number() OVER (PARTITION BY model, doc_id, pillar ORDER BY violation DESC, {_best} DESC, chunk_no) AS k FROM deep WHERE model = '%s') WHERE k = 1"""
 
 
-def _score_sql(profile: str, source: str = "findings") -> str:
+def _score_sql(profile: str, source: str = "findings", by: str = "doc_id") -> str:
     p = R.PROFILES[profile]
     points = "CASE WHEN confidence = 'LOW' THEN CASE pillar " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in p["penalty"].items()) + " END ELSE CASE pillar " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in p["penalty"].items()) + " END END"
     reason = "CASE WHEN confidence = 'LOW' THEN 'Low-confidence flag in ' || replace(pillar, '_', ' ') || ' (reduced penalty)' ELSE 'Flagged risk in ' || replace(pillar, '_', ' ') END"
@@ -256,19 +256,24 @@ def _score_sql(profile: str, source: str = "findings") -> str:
         reason = f"CASE WHEN pillar = 'transparency' THEN 'Transparency flag (informational — not scored)' ELSE {reason} END"
     return f"""
 points_{profile} AS (SELECT *, {points} AS points, {reason} AS reason FROM {source}),
-sums_{profile} AS (SELECT doc_id, CAST(greatest({p["floor"]}, least(100, 100 - coalesce(sum(points) FILTER (violation), 0))) AS INT) AS score,
-  coalesce(string_agg(reason || '=' || points, '; ' ORDER BY pillar_ord) FILTER (violation), '') AS deductions FROM points_{profile} GROUP BY doc_id),
-scores_{profile} AS (SELECT doc_id, score, CASE WHEN score < {p["okay"]} THEN 'RISKY' WHEN score < {p["safe"]} THEN 'OKAY' ELSE 'SAFE' END AS rating, deductions FROM sums_{profile})"""
+sums_{profile} AS (SELECT {by}, CAST(greatest({p["floor"]}, least(100, 100 - coalesce(sum(points) FILTER (violation), 0))) AS INT) AS score,
+  coalesce(string_agg(reason || '=' || points, '; ' ORDER BY pillar_ord) FILTER (violation), '') AS deductions FROM points_{profile} GROUP BY {by}),
+scores_{profile} AS (SELECT {by}, score, CASE WHEN score < {p["okay"]} THEN 'RISKY' WHEN score < {p["safe"]} THEN 'OKAY' ELSE 'SAFE' END AS rating, deductions FROM sums_{profile})"""
 
 
-def _ensemble_sql(gate: str | None) -> str:
+def _ensemble_ctes(gate: str | None) -> str:
+    """The ensemble as a table ens."""
     barred = f"c.violation AND coalesce(c.confidence, '') <> '{gate}'" if gate else "false"
     take = f"c.doc_id IS NOT NULL AND CASE WHEN p.doc_id IS NULL OR (c.violation AND NOT p.violation) THEN NOT ({barred}) ELSE p.violation AND c.violation AND {D.conf_rank('c.confidence')} > {D.conf_rank('p.confidence')} END"
     return f"""WITH {PARSED_SQL}, p AS ({_by_conf % "primary"}), c AS ({_by_conf % "corroborator"}),
     j AS (SELECT coalesce(p.doc_id, c.doc_id) AS doc_id, coalesce(p.pillar, c.pillar) AS pillar, {take} AS take, p.doc_id IS NOT NULL AS has_p,
       p.violation AS pv, p.confidence AS pc, p.citation AS pq, c.violation AS cv, c.confidence AS cc, c.citation AS cq
-      FROM p FULL JOIN c ON p.doc_id = c.doc_id AND p.pillar = c.pillar)
-    SELECT doc_id, pillar, CASE WHEN take THEN cv ELSE pv END AS violation, CASE WHEN take THEN cc ELSE pc END AS confidence, CASE WHEN take THEN cq ELSE pq END AS citation FROM j WHERE take OR has_p"""
+      FROM p FULL JOIN c ON p.doc_id = c.doc_id AND p.pillar = c.pillar),
+    ens AS (SELECT doc_id, pillar, CASE WHEN take THEN cv ELSE pv END AS violation, CASE WHEN take THEN cc ELSE pc END AS confidence, CASE WHEN take THEN cq ELSE pq END AS citation FROM j WHERE take OR has_p)"""
+
+
+def _ensemble_sql(gate: str | None) -> str:
+    return f"{_ensemble_ctes(gate)} SELECT * FROM ens"
 
 
 def _status_sql() -> str:

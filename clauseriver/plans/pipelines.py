@@ -16,20 +16,28 @@ def _with_ord(findings: DataFrame) -> DataFrame:
     return findings.withColumn("pillar_ord", F.array_position(F.array(*map(F.lit, R.PILLARS)), F.col("pillar")).cast("int"))
 
 
-def scan_rules_only(docs: DataFrame) -> DataFrame:
-    """doc_id, score, rating, violations: a scan that needs no model.
-
-    Cookie banners go; pattern evidence, denials, statuses, applicability, then clauses.
-    """
-    docs = pages.strip_cookie_banners(docs)
+def rules_only_findings(docs: DataFrame) -> DataFrame:
+    """Findings of a scan that needs no model, over texts without cookie banners: pattern evidence, denials, statuses,
+    applicability, then clauses."""
     found = detect.denial_veto(detect.evidence(docs), docs)
     found = ground.derive_status(found)
     found = detect.apply_applicability(found, detect.classify_policy(docs))
-    found = detect.apply_clauses(found, docs)
+    return detect.apply_clauses(found, docs)
+
+
+def scan_rules_only(docs: DataFrame) -> DataFrame:
+    """doc_id, score, rating, violations of a scan that needs no model."""
+    found = rules_only_findings(pages.strip_cookie_banners(docs))
     names = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("violation"), F.col("pillar")))).alias("v"))
     return merge.score(found).join(names, "doc_id").select("doc_id", "score", "rating", F.array_join("v", ",").alias("violations"))
 
 
+def rules_only_report(docs: DataFrame) -> DataFrame:
+    """Findings of a scan that needs no model, with how prominently each quote stands in its text."""
+    docs = pages.strip_cookie_banners(docs)
+    return detect.prominence(rules_only_findings(docs), docs)
+
+
 def server_chunks(docs: DataFrame, size: int = 40_000, overlap: int = 5_000) -> DataFrame:
     """doc_id, chunk_no, chunk_text: what the model is asked about, three chunks of the text without cookie banners at most."""
     return pages.chunk_documents(pages.strip_cookie_banners(docs), size, overlap)
@@ -122,6 +130,7 @@ QUERIES = {
     "p1_server_summary": _server(server_summary),
     "p2_scan_battery": lambda s, d: scan_battery(C.model_outputs(C.policies(s, d)), C.policies(s, d)),
     "p3_scan_rules_only": lambda s, d: scan_rules_only(C.policies(s, d)),
+    "p3_rules_only_report": lambda s, d: rules_only_report(C.policies(s, d)).select("doc_id", "pillar", "violation", "confidence", "citation", "prominence_score", "prominence_signals"),
     "p4_evaluate_rules": lambda s, d: evaluate_rules(C.policies(s, d), evaluate._cases(s, d)[1]),
     "p5_monitor": lambda s, d: monitor(C.scans(s, d), _cache(C.scans(s, d))),
 }
@@ -140,7 +149,7 @@ def _rules_sql() -> str:
     k AS (SELECT s.*, q.quote, q.quote IS NOT NULL AND NOT violation AND NOT (status = 'EXPLICITLY_DENIES'
         AND NOT (category || ' ' || s.pillar IN ({na}) AND NOT violation AND NOT (trim(citation) <> '' AND NOT {D.rx("trim(citation)", R.NO_REAL_CITATION)} AND NOT {D.rx("trim(citation)", "^this practice is not ")}))) AS up
       FROM s JOIN classified USING (doc_id) LEFT JOIN clause_rows q ON q.doc_id = s.doc_id AND q.pillar = s.pillar),
-    found AS (SELECT doc_id, pillar, pillar_ord, violation OR up AS violation, CASE WHEN up THEN 'HIGH' ELSE confidence END AS confidence FROM k), {merge._score_sql("prod", "found")},
+    found AS (SELECT doc_id, pillar, pillar_ord, violation OR up AS violation, CASE WHEN up THEN 'HIGH' ELSE confidence END AS confidence, CASE WHEN up THEN quote ELSE citation END AS citation FROM k), {merge._score_sql("prod", "found")},
     names AS (SELECT doc_id, coalesce(string_agg(pillar, ',' ORDER BY pillar) FILTER (violation), '') AS violations FROM found GROUP BY doc_id)"""
 
 
@@ -148,10 +157,7 @@ def _battery_sql() -> str:
     from clauseriver.functions import duck as D
 
     pp = f"{D.any_in('lower(text)', R.COMMERCIAL_WORDS)} OR {D.any_in('lower(text)', R.SHARING_WORDS)}"
-    both = merge.ORACLES["f4_ensemble_gated"]
-    head, tail = both.split(" SELECT doc_id, pillar, CASE WHEN take THEN cv", 1) if " SELECT doc_id, pillar, CASE WHEN take THEN cv" in both else both.rsplit("\n    SELECT", 1)
-    last = "SELECT doc_id, pillar, CASE WHEN take THEN cv" + tail if "CASE WHEN take" not in tail[:40] else "SELECT" + tail
-    return f"""{head}, ens AS ({last}), shown AS (SELECT doc_id, {pp} AS pp FROM policies),
+    return f"""{merge._ensemble_ctes("HIGH")}, shown AS (SELECT doc_id, {pp} AS pp FROM policies),
     withpp AS (SELECT e.doc_id, e.pillar, pillar_ord, violation OR up AS violation, CASE WHEN up THEN 'MEDIUM' ELSE confidence END AS confidence, CASE WHEN up THEN '[Found in Privacy Policy]' ELSE citation END AS citation
       FROM (SELECT ens.*, pillar_ord, ens.pillar = 'data_selling' AND NOT violation AND pp AS up FROM ens JOIN pillar_list USING (pillar) JOIN shown USING (doc_id)) e),
     over AS (SELECT *, {detect._rule_sql(3)} AS rule_id FROM withpp),
@@ -214,6 +220,7 @@ ORACLES = {
     "p3_rating_counts": f"{_rules_sql()} SELECT rating, count(*) AS documents, round(avg(score), 6) AS avg_score FROM scores_prod GROUP BY rating",
     "p2_scan_battery": _battery_sql(),
     "p3_scan_rules_only": f"{_rules_sql()} SELECT doc_id, score, rating, violations FROM scores_prod JOIN names USING (doc_id)",
+    "p3_rules_only_report": f"{_rules_sql()}, {detect._prominence_sql('found')} SELECT doc_id, pillar, violation, confidence, citation, prominence_score, prominence_signals FROM found JOIN prominent USING (doc_id, pillar)",
     "p5_monitor": f"""WITH {C.SCANS_SQL}, c AS (SELECT DISTINCT url || ':' || tier AS k, content_hash, created_at - INTERVAL 1 MINUTE AS a, created_at + INTERVAL 1 HOUR AS b FROM scans WHERE tier = 'deep'),
     r AS (SELECT * FROM scans s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.k = s.url || ':' || s.tier AND c.content_hash = s.content_hash AND c.a <= s.created_at AND s.created_at < c.b)),
     l AS (SELECT url, lag(content_hash) OVER (PARTITION BY url ORDER BY created_at, scan_id) AS old, content_hash, score, created_at, scan_id FROM r)
