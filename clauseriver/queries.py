@@ -1,9 +1,9 @@
 """All queries of the package with their oracles, by name."""
 
 from clauseriver.operators import detect, evaluate, ground, history, merge, pages, rulebase
-from clauseriver.plans import battery, pipelines
+from clauseriver.plans import battery, evaluation, pipelines
 from clauseriver.streaming import jobs
 
-_MODULES = (pipelines, battery, pages, detect, rulebase, ground, merge, evaluate, history, jobs)
+_MODULES = (pipelines, battery, evaluation, pages, detect, rulebase, ground, merge, evaluate, history, jobs)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -10,7 +10,7 @@ from clauseriver.queries import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 FAST = [n for n in ORACLES if n[0] in "abcfgwx" and n not in ("f10_pillar_status_counts",)] + [
     "d1_hard_violations", "d2_cross_check", "d3_denial_veto", "d4_count_denials", "d5_clause_hits", "d6_evidence", "d8_classify_policy", "d11_backfill_citations",
-    "d13_pp_prefilter", "d15_rule_overrides", "d16_rule_override_variants", "e2_citation_confidence", "e7_classify_citation", "e8_sanitize_citations", "t6_stream_unread", "p1_server_findings", "p2_battery_requests", "p2_battery_findings", "p2_battery_results", "p3_rules_only_report", "p5_alerts", "t7_stream_scan_pipeline",
+    "d13_pp_prefilter", "d15_rule_overrides", "d16_rule_override_variants", "e2_citation_confidence", "e7_classify_citation", "e8_sanitize_citations", "t6_stream_unread", "p1_server_findings", "p2_battery_requests", "p2_battery_findings", "p2_battery_results", "p3_rules_only_report", "p4_model_report", "p4_model_stability", "p5_alerts", "t7_stream_scan_pipeline",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables aren't here")
 
