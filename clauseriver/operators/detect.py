@@ -456,13 +456,13 @@ prominent AS (SELECT doc_id, pillar, CASE WHEN coalesce(length(citation), 0) < 1
 FROM signs2)"""
 
 
-def needs_scan(text: Column) -> Column:
-    return T.any_phrase(F.lower(text), R.COMMERCIAL_WORDS) | T.any_phrase(F.lower(text), R.SHARING_WORDS)
+def has_trade_words(low: Column) -> Column:
+    return T.any_phrase(low, R.COMMERCIAL_WORDS) | T.any_phrase(low, R.SHARING_WORDS)
 
 
 def pp_prefilter(docs: DataFrame) -> DataFrame:
     """doc_id, needs_scan: whether a policy has any word of trade or sharing at all."""
-    return docs.select("doc_id", needs_scan(F.col("text")).alias("needs_scan"))
+    return docs.select("doc_id", has_trade_words(F.lower("text")).alias("needs_scan"))
 
 
 def apply_pp_finding(findings: DataFrame, found: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clauseriver.functions import duck as D
 from clauseriver.functions import rules as R
+from clauseriver.functions import text as T
 from clauseriver.operators import detect, evaluate, merge, pages
 from clauseriver.sources import corpus as C
 
@@ -19,13 +20,17 @@ def battery_requests(services: DataFrame, web: DataFrame) -> DataFrame:
     """doc_id, kind, text: what the models are asked about.
 
     services (doc_id, policy_id, cut), web (page_id, html). Of a service's page the models see the first cut characters. A
-    privacy policy is asked about once, whatever the number of its services, and only if it has a word of trade or sharing.
+    privacy policy is asked about once, whatever the number of its services, and only if it has a word of trade or sharing. A page
+    is made a text once, whatever it is asked for.
     """
-    texts = pages.pages_to_text(web).select(F.col("page_id").alias("doc_id"), "text")
-    heads = texts.join(services.select("doc_id", "cut"), "doc_id").select("doc_id", F.lit("service").alias("kind"), F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("text"))
-    fetched = texts.join(services.select(F.col("policy_id").alias("doc_id")), "doc_id", "left_semi").withColumn("text", F.substring("text", 1, POLICY_FETCHED))
-    shown = fetched.where(detect.needs_scan(F.col("text"))).select("doc_id", F.lit("policy").alias("kind"), F.substring("text", 1, POLICY_SHOWN).alias("text"))
-    return heads.unionByName(shown)
+    asked = services.select("doc_id", "cut", F.lit(False).alias("policy")).unionByName(services.select(F.col("policy_id").alias("doc_id"), F.lit(None).cast("int").alias("cut"), F.lit(True).alias("policy")))
+    asked = asked.groupBy("doc_id").agg(F.max("cut").alias("cut"), F.bool_or("policy").alias("policy"))
+    texts = pages.pages_to_text(web).withColumnRenamed("page_id", "doc_id").join(asked, "doc_id")
+    text = F.col("text")
+    gate = T.let(F.lower(F.substring(text, 1, POLICY_FETCHED)), detect.has_trade_words)
+    head = F.when(F.col("cut").isNotNull(), F.struct(F.lit("service").alias("kind"), F.substring(text, F.lit(1), F.col("cut")).alias("text")))
+    shown = F.when(F.col("policy") & gate, F.struct(F.lit("policy").alias("kind"), F.substring(text, 1, POLICY_SHOWN).alias("text")))
+    return texts.select("doc_id", F.inline(F.array_compact(F.array(head, shown))))
 
 
 def policy_found(services: DataFrame, answers: DataFrame) -> DataFrame:
