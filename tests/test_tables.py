@@ -262,3 +262,18 @@ def test_alerts_over_restarts(spark, tmp_path):
     changes = [r for r in history.policy_changes(spark.createDataFrame(rows, SCANS)).collect() if r["scan_id"] < 59]
     want = Counter(u for r in changes for u, url in {("x", "u0"), ("x", "u1"), ("y", "u1")} if url == r["url"])
     assert {r["uid"]: r["unread"] for r in jobs.unread(log.rows(spark)).collect()} == dict(want) and len(want) == 2
+
+
+def test_alerts_are_counted_without_a_row_for_each_watcher(spark, tmp_path):
+    """Many watchers of a url that changes often: what is stored follows changes and watches, and the counts are those of the rows."""
+    schema = "scan_id long, url string, changed_at timestamp_ntz"
+    watches = spark.createDataFrame([(f"u{i}", url) for i in range(50) for url in ("x", "quiet")] + [("late", "x")], "uid string, url string")
+    alerts = jobs.Alerts(str(tmp_path / "log"))
+    for n, who in ((0, watches.where("uid <> 'late'")), (1, watches), (1, watches)):  # the second batch is repeated
+        changes = [(100 * n + i, "x", TS + dt.timedelta(hours=100 * n + i)) for i in range(40)]
+        alerts.tell(spark.createDataFrame(changes, schema), who, n)
+    stored = alerts.told.rows(spark).count() + alerts.watched.rows(spark).count()
+    assert stored == 80 + 50 + 51
+    got = {tuple(r) for r in alerts.unread(spark).collect()}
+    assert got == {tuple(r) for r in jobs.unread(alerts.rows(spark)).collect()} and len(got) == 51
+    assert {n for u, n, _ in got if u == "late"} == {40} and {n for u, n, _ in got if u == "u1"} == {80}
