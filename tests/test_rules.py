@@ -175,3 +175,35 @@ def test_merges(spark):
     got = lambda gate: {r["pillar"]: r["citation"] for r in merge.ensemble_merge(p, c, gate).collect()}
     assert got(None) == {"ai_training": "c", "data_selling": "c", "transparency": "p", "dark_patterns": "c"}
     assert got("HIGH") == {"ai_training": "p", "data_selling": "c", "transparency": "p", "dark_patterns": "c"}
+
+
+def test_scan_without_a_model_reads_each_text_once(spark):
+    """One scan of the documents and no join, however many rules look at a text."""
+    from clauseriver.plans import pipelines
+
+    rows = [(1, "https://x.com/en/tos", "We sell your personal data to partners. We never sell user data."), (2, None, "Binding arbitration applies. " * 3), (3, "https://a.example", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, url string, text string")
+    for of in (pipelines.scan_rules_only, pipelines.rules_only_report):
+        plan = of(docs)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and "Join" not in plan
+    assert {r["doc_id"]: r["violations"] for r in pipelines.scan_rules_only(docs).collect()} == {1: "", 2: "dark_patterns", 3: ""}
+
+
+def test_may_match_asks_for_every_part(spark):
+    p = r"\b(?:sell|sold)\b.{0,60}\b(?:data|information)\b"
+    assert T.needs_all(r"\bretain\b.{0,9}\bforever\b") == (("forever",), ("retain",))
+    texts = [("we sell data",), ("data only",), ("we sold it: no information",), ("",)]
+    rows = spark.createDataFrame(texts, "t string").select("t", T.may_match(F.lower("t"), p).alias("may"), T.matches(F.col("t"), p).alias("is")).collect()
+    assert all(r["may"] or not r["is"] for r in rows)
+
+
+def test_quotes_end_where_sentences_do(spark):
+    """Matches at the ends of a text, with no full stop, in the midst of characters of four bytes."""
+    texts = ["sold. B", "A. it is sold", "x;😀 y sold here; z. w", "a\nb sold\nc. d", "sold" + "k" * 400, "a" * 500 + " sold " + "b" * 500]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: tuple(r)[1:] for r in df.select("i", *[T.quote_around(F.col("t"), "sold", v) for v in ("denial", "clause", "evidence")]).collect()}
+    assert got[0] == ("sold.", "sold.", "") and got[1] == ("it is sold", "it is sold", "")
+    assert got[2] == ("x;😀 y sold here; z.",) * 2 + ("",)
+    assert got[3] == ("a b sold c.", "b sold c.", "")
+    assert got[4] == (("sold" + "k" * 196),) * 2 + ("sold" + "k" * 216,)
+    assert got[5][2] == ("a" * 179 + " sold " + "b" * 215)[:300]
