@@ -207,3 +207,12 @@ def test_quotes_end_where_sentences_do(spark):
     assert got[3] == ("a b sold c.", "b sold c.", "")
     assert got[4] == (("sold" + "k" * 196),) * 2 + ("sold" + "k" * 216,)
     assert got[5][2] == ("a" * 179 + " sold " + "b" * 215)[:300]
+
+
+def test_backfill_asks_the_whole_text_once(spark):
+    """Where sentences are gone through, only the sentence is searched and not the whole text again."""
+    df = docs(spark, "Nothing. Our neural network uses training data of our large language model here.")
+    best = df.select(detect._best_sentence(detect.sentences_of(F.col("text")), F.lower("text"), "ai_training", 6).alias("b"))
+    literals = sum(len(group) for p in R.BACKFILL["ai_training"]["high"] for group in T.needs_all(p))
+    assert best._jdf.queryExecution().analyzed().toString().lower().count("contains(") == literals
+    assert best.first()["b"]["score"] == 12
