@@ -79,6 +79,18 @@ def test_streamed_changes_keep_state_between_runs(spark, tmp_path):
     assert out == sorted((r["scan_id"], r["old_score"], r["new_score"]) for r in batch) == [(2, 10, 20), (4, 30, 40), (11, 5, 6)]
 
 
+def test_rows_wait_in_bunches(spark, tmp_path):
+    """Thousands of rows that wait are few values of the state, and come out whole and in order."""
+    n = 2 * keyed.BUNCH + 10
+    events = [("u", TS + dt.timedelta(milliseconds=(7 * i) % n), (7 * i) % n, "deduct" if i % 3 else "refund", 3) for i in range(n)]
+    emitted(spark, tmp_path, (events,), LEDGER, keyed.stream_credits)
+    state = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{tmp_path}/state")
+    assert 1 <= state.count() <= 3
+    rows = emitted(spark, tmp_path, ([("end", TS + dt.timedelta(days=1), n, "refund", 0)],), LEDGER, keyed.stream_credits)
+    batch = history.credit_ledger(spark.createDataFrame(events, LEDGER)).collect()
+    assert len(rows) == n and {(r["seq"], r["accepted"], r["balance"]) for r in rows} == {(r["seq"], r["accepted"], r["balance"]) for r in batch}
+
+
 def test_stream_in_parts_is_the_batch(spark):
     rng = random.Random(9)
     rows = [(i, f"u{rng.randrange(4)}", TS + dt.timedelta(minutes=7 * i), rng.choice("ab"), i, "OKAY", "t") for i in range(300)]
