@@ -216,3 +216,27 @@ def test_backfill_asks_the_whole_text_once(spark):
     literals = sum(len(group) for p in R.BACKFILL["ai_training"]["high"] for group in T.needs_all(p))
     assert best._jdf.queryExecution().analyzed().toString().lower().count("contains(") == literals
     assert best.first()["b"]["score"] == 12
+
+
+def test_texts_are_normalized_in_one_pass(spark):
+    odd = ["a\r\r\n\n\rb   c", "  It`s 'A' \"b\"_c\x0b\x0c d é ß ', ` '", "", None, "\x85x\x1cy ''``", "\r", "İ z\n"]
+    df = spark.createDataFrame([(x,) for x in odd], "text string")
+    rows = df.select("text", T.normalize(F.col("text")).alias("plain"), T.normalize_quotes(F.col("text")).alias("quotes"), T.clean_source(F.col("text")).alias("clean"))
+    for r in rows.collect():
+        t = r["text"]
+        low = t and t.lower()
+        assert r["plain"] == (t and re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", low, flags=re.A), flags=re.A).strip(" "))
+        assert r["quotes"] == (t and re.sub(r"\s+", " ", re.sub(r'[^\w\s"]', " ", re.sub("[\"'`]", '"', low), flags=re.A), flags=re.A).strip(" "))
+        assert r["clean"] == (t and re.sub("\r\n?", "\n", t).replace(" ", " "))
+    passes = lambda c: df.select(c)._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+    assert [passes(f(F.col("text")).alias("x")) for f in (T.normalize, T.normalize_quotes, T.clean_source)] == [1, 1, 0]
+
+
+def test_a_citation_is_sought_once(spark):
+    docs = spark.createDataFrame([(1, "We may keep your data for as long as we like, and sell it to anyone.")], "doc_id long, text string")
+    cited = ["  we may keep your data for as long as we like ", "We never keep any of the data that you give us", None, "  ", "Not addressed in document.", "too short"]
+    findings = spark.createDataFrame([(1, str(i), c) for i, c in enumerate(cited)], "doc_id long, pillar string, citation string")
+    rows = ground.classify_citations(findings, docs)
+    got = {r["pillar"]: (r["trust"], r["grounded"]) for r in rows.collect()}
+    assert [got[str(i)] for i in range(6)] == [("GROUNDED", True), ("NOT_FOUND", False), ("ABSENT", False), ("ABSENT", False), ("ABSENT", False), ("TOO_SHORT", False)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("exists(") == 1
