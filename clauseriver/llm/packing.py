@@ -9,6 +9,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -61,18 +62,18 @@ class Encoder(dict):
         Such chunks are told apart wherever they stand, so they are encoded end to end, and their ids are parted by
         the number of their bytes.
         """
-        new = [c for c in dict.fromkeys(chunks) if c not in self and 1 < len(c) <= self.long and c[0] in _spaces and c[-1] not in _spaces]
+        new = [c for c in filterfalse(self.__contains__, set(chunks)) if 1 < len(c) <= self.long and c[0] in _spaces and c[-1] not in _spaces]
         if len(new) < 2:
             return
         if len(self) + len(new) >= self.most:
             self.clear()
-        ids = self.tokenizer.encode("".join(new), add_special_tokens=False).ids
+        ids = np.array(self.tokenizer.encode("".join(new), add_special_tokens=False).ids, dtype="<u4")
         ends = np.cumsum(self.widths[ids])
-        wanted = np.cumsum([len(c.encode()) for c in new])
+        wanted = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in new])
         cuts = np.searchsorted(ends, wanted)
         if (ends[cuts] != wanted).any():
             raise ValueError("a chunk shares an id with the next one")
-        whole, at = as_bytes(ids), 0
+        whole, at = ids.tobytes(), 0
         for chunk, end in zip(new, (4 * (cuts + 1)).tolist(), strict=True):
             self[chunk] = whole[at:end]
             at = end
