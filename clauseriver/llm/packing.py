@@ -9,7 +9,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -23,10 +22,15 @@ VOCABULARY = "byte_bpe_50k"
 #: Most slots that are broadcast; their number depends on the sequence length, not on the data.
 MOST_SLOTS = 500_000
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The vocabulary's own splitting never joins characters across these chunks: a run of white space but
-#: for its last character, or a run of other characters with at most one white space before it.
+_PUNCTUATION = "!-&(-/:-@\\[-`{-~"  # ASCII's, but for the apostrophe, which may begin a suffix such as 's
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: The vocabulary's own splitting never joins characters across these chunks: letters after at most one white space,
+#: if nothing but punctuation stands between them and the next white space; a run of white space but for its last
+#: character; or a run of other characters with at most one white space before it.
 _spaces = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{_SPACE}]", chr(c)))
-_chunk = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+")
+_chunk = re.compile(
+    f"[{_SPACE}]?[{_LETTERS}]++(?=[{_PUNCTUATION}]*+(?![^{_SPACE}]))|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+"
+)
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -41,10 +45,11 @@ class Encoder(dict):
     """Chunk of text -> its ids as little-endian bytes; holds at most `most` chunks.
 
     A text is cut at the vocabulary's added tokens (such as <|endoftext|>), whose ids stand for them, and then
-    into chunks. The ids of chunks are those of the tokenizers library.
+    into chunks. The ids of chunks are those of the tokenizers library. Chunks come in two generations: when
+    half of `most` are held, they become the old ones, of which those met again come back, and the others go.
     """
 
-    def __init__(self, vocabulary: str, most: int = 400_000, long: int = 400):
+    def __init__(self, vocabulary: str, most: int = 600_000, long: int = 400, at_once: int = 200):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -52,49 +57,76 @@ class Encoder(dict):
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = {t: as_bytes([i]) for t, i in added.items()}
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.most, self.long = most, long
+        self.most, self.long, self.at_once = most, long, at_once
+        self.old: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=False)
         self.widths = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)])  # bytes of each id
 
-    def learn(self, chunks: list[str]) -> None:
-        """Takes in the ids of all new chunks that begin with one white space, in one call.
+    def learn(self, chunks: set[str]) -> None:
+        """Takes in the ids of those of the chunks, none of them held, that begin with one white space, many in a call.
 
         Such chunks are told apart wherever they stand, so they are encoded end to end, and their ids are parted by
-        the number of their bytes.
+        the number of their bytes. Chunks among the old ones come back from there.
         """
-        new = [c for c in filterfalse(self.__contains__, set(chunks)) if 1 < len(c) <= self.long and c[0] in _spaces and c[-1] not in _spaces]
-        if len(new) < 2:
-            return
-        if len(self) + len(new) >= self.most:
+        back = self.old.keys() & chunks
+        self.keep([(c, self.old[c]) for c in back])
+        new = [c for c in chunks - back if 1 < len(c) <= self.long and c[0] in _spaces and c[-1] not in _spaces]
+        for at in range(0, len(new), self.at_once):
+            part = new[at : at + self.at_once]
+            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.cumsum(self.widths[ids])
+            wanted = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in part])
+            cuts = np.searchsorted(ends, wanted)
+            if (ends[cuts] != wanted).any():
+                raise ValueError("a chunk shares an id with the next one")
+            whole, stops = ids.tobytes(), (4 * (cuts + 1)).tolist()
+            self.keep([(c, whole[i:j]) for c, i, j in zip(part, [0, *stops], stops, strict=False)])
+
+    def keep(self, chunks: list[tuple[str, bytes]]) -> None:
+        if len(self) + len(chunks) > self.most // 2:
+            self.old = dict(self)
             self.clear()
-        ids = np.array(self.tokenizer.encode("".join(new), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.cumsum(self.widths[ids])
-        wanted = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in new])
-        cuts = np.searchsorted(ends, wanted)
-        if (ends[cuts] != wanted).any():
-            raise ValueError("a chunk shares an id with the next one")
-        whole, at = ids.tobytes(), 0
-        for chunk, end in zip(new, (4 * (cuts + 1)).tolist(), strict=True):
-            self[chunk] = whole[at:end]
-            at = end
-
-    def of(self, text: str) -> bytes:
-        chunks = _chunk.findall(text)
-        self.learn(chunks)
-        return b"".join(map(self.__getitem__, chunks))
+        self.update(chunks)
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; what none of them has shown before is encoded together."""
+        chunks = list(map(_chunk.findall, texts))
+        found = [list(map(self.get, c)) for c in chunks]
+        gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
+        self.learn({c[i] for c, g in zip(chunks, gaps, strict=True) for i in g})
+        for c, f, g in zip(chunks, found, gaps, strict=True):
+            for i in g:
+                f[i] = self[c[i]]
+        return list(map(b"".join, found))
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = as_bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        ids = self.old.get(chunk) or as_bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         if len(chunk) <= self.long:
-            if len(self) >= self.most:
-                self.clear()
-            self[chunk] = ids
+            self.keep([(chunk, ids)])
         return ids
 
     def ids(self, text: str) -> bytes:
         if not any(t in text for t in self.added):
-            return self.of(text)
-        return b"".join(self.added[p] if i % 2 else self.of(p) for i, p in enumerate(self.cuts.split(text)))
+            return self.of([text])[0]
+        parts = self.cuts.split(text)
+        parts[::2] = self.of(parts[::2])
+        return b"".join(self.added[p] if i % 2 else p for i, p in enumerate(parts))
+
+    def each(self, texts: list[str], together: int = 1 << 16) -> Iterator[bytes]:
+        """The ids of each text, in the order of the texts; neighbours of some `together` characters learn at once."""
+        group, size = [], 0
+        for text in texts:
+            if any(t in text for t in self.added):
+                yield from self.of(group)
+                yield self.ids(text)
+                group, size = [], 0
+                continue
+            group.append(text)
+            size += len(text)
+            if size >= together:
+                yield from self.of(group)
+                group, size = [], 0
+        yield from self.of(group)
 
 
 encoder = lru_cache(maxsize=1)(Encoder)
@@ -112,8 +144,9 @@ def cut_pieces(batches: Iterator[pd.DataFrame], vocabulary: str, length: int, ke
 
     for batch in batches:
         rows = []
-        for doc_id, position, text in zip(batch["doc_id"].tolist(), batch["position"].tolist(), batch["text"], strict=True):
-            ids = encode.ids(text or "") + b"\0\0\0\0"
+        texts = [x or "" for x in batch["text"]]
+        for doc_id, position, ids in zip(batch["doc_id"].tolist(), batch["position"].tolist(), encode.each(texts), strict=True):
+            ids += b"\0\0\0\0"
             for at in range(0, len(ids), size):
                 piece = ids[at : at + size]
                 row = (doc_id, position, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)
@@ -198,7 +231,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, ke
     """
     small_batches(docs.sparkSession)
     ordered = position is not None
-    run = partial(cut_pieces, vocabulary=vocabulary, length=length, keep_ids=keep_ids)
+    run = partial(cut_pieces, vocabulary=vocabulary, length=length, keep_ids=keep_ids, at_once=500 if keep_ids else 2000)
     at = position.cast("long") if ordered else F.lit(0).cast("long")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), at.alias("position"), F.col("text").cast("string").alias("text"))
     pieces = written(texts.mapInPandas(run, PIECES + ", ids binary" * keep_ids)).withColumn("_one", F.lit(1))

@@ -159,6 +159,37 @@ def test_ids_are_those_of_the_plain_tokenizer(spark):
         assert e.ids(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_words_met_again_are_not_encoded_again():
+    e = packing.Encoder("byte_bpe_50k", most=400)
+    plain, seen = e.tokenizer, []
+
+    class Counted:
+        def encode(self, text, **options):
+            seen.append(text)
+            return plain.encode(text, **options)
+
+    e.tokenizer = Counted()
+    for k in range(12):  # more words than are held; one of them in every text, before other punctuation each time
+        text = " ".join(["on", *(f"fresh{chr(97 + k)}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)), "steady" + "!,;***"[: k % 7] + "\n"])
+        assert e.ids(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(e) + len(e.old) <= 400
+    assert sum(x.count("steady") for x in seen) == 1
+
+
+def test_ids_of_random_texts_are_those_of_the_plain_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    e = packing.Encoder("byte_bpe_50k", most=300, at_once=7)
+    parts = [*"aZéßÿĀɏ×÷ªµ\u0250жλ中\u0301'_,.*-`{~$5²½ \n\t\r\x1c\u00a0\u3000\u200b😀", "'s", "'ll", "the", " the", "  ", "<|endoftext|>"]
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(parts, n)) for n in rng.integers(0, 40, 3000)]
+    expected = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert list(e.each(texts, together=200)) == expected
+    assert [e.ids(x) for x in texts] == expected
+
+
 def test_padding_is_little():
     rng = np.random.default_rng(0)
     lengths = Counter(rng.integers(1, 1025, 50_000).tolist())
