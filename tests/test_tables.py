@@ -289,3 +289,28 @@ def test_alerts_are_counted_without_a_row_for_each_watcher(spark, tmp_path):
     got = {tuple(r) for r in alerts.unread(spark).collect()}
     assert got == {tuple(r) for r in jobs.unread(alerts.rows(spark)).collect()} and len(got) == 51
     assert {n for u, n, _ in got if u == "late"} == {40} and {n for u, n, _ in got if u == "u1"} == {80}
+
+
+DOCS = "doc_id long, text string, lang string"
+
+
+def some_documents(spark):
+    return spark.createDataFrame([(n, f"Text {n}.  We share your data\n with a partner now and then." if n % 3 else None, "en") for n in range(24)], DOCS)
+
+
+def test_streamed_scan_works_a_text_out_once(spark):
+    """A filter that asks whether a document has findings would find them all before they are found."""
+    node, kinds = jobs.stream_scan_pipeline(some_documents(spark))._jdf.queryExecution().optimizedPlan(), []
+    while node:
+        kinds.append(node.nodeName())
+        node = node.children().head() if node.children().nonEmpty() else None
+    assert "Generate" in kinds and "Filter" not in kinds
+
+
+def test_streamed_texts_of_one_file_go_to_all_cores(spark, tmp_path):
+    some_documents(spark).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = jobs.run_to_end(jobs.stream_scan_pipeline(jobs.read_stream(spark, str(tmp_path), "documents")))
+    assert len(got.inputFiles()) == spark.sparkContext.defaultParallelism > 1
+    want = jobs.stream_scan_pipeline(some_documents(spark))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 24 * 6
+    assert [(c.name, c.dataType) for c in got.schema] == [(c.name, c.dataType) for c in want.schema]
