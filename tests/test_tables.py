@@ -309,7 +309,9 @@ def test_streamed_scan_works_a_text_out_once(spark):
 
 def test_streamed_texts_of_one_file_go_to_all_cores(spark, tmp_path):
     some_documents(spark).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
-    got = jobs.run_to_end(jobs.stream_scan_pipeline(jobs.read_stream(spark, str(tmp_path), "documents")))
+    rows = jobs.read_stream(spark, str(tmp_path), "documents")
+    assert rows._jdf.queryExecution().analyzed().nodeName() == "RepartitionByExpression"  # in turn, texts would be sorted first
+    got = jobs.run_to_end(jobs.stream_scan_pipeline(rows))
     assert len(got.inputFiles()) == spark.sparkContext.defaultParallelism > 1
     want = jobs.stream_scan_pipeline(some_documents(spark))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 24 * 6
